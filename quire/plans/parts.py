@@ -88,3 +88,55 @@ def sql(parts: list[str] | str, body: str) -> str:
     if isinstance(parts, str):
         parts = [parts]
     return "WITH " + ",\n".join(parts) + "\n" + body
+
+BL = LN + """,
+bl AS (
+  SELECT doc_id, (b // 4)::INTEGER AS page, (b % 4)::INTEGER AS block,
+         array_to_string(list_slice(ls, b * 2 + 1, b * 2 + 2), chr(10)) AS text
+  FROM (SELECT doc_id, ls, unnest(range(0, (len(ls) + 1) // 2)) AS b FROM ln))"""
+OP = f"""op AS (
+  SELECT o_orderkey // 8 + {corpus.ORDER_DOC_BASE} AS doc_id, (o_orderkey % 8)::INTEGER AS page,
+    'Invoice dated ' || strftime(o_orderdate, '%m/%d/%Y') || ' for ' || {lits(corpus.FIRST_NAMES)}[o_custkey % 5 + 1]
+    || ' ' || {lits(corpus.LAST_NAMES)}[o_custkey % 7 + 1] || ' of ' || {lits(corpus.ORGS)}[o_custkey % 6 + 1]
+    || ' in The White House.' || chr(10) || 'Contact user' || o_custkey || '@shop' || (o_custkey % 50)
+    || '.example.com or +1 555-010-' || lpad((o_orderkey % 10000)::VARCHAR, 4, '0') || ' now. Total $'
+    || format('{{:,.2f}}', o_totalprice) || ', paid ' || strftime(o_orderdate, '%B %-d, %Y') || ' or '
+    || strftime(o_orderdate, '%b %-d %y') || '.' || chr(10) || 'See https://shop.example.com/o/' || (o_orderkey % 3)
+    || ' ref ' || (o_orderkey % 900 + 100) || '-45-' || lpad((o_custkey % 10000)::VARCHAR, 4, '0')
+    || ' costs 12.50 USD' AS text
+  FROM orders)"""
+EP = "ep AS (SELECT doc_id, page, text FROM pg UNION ALL SELECT doc_id, page, text FROM op)"
+
+
+def masked(e: str) -> str:
+    """Non-ASCII letters as '_', so that an ASCII word boundary acts like a Unicode one."""
+    return f"regexp_replace({e}, '[^\\x00-\\x7F€£]', '_', 'g')"
+
+
+def found(e: str, pattern: str) -> str:
+    """All matches; patterns with word boundaries run over masked text."""
+    return f"regexp_extract_all({masked(e) if chr(92) + 'b' in pattern else e}, {lit(pattern)})"
+
+
+def entity_rows(pages: str, types=None) -> str:
+    """(doc_id, page, entity_type, value, pos) for every match of every type."""
+    out = []
+    for kind, pattern in fv.ENTITY_PATTERNS.items():
+        if types is not None and kind not in types:
+            continue
+        keep = ""
+        if kind == "phones":
+            keep = f" WHERE length(value) >= {fv.MIN_PHONE_CHARS}"
+        if kind == "people":
+            keep = f" WHERE NOT regexp_matches(value, {lit(fv.NOT_A_PERSON)})"
+        out.append(
+            f"SELECT doc_id, page, '{kind}' AS entity_type, value, pos FROM (SELECT doc_id, page, {strip('m[i]')} AS value,"
+            f" i - 1 AS pos FROM (SELECT doc_id, page, m, unnest(range(1, len(m) + 1)) AS i FROM"
+            f" (SELECT doc_id, page, {found('text', pattern)} AS m FROM {pages}))){keep}"
+        )
+    return "\n UNION ALL ".join(out)
+
+
+def sentences(e: str, splitter: str, longer: int) -> str:
+    parts = f"regexp_split_to_array(replace({e}, chr(10), ' '), '{splitter}')"
+    return f"list_filter(list_transform({parts}, lambda x: {strip('x')}), lambda x: length(x) > {longer})"

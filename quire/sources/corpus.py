@@ -179,3 +179,79 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         .select("doc_id", "page", "table_index", F.col("x.r").alias("r"), F.posexplode("x.row").alias("c", "cell"))
     )
+
+
+def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text blocks of two lines, numbered inside their page."""
+    lines = F.split("text", "\n", -1)
+    pairs = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / 2).cast("int")),
+        lambda b: F.array_join(F.slice(lines, b * 2 + 1, 2), "\n"),
+    )
+    return docs(spark, sf_dir).select("doc_id", F.posexplode(pairs).alias("b", "text")).select(
+        "doc_id",
+        F.floor(F.col("b") / 4).cast("int").alias("page"),
+        (F.col("b") % 4).alias("block"),
+        "text",
+    )
+
+
+FIRST_NAMES = ("Ann", "Bob", "Carla", "Dmitri", "Eva")
+LAST_NAMES = ("Smith", "Jones", "Garcia", "Miller", "Weber", "Rossi", "Novak")
+ORGS = ("Acme Widgets Inc", "Northern Bank", "Delta Foundation", "Blue Sky Partners", "J&J-Data Corp.", "Tech University")
+ORDER_DOC_BASE = 1_000_000_000
+
+
+def order_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders written out as invoice pages: full of names, dates, amounts and addresses."""
+    k, cust, day = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderdate")
+    text = F.concat(
+        F.lit("Invoice dated "),
+        F.date_format(day, "MM/dd/yyyy"),
+        F.lit(" for "),
+        _pick(FIRST_NAMES, cust % 5),
+        F.lit(" "),
+        _pick(LAST_NAMES, cust % 7),
+        F.lit(" of "),
+        _pick(ORGS, cust % 6),
+        F.lit(" in The White House.\nContact user"),
+        cust.cast("string"),
+        F.lit("@shop"),
+        (cust % 50).cast("string"),
+        F.lit(".example.com or +1 555-010-"),
+        F.lpad((k % 10000).cast("string"), 4, "0"),
+        F.lit(" now. Total $"),
+        F.format_number("o_totalprice", 2),
+        F.lit(", paid "),
+        F.date_format(day, "MMMM d, yyyy"),
+        F.lit(" or "),
+        F.date_format(day, "MMM d yy"),
+        F.lit(".\nSee https://shop.example.com/o/"),
+        (k % 3).cast("string"),
+        F.lit(" ref "),
+        F.lpad((k % 900 + 100).cast("string"), 3, "0"),
+        F.lit("-45-"),
+        F.lpad((cust % 10000).cast("string"), 4, "0"),
+        F.lit(" costs 12.50 USD"),
+    )
+    return table(spark, sf_dir, "orders").select(
+        (F.floor(k / 8) + ORDER_DOC_BASE).alias("doc_id"), (k % 8).cast("int").alias("page"), text.alias("text")
+    )
+
+
+def entity_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = pages(spark, sf_dir).select("doc_id", "page", "text")
+    return own.unionByName(order_pages(spark, sf_dir))
+
+
+COPY_BASE = 2_000_000_000
+
+
+def edited_copies(docs_df: DataFrame) -> DataFrame:
+    """Every document once more, with words changed, lines moved and a line added."""
+    lines = F.split(F.replace("text", F.lit(" the "), F.lit(" that ")), "\n", -1)
+    kept = F.filter(lines, lambda x, i: (i % 11) != 9)
+    return docs_df.select(
+        (F.col("doc_id") + COPY_BASE).alias("doc_id"),
+        F.array_join(F.concat(kept, F.array(F.lit("appended line"))), "\n").alias("text"),
+    )
