@@ -1,4 +1,4 @@
 """Registered queries, each with the SQL it is checked against."""
 
-from quire.plans import intelligence, scans, search, text  # noqa: F401
+from quire.plans import intelligence, layout, scans, search, tabular, text  # noqa: F401
 from quire.plans.registry import ORACLES, QUERIES  # noqa: F401

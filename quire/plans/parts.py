@@ -140,3 +140,43 @@ def entity_rows(pages: str, types=None) -> str:
 def sentences(e: str, splitter: str, longer: int) -> str:
     parts = f"regexp_split_to_array(replace({e}, chr(10), ' '), '{splitter}')"
     return f"list_filter(list_transform({parts}, lambda x: {strip('x')}), lambda x: length(x) > {longer})"
+
+
+def _codes():
+    from quire.operators.layout import KNOWN_CODES
+
+    return lits(KNOWN_CODES)
+
+
+def glyph_cte() -> str:
+    return f"""gl AS (
+  SELECT ch, codes[k + 1] AS font_code, (200 + ((ascii(ch) * 7 + k * 3) % 13) * 50) / 1000.0::DOUBLE AS unit_width
+  FROM (SELECT ch, codes, unnest(range(0, 12)) AS k FROM (
+    SELECT DISTINCT unnest(list_distinct(string_split(text, ''))) AS ch, {_codes()} AS codes FROM documents)))"""
+
+
+def width_cte(name: str, src: str, keys: str, text: str) -> str:
+    """Unit width (sum over characters) of ``text`` per key of ``src``."""
+    return f"""{name} AS (
+  SELECT {keys}, font_code, sum(coalesce(unit_width, 0) * n) AS units FROM (
+    SELECT {keys}, font_code, ch, count(*) AS n FROM (
+      SELECT {keys}, font_code, unnest(string_split({text}, '')) AS ch FROM {src}) GROUP BY ALL)
+  LEFT JOIN gl USING (font_code, ch) GROUP BY ALL)"""
+
+
+FR = f"""fr AS (
+  SELECT doc_id, page, block, line, (j - 1)::INTEGER AS span, ps[j] AS text, font, size, color, flags,
+         (72 + (j - 1) * 90)::DOUBLE AS x0, (y0 + ((j - 1) % 4) * 2)::DOUBLE AS y0,
+         (72 + (j - 1) * 90 + 6 * length(ps[j]))::DOUBLE AS x1, (y0 + ((j - 1) % 4) * 2 + 12)::DOUBLE AS y1
+  FROM (SELECT *, unnest(range(1, len(ps) + 1)) AS j FROM (SELECT *, string_split(text, '.') AS ps FROM sp)))"""
+FP = """fp AS (
+  SELECT c_custkey // 10 AS doc_id, (c_custkey % 10)::INTEGER AS page,
+    'Full Name: ____ ' || c_name || chr(10) || '[x] ' || c_mktsegment || chr(10) || '[ ] Send mail' || chr(10)
+    || 'Balance due:   _____ and more' || chr(10) || 'Home' || chr(10) || 'Address: ___' || chr(10) || '[X]  Nation '
+    || c_nationkey || ' ' || chr(10) || 'no field: __' || chr(10) || '[y] no box' AS text
+  FROM customer)"""
+WI = """wi AS (
+  SELECT c_custkey // 10 AS doc_id, (c_custkey % 10)::INTEGER AS page, pos::INTEGER AS pos,
+         ['name', 'Send mail', 'active'][pos + 1] AS field_name, ['text', 'combobox', 'checkbox'][pos + 1] AS field_type,
+         [c_name, c_mktsegment, CASE WHEN c_acctbal > 0 THEN 'Yes' ELSE 'Off' END][pos + 1] AS field_value
+  FROM customer, range(0, 3) AS t(pos))"""

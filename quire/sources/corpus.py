@@ -255,3 +255,67 @@ def edited_copies(docs_df: DataFrame) -> DataFrame:
         (F.col("doc_id") + COPY_BASE).alias("doc_id"),
         F.array_join(F.concat(kept, F.array(F.lit("appended line"))), "\n").alias("text"),
     )
+
+
+def glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A glyph table: every character of the documents in every font code, with a made width."""
+    from quire.operators.layout import KNOWN_CODES
+
+    chars = docs(spark, sf_dir).select(F.explode(F.array_distinct(F.split("text", ""))).alias("ch")).distinct()
+    codes = F.array(*[F.lit(c) for c in KNOWN_CODES])
+    step = (F.ascii("ch") * 7 + F.col("code_no") * 3) % 13
+    return chars.select("ch", F.posexplode(codes).alias("code_no", "font_code")).select(
+        "font_code", "ch", ((F.lit(200) + step * 50) / 1000.0).alias("unit_width")
+    )
+
+
+def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines cut at full stops into several spans side by side, a little uneven."""
+    s = spans(spark, sf_dir)
+    cut = s.select(
+        "doc_id", "page", "block", "line", "font", "size", "color", "flags", "y0",
+        F.posexplode(F.split("text", "[.]", -1)).alias("span", "text"),
+    )
+    y = F.col("y0") + (F.col("span") % 4) * 2.0
+    x = F.lit(72.0) + F.col("span") * 90.0
+    return cut.select(
+        "doc_id", "page", "block", "line", "span", "text", "font", "size", "color", "flags",
+        x.alias("x0"), y.alias("y0"), (x + F.length("text") * 6.0).alias("x1"), (y + 12.0).alias("y1"),
+    )
+
+
+def form_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as printed form pages, ten customers to a document."""
+    key = F.col("c_custkey")
+    text = F.concat(
+        F.lit("Full Name: ____ "),
+        F.col("c_name"),
+        F.lit("\n[x] "),
+        F.col("c_mktsegment"),
+        F.lit("\n[ ] Send mail\nBalance due:   _____ and more\nHome\nAddress: ___\n[X]  Nation "),
+        F.col("c_nationkey").cast("string"),
+        F.lit(" \nno field: __\n[y] no box"),
+    )
+    return table(spark, sf_dir, "customer").select(
+        F.floor(key / 10).alias("doc_id"), (key % 10).cast("int").alias("page"), text.alias("text")
+    )
+
+
+def widgets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three interactive fields per customer page."""
+    key = F.col("c_custkey")
+    fields = F.array(
+        *[
+            F.struct(F.lit(n).alias("field_name"), F.lit(t).alias("field_type"), v.alias("field_value"))
+            for n, t, v in (
+                ("name", "text", F.col("c_name")),
+                ("Send mail", "combobox", F.col("c_mktsegment")),
+                ("active", "checkbox", F.when(F.col("c_acctbal") > 0, "Yes").otherwise("Off")),
+            )
+        ]
+    )
+    return (
+        table(spark, sf_dir, "customer")
+        .select(F.floor(key / 10).alias("doc_id"), (key % 10).cast("int").alias("page"), F.posexplode(fields).alias("pos", "f"))
+        .select("doc_id", "page", "pos", "f.*")
+    )
