@@ -90,6 +90,20 @@ KEY_INFO_TYPES = ("people", "organizations", "dates", "monetary", "emails", "pho
 EXTRACT_PATTERNS = {"emails": EMAIL, "phones": PHONE, "dates": DATE_SHORT, "urls": URL}
 REDACT_PATTERNS = {"ssn": SSN, "phone": PHONE, "email": EMAIL, "date": DATE_NUMERIC}
 MIN_PHONE_CHARS = 7
+# what a text must contain for a pattern to be able to match
+NEEDED_BY = {
+    EMAIL: "@",
+    PHONE: "[0-9]",
+    DATE_LONG: "[0-9]",
+    DATE_SHORT: "[0-9]",
+    DATE_NUMERIC: "[0-9]",
+    URL: "://",
+    MONEY: "[0-9]",
+    SSN: "[0-9]{3}-",
+    ORGANIZATION: (
+        "Inc|LLC|Ltd|Corp|Company|Co|Group|Foundation|Institute|Association|University|Bank|Partners"
+    ),
+}
 
 # --- fixed values: topic stop words ---------------------------------------
 TOPIC_WORD = r"\b[a-zA-Z]{4,}\b"

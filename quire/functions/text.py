@@ -13,6 +13,11 @@ NON_SPACE = UNICODE + r"[^\s\x1c-\x1f]+"
 SPACE_RUN = UNICODE + r"[\s\x1c-\x1f]+"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(fv.WHITESPACE))
 
@@ -21,9 +26,16 @@ def is_blank(c: Column) -> Column:
     return strip(c) == ""
 
 
-def all_matches(c: Column, pattern: str) -> Column:
-    """Every whole match of ``pattern``, left to right."""
-    return F.regexp_extract_all(c, F.lit(UNICODE + pattern), F.lit(0))
+def all_matches(c: Column, pattern: str, needs: str | None = None) -> Column:
+    """Every whole match of ``pattern``, left to right.
+
+    ``needs`` is a cheap pattern that any text with a match must contain; texts
+    without it skip the real one.
+    """
+    found = F.regexp_extract_all(c, F.lit(UNICODE + pattern), F.lit(0))
+    if needs is None:
+        return found
+    return F.when(c.rlike(needs), found).otherwise(F.array().cast("array<string>"))
 
 
 def words(c: Column) -> Column:

@@ -14,8 +14,9 @@ def entity_matches(text: Column, types=None) -> Column:
     chosen = [t for t in fv.ENTITY_PATTERNS if types is None or t in types]
 
     def of(kind: str) -> Column:
+        pattern = fv.ENTITY_PATTERNS[kind]
         found = F.transform(
-            all_matches(text, fv.ENTITY_PATTERNS[kind]),
+            all_matches(text, pattern, fv.NEEDED_BY.get(pattern)),
             lambda x, i: F.struct(F.lit(kind).alias("entity_type"), strip(x).alias("value"), i.alias("pos")),
         )
         if kind == "phones":
@@ -61,7 +62,8 @@ def extract_data_list(text: Column, kind: str) -> Column:
     """Distinct values of one kind in a document text, in order of appearance."""
     if kind not in fv.EXTRACT_PATTERNS:
         return F.array().cast("array<string>")
-    found = all_matches(text, fv.EXTRACT_PATTERNS[kind])
+    pattern = fv.EXTRACT_PATTERNS[kind]
+    found = all_matches(text, pattern, fv.NEEDED_BY[pattern])
     if kind == "phones":
         found = F.filter(F.transform(found, strip), lambda x: F.length(x) >= fv.MIN_PHONE_CHARS)
     return F.array_distinct(found)
@@ -73,4 +75,4 @@ def extract_data(docs: DataFrame, kind: str) -> DataFrame:
 
 def extract_data_raw(df: DataFrame, col: str = "text") -> DataFrame:
     """All four kinds at once over any text column, neither distinct nor filtered."""
-    return df.select("*", *[all_matches(F.col(col), p).alias(k) for k, p in fv.EXTRACT_PATTERNS.items()])
+    return df.select("*", *[all_matches(F.col(col), p, fv.NEEDED_BY[p]).alias(k) for k, p in fv.EXTRACT_PATTERNS.items()])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire import fixed_values as fv
-from quire.functions.text import all_matches, is_blank, literal_list
+from quire.functions.text import all_matches, is_blank, let, literal_list
 
 
 def script(text: Column) -> Column:
@@ -32,8 +32,8 @@ def language_scores(text: Column) -> Column:
     present = F.array_distinct(all_matches(F.lower(text), fv.LANGUAGE_WORD))
     known = literal_list(sorted({w for ws in fv.LANGUAGE_WORDS.values() for w in ws}))
     hits = F.array_intersect(present, known)
-    return F.transform(
-        F.array(hits),
+    return let(
+        hits,
         lambda h: F.array(
             *[
                 F.struct(
@@ -42,7 +42,7 @@ def language_scores(text: Column) -> Column:
                 for lang, ws in fv.LANGUAGE_WORDS.items()
             ]
         ),
-    )[0]
+    )
 
 
 def detect_language(docs: DataFrame) -> DataFrame:

@@ -67,11 +67,15 @@ def redact_pattern(pages: DataFrame, kind: str, mask: str = "") -> DataFrame:
     """All pages with every match of the pattern replaced by ``mask``, and the match count."""
     if kind not in fv.REDACT_PATTERNS:
         raise ValueError(f"unknown pattern type: {kind}")
-    pattern = UNICODE + fv.REDACT_PATTERNS[kind]
+    plain = fv.REDACT_PATTERNS[kind]
+    pattern = UNICODE + plain
     literal_mask = mask.replace("\\", "\\\\").replace("$", "\\$")
-    return pages.withColumn("redacted", F.regexp_count("text", F.lit(pattern))).withColumn(
-        "text", F.regexp_replace("text", pattern, literal_mask)
+    possible = F.col("text").rlike(fv.NEEDED_BY[plain])
+    counted = pages.withColumn(
+        "redacted", F.when(possible, F.regexp_count("text", F.lit(pattern))).otherwise(0)
     )
+    changed = F.when(F.col("redacted") > 0, F.regexp_replace("text", pattern, literal_mask))
+    return counted.withColumn("text", changed.otherwise(F.col("text")))
 
 
 def query_words(question: Column) -> Column:
@@ -85,14 +89,15 @@ def section_scores(blocks: DataFrame, queries: DataFrame) -> DataFrame:
     substring of the block text; blocks without any are dropped.
     """
     asked = queries.select("query_id", "doc_id", query_words(F.col("question")).alias("_words"))
-    hay = F.lower("text")
-    hits = F.size(F.filter("_words", lambda w: hay.contains(w)))
+    hits = F.size(F.filter("_words", lambda w: F.col("_hay").contains(w)))
     return (
-        blocks.join(asked, "doc_id")
+        # lowered before the join, so once per block and not once per word
+        blocks.withColumn("_hay", F.lower("text"))
+        .join(asked, "doc_id")
         .withColumn("_hits", hits)
         .where("_hits > 0")
         .withColumn("relevance", F.col("_hits") / F.size("_words"))
-        .drop("_words", "_hits")
+        .drop("_words", "_hits", "_hay")
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire import fixed_values as fv
-from quire.functions.text import all_matches, strip
+from quire.functions.text import all_matches, let, strip
 
 
 def topic_words(docs: DataFrame, stop=None) -> DataFrame:
@@ -64,10 +64,14 @@ def summary(text: Column, variant: str = "analysis") -> Column:
         marks = ((0, 1), (1, 2))
     else:
         raise ValueError(f"unknown summary variant: {variant}")
-    n = F.size(s)
-    spread = [F.get(s, F.floor(n * num / den).cast("int")) for num, den in marks]
-    picked = _quoted(F.array(*spread, F.element_at(s, -1)))
-    if empty is None:
-        return F.when(n <= keep, text).otherwise(picked)
-    return F.when(n == 0, empty).when(n <= keep, _quoted(s)).otherwise(picked)
+
+    def choose(s: Column) -> Column:
+        n = F.size(s)
+        spread = [F.get(s, F.floor(n * num / den).cast("int")) for num, den in marks]
+        picked = _quoted(F.array(*spread, F.try_element_at(s, F.lit(-1))))
+        if empty is None:
+            return F.when(n <= keep, text).otherwise(picked)
+        return F.when(n == 0, empty).when(n <= keep, _quoted(s)).otherwise(picked)
+
+    return let(s, choose)
 

@@ -32,8 +32,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a small scan out over all cores before heavy per-row work.
+
+    A file with one row group is one task however many cores there are. Only a
+    scan with no more splits than the cluster has cores is dealt out; a large
+    one already has work for everybody and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() <= cores else df
+
+
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def _pick(values, index: Column) -> Column:
@@ -98,7 +109,7 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Image placements taken from the web pages' ``ad`` boxes and list items."""
-    html = table(spark, sf_dir, "pages").select(
+    html = spread(table(spark, sf_dir, "pages").select("page_id", "html")).select(
         F.col("page_id").alias("doc_id"),
         F.regexp_extract_all("html", F.lit(r"<(div class=.ad.|li|b)>"), F.lit(1)).alias("tags"),
     )
@@ -115,7 +126,7 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    html = table(spark, sf_dir, "pages").select(
+    html = spread(table(spark, sf_dir, "pages").select("page_id", "html")).select(
         F.col("page_id").alias("doc_id"),
         F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1)).alias("uris"),
     )
@@ -169,8 +180,11 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.lit(0).alias("r"), F.when(key % 5 == 0, header).otherwise(empty).alias("row")),
         F.struct(r.alias("r"), F.when(has_body, ragged).otherwise(empty).alias("row")),
     )
+    orders = table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority", "o_orderstatus", "o_orderdate"
+    )
     return (
-        table(spark, sf_dir, "orders")
+        spread(orders)
         .select(
             F.floor(key / 20).alias("doc_id"),
             (F.floor(key / 5) % 4).cast("int").alias("page"),
@@ -234,7 +248,8 @@ def order_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lpad((cust % 10000).cast("string"), 4, "0"),
         F.lit(" costs 12.50 USD"),
     )
-    return table(spark, sf_dir, "orders").select(
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
+    return spread(orders).select(
         (F.floor(k / 8) + ORDER_DOC_BASE).alias("doc_id"), (k % 8).cast("int").alias("page"), text.alias("text")
     )
 
