@@ -1,4 +1,4 @@
-"""Numbering rows inside groups that may hold a large share of the table."""
+"""Numbering and running sums inside groups that may hold a large share of the table."""
 
 from __future__ import annotations
 
@@ -6,30 +6,30 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def number_rows(df: DataFrame, keys: list[str], order: str, out: str, chunk: int = 1_000_000) -> DataFrame:
-    """0-based position of each row in its group, ordered by an integer column.
+def running_sum(df: DataFrame, keys: list[str], order: str, value, out: str, chunk: int = 1_000_000) -> DataFrame:
+    """Sum of ``value`` over the rows before each row, in its group, by an integer column.
 
-    A plain ``row_number() over (partition by keys)`` sends a hot group to one
-    task. Here ``order`` is cut into chunks of equal width: rows are ranked
-    inside (keys, chunk), and the small table of chunk sizes gives each chunk
-    its offset. ``order`` must be unique inside a group, so no chunk holds more
-    than ``chunk`` rows.
+    A plain window partitioned by ``keys`` sends a hot group to one task. Here
+    ``order`` is cut into chunks of equal width: the sum runs inside
+    (keys, chunk), and the small table of chunk totals gives each chunk its
+    offset. ``order`` must be unique inside a group, so a chunk holds at most
+    ``chunk`` rows.
     """
-    cut = df.withColumn("_chunk", F.floor(F.col(order) / F.lit(chunk)))
-    sizes = cut.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
+    cut = df.withColumn("_chunk", F.floor(F.col(order) / F.lit(chunk))).withColumn("_v", value)
+    totals = cut.groupBy(*keys, "_chunk").agg(F.sum("_v").alias("_t"))
     before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*keys, "_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy(*keys, "_chunk").orderBy(order)
+    offsets = totals.select(*keys, "_chunk", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy(*keys, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        cut.withColumn("_rank", F.row_number().over(inside) - 1)
+        cut.withColumn("_inside", F.coalesce(F.sum("_v").over(inside), F.lit(0)))
         .join(offsets, [*keys, "_chunk"])
-        .withColumn(out, (F.col("_offset") + F.col("_rank")).cast("int"))
-        .drop("_chunk", "_rank", "_offset")
+        .withColumn(out, F.col("_offset") + F.col("_inside"))
+        .drop("_chunk", "_v", "_inside", "_offset")
     )
 
 
 def last_rows(df: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:
-    """The ``n`` rows that sort last in each group.
+    """The ``n`` rows that sort first by ``order`` (given descending: the last) in each group.
 
     Spark turns the bounded ``row_number`` into a group limit that runs before
     the exchange, so each map task sends at most ``n`` rows per group.

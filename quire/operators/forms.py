@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire import fixed_values as fv
@@ -12,12 +12,11 @@ from quire.functions.text import UNICODE, strip
 WIDGET, UNDERLINE, CHECKBOX = 0, 1, 2
 
 
-def text_fields(pages: DataFrame) -> DataFrame:
-    """Fields written as ``label: ____`` or ``[x] label`` in page text."""
+def field_matches(text: Column) -> Column:
+    """Fields written as ``label: ____`` or ``[x] label`` in one text, as an array."""
     underline = UNICODE + fv.UNDERLINE_FIELD
     # (?d): only a line feed ends a line
     checkbox = UNICODE + "(?d)" + fv.CHECKBOX_FIELD
-    text = F.col("text")
     labels = F.transform(
         F.regexp_extract_all(text, F.lit(underline), F.lit(1)),
         lambda x, i: F.struct(
@@ -43,7 +42,16 @@ def text_fields(pages: DataFrame) -> DataFrame:
             (F.lower(x["mark"]) == "x").alias("checked"),
         ),
     )
-    return pages.select("doc_id", "page", F.explode(F.concat(labels, boxes)).alias("f")).select("doc_id", "page", "f.*")
+    # texts without an underline or a bracket skip the patterns
+    return F.concat(
+        F.coalesce(F.when(text.contains("___"), labels), F.array()),
+        F.coalesce(F.when(text.contains("["), boxes), F.array()),
+    )
+
+
+def text_fields(pages: DataFrame) -> DataFrame:
+    found = pages.select("doc_id", "page", F.explode(field_matches(F.col("text"))).alias("f"))
+    return found.select("doc_id", "page", "f.*")
 
 
 def form_fields(pages: DataFrame, widgets: DataFrame | None = None) -> DataFrame:

@@ -1,4 +1,15 @@
 """Registered queries, each with the SQL it is checked against."""
 
-from quire.plans import intelligence, layout, scans, search, tabular, text  # noqa: F401
+from quire.plans import (  # noqa: F401
+    analysis,
+    governance,
+    intelligence,
+    intent,
+    layout,
+    pageset,
+    scans,
+    search,
+    tabular,
+    text,
+)
 from quire.plans.registry import ORACLES, QUERIES  # noqa: F401

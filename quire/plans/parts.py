@@ -180,3 +180,12 @@ WI = """wi AS (
          ['name', 'Send mail', 'active'][pos + 1] AS field_name, ['text', 'combobox', 'checkbox'][pos + 1] AS field_type,
          [c_name, c_mktsegment, CASE WHEN c_acctbal > 0 THEN 'Yes' ELSE 'Off' END][pos + 1] AS field_value
   FROM customer, range(0, 3) AS t(pos))"""
+
+EL = """el AS (SELECT user_id AS doc_id, event_id AS seq, ts,
+  CASE event_type WHEN 'error' THEN 'undo' WHEN 'signup' THEN 'redo' ELSE 'edit' END AS action,
+  event_type || ' ' || props AS operation FROM events)"""
+MS = f"""ms AS (
+  SELECT conv_id, turn, role, part, CASE part WHEN 'said' THEN text ELSE
+    replace(replace(replace({lits(corpus.COMMANDS)}[(conv_id * 8 + turn) % {len(corpus.COMMANDS)} + 1], '{{1}}', w[1]),
+            '{{2}}', coalesce(w[2], 'none')), '{{n}}', (turn + 2)::VARCHAR) END AS text, (turn % 3)::INTEGER AS current_page
+  FROM (SELECT *, regexp_split_to_array(text, '[ \\n]') AS w FROM conversations), (VALUES ('said'), ('command')) AS t(part))"""

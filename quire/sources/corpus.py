@@ -334,3 +334,116 @@ def widgets(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select(F.floor(key / 10).alias("doc_id"), (key % 10).cast("int").alias("page"), F.posexplode(fields).alias("pos", "f"))
         .select("doc_id", "page", "pos", "f.*")
     )
+
+
+def edit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User events as a document's edits, undos and redos; views and purchases are edits too."""
+    action = F.when(F.col("event_type") == "error", "undo").when(F.col("event_type") == "signup", "redo").otherwise("edit")
+    return table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("doc_id"),
+        F.col("event_id").alias("seq"),
+        "ts",
+        action.alias("action"),
+        F.concat(F.col("event_type"), F.lit(" "), F.col("props")).alias("operation"),
+    )
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("request_id"), "ts", "user_id")
+
+
+def annotation_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return e.select(
+        F.col("user_id").alias("doc_id"),
+        (F.col("event_id") % 4).cast("int").alias("page"),
+        F.col("ts").alias("saved_at"),
+        F.col("event_id").alias("seq"),
+        F.concat(F.lit("["), F.col("props"), F.lit("]")).alias("items"),
+    )
+
+
+def highlight_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks as highlight requests of up to three rectangles."""
+    k, v = F.col("event_id"), F.col("value")
+    rect = lambda i: F.array(v + i, v + i * 2, v + i + 10, v + i * 2 + 5)
+    rects = F.slice(F.transform(F.sequence(F.lit(0), F.lit(2)), rect), F.lit(1), (k % 4).cast("int"))
+    return table(spark, sf_dir, "events").where("event_type = 'click'").select(
+        k.alias("request_id"),
+        F.col("user_id").alias("doc_id"),
+        (k % 3).cast("int").alias("page"),
+        rects.alias("rects"),
+        F.when(k % 2 == 0, F.array(F.lit(0.5), F.lit(0.25), F.lit(1.0))).alias("color"),
+        F.when(k % 3 == 0, 0.0).when(k % 3 == 1, 0.8).alias("opacity"),
+    )
+
+
+def ink_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views as drawings of two paths with up to four points."""
+    k, v = F.col("event_id"), F.col("value")
+
+    def path(n: Column) -> Column:
+        pts = F.slice(
+            F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.array(v + i, v * 2 + i)), F.lit(1), n.cast("int")
+        )
+        color = F.when(k % 2 == 0, F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0)))
+        return F.struct(pts.alias("points"), color.alias("color"), F.when(k % 5 == 0, 4.0).alias("width"))
+
+    return table(spark, sf_dir, "events").where("event_type = 'view'").select(
+        k.alias("request_id"),
+        F.col("user_id").alias("doc_id"),
+        (k % 3).cast("int").alias("page"),
+        F.array(path(k % 4), path(k % 5)).alias("paths"),
+    )
+
+
+# {1} and {2} stand for the first and second word of the conversation text, {n} for a page number
+COMMANDS = (
+    'replace "{1}" with "{2}"',
+    "Change {1} to {2} everywhere",
+    "swap the word {1} with {2}",
+    "update {1} into {2} on page {n}",
+    "how many times does {1} appear?",
+    'count "{1}"',
+    "How many pages does this document have?",
+    'Delete all instances of "{1}" from the document',
+    "remove {1}.",
+    "delete page {n}",
+    "remove pages {n} to 9",
+    "rotate page {n}",
+    "please rotate this one",
+    "this needs to rotate",
+    "Extract all emails",
+    "find the phone numbers",
+    "list dates",
+    "send me the link",
+    "redact all social security numbers",
+    "Redact the email addresses",
+    'add "{1}" to page {n}',
+    "insert text '{2}' on top",
+    "please summarize",
+    "word count of {1}",
+    "delete confidential {1}",
+    "get all the urls",
+    "  hello {1} and {2}  ",
+)
+
+
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation entry, and beside it a command made from its first words."""
+    conv = table(spark, sf_dir, "conversations")
+    word = F.split("text", "[ \n]", -1)
+    command = _pick(COMMANDS, (F.col("conv_id") * 8 + F.col("turn")) % len(COMMANDS))
+    for mark, value in (
+        ("{1}", F.get(word, F.lit(0))),
+        ("{2}", F.coalesce(F.get(word, F.lit(1)), F.lit("none"))),
+        ("{n}", (F.col("turn") + 2).cast("string")),
+    ):
+        command = F.replace(command, F.lit(mark), value)
+    both = F.array(
+        F.struct(F.lit("said").alias("part"), F.col("text").alias("text")),
+        F.struct(F.lit("command").alias("part"), command.alias("text")),
+    )
+    return conv.select(
+        "conv_id", "turn", "role", F.explode(both).alias("m"), (F.col("turn") % 3).cast("int").alias("current_page")
+    ).select("conv_id", "turn", "role", "m.part", "m.text", "current_page")
