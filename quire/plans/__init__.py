@@ -9,6 +9,7 @@ from quire.plans import (  # noqa: F401
     pageset,
     scans,
     search,
+    streams,
     tabular,
     text,
 )

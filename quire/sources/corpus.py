@@ -336,10 +336,10 @@ def widgets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def edit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+def as_edit_log(events: DataFrame) -> DataFrame:
     """User events as a document's edits, undos and redos; views and purchases are edits too."""
     action = F.when(F.col("event_type") == "error", "undo").when(F.col("event_type") == "signup", "redo").otherwise("edit")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("user_id").alias("doc_id"),
         F.col("event_id").alias("seq"),
         "ts",
@@ -348,13 +348,16 @@ def edit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def edit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_edit_log(table(spark, sf_dir, "events"))
+
+
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("request_id"), "ts", "user_id")
 
 
-def annotation_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    return e.select(
+def as_annotation_log(events: DataFrame) -> DataFrame:
+    return events.select(
         F.col("user_id").alias("doc_id"),
         (F.col("event_id") % 4).cast("int").alias("page"),
         F.col("ts").alias("saved_at"),
@@ -363,6 +366,10 @@ def annotation_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def annotation_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_annotation_log(table(spark, sf_dir, "events"))
+
+
 def highlight_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clicks as highlight requests of up to three rectangles."""
     k, v = F.col("event_id"), F.col("value")
