@@ -269,22 +269,23 @@ class _Admitted:
         return taken
 
 
-def admitted_times(
-    times: DataFrame, window_s: int, limit: int, chunk_s: int | None = None, max_rounds: int | None = None
-) -> DataFrame:
+def admitted_times(times: DataFrame, window_s: int, limit: int, chunks: int = 16) -> DataFrame:
     """How many of the ``n`` requests at each (key, us) are admitted.
 
     A decision depends only on what was admitted in the window before it, so time
-    is cut into chunks at least one window long and all chunks run at once, each
-    from the state its predecessor ended in, as far as known (first: empty). A
-    chunk whose start turns out different runs again, until no start changes;
-    then every decision is the one a single walk would make. Chunks forget their
-    start quickly, so few rounds are needed, and one hot key spreads over all
-    its chunks.
+    is cut into ``chunks`` equal parts, at least one window long, and all run at
+    once, each from the state its predecessor ended in, as far as known (first:
+    empty). A chunk whose start turns out different runs again, until no start
+    changes; then every decision is the one a single walk would make. Usually a
+    chunk soon forgets its start and a few rounds do. A key over its limit all
+    the time is a chain by nature: it takes up to ``chunks`` rounds, no longer
+    than one walk, but never has more than its share of a chunk in one task.
     """
     width = window_s * 1_000_000
-    span = max(chunk_s or 24 * window_s, window_s) * 1_000_000
-    cut = cut_lineage(times.withColumn("chunk", F.expr(f"us div {span}")))
+    cut = cut_lineage(times)
+    lo, hi = cut.agg(F.min("us"), F.max("us")).first()
+    span = max(width, ((hi or 0) - (lo or 0)) // chunks + 1)
+    cut = cut.withColumn("chunk", F.expr(f"(us - {lo or 0}) div {span}"))
     firsts = cut.groupBy("key", "chunk").agg(F.min("us").alias("us"))
 
     def run(rows: DataFrame, starts: DataFrame, step, schema: str, end=None) -> DataFrame:
@@ -315,9 +316,7 @@ def admitted_times(
     states = firsts.withColumn("start", none)
     states = cut_lineage(states.join(ends(cut, states), ["key", "chunk"]))
     before = Window.partitionBy("key").orderBy("chunk")
-    rounds = 0
-    while max_rounds is None or rounds < max_rounds:
-        rounds += 1
+    while True:
         inherited = F.filter(F.lag("end").over(before), lambda t: t >= F.col("us") - width)
         linked = states.withColumn("next", F.coalesce(inherited, none))
         stale = cut_lineage(
@@ -342,7 +341,7 @@ def rate_limit(
     window_s: int = fv.RATE_LIMIT_WINDOW_S,
     limit: int = fv.RATE_LIMIT_REQUESTS,
     key: str | None = None,
-    chunk_s: int | None = None,
+    chunks: int = 16,
 ) -> DataFrame:
     """Whether each of ``requests(request_id, ts)`` is admitted; rejected ones do not count.
 
@@ -350,7 +349,7 @@ def rate_limit(
     """
     stamped = _stamped(requests, key)
     times = stamped.groupBy("key", "us").agg(F.count(F.lit(1)).alias("n"))
-    taken = admitted_times(times, window_s, limit, chunk_s)
+    taken = admitted_times(times, window_s, limit, chunks)
     split = taken.where("taken > 0 AND taken < n")
     # the last admitted id where only some of the requests of one time get in
     first_ids = last_rows(stamped.join(split.select("key", "us"), ["key", "us"], "left_semi"), ["key", "us"], ["request_id"], limit)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # SQL settings the operators rely on; all can be changed on a live session.
 RUNTIME_CONF = {
@@ -57,9 +58,12 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
-def cut_lineage(df):
-    """Write ``df`` to the shared folder so that a lost executor cannot undo it."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back.
+
+    A lost executor then costs a re-read, not the steps before; and a loop that
+    does this each round keeps its plans from growing.
+    """
+    path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
