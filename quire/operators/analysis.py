@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from quire.functions.text import word_count
 from quire.operators.entities import entity_matches
 from quire.operators.forms import field_matches
-from quire.operators.language import detect_language
+from quire.operators.language import language_of
 from quire.operators.layout import avg_font_size, headings
 from quire.operators.tables import TABLE, tables_from_cells
-from quire.operators.topics import summary, top_topic
+from quire.operators.topics import summary, top_topic_of
 from quire.sources.corpus import page_texts
 
 
@@ -33,14 +33,14 @@ def profile(docs: DataFrame) -> DataFrame:
         summary(F.col("text"), "analysis").alias("summary"),
         F.size(distinct).alias("entity_count"),
         fields.alias("form_field_count"),
-    )
+        top_topic_of(F.col("text")).alias("top_topic"),
+        language_of(F.col("text")).alias("_language"),
+    ).select("*", "_language.*").drop("_language")
 
 
 def full_analysis(docs: DataFrame, spans: DataFrame | None = None, cells: DataFrame | None = None) -> DataFrame:
     """One row per document: counts, language, top topic, summary, entities, forms, headings, tables."""
-    out = (
-        profile(docs).join(detect_language(docs), "doc_id").join(top_topic(docs), "doc_id", "left")
-    )
+    out = profile(docs)
     if spans is not None:
         levels = headings(spans).groupBy("doc_id").agg(F.count(F.lit(1)).alias("heading_count"))
         sizes = avg_font_size(spans).withColumn("avg_size", F.round("avg_size", 1))

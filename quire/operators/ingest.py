@@ -67,7 +67,7 @@ def doc_text(pages: DataFrame, sep: str = "\n", trailing: bool = False) -> DataF
     The result is by nature one cell per document; operators that can work on
     pages take pages instead.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("page", "text")))
+    ordered = F.sort_array(F.collect_list(F.struct("page", "text")))
     joined = F.array_join(F.transform(F.col("_p"), lambda p: p["text"]), sep)
     return (
         pages.groupBy("doc_id")

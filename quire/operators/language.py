@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,33 +43,32 @@ def language_scores(text: Column) -> Column:
     )
 
 
-def detect_language(docs: DataFrame) -> DataFrame:
-    """Language and confidence per document: script first, then indicator words.
+def language_of(text: Column) -> Column:
+    """Struct of language and confidence: script first, then indicator words.
 
     A document is one row and the word lists are literals, so there is no
     shuffle. The first of several best scores wins.
     """
-    scored = docs.select(
-        "doc_id",
-        is_blank(F.col("text")).alias("_blank"),
-        script(F.col("text")).alias("script"),
-        language_scores(F.col("text")).alias("_scores"),
-    )
-    best = reduce(
-        lambda a, b: F.when(b["score"] > a["score"], b).otherwise(a),
-        [F.col("_scores")[i] for i in range(len(fv.LANGUAGE_WORDS))],
-    )
     names = F.create_map(*[F.lit(x) for name, lang, _ in fv.SCRIPTS for x in (name, lang)])
-    scored = scored.withColumn("_best", best)
-    unknown = F.col("_blank") | (F.col("script").isNull() & (F.col("_best.score") == 0))
-    return scored.select(
-        "doc_id",
-        F.when(unknown, "unknown")
-        .when(F.col("script").isNotNull(), F.element_at(names, F.col("script")))
-        .otherwise(F.col("_best.language"))
-        .alias("language"),
-        F.when(unknown, 0.0)
-        .when(F.col("script").isNotNull(), fv.SCRIPT_CONFIDENCE)
-        .otherwise(F.round("_best.score", 2))
-        .alias("confidence"),
+    best = let(
+        language_scores(text),
+        lambda s: F.aggregate(
+            F.slice(s, 2, len(fv.LANGUAGE_WORDS) - 1),
+            s[0],
+            lambda a, b: F.when(b["score"] > a["score"], b).otherwise(a),
+        ),
     )
+
+    def decide(x: Column) -> Column:
+        written = x["script"].isNotNull()
+        unknown = x["blank"] | (~written & (x["best"]["score"] == 0))
+        name = F.when(unknown, "unknown").when(written, F.element_at(names, x["script"])).otherwise(x["best"]["language"])
+        sure = F.when(unknown, 0.0).when(written, fv.SCRIPT_CONFIDENCE).otherwise(F.round(x["best"]["score"], 2))
+        return F.struct(name.alias("language"), sure.alias("confidence"))
+
+    facts = F.struct(script(text).alias("script"), best.alias("best"), is_blank(text).alias("blank"))
+    return let(facts, decide)
+
+
+def detect_language(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", language_of(F.col("text")).alias("l")).select("doc_id", "l.*")

@@ -69,7 +69,7 @@ def sections(spans: DataFrame, toc: DataFrame | None = None) -> DataFrame:
 
 def classify_blocks(spans: DataFrame, images: DataFrame | None = None) -> DataFrame:
     """Blocks as heading, list item, paragraph or image; blank text blocks are dropped."""
-    pieces = F.transform(F.array_sort(F.collect_list(F.struct("line", "span", "text"))), lambda p: p["text"])
+    pieces = F.transform(F.sort_array(F.collect_list(F.struct("line", "span", "text"))), lambda p: p["text"])
     blocks = spans.groupBy("doc_id", "page", "block").agg(
         strip(F.array_join(pieces, "")).alias("text"),
         F.max("size").alias("font_size"),
@@ -149,7 +149,7 @@ def region_spans(spans: DataFrame, regions: DataFrame) -> DataFrame:
 def region_text(spans: DataFrame, regions: DataFrame) -> DataFrame:
     """Text of each region, whole spans in reading order; ``has_text`` tells the empty ones."""
     joined = region_spans(spans, regions)
-    pieces = F.array_sort(F.collect_list(F.struct("block", "line", "span", "text")))
+    pieces = F.sort_array(F.collect_list(F.struct("block", "line", "span", "text")))
     text = joined.groupBy("region_id").agg(
         strip(F.array_join(F.transform(pieces, lambda p: p["text"]), "\n")).alias("text")
     )
@@ -169,7 +169,7 @@ def span_groups(spans: DataFrame) -> DataFrame:
     the spans of a page decides it; a page is a bounded group.
     """
     span = F.struct("block", "line", "span", "x0", "y0", "x1", "y1", "size", "font", "color", "text")
-    on_page = spans.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(span)).alias("s"))
+    on_page = spans.groupBy("doc_id", "page").agg(F.sort_array(F.collect_list(span)).alias("s"))
     anchor_type = "array<struct<i:int,y0:double,x1:double,size:double>>"
     start = F.struct(F.array().cast(anchor_type).alias("anchors"), F.array().cast("array<int>").alias("owner"))
 
@@ -190,7 +190,7 @@ def span_groups(spans: DataFrame) -> DataFrame:
     rows = owned.select("doc_id", "page", F.posexplode(F.arrays_zip("s", "owner")).alias("i", "z")).select(
         "doc_id", "page", "i", F.col("z.owner").alias("anchor"), "z.s.*"
     )
-    texts = F.transform(F.array_sort(F.collect_list(F.struct("i", "text"))), lambda p: p["text"])
+    texts = F.transform(F.sort_array(F.collect_list(F.struct("i", "text"))), lambda p: p["text"])
     return rows.groupBy("doc_id", "page", "anchor").agg(
         F.array_join(texts, " ").alias("text"),
         F.min("x0").alias("x0"),
@@ -217,9 +217,9 @@ def glyph_classes(glyphs: DataFrame) -> DataFrame:
     return (
         glyphs.where(F.col("font_code").isin(*KNOWN_CODES))
         .groupBy("font_code", "unit_width")
-        .agg(F.array_join(F.array_sort(F.collect_set("ch")), "").alias("chars"))
+        .agg(F.array_join(F.sort_array(F.collect_set("ch")), "").alias("chars"))
         .groupBy("font_code")
-        .agg(F.array_sort(F.collect_list(F.struct("unit_width", "chars"))).alias("classes"))
+        .agg(F.sort_array(F.collect_list(F.struct("unit_width", "chars"))).alias("classes"))
     )
 
 

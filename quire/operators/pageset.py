@@ -65,7 +65,7 @@ def delete_pages(pages: DataFrame, ranges: DataFrame) -> DataFrame:
 def order_status(pages: DataFrame, orders: DataFrame) -> DataFrame:
     """``orders(doc_id, page_order)`` with whether each is a permutation of the document's pages."""
     n = F.col("page_count")
-    full = F.array_sort("page_order") == F.sequence(F.lit(0), n - 1)
+    full = F.sort_array("page_order") == F.sequence(F.lit(0), n - 1)
     return orders.join(page_counts(pages), "doc_id", "left").withColumn(
         "status", F.when(n.isNotNull() & (F.size("page_order") == n) & full, "ok").otherwise("invalid_order")
     )

@@ -163,7 +163,7 @@ def validate_replacement(spans: DataFrame, edits: DataFrame) -> DataFrame:
     )
     piece = F.when(F.coalesce(inside, F.lit(False)), F.struct("block", "line", "span", "text"))
     too_wide = F.col("text").contains(F.col("expected")) & (F.col("x1") > F.col("bx1") + 2)
-    found = F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda p: p["text"]), "\n")
+    found = F.array_join(F.transform(F.sort_array(F.collect_list(piece)), lambda p: p["text"]), "\n")
     checked = joined.groupBy("edit_id", "doc_id", "page", "expected").agg(
         strip(found).alias("extracted_text"), F.coalesce(F.max(too_wide), F.lit(False)).alias("_wide")
     )

@@ -22,7 +22,7 @@ def tables_from_cells(cells: DataFrame) -> DataFrame:
     A row is gathered from its own cells only; headers arrive by an equi-join,
     which Spark splits where one table is hot. Tables without a body give nothing.
     """
-    rows = cells.groupBy(*TABLE, "r").agg(F.array_sort(F.collect_list(F.struct("c", "cell"))).alias("row"))
+    rows = cells.groupBy(*TABLE, "r").agg(F.sort_array(F.collect_list(F.struct("c", "cell"))).alias("row"))
     header = rows.where("r = 0").select(
         *TABLE,
         F.transform(

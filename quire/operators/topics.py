@@ -2,38 +2,60 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire import fixed_values as fv
 from quire.functions.text import all_matches, let, strip
 
 
-def topic_words(docs: DataFrame, stop=None) -> DataFrame:
-    """Count and first position of every topic word per document."""
+def topic_counts(text: Column, stop=None) -> Column:
+    """Topic words of one text with count and first position, most frequent first.
+
+    Works inside the row: the words are sorted with their positions, equal
+    neighbours make a run, and a run's length and first position are the count
+    and the tie-breaker. Exploding the words and grouping them by document would
+    shuffle nearly every word of the corpus.
+    """
     stop = fv.STOP_WORDS if stop is None else tuple(stop)
-    found = F.posexplode(all_matches(F.lower("text"), fv.TOPIC_WORD)).alias("pos", "word")
-    tokens = docs.select("doc_id", found)
-    if stop:
-        tokens = tokens.where(~F.col("word").isin(*stop))
-    return tokens.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("count"), F.min("pos").alias("first_pos"))
+    found = all_matches(F.lower(text), fv.TOPIC_WORD)
+    kept = F.filter(found, lambda w: ~w.isin(*stop)) if stop else found
+    ordered = F.sort_array(F.transform(kept, lambda w, i: F.struct(w.alias("word"), i.alias("pos"))))
+
+    def runs(s: Column) -> Column:
+        starts = F.array_compact(
+            F.transform(s, lambda x, i: F.when((i == 0) | (x["word"] != F.get(s, i - 1)["word"]), i))
+        )
+        return let(
+            starts,
+            lambda b: F.transform(
+                b,
+                lambda at, k: F.struct(
+                    (at - F.coalesce(F.get(b, k + 1), F.size(s))).alias("minus"),
+                    F.get(s, at)["pos"].alias("first_pos"),
+                    F.get(s, at)["word"].alias("word"),
+                ),
+            ),
+        )
+
+    return F.sort_array(let(ordered, runs))
 
 
 def key_topics(docs: DataFrame, k: int = fv.TOPIC_COUNT, stop=None) -> DataFrame:
     """The ``k`` most frequent words per document; ties go to the earlier word."""
-    best = Window.partitionBy("doc_id").orderBy(F.desc("count"), "first_pos")
-    return (
-        topic_words(docs, stop)
-        .withColumn("rank", F.row_number().over(best))
-        .where(F.col("rank") <= k)
-        .drop("first_pos")
+    best = F.slice(topic_counts(F.col("text"), stop), 1, k)
+    return docs.select("doc_id", F.posexplode(best).alias("i", "t")).select(
+        "doc_id", "t.word", (-F.col("t.minus")).alias("count"), (F.col("i") + 1).alias("rank")
     )
 
 
+def top_topic_of(text: Column, stop=None) -> Column:
+    return F.get(topic_counts(text, stop), F.lit(0))["word"]
+
+
 def top_topic(docs: DataFrame, stop=None) -> DataFrame:
-    """The single most frequent word per document, without a sort."""
-    order = F.struct("count", (-F.col("first_pos")).alias("early"))
-    return topic_words(docs, stop).groupBy("doc_id").agg(F.max_by("word", order).alias("top_topic"))
+    """The single most frequent word per document."""
+    return docs.select("doc_id", top_topic_of(F.col("text"), stop).alias("top_topic")).where("top_topic IS NOT NULL")
 
 
 def _sentences(text: Column, splitter: str, longer_than: int) -> Column:

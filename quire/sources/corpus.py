@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.functions.text import let
 from quire.session import tune
 
 LINES_PER_PAGE = 8
@@ -53,11 +54,14 @@ def _pick(values, index: Column) -> Column:
 
 def page_texts(text: Column) -> Column:
     """The pages of one document text, as an array."""
-    lines = F.split(text, "\n", -1)
-    last = F.floor((F.size(lines) - 1) / F.lit(LINES_PER_PAGE)).cast("int")
+    return let(F.split(text, "\n", -1), lambda lines: groups_of(lines, LINES_PER_PAGE))
+
+
+def groups_of(lines: Column, n: int) -> Column:
+    """An array of lines as an array of texts of ``n`` lines each."""
+    last = F.floor((F.size(lines) - 1) / F.lit(n)).cast("int")
     return F.transform(
-        F.sequence(F.lit(0), last),
-        lambda p: F.array_join(F.slice(lines, p * LINES_PER_PAGE + 1, LINES_PER_PAGE), "\n"),
+        F.sequence(F.lit(0), last), lambda p: F.array_join(F.slice(lines, p * n + 1, n), "\n")
     )
 
 
@@ -197,11 +201,7 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text blocks of two lines, numbered inside their page."""
-    lines = F.split("text", "\n", -1)
-    pairs = F.transform(
-        F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / 2).cast("int")),
-        lambda b: F.array_join(F.slice(lines, b * 2 + 1, 2), "\n"),
-    )
+    pairs = let(F.split("text", "\n", -1), lambda lines: groups_of(lines, 2))
     return docs(spark, sf_dir).select("doc_id", F.posexplode(pairs).alias("b", "text")).select(
         "doc_id",
         F.floor(F.col("b") / 4).cast("int").alias("page"),
