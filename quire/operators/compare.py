@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.joins import join_per_key
 from quire.functions.text import is_blank, strip, words
 from quire.operators.ingest import page_counts
 
@@ -78,13 +79,17 @@ def _diff_batches(batches):
         yield pd.DataFrame(rows, columns=["pair_id", "page", "lines_added", "lines_removed", "diff"])
 
 
+def _paired(pages: DataFrame, pairs: DataFrame, tag: str) -> DataFrame:
+    """Pages of one side of each pair."""
+    wanted = pairs.select("pair_id", F.col(f"doc_{tag}").alias("doc_id"))
+    return join_per_key(pages, wanted, ["doc_id"], ["page"])
+
+
 def aligned_pages(pages: DataFrame, pairs: DataFrame) -> DataFrame:
     """Pages of both documents of each pair side by side, by page index."""
 
     def side(tag: str) -> DataFrame:
-        return pairs.join(pages, F.col(f"doc_{tag}") == F.col("doc_id")).select(
-            "pair_id", "page", F.col("text").alias(f"text_{tag}")
-        )
+        return _paired(pages, pairs, tag).select("pair_id", "page", F.col("text").alias(f"text_{tag}"))
 
     return side("a").join(side("b"), ["pair_id", "page"], "full")
 
@@ -121,7 +126,7 @@ def line_changes(pages: DataFrame, pairs: DataFrame) -> DataFrame:
     """Lines only one side has, as multisets, per differing page pair (order ignored)."""
 
     def lines(tag: str, sign: int) -> DataFrame:
-        one = pairs.join(pages, F.col(f"doc_{tag}") == F.col("doc_id"))
+        one = _paired(pages, pairs, tag)
         return one.select("pair_id", "page", F.explode(F.split("text", "\n", -1)).alias("line"), F.lit(sign).alias("d"))
 
     both = lines("a", -1).unionByName(lines("b", 1))
@@ -139,7 +144,7 @@ def doc_context(pages: DataFrame, focus: DataFrame, full_text_pages: int = 20) -
     the first line of every page; the current page gives 4000 characters. Parts
     are rows ordered by (section, page), so a long outline is never gathered.
     """
-    at = pages.join(focus, "doc_id").join(page_counts(pages), "doc_id")
+    at = join_per_key(pages, focus.join(page_counts(pages), "doc_id"), ["doc_id"], ["page"])
     here = F.col("page") == F.col("current_page")
     short = F.col("page_count") <= full_text_pages
     body = strip(F.col("text"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quire import fixed_values as fv
 from quire.functions.folds import fold_sorted
+from quire.functions.joins import join_per_key
 from quire.functions.ranking import last_rows
 from quire.session import cut_lineage
 
@@ -217,11 +218,15 @@ def history_replay(log: DataFrame, depth: int = fv.HISTORY_DEPTH, chunk: int = 1
         "doc_id long, seq long, action string, status string, versions int, current int, can_undo boolean, "
         "can_redo boolean, target_seq long",
     )
-    names = log.select("doc_id", F.col("seq").alias("target_seq"), F.col("operation").alias("_op"))
+    names = log.select("doc_id", F.col("seq").alias("_seq"), F.col("operation").alias("_op"))
+    # most events have no target: a key of their own that matches nothing keeps
+    # them from meeting in one task as nulls would
+    points = F.col("target_seq") >= 0
+    keyed = replayed.withColumn("_seq", F.when(points, F.col("target_seq")).otherwise(-F.col("seq") - 2))
     return (
-        replayed.join(names, ["doc_id", "target_seq"], "left")
+        keyed.join(names, ["doc_id", "_seq"], "left")
         .withColumn("target_operation", F.when(F.col("target_seq") == -1, fv.UNDO_MARKER).otherwise(F.col("_op")))
-        .drop("target_seq", "_op")
+        .drop("target_seq", "_seq", "_op")
     )
 
 
@@ -250,7 +255,7 @@ def request_rate(requests: DataFrame, window_s: int = fv.RATE_LIMIT_WINDOW_S, ke
     load = (
         copies.withColumn("load", F.sum("n").over(w)).where("_own = _bucket").select("key", "us", "load")
     )
-    return stamped.join(load, ["key", "us"])
+    return join_per_key(stamped, load, ["key", "us"], ["request_id"])
 
 
 class _Admitted:
@@ -362,8 +367,7 @@ def rate_limit(
     )
     admitted = (F.col("taken") == F.col("n")) | F.coalesce(F.col("request_id") <= F.col("_cutoff"), F.lit(False))
     return (
-        stamped.join(taken, ["key", "us"])
-        .join(cutoff, ["key", "us"], "left")
+        join_per_key(stamped, taken.join(cutoff, ["key", "us"], "left"), ["key", "us"], ["request_id"])
         .select("request_id", "key", admitted.alias("admitted"))
     )
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire import fixed_values as fv
+from quire.functions.joins import join_per_key
 from quire.functions.text import is_blank, strip
 
 
@@ -52,7 +53,7 @@ def doc_info(docs: DataFrame, pages: DataFrame) -> DataFrame:
     The pages stay rows: a document with very many of them is never collected.
     """
     geometry = pages.select("doc_id", F.col("page").alias("index"), "width", "height", "rotation")
-    return geometry.join(page_counts(pages), "doc_id").join(docs, "doc_id")
+    return join_per_key(geometry, page_counts(pages).join(docs, "doc_id"), ["doc_id"], ["index"])
 
 
 def text_spans(spans: DataFrame, page: int | None = None) -> DataFrame:

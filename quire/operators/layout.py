@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire import fixed_values as fv
+from quire.functions.joins import join_per_key
 from quire.functions.text import is_blank, strip
 from quire.operators.text import color_rgb, font_code, is_bold, stamp_text
 
@@ -41,7 +42,7 @@ def heading_level(text: Column, size: Column, flags: Column, avg_size: Column) -
 def headings(spans: DataFrame) -> DataFrame:
     stripped = strip(F.col("text"))
     return (
-        spans.join(avg_font_size(spans), "doc_id")
+        join_per_key(spans, avg_font_size(spans), ["doc_id"], AT[1:])
         .withColumn("text", stripped)
         .where(F.col("text") != "")
         .withColumn("level", heading_level(F.col("text"), F.col("size"), F.col("flags"), F.col("avg_size")))
@@ -84,7 +85,8 @@ def classify_blocks(spans: DataFrame, images: DataFrame | None = None) -> DataFr
         F.col("bold") & (F.length(text) < fv.HEADING_MAX_CHARS)
     )
     kind = F.when(heading, "heading").when(text.rlike("(?U)" + fv.LIST_ITEM), "list_item").otherwise("paragraph")
-    out = blocks.where(text != "").join(avg_font_size(spans), "doc_id").withColumn("kind", kind).drop("avg_size")
+    sized = join_per_key(blocks.where(text != ""), avg_font_size(spans), ["doc_id"], ["page", "block"])
+    out = sized.withColumn("kind", kind).drop("avg_size")
     if images is None:
         return out
     pictures = images.select(
@@ -119,17 +121,14 @@ def page_inventory(pages: DataFrame, images: DataFrame, links: DataFrame) -> Dat
     totals = per_page.groupBy("doc_id").agg(
         F.sum("image_count").alias("doc_images"), F.sum("link_count").alias("doc_links")
     )
-    return per_page.join(totals, "doc_id")
+    return join_per_key(per_page, totals, ["doc_id"], ["page"])
 
 
 def list_images(images: DataFrame) -> DataFrame:
     """One row per placement with its size, and the document's number of placements."""
     total = images.groupBy("doc_id").agg(F.count(F.lit(1)).alias("count"))
-    return (
-        images.withColumn("width", F.col("x1") - F.col("x0"))
-        .withColumn("height", F.col("y1") - F.col("y0"))
-        .join(total, "doc_id")
-    )
+    sized = images.withColumn("width", F.col("x1") - F.col("x0")).withColumn("height", F.col("y1") - F.col("y0"))
+    return join_per_key(sized, total, ["doc_id"], ["page", "idx"])
 
 
 # --- regions -----------------------------------------------------------------
@@ -276,7 +275,7 @@ def replacement_plan(spans: DataFrame, edits: DataFrame, glyphs: DataFrame) -> D
     """
     hit = F.col("text").contains(F.col("find")) & (F.col("scope").isNull() | (F.col("scope") == F.col("page")))
     planned = (
-        spans.join(edits, "doc_id")
+        join_per_key(spans, edits, ["doc_id"], AT[1:])
         .where(hit)
         .withColumn("replacement", F.replace("text", F.col("find"), F.col("repl")))
         .withColumn("font_code", font_code(F.col("font"), F.col("flags")))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.joins import join_per_key
 from quire.functions.ranking import running_sum
 from quire.operators.ingest import page_counts
 
@@ -55,7 +56,7 @@ def delete_pages(pages: DataFrame, ranges: DataFrame) -> DataFrame:
     page, start, end = F.col("page"), F.col("start"), F.col("end")
     gone = start.isNotNull() & page.between(start, end)
     return (
-        pages.join(good, "doc_id", "left")
+        join_per_key(pages, good, ["doc_id"], ["page"], "left")
         .where(~gone)
         .withColumn("page", F.when(page > end, page - (end - start + 1)).otherwise(page))
         .drop("start", "end")
@@ -97,7 +98,7 @@ def move_page(pages: DataFrame, moves: DataFrame) -> DataFrame:
         .otherwise(page)
     )
     return (
-        pages.join(counted.where(inside).select("doc_id", "src", "dst"), "doc_id", "left")
+        join_per_key(pages, counted.where(inside).select("doc_id", "src", "dst"), ["doc_id"], ["page"], "left")
         .withColumn("page", F.when(src.isNull(), page).otherwise(moved))
         .drop("src", "dst")
     )
@@ -147,8 +148,7 @@ def merge_documents(pages: DataFrame, plans: DataFrame) -> DataFrame:
     sized = parts.join(page_counts(pages), "doc_id")
     placed = running_sum(sized, ["merged_id"], "seq", F.col("page_count"), "part_start")
     return (
-        placed.select("merged_id", "doc_id", "part_start")
-        .join(pages, "doc_id")
+        join_per_key(pages, placed.select("merged_id", "doc_id", "part_start"), ["doc_id"], ["page"])
         .withColumn("source_doc_id", F.col("doc_id"))
         .withColumn("page", (F.col("page") + F.col("part_start")).cast("int"))
         .drop("part_start", "doc_id")

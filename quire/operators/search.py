@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire import fixed_values as fv
+from quire.functions.joins import join_per_key
 from quire.functions.text import UNICODE, literal_count, quote, starts_of, strip, words
 
 
@@ -90,10 +91,10 @@ def section_scores(blocks: DataFrame, queries: DataFrame) -> DataFrame:
     """
     asked = queries.select("query_id", "doc_id", query_words(F.col("question")).alias("_words"))
     hits = F.size(F.filter("_words", lambda w: F.col("_hay").contains(w)))
+    # lowered before the join, so once per block and not once per word
+    lowered = blocks.withColumn("_hay", F.lower("text"))
     return (
-        # lowered before the join, so once per block and not once per word
-        blocks.withColumn("_hay", F.lower("text"))
-        .join(asked, "doc_id")
+        join_per_key(lowered, asked, ["doc_id"], ["page", "block"])
         .withColumn("_hits", hits)
         .where("_hits > 0")
         .withColumn("relevance", F.col("_hits") / F.size("_words"))

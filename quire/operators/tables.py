@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire import fixed_values as fv
+from quire.functions.joins import join_per_key
 
 TABLE = ["doc_id", "page", "table_index"]
 
@@ -19,8 +20,8 @@ def tables_from_cells(cells: DataFrame) -> DataFrame:
 
     Row 0 names the columns (``col_i`` where it is empty). Result columns:
     the table key, ``r``, ``headers`` and ``pairs`` (key, value in cell order).
-    A row is gathered from its own cells only; headers arrive by an equi-join,
-    which Spark splits where one table is hot. Tables without a body give nothing.
+    A row is gathered from its own cells only; headers arrive by a salted join,
+    so a table of any length spreads over the tasks. Tables without a body give nothing.
     """
     rows = cells.groupBy(*TABLE, "r").agg(F.sort_array(F.collect_list(F.struct("c", "cell"))).alias("row"))
     header = rows.where("r = 0").select(
@@ -39,7 +40,7 @@ def tables_from_cells(cells: DataFrame) -> DataFrame:
             x["c"].alias("c"),
         ),
     )
-    return rows.where("r > 0").join(header, TABLE).select(*TABLE, "r", "headers", named.alias("pairs"))
+    return join_per_key(rows.where("r > 0"), header, TABLE, ["r"]).select(*TABLE, "r", "headers", named.alias("pairs"))
 
 
 def _last_value(pairs: Column, key: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire import fixed_values as fv
+from quire.functions.joins import join_per_key
 from quire.functions.text import UNICODE, strip, upper_first, word_count
 from quire.operators.ingest import page_counts
 
@@ -127,12 +128,13 @@ def stamp_text(
     ``names(doc_id, filename)`` may be absent; ``as_of`` is an argument so that
     a run can be repeated.
     """
-    known = pages.join(page_counts(pages), "doc_id")
+    facts = page_counts(pages)
     if names is not None:
-        known = known.join(names.select("doc_id", "filename"), "doc_id", "left")
+        facts = facts.join(names.select("doc_id", "filename"), "doc_id", "left")
         filename = F.coalesce(F.col("filename"), F.lit("document.pdf"))
     else:
         filename = F.lit("document.pdf")
+    known = join_per_key(pages, facts, ["doc_id"], ["page"])
     text = F.lit(template)
     for mark, value in (
         ("{n}", (F.col("page") + 1).cast("string")),
