@@ -94,12 +94,12 @@ MIN_PHONE_CHARS = 7
 NEEDED_BY = {
     EMAIL: "@",
     PHONE: "[0-9]",
-    DATE_LONG: "[0-9]",
-    DATE_SHORT: "[0-9]",
-    DATE_NUMERIC: "[0-9]",
+    DATE_LONG: r"\p{Nd}",
+    DATE_SHORT: r"\p{Nd}",
+    DATE_NUMERIC: r"\p{Nd}",
     URL: "://",
-    MONEY: "[0-9]",
-    SSN: "[0-9]{3}-",
+    MONEY: r"\p{Nd}",
+    SSN: r"\p{Nd}{3}-",
     ORGANIZATION: (
         "Inc|LLC|Ltd|Corp|Company|Co|Group|Foundation|Institute|Association|University|Bank|Partners"
     ),

@@ -39,8 +39,15 @@ def entities(pages: DataFrame, types=None) -> DataFrame:
     )
     return (
         found.groupBy("doc_id", "entity_type", "value")
-        .agg(F.min(F.struct("page", "pos")).alias("at"))
-        .select("doc_id", "entity_type", "value", "at.page", "at.pos")
+        # page and position in one number keep the aggregation a hash aggregation
+        .agg(F.min(F.shiftleft(F.col("page").cast("bigint"), 32) + F.col("pos")).alias("at"))
+        .select(
+            "doc_id",
+            "entity_type",
+            "value",
+            F.shiftright("at", 32).cast("int").alias("page"),
+            F.col("at").bitwiseAND((1 << 32) - 1).cast("int").alias("pos"),
+        )
     )
 
 

@@ -274,27 +274,28 @@ class _Admitted:
         return taken
 
 
-def admitted_times(times: DataFrame, window_s: int, limit: int, chunks: int = 16) -> DataFrame:
+def admitted_times(
+    times: DataFrame, window_s: int, limit: int, chunks: int = 16, chunk_rows: int = 200_000
+) -> DataFrame:
     """How many of the ``n`` requests at each (key, us) are admitted.
 
-    A decision depends only on what was admitted in the window before it, so time
-    is cut into ``chunks`` equal parts, at least one window long, and all run at
-    once, each from the state its predecessor ended in, as far as known (first:
-    empty). A chunk whose start turns out different runs again, until no start
-    changes; then every decision is the one a single walk would make. Usually a
-    chunk soon forgets its start and a few rounds do. A key over its limit all
-    the time is a chain by nature: it takes up to ``chunks`` rounds, no longer
-    than one walk, but never has more than its share of a chunk in one task.
+    A key with up to ``chunk_rows`` times is one walk. The time of a hotter key
+    is cut into ``chunks`` equal parts, at least one window long. A decision
+    depends only on what was admitted in the window before it, so all parts run
+    at once, each from the state its predecessor ended in, as far as known
+    (first: empty). A part whose start turns out different runs again, until no
+    start changes; then every decision is the one a single walk would make.
+    Usually a part soon forgets its start and a few rounds do. A key over its
+    limit all the time is a chain by nature: it takes up to ``chunks`` rounds, no
+    longer than one walk, but never has more than one part in a task.
     """
     width = window_s * 1_000_000
-    cut = cut_lineage(times)
-    lo, hi = cut.agg(F.min("us"), F.max("us")).first()
-    span = max(width, ((hi or 0) - (lo or 0)) // chunks + 1)
-    cut = cut.withColumn("chunk", F.expr(f"(us - {lo or 0}) div {span}"))
-    firsts = cut.groupBy("key", "chunk").agg(F.min("us").alias("us"))
-
-    def run(rows: DataFrame, starts: DataFrame, step, schema: str, end=None) -> DataFrame:
-        primed = rows.join(starts.select("key", "us", "start"), ["key", "us"], "left")
+    none = F.array().cast("array<long>")
+    given = cut_lineage(times)
+    hot = given.groupBy("key").count().where(F.col("count") > chunk_rows)
+    hot = cut_lineage(hot.select("key", F.lit(True).alias("hot")))
+
+    def run(primed: DataFrame, step, schema: str, end=None) -> DataFrame:
         return fold_sorted(
             primed,
             ["key", "chunk"],
@@ -305,21 +306,39 @@ def admitted_times(times: DataFrame, window_s: int, limit: int, chunks: int = 16
             end,
         )
 
+    def decisions(primed: DataFrame) -> DataFrame:
+        return run(
+            primed,
+            lambda state, row: (row.key, row.us, row.n, state.offer(row.us, row.n)),
+            "key string, us long, n long, taken long",
+        )
+
+    if hot.isEmpty():
+        return decisions(given.withColumn("chunk", F.lit(0)).withColumn("start", none))
+
+    lo, hi = given.agg(F.min("us"), F.max("us")).first()
+    span = max(width, (hi - lo) // chunks + 1)
+    part = F.when(F.col("hot"), F.expr(f"(us - {lo}) div {span}")).otherwise(0)
+    cut = join_per_key(given, hot, ["key"], ["us"], "left").withColumn("chunk", part)
+    hot_rows = cut.where("hot")
+
+    def prime(rows: DataFrame, starts: DataFrame) -> DataFrame:
+        """The start state rides on the first row of its part."""
+        return rows.join(starts.select("key", "us", "start"), ["key", "us"], "left")
+
     def ends(rows: DataFrame, starts: DataFrame) -> DataFrame:
         def offer(state, row):
             state.offer(row.us, row.n)
 
         return run(
-            rows,
-            starts,
+            prime(rows, starts),
             offer,
             "key string, chunk long, end array<long>",
             lambda key, state: (*key, [int(t) for t in state.times]),
         )
 
-    none = F.array().cast("array<long>")
-    states = firsts.withColumn("start", none)
-    states = cut_lineage(states.join(ends(cut, states), ["key", "chunk"]))
+    firsts = hot_rows.groupBy("key", "chunk").agg(F.min("us").alias("us")).withColumn("start", none)
+    states = cut_lineage(firsts.join(ends(hot_rows, firsts), ["key", "chunk"]))
     before = Window.partitionBy("key").orderBy("chunk")
     while True:
         inherited = F.filter(F.lag("end").over(before), lambda t: t >= F.col("us") - width)
@@ -329,16 +348,11 @@ def admitted_times(times: DataFrame, window_s: int, limit: int, chunks: int = 16
         )
         if stale.isEmpty():
             break
-        todo = cut.join(stale.select("key", "chunk"), ["key", "chunk"], "left_semi")
+        todo = hot_rows.join(stale.select("key", "chunk"), ["key", "chunk"], "left_semi")
         redone = stale.join(ends(todo, stale), ["key", "chunk"])
         kept = states.join(stale.select("key", "chunk"), ["key", "chunk"], "left_anti")
         states = cut_lineage(kept.unionByName(redone))
-    return run(
-        cut,
-        states,
-        lambda state, row: (row.key, row.us, row.n, state.offer(row.us, row.n)),
-        "key string, us long, n long, taken long",
-    )
+    return decisions(prime(cut, states))
 
 
 def rate_limit(
@@ -347,6 +361,7 @@ def rate_limit(
     limit: int = fv.RATE_LIMIT_REQUESTS,
     key: str | None = None,
     chunks: int = 16,
+    chunk_rows: int = 200_000,
 ) -> DataFrame:
     """Whether each of ``requests(request_id, ts)`` is admitted; rejected ones do not count.
 
@@ -354,7 +369,7 @@ def rate_limit(
     """
     stamped = _stamped(requests, key)
     times = stamped.groupBy("key", "us").agg(F.count(F.lit(1)).alias("n"))
-    taken = admitted_times(times, window_s, limit, chunks)
+    taken = admitted_times(times, window_s, limit, chunks, chunk_rows)
     split = taken.where("taken > 0 AND taken < n")
     # the last admitted id where only some of the requests of one time get in
     first_ids = last_rows(stamped.join(split.select("key", "us"), ["key", "us"], "left_semi"), ["key", "us"], ["request_id"], limit)

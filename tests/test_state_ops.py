@@ -86,9 +86,9 @@ def admitted_by_hand(stamps, window_us, limit):
 T0 = datetime(2024, 1, 1)
 
 
-@pytest.mark.parametrize("chunks", [1, 7])
+@pytest.mark.parametrize("chunks, chunk_rows", [(1, 10_000), (7, 0)])
 @pytest.mark.parametrize("mean_gap", [0.5, 3.0])
-def test_rate_limit(table, chunks, mean_gap):
+def test_rate_limit(table, chunks, chunk_rows, mean_gap):
     rnd = random.Random(11)
     t, reqs = 0.0, []
     for i in range(600):
@@ -96,11 +96,23 @@ def test_rate_limit(table, chunks, mean_gap):
             t += rnd.expovariate(1 / mean_gap)
         reqs.append((i, T0 + timedelta(microseconds=int(t * 1e6))))
     df = table("request_id long, ts timestamp", *reqs)
-    got = sorted((r.request_id, r.admitted) for r in history.rate_limit(df, 60, 30, chunks=chunks).collect())
+    got = sorted((r.request_id, r.admitted) for r in history.rate_limit(df, 60, 30, chunks=chunks, chunk_rows=chunk_rows).collect())
     us = lambda ts: int((ts - T0).total_seconds() * 1e6)
     assert got == admitted_by_hand([(us(ts), i) for i, ts in reqs], 60_000_000, 30)
 
 
+def test_rate_limit_hot_key_among_others(table):
+    rnd = random.Random(2)
+    reqs = [(i, T0 + timedelta(seconds=i * 0.7), 0 if rnd.random() < 0.6 else i % 9) for i in range(700)]
+    df = table("request_id long, ts timestamp, user_id long", *reqs)
+    got = sorted((r.request_id, r.admitted) for r in history.rate_limit(df, 60, 5, "user_id", 6, chunk_rows=100).collect())
+    want = []
+    for user in range(9):
+        mine = [(int((ts - T0).total_seconds() * 1e6), i) for i, ts, u in reqs if u == user]
+        want += admitted_by_hand(mine, 60_000_000, 5)
+    assert got == sorted(want)
+
+
 def test_rate_limit_edges(table):
     # 31 in a minute: the last is rejected; exactly 60 s after the first it is still counted
     reqs = [(i, T0 + timedelta(seconds=i)) for i in range(31)]

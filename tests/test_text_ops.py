@@ -164,6 +164,12 @@ def test_entities(table):
     assert "ssns" not in {r.entity_type for r in entities.key_info(p).collect()}
 
 
+def test_any_decimal_digit_counts(table):
+    p = table("doc_id long, page int, text string", (1, 0, "am \u0663/\u0664/\u0662\u0660\u0662\u0664 da"))
+    assert [r.entity_type for r in entities.entities(p).collect()] == ["dates"]
+    assert search.redact_pattern(p, "date").first().text == "am  da"
+
+
 def test_short_dates_need_long_years(table):
     d = table("doc_id long, text string", (1, "March 3, 24 and Mar 3, 2024 and Mar 3, 2024"))
     assert [r.value for r in entities.extract_data(d, "dates").collect()] == ["Mar 3, 2024"]
