@@ -3,8 +3,7 @@
 from pyspark.sql import functions as F
 
 from quire import fixed_values as fv
-from quire.functions.text import strip
-from quire.operators import entities, ingest, search, tables
+from quire.operators import entities, search, tables
 from quire.plans import parts as P
 from quire.plans.registry import query
 from quire.plans.scans import HB
