@@ -1,3 +1,10 @@
 """Quire: document-corpus analytics as Spark DataFrame operators."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# functions that run in Python workers travel with their code, so workers need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
