@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from quire.llm import minhash, naming
+from quire.llm import bpe, discriminant, forest, minhash, naming, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -23,6 +22,13 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+def tokenizer_file(name: str) -> str:
+    """A file of the installed public tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -32,6 +38,28 @@ def op1_minhash_near_dedup(spark, sf_dir):
     return minhash.near_duplicates(documents(spark, sf_dir))
 
 
+@query("op2_quality_rules")
+def op2_quality_rules(spark, sf_dir):
+    return forest.quality_rules(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query("op5_quality_classifier")
+def op5_quality_classifier(spark, sf_dir):
+    return discriminant.quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query("op6_byte_bpe")
+def op6_byte_bpe(spark, sf_dir):
+    import public_tokenizers
+
+    return bpe.digests(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query("op7_best_fit_packing")
+def op7_best_fit_packing(spark, sf_dir):
+    return packing.pack(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"))
+
+
 @query(
     "op8_exact_dedup",
     r"""
