@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe, discriminant, forest, minhash, naming, packing
+from quire.llm import bpe, discriminant, forest, minhash, naming, packing, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -43,6 +43,11 @@ def op2_quality_rules(spark, sf_dir):
     return forest.quality_rules(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+@query("op3_suffix_dedup")
+def op3_suffix_dedup(spark, sf_dir):
+    return suffixes.digests(documents(spark, sf_dir))
+
+
 @query("op5_quality_classifier")
 def op5_quality_classifier(spark, sf_dir):
     return discriminant.quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
