@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe, discriminant, forest, minhash, naming, packing, suffixes
+from quire.llm import bpe, contexttree, discriminant, forest, minhash, naming, packing, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -81,3 +81,8 @@ def op7_best_fit_packing(spark, sf_dir):
 )
 def op8_exact_dedup(spark, sf_dir):
     return naming.exact_duplicates(documents(spark, sf_dir))
+
+
+@query("op10_lm_scoring")
+def op10_lm_scoring(spark, sf_dir):
+    return contexttree.score(documents(spark, sf_dir))
