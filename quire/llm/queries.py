@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe, contexttree, discriminant, forest, minhash, naming, packing, suffixes
+from quire.llm import bpe, contexttree, discriminant, forest, logtree, minhash, naming, packing, suffixes, template
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -48,6 +48,11 @@ def op3_suffix_dedup(spark, sf_dir):
     return suffixes.digests(documents(spark, sf_dir))
 
 
+@query("op4_html_extraction")
+def op4_html_extraction(spark, sf_dir):
+    return template.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 @query("op5_quality_classifier")
 def op5_quality_classifier(spark, sf_dir):
     return discriminant.quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -83,6 +88,11 @@ def op8_exact_dedup(spark, sf_dir):
     return naming.exact_duplicates(documents(spark, sf_dir))
 
 
+@query("op9_line_dedup", logtree.ORACLE)
+def op9_line_dedup(spark, sf_dir):
+    return logtree.digests(documents(spark, sf_dir))
+
+
 @query("op10_lm_scoring")
 def op10_lm_scoring(spark, sf_dir):
     return contexttree.score(documents(spark, sf_dir))
