@@ -175,10 +175,11 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) that are linked.
 
     The full sets of the documents in any pair are written once; the two joins to
-    them have plain sides, which Spark splits where an id is hot.
+    them have plain sides, which Spark splits where an id is hot. The ids grow with
+    the documents, so their join is a sorted one at any size.
     """
     ids = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct().toDF("doc_id")
-    texts = texts.join(ids, "doc_id").dropDuplicates(["doc_id"])
+    texts = texts.join(ids.hint("merge"), "doc_id").dropDuplicates(["doc_id"])
     sets = cut_lineage(map_texts(texts, ["doc_id"], "text", _sets, "doc_id long, shingles binary"))
     full = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
     return full.select("a", "b", "set_a", "set_b").mapInArrow(_confirmed, "a long, b long")
