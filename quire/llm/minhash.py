@@ -16,9 +16,9 @@ the bucket's smallest id; only where a bucket then still holds more than one
 component are members of different components compared. Before texts are read,
 a pair must agree in size and in a sketch of three bits of each signature value:
 at similarity 0.75 some 400 of the 512 agree with a deviation of 9.4, so the
-bound of 358 costs three such links in a million and spares the texts of nearly
-all pairs under 0.65, of which large groups of edited copies have very many.
-Nothing is capped.
+bound of 363 costs three such links in a hundred thousand and spares the texts
+of nearly all pairs under 0.65, of which large groups of edited copies have very
+many. A pair comes out of the first band it shares only. Nothing is capped.
 
 Defined results: null or wordless text has an empty set, links with nothing and
 is kept; one to four words make one shingle of the whole sequence; repeated rows
@@ -58,7 +58,7 @@ _BAND_SALTS = _rng.integers(1, 2**63, BANDS, dtype=np.uint64)
 _WORD_FACTORS = _rng.integers(1, 2**63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SKETCH_BITS = 3
 SKETCH_GROUPS = 2 * PERMUTATIONS // 64
-SKETCH_AGREE = 358  # of 2 * PERMUTATIONS
+SKETCH_AGREE = 363  # of 2 * PERMUTATIONS
 _COLUMNS = 8192  # shingles permuted at once, so that the block stays in cache
 
 
@@ -204,27 +204,28 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     heads = cut_lineage(signed.where("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("set_id")))
     chosen = signed.join(heads.select(F.col("set_id").alias("doc_id")), "doc_id")
     chosen = cut_lineage(chosen.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bands", *sketch))
-    facts = chosen.select("id", "n", *sketch)
+    facts = chosen.select("id", "n", "bands", *sketch)
 
-    rows = chosen.select("id", F.explode("bands").alias("band"))
+    rows = chosen.select("id", F.posexplode("bands").alias("place", "band"))
     buckets = rows.groupBy("band").agg(F.min("id").alias("head"), F.max("id").alias("top")).where("head < top")
     buckets = cut_lineage(buckets)
     members = cut_lineage(rows.join(buckets.select("band", "head"), "band"))
+    sides = facts.drop("bands")
     stars = members.where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
-    stars = stars.join(_side(facts, "a"), "a").join(_side(facts, "b"), "b").where(_plausible()).select("a", "b")
+    stars = stars.join(_side(sides, "a"), "a").join(_side(sides, "b"), "b").where(_plausible()).select("a", "b")
     stars = cut_lineage(stars)
     links = cut_lineage(confirm(stars, texts))
     parts = cut_lineage(components(links))
 
     # members of one bucket in different components, and not compared yet
-    told = members.join(parts, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
+    told = members.join(parts, "id", "left").select("band", "place", "id", F.coalesce("component", "id").alias("component"))
     told = cut_lineage(told)
     mixed = told.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
     mixed = told.join(cut_lineage(mixed.select("band")), "band").join(facts, "id")
     mixed = cut_lineage(mixed)
-    cross = _side(mixed, "a").join(_side(mixed, "b").withColumnRenamed("bandb", "banda"), "banda")
-    cross = cross.where("a > b and componenta <> componentb").where(_plausible()).select("a", "b").distinct()
-    cross = cut_lineage(cross.join(stars, ["a", "b"], "left_anti"))
+    cross = _side(mixed, "a").join(_side(mixed, "b").drop("placeb").withColumnRenamed("bandb", "banda"), "banda")
+    cross = cross.where("a > b and componenta <> componentb").where(_plausible() & _first_shared()).select("a", "b")
+    cross = cut_lineage(cross.distinct().join(stars, ["a", "b"], "left_anti"))
     links = cut_lineage(links.unionByName(confirm(cross, texts)))
     parts = cut_lineage(components(links).withColumnRenamed("id", "set_id"))
 
@@ -248,3 +249,9 @@ def _plausible():
     """Sizes and sketches of the two sides allow the similarity."""
     like = 100 * F.least("na", "nb") >= 75 * F.greatest("na", "nb")
     return like & _agree()
+
+
+def _first_shared():
+    """The two sides share no band before the one they met in."""
+    earlier = F.zip_with(F.slice("bandsa", 1, F.col("placea")), F.slice("bandsb", 1, F.col("placea")), lambda x, y: x == y)
+    return F.forall(earlier, lambda same: ~same)
