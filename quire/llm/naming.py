@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from quire.session import cut_lineage
 
 BLOCK = 4096
+HASH = "xxhash64({})"
 
 
 def normal_text(text):
@@ -42,15 +43,17 @@ def _numbered(distinct: DataFrame, order: list[str]) -> DataFrame:
     return cut_lineage(distinct.sortWithinPartitions(*order).withColumn("name", F.monotonically_increasing_id()))
 
 
-def _blocks(norm: str) -> str:
+def _blocks(norm: str, of: str = "{}") -> str:
+    """SQL for the array of blocks, each put into ``of``."""
     pieces = f"greatest(cast(ceil(octet_length({norm}) / {BLOCK}) as int), 1)"
-    return f"transform(sequence(0, {pieces} - 1), k -> substring({norm}, k * {BLOCK} + 1, {BLOCK}))"
+    block = of.format(f"substring({norm}, k * {BLOCK} + 1, {BLOCK})")
+    return f"transform(sequence(0, {pieces} - 1), k -> {block})"
 
 
 def block_names(texts: DataFrame, facts: DataFrame) -> DataFrame:
     """(row_id, n, i, name) for every block; ``texts`` (norm), ``facts`` (row_id, sha, hashes)."""
     blocks = texts.select(F.explode(F.expr(_blocks("norm"))).alias("block"))
-    named = _numbered(blocks.select(F.xxhash64("block").alias("hash"), "block").distinct(), ["hash", "block"])
+    named = _numbered(blocks.select(F.expr(HASH.format("block")).alias("hash"), "block").distinct(), ["hash", "block"])
     by_hash = named.groupBy("hash").agg(F.min("name").alias("name"), F.max("name").alias("top"))
     by_hash = cut_lineage(by_hash.select("hash", F.when(F.col("name") == F.col("top"), F.col("name")).alias("name")))
     exploded = facts.select("row_id", "sha", F.size("hashes").alias("n"), F.posexplode("hashes").alias("i", "hash"))
@@ -61,7 +64,7 @@ def block_names(texts: DataFrame, facts: DataFrame) -> DataFrame:
         return clear
     # different blocks under one hash: these alone are joined by their bytes
     whole = texts.select(F.sha2("norm", 256).alias("digest"), F.posexplode(F.expr(_blocks("norm"))).alias("i", "block"))
-    whole = whole.withColumn("hash", F.xxhash64("block")).join(clash, "hash").join(named, ["hash", "block"])
+    whole = whole.withColumn("hash", F.expr(HASH.format("block"))).join(clash, "hash").join(named, ["hash", "block"])
     whole = whole.select(F.unhex("digest").alias("sha"), "i", F.col("name").alias("exact")).distinct()
     unclear = met.where("name is null").drop("name").join(whole, ["sha", "i"])
     return clear.unionByName(unclear.select("row_id", "n", "i", F.col("exact").alias("name")))
@@ -104,7 +107,7 @@ def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -
             "doc_id",
             "size",
             F.unhex(F.sha2("norm", 256)).alias("sha"),
-            F.expr(_blocks("norm").replace("k -> ", "k -> xxhash64(") + ")").alias("hashes"),
+            F.expr(_blocks("norm", HASH)).alias("hashes"),
         )
     )
     names = document_names(block_names(texts, facts))

@@ -62,7 +62,7 @@ MAIN_NAME = re.compile(r"(?:^|[\s_-])(?:main|article|post|entry|story|content)(?
 
 
 class Element:
-    """An open element: its tag, role path, whether it is set aside, the number of its main ancestors."""
+    """An open element: its tag, its role (the path of elements), and whether it is set aside."""
 
     __slots__ = ("tag", "path", "aside")
 
@@ -146,9 +146,9 @@ def main_role(roles: list[tuple[str, int]]) -> str | None:
     named = [(n, -len(p), p) for p, n in free if MAIN_NAME.search(p.rpartition("/")[2].partition(".")[2]) and 2 * n >= most]
     if named:
         return max(named)[2]
-    return max((p.count("/"), n, p) for p, n in free if 10 * n >= 8 * most and _tag(p) not in ("p", "li", "td"))[2] if any(
-        10 * n >= 8 * most and _tag(p) not in ("p", "li", "td") for p, n in free
-    ) else max((n, p) for p, n in free)[1]
+    # the deepest that holds most of the text, paragraphs and the like apart
+    wide = [(p.count("/"), n, p) for p, n in free if 10 * n >= 8 * most and _tag(p) not in ("p", "li", "td")]
+    return max(wide)[2] if wide else max((n, p) for p, n in free)[1]
 
 
 def _tag(path: str) -> str:
@@ -181,8 +181,8 @@ def main_text(html: str, role: str | None) -> str:
     end()
     if found:
         return "\n\n".join(blocks)
-    own = main_role([(p, n) for p, (_, n) in tokens(html).items()])
-    return main_text(html, own) if own is not None and own != role else ""
+    own = main_role([(p, n) for p, (_, n) in tokens(html).items()]) or ""  # text in no element stands in the root
+    return main_text(html, own) if own != role else ""
 
 
 def _numbers(page: str) -> tuple[int, int]:
