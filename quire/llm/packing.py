@@ -22,12 +22,14 @@ neither read nor returned.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,35 +39,79 @@ from quire.session import cut_lineage
 
 SEQUENCE = 4096
 END_ID = 1
-KEPT_WORDS = 500_000  # words remembered by a worker; beyond this the store is filled anew
+KEPT_WORDS = 1_000_000  # words remembered by a worker; beyond this the store is filled anew
 
 _blank = re.compile("[ \t\n\r\f\v]+").split
+# characters whose composition and lower case are the same whatever stands beside them
+_plain = re.compile("[!-~\u00c0-\u012f\u0132-\u024f]+").fullmatch
 
 
 class Words:
-    """Token ids of words as little-endian bytes; texts are cut at ASCII white space, which has no token."""
+    """Token ids of words as little-endian bytes; texts are cut at ASCII white space, which has no token.
+
+    A word of ASCII and precomposed Latin letters is cut further by the tokenizer's
+    own pattern, whose matches are encoded each by itself; so new ones of many words
+    are encoded together, one to a line, and told apart by the tokens that end a
+    match. Words of other characters are encoded as they are.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        suffix = made["model"]["end_of_word_suffix"]
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+        self.cut = regex.compile(made["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
         self.known: dict[str, bytes] = {"": b""}
+        self.parts: dict[str, bytes] = {}
+
+    def _learn_parts(self, new: list[str]) -> None:
+        for i in range(0, len(new), 20_000):
+            some = new[i : i + 20_000]
+            ids = np.array(self.tokenizer.encode("\n".join(some), add_special_tokens=False).ids, "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(some):  # a vocabulary whose matches do not end so
+                for p in some:
+                    self.parts[p] = np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
+                continue
+            flat, at = ids.tobytes(), 0
+            for p, stop in zip(some, (4 * stops).tolist(), strict=True):
+                self.parts[p] = flat[at:stop]
+                at = stop
+
+    def _learn(self, new: list[str]) -> None:
+        if len(self.known) + len(new) > KEPT_WORDS:
+            self.known = {"": b""}
+        if len(self.parts) > KEPT_WORDS:
+            self.parts = {}
+        plain = {w: self.cut(w.lower()) for w in new if _plain(w) and "<|" not in w}
+        self._learn_parts(list({p for ps in plain.values() for p in ps if p not in self.parts}))
+        get = self.parts.__getitem__
+        for w, ps in plain.items():
+            self.known[w] = get(ps[0]) if len(ps) == 1 else b"".join(map(get, ps))
+        other = [w for w in new if w not in plain]
+        if other:
+            for w, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
+                self.known[w] = np.array(e.ids, "<u4").tobytes()
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        split = [_blank(t) for t in texts]
-        known = self.known
-        new = list({w for words in split for w in words if w not in known})
-        if new:
-            if len(known) + len(new) > KEPT_WORDS:
-                known.clear()
-                known[""] = b""
-                new = list({w for words in split for w in words if w})
-            for i in range(0, len(new), 20_000):
-                part = new[i : i + 20_000]
-                for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                    known[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        out = []
+        for i in range(0, len(texts), 100):  # so that one step's new words fit the store
+            split = [_blank(t) for t in texts[i : i + 100]]
+            found = [list(map(self.known.get, words)) for words in split]
+            new = {w for words, ids in zip(split, found, strict=True) if None in ids for w, x in zip(words, ids, strict=True) if x is None}
+            if new:
+                self._learn(list(new))
+                for words, ids in zip(split, found, strict=True):
+                    if None in ids:
+                        ids[:] = [self.known[w] if x is None else x for w, x in zip(words, ids, strict=True)]
+            out += map(b"".join, found)
+        return out
 
 
 def words_of(name: str) -> Words:
