@@ -235,15 +235,16 @@ def _ranges(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sorted_groups(batches):
-    """Suffix arrays over rows (key, ctx, n, bytes) that come sorted by key; (key, ctx, n, lo, hi) repeated windows."""
+    """Suffix arrays over rows (key, ctx, n, bytes) that come sorted by key; each context's runs of repeated windows."""
 
     def solve(rows):
         text = b"".join(r[3] for r in rows)
         starts = np.cumsum([0] + [len(r[3]) for r in rows])[:-1]
         flags = repeated_windows(text, starts, np.array([r[2] for r in rows]))
         for (key, ctx, n, _), s in zip(rows, starts, strict=True):
-            for lo, hi in zip(*_ranges(flags[s : s + n]), strict=True):
-                yield key, ctx, n, int(lo), int(hi)
+            lo, hi = _ranges(flags[s : s + n])
+            if len(lo):
+                yield key, ctx, n, [{"lo": a, "hi": b} for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
 
     out, group = [], []
     for batch in batches:
@@ -261,13 +262,13 @@ def _sorted_groups(batches):
 
 
 def _marks(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-    columns = list(zip(*rows, strict=True)) or [[]] * 5
-    names = ["key", "ctx", "n", "lo", "hi"]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))]
+    columns = list(zip(*rows, strict=True)) or [[]] * 4
+    names = ["key", "ctx", "n", "runs"]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
 
-MARKS = "key long, ctx long, n int, lo int, hi int"
+MARKS = "key long, ctx long, n int, runs array<struct<lo: int, hi: int>>"
 
 
 def _windows(batches):
@@ -307,7 +308,7 @@ def _without(batches):
 
 
 def repeated_spans(texts: DataFrame) -> DataFrame:
-    """(doc_id, print, lo, hi): byte ranges of ``texts`` (doc_id, print, text) to remove; they may overlap."""
+    """(doc_id, print, spans of lo and hi): byte ranges of ``texts`` (doc_id, print, text) to remove; they may overlap."""
     met = contexts(texts).groupBy("key").agg(F.count("*").alias("c"), F.max("recurs").alias("recurs"))
     met = cut_lineage(met.where("c > 1 or recurs").select("key"))
     found = cut_lineage(contexts(texts).join(met, "key"))
@@ -329,19 +330,23 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     )
     data = cut_lineage(data.dropDuplicates(["key", "ctx", "n"]))
 
-    whole = folded.where("copies > 1").select("key", "ctx", "n", F.lit(0).alias("lo"), F.col("n").alias("hi"))
+    # one row for each context, whatever the number of its windows and copies
+    run = F.array(F.struct(F.lit(0).alias("lo"), F.col("n").alias("hi")))
+    whole = folded.where("copies > 1").select("key", "ctx", "n", run.alias("runs"))
+    single = data.where("copies = 1").select("key", "ctx", "n")
     small = data.where(F.col("size") <= GROUP).select("key", "ctx", "n", "data")
     small = small.repartition("key").sortWithinPartitions("key").mapInArrow(_sorted_groups, MARKS)
     large = data.where(F.col("size") > GROUP).select("key", "ctx", "n", "data", "copies")
     schema = "key long, ctx long, n int, copies long, lo int, a long, b long"
     large = cut_lineage(large.mapInArrow(_windows, schema))
     twice = cut_lineage(large.groupBy("a", "b").agg(F.sum("copies").alias("c")).where("c > 1").select("a", "b"))
-    large = large.join(twice, ["a", "b"]).select("key", "ctx", "n", "lo", (F.col("lo") + 1).alias("hi"))
+    one = F.struct("lo", (F.col("lo") + 1).alias("hi"))
+    large = large.where("copies = 1").join(twice, ["a", "b"]).groupBy("key", "ctx", "n").agg(F.collect_list(one).alias("runs"))
+    small = cut_lineage(small).join(single, ["key", "ctx", "n"], "left_semi")
     marks = cut_lineage(whole.unionByName(small).unionByName(large))
     first = F.col("first").cast("long")
-    return found.join(marks, ["key", "ctx", "n"]).select(
-        "doc_id", "print", (first + F.col("lo")).alias("lo"), (first + F.col("hi") + (LENGTH - 1)).alias("hi")
-    )
+    spans = F.transform("runs", lambda r: F.struct((first + r["lo"]).alias("lo"), (first + r["hi"] + (LENGTH - 1)).alias("hi")))
+    return found.join(marks, ["key", "ctx", "n"]).select("doc_id", "print", spans.alias("spans"))
 
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", with_print: bool = False) -> DataFrame:
@@ -349,7 +354,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     small_batches(docs)
     # the print tells rows of one id with different texts apart
     texts = text_of(docs, key, text).withColumn("print", F.xxhash64(F.coalesce("text", F.lit(""))))
-    spans = repeated_spans(texts).groupBy("doc_id", "print").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    spans = repeated_spans(texts).groupBy("doc_id", "print").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     out = texts.join(cut_lineage(spans), ["doc_id", "print"], "left").select("doc_id", "text", "spans", "print")
     made = out.mapInArrow(_without, "doc_id long, print long, n_bytes long, n_removed long, n_spans long, kept binary")
     return made if with_print else made.drop("print")
