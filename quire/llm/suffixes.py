@@ -36,7 +36,7 @@ from quire.llm.common import column_bytes, mix, prefix_hash, slices, small_batch
 from quire.session import cut_lineage
 
 LENGTH = 200
-GRAM = 64
+GRAM = 100
 REACH = LENGTH - GRAM + 1  # grams in a window
 GROUP = 256
 _SECOND = np.uint64(0xD6E8FEB86659FD93)
