@@ -3,23 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-SALTS = 16
 
+def join_per_key(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``big`` joined to ``small``, which has few rows per key (a count, a mean, a header, a command).
 
-def join_per_key(big: DataFrame, small: DataFrame, keys: list[str], salt_by: list[str], how: str = "inner") -> DataFrame:
-    """``big`` joined to ``small``, with the rows of one key spread over several tasks.
-
-    ``small`` has few rows per key (a count, a mean, a header, a command), so it
-    is repeated once per salt; ``big`` rows take a salt from ``salt_by``, columns
-    that tell the rows of a key apart, so a re-run task makes the same choice.
-    Spark's own skew handling does not reach joins whose small side is an
-    aggregate by the same key, which is the common case here. A small side
-    under Spark's broadcast threshold is still broadcast by Spark itself.
+    The join is a plain one. Spark splits the rows of a hot key over several tasks
+    once the shuffle has shown that they are many, but only where both sides come
+    straight from a shuffle for this join; an aggregate by the same keys does not.
+    So the small side is dealt out once more below the join. A small side under
+    Spark's broadcast threshold is broadcast by Spark itself.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"unsupported join: {how}")
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*salt_by), F.lit(SALTS)).cast("int"))
-    repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
+    parts = int(small.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return big.join(small.repartition(parts), keys, how)

@@ -28,6 +28,23 @@ def running_sum(df: DataFrame, keys: list[str], order: str, value, out: str, chu
     )
 
 
+def row_chunks(df: DataFrame, keys: list[str], order: str, rows: int, out: str = "chunk", bins: int = 4096) -> DataFrame:
+    """``df`` with a chunk number per row, in the order of ``order``, for groups that are walked.
+
+    A group of up to ``rows`` rows is chunk 0. A larger one is counted in ``bins``
+    equal steps of ``order``, and neighbouring steps are joined until they hold
+    ``rows`` rows. The counts of few large groups are all that is joined back.
+    """
+    large = df.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(order).alias("_lo"), F.max(order).alias("_hi"))
+    large = large.where(F.col("_n") > rows).withColumn("_step", F.expr(f"(_hi - _lo) div {bins} + 1")).drop("_n", "_hi")
+    large = large.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    binned = df.join(large, keys, "left").withColumn("_bin", F.expr(f"({order} - _lo) div _step")).drop("_lo", "_step")
+    counts = binned.where("_bin is not null").groupBy(*keys, "_bin").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    named = counts.select(*keys, "_bin", F.floor(F.coalesce(F.sum("_n").over(before), F.lit(0)) / rows).cast("long").alias(out))
+    return binned.join(named, [*keys, "_bin"], "left").withColumn(out, F.coalesce(out, F.lit(0).cast("long"))).drop("_bin")
+
+
 def last_rows(df: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:
     """The ``n`` rows that sort first by ``order`` (given descending: the last) in each group.
 

@@ -59,6 +59,11 @@ def quote(term: str) -> str:
     return "\\Q" + term.replace("\\E", "\\E\\\\E\\Q") + "\\E"
 
 
+def literal_pattern(term: str, match_case: bool = False) -> str:
+    """The regex for ``term`` itself; with case ignored it matches in the text as it stands, so offsets hold."""
+    return quote(term) if match_case else "(?iu)" + quote(term)
+
+
 def starts_of(c: Column, term: str, match_case: bool = False) -> Column:
     """0-based offset of each occurrence of ``term``.
 
@@ -66,8 +71,7 @@ def starts_of(c: Column, term: str, match_case: bool = False) -> Column:
     the running offset, so a line costs one pass however many hits it has.
     """
     size = len(term)
-    hay, needle = (c, term) if match_case else (F.lower(c), term.lower())
-    parts = F.split(hay, quote(needle), -1)
+    parts = F.split(c, literal_pattern(term, match_case), -1)
     folded = F.aggregate(
         F.slice(parts, 1, F.size(parts) - 1),
         F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -53,36 +51,114 @@ def page_similarity(pages: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 DIFF_SCHEMA = "pair_id long, page int, lines_added int, lines_removed int, diff string"
+EDIT_SCHEMA = "pair_id long, page int, pos int, op string, line string"
+CONTEXT = 3  # unchanged lines around a change in a diff
+COMMON_FROM = 200  # pages of so many lines do not align by lines that are more than one in a hundred
+
 
+class _Alignment:
+    """Which lines of two pages belong together.
+
+    The longest run of lines both have, the earliest of equals, is fixed first;
+    then the same on either side of it. In a long new page very common lines do
+    not begin a run, though they prolong one.
+    """
 
-def _diff_batches(batches):
+    def __init__(self, old: list[str], new: list[str]):
+        self.old, self.new = old, new
+        self.places: dict[str, list[int]] = {}
+        for j, line in enumerate(new):
+            self.places.setdefault(line, []).append(j)
+        if len(new) >= COMMON_FROM:
+            most = len(new) // 100 + 1
+            self.places = {line: at for line, at in self.places.items() if len(at) <= most}
+
+    def _run(self, a0: int, a1: int, b0: int, b1: int) -> tuple[int, int, int]:
+        """(old place, new place, length) of the longest common run inside the two ranges."""
+        best, ending = (a0, b0, 0), {}
+        for i in range(a0, a1):
+            here = {}
+            for j in self.places.get(self.old[i], ()):
+                if b0 <= j < b1:
+                    here[j] = n = ending.get(j - 1, 0) + 1
+                    if n > best[2]:
+                        best = (i - n + 1, j - n + 1, n)
+            ending = here
+        a, b, n = best
+        while a > a0 and b > b0 and self.old[a - 1] == self.new[b - 1]:
+            a, b, n = a - 1, b - 1, n + 1
+        while a + n < a1 and b + n < b1 and self.old[a + n] == self.new[b + n]:
+            n += 1
+        return a, b, n
+
+    def edits(self) -> list[tuple[str, int, int]]:
+        """(op, old place, new place) line by line: ' ' kept, '-' gone, '+' new; what goes stands before what comes."""
+        todo, kept = [(0, len(self.old), 0, len(self.new))], []
+        while todo:
+            a0, a1, b0, b1 = todo.pop()
+            a, b, n = self._run(a0, a1, b0, b1)
+            if n:
+                kept += [(a + k, b + k) for k in range(n)]
+                todo += [(a0, a, b0, b), (a + n, a1, b + n, b1)]
+        out, i, j = [], 0, 0
+        for a, b in [*sorted(kept), (len(self.old), len(self.new))]:
+            out += [("-", k, j) for k in range(i, a)] + [("+", a, k) for k in range(j, b)]
+            if a < len(self.old):
+                out.append((" ", a, b))
+            i, j = a + 1, b + 1
+        return out
+
+
+def _span(first: int, n: int) -> str:
+    """A range in a hunk's head: numbers from one, an empty range by the line before it."""
+    return f"{first + 1}" if n == 1 else f"{first + (n > 0)},{n}"
+
+
+def _hunks(old: list[str], new: list[str], edits: list[tuple[str, int, int]]) -> list[str]:
+    """Changed lines with up to ``CONTEXT`` kept ones around; changes closer than two contexts share a hunk."""
+    near = [k for k, (op, _, _) in enumerate(edits) if op != " "]
+    out, at = [], 0
+    while at < len(near):
+        end = at
+        while end + 1 < len(near) and near[end + 1] - near[end] - 1 <= 2 * CONTEXT:
+            end += 1
+        part = edits[max(0, near[at] - CONTEXT) : near[end] + CONTEXT + 1]
+        a, b = sum(op != "+" for op, _, _ in part), sum(op != "-" for op, _, _ in part)
+        out.append(f"@@ -{_span(part[0][1], a)} +{_span(part[0][2], b)} @@")
+        out += [op + (new[j] if op == "+" else old[i]) for op, i, j in part]
+        at = end + 1
+    return out
+
+
+def _page_edits(batches):
+    """(pair, page, old lines, new lines, edits) of each differing page pair."""
     for pdf in batches:
-        rows = []
         for pair, page, a, b in zip(pdf["pair_id"], pdf["page"], pdf["text_a"], pdf["text_b"]):
-            old = a.splitlines() if isinstance(a, str) else []
-            new = b.splitlines() if isinstance(b, str) else []
-            if old == new:
-                continue
-            lines = list(
-                difflib.unified_diff(old, new, f"doc1/page_{page + 1}", f"doc2/page_{page + 1}", lineterm="")
-            )
-            body = lines[2:]
-            rows.append(
-                (
-                    pair,
-                    page,
-                    sum(x.startswith("+") and not x.startswith("+++") for x in body),
-                    sum(x.startswith("-") and not x.startswith("---") for x in body),
-                    "\n".join(lines),
-                )
-            )
-        yield pd.DataFrame(rows, columns=["pair_id", "page", "lines_added", "lines_removed", "diff"])
+            old, new = ((t.splitlines() if isinstance(t, str) else []) for t in (a, b))
+            if old != new:
+                yield int(pair), int(page), old, new, _Alignment(old, new).edits()
+
+
+def _diff_rows(batches):
+    for pair, page, old, new, edits in _page_edits(batches):
+        head = [f"--- doc1/page_{page + 1}", f"+++ doc2/page_{page + 1}"]
+        ops = [op for op, _, _ in edits]
+        row = (pair, page, ops.count("+"), ops.count("-"), "\n".join(head + _hunks(old, new, edits)))
+        yield pd.DataFrame([row], columns=["pair_id", "page", "lines_added", "lines_removed", "diff"])
+
+
+def _edit_rows(batches):
+    for pair, page, old, new, edits in _page_edits(batches):
+        lines = [new[j] if op == "+" else old[i] for op, i, j in edits]
+        yield pd.DataFrame(
+            {"pair_id": pair, "page": page, "pos": range(len(edits)), "op": [op for op, _, _ in edits], "line": lines}
+        )
 
 
 def _paired(pages: DataFrame, pairs: DataFrame, tag: str) -> DataFrame:
     """Pages of one side of each pair."""
     wanted = pairs.select("pair_id", F.col(f"doc_{tag}").alias("doc_id"))
-    return join_per_key(pages, wanted, ["doc_id"], ["page"])
+    return join_per_key(pages, wanted, ["doc_id"])
 
 
 def aligned_pages(pages: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -94,14 +170,22 @@ def aligned_pages(pages: DataFrame, pairs: DataFrame) -> DataFrame:
     return side("a").join(side("b"), ["pair_id", "page"], "full")
 
 
+def _differing(pages: DataFrame, pairs: DataFrame) -> DataFrame:
+    return aligned_pages(pages, pairs).where(~F.col("text_a").eqNullSafe(F.col("text_b")))
+
+
 def document_diff(pages: DataFrame, pairs: DataFrame) -> DataFrame:
     """Ordered line diff of each differing page pair of ``pairs(pair_id, doc_a, doc_b)``.
 
-    Equal pages are dropped in the JVM; only differing ones reach Python, one
-    page pair per row, batch by batch.
+    Equal pages are dropped in the JVM; only differing ones are aligned, one page
+    pair per row, batch by batch.
     """
-    differing = aligned_pages(pages, pairs).where(~F.col("text_a").eqNullSafe(F.col("text_b")))
-    return differing.mapInPandas(_diff_batches, DIFF_SCHEMA)
+    return _differing(pages, pairs).mapInPandas(_diff_rows, DIFF_SCHEMA)
+
+
+def page_edits(pages: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The whole alignment of each differing page pair, one row per line: ' ' kept, '-' gone, '+' new."""
+    return _differing(pages, pairs).mapInPandas(_edit_rows, EDIT_SCHEMA)
 
 
 def page_count_changes(pages: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -144,7 +228,7 @@ def doc_context(pages: DataFrame, focus: DataFrame, full_text_pages: int = 20) -
     the first line of every page; the current page gives 4000 characters. Parts
     are rows ordered by (section, page), so a long outline is never gathered.
     """
-    at = join_per_key(pages, focus.join(page_counts(pages), "doc_id"), ["doc_id"], ["page"])
+    at = join_per_key(pages, focus.join(page_counts(pages), "doc_id"), ["doc_id"])
     here = F.col("page") == F.col("current_page")
     short = F.col("page_count") <= full_text_pages
     body = strip(F.col("text"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire import fixed_values as fv
 from quire.functions.text import UNICODE, strip
+from quire.operators.pageset import command_order
 
 # order of the parts inside a page: widgets, underlined labels, check boxes
 WIDGET, UNDERLINE, CHECKBOX = 0, 1, 2
@@ -97,9 +98,11 @@ def form_summary(docs: DataFrame, fields: DataFrame) -> DataFrame:
 
 
 def fill_forms(widgets: DataFrame, updates: DataFrame) -> DataFrame:
-    """Widgets with the values of ``updates(doc_id, field_name, value)`` where the name is equal."""
+    """Widgets with the values of ``updates(doc_id, field_name, value[, seq])`` where the name is equal; the last one holds."""
+    given = updates.select("doc_id", "field_name", "value", command_order(updates).alias("_seq"))
+    last = given.groupBy("doc_id", "field_name").agg(F.max_by("value", "_seq").alias("value"))
     return (
-        widgets.join(updates.select("doc_id", "field_name", "value"), ["doc_id", "field_name"], "left")
+        widgets.join(last, ["doc_id", "field_name"], "left")
         .withColumn("filled", F.col("value").isNotNull())
         .withColumn("field_value", F.coalesce("value", "field_value"))
         .drop("value")

@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 
 from quire import fixed_values as fv
 from quire.functions.folds import fold_sorted
-from quire.functions.joins import join_per_key
-from quire.functions.ranking import last_rows
+from quire.functions.ranking import last_rows, row_chunks
 from quire.session import cut_lineage
 
 # --- annotations -------------------------------------------------------------
@@ -151,15 +150,14 @@ def history_replay(log: DataFrame, depth: int = fv.HISTORY_DEPTH, chunk: int = 1
     """Outcome of every edit, undo and redo of ``log(doc_id, seq, action, operation)``.
 
     ``seq`` orders a document's events and is unique in it. A document's log may
-    be of any size: it is cut into chunks of ``chunk`` sequence numbers that run
-    in parallel. For documents with several chunks a first pass works out what
-    each chunk does to any start state, and a scan of those few summaries gives
-    each chunk its true start; the last pass replays all chunks from there.
+    be of any size: one of more than ``chunk`` events is cut into chunks of about
+    that many, which run in parallel. For these documents a first pass works out
+    what each chunk does to any start state, and a scan of those few summaries
+    gives each chunk its true start; the last pass replays all chunks from there.
+    All other documents are walked once.
     """
-    cut = log.select("doc_id", "seq", "action", F.expr(f"seq div {chunk}").alias("chunk_no"))
-    several = (
-        cut.groupBy("doc_id", "chunk_no").agg(F.lit(1).alias("_one")).groupBy("doc_id").count().where("count > 1")
-    )
+    cut = row_chunks(log.select("doc_id", "seq", "action"), ["doc_id"], "seq", chunk, "chunk_no")
+    several = log.groupBy("doc_id").count().where(F.col("count") > chunk)
     effects = fold_sorted(
         cut.join(several.select("doc_id"), "doc_id", "left_semi"),
         ["doc_id", "chunk_no"],
@@ -255,7 +253,7 @@ def request_rate(requests: DataFrame, window_s: int = fv.RATE_LIMIT_WINDOW_S, ke
     load = (
         copies.withColumn("load", F.sum("n").over(w)).where("_own = _bucket").select("key", "us", "load")
     )
-    return join_per_key(stamped, load, ["key", "us"], ["request_id"])
+    return stamped.join(load, ["key", "us"])
 
 
 class _Admitted:
@@ -275,25 +273,24 @@ class _Admitted:
 
 
 def admitted_times(
-    times: DataFrame, window_s: int, limit: int, chunks: int = 16, chunk_rows: int = 200_000
+    times: DataFrame, window_s: int, limit: int, chunk_rows: int = 200_000
 ) -> DataFrame:
     """How many of the ``n`` requests at each (key, us) are admitted.
 
-    A key with up to ``chunk_rows`` times is one walk. The time of a hotter key
-    is cut into ``chunks`` equal parts, at least one window long. A decision
+    A key's times are cut into parts of about ``chunk_rows`` rows. A decision
     depends only on what was admitted in the window before it, so all parts run
     at once, each from the state its predecessor ended in, as far as known
     (first: empty). A part whose start turns out different runs again, until no
     start changes; then every decision is the one a single walk would make.
     Usually a part soon forgets its start and a few rounds do. A key over its
-    limit all the time is a chain by nature: it takes up to ``chunks`` rounds, no
-    longer than one walk, but never has more than one part in a task.
+    limit all the time is a chain by nature: it takes as many rounds as it has
+    parts, no longer than one walk, but never has more than one part in a task.
     """
     width = window_s * 1_000_000
     none = F.array().cast("array<long>")
     given = cut_lineage(times)
-    hot = given.groupBy("key").count().where(F.col("count") > chunk_rows)
-    hot = cut_lineage(hot.select("key", F.lit(True).alias("hot")))
+    cut = cut_lineage(row_chunks(given, ["key"], "us", chunk_rows))
+    several = cut.groupBy("key").agg(F.max("chunk").alias("parts")).where("parts > 0")
 
     def run(primed: DataFrame, step, schema: str, end=None) -> DataFrame:
         return fold_sorted(
@@ -313,14 +310,7 @@ def admitted_times(
             "key string, us long, n long, taken long",
         )
 
-    if hot.isEmpty():
-        return decisions(given.withColumn("chunk", F.lit(0)).withColumn("start", none))
-
-    lo, hi = given.agg(F.min("us"), F.max("us")).first()
-    span = max(width, (hi - lo) // chunks + 1)
-    part = F.when(F.col("hot"), F.expr(f"(us - {lo}) div {span}")).otherwise(0)
-    cut = join_per_key(given, hot, ["key"], ["us"], "left").withColumn("chunk", part)
-    hot_rows = cut.where("hot")
+    hot_rows = cut.join(cut_lineage(several), "key", "left_semi")
 
     def prime(rows: DataFrame, starts: DataFrame) -> DataFrame:
         """The start state rides on the first row of its part."""
@@ -360,7 +350,6 @@ def rate_limit(
     window_s: int = fv.RATE_LIMIT_WINDOW_S,
     limit: int = fv.RATE_LIMIT_REQUESTS,
     key: str | None = None,
-    chunks: int = 16,
     chunk_rows: int = 200_000,
 ) -> DataFrame:
     """Whether each of ``requests(request_id, ts)`` is admitted; rejected ones do not count.
@@ -369,7 +358,7 @@ def rate_limit(
     """
     stamped = _stamped(requests, key)
     times = stamped.groupBy("key", "us").agg(F.count(F.lit(1)).alias("n"))
-    taken = admitted_times(times, window_s, limit, chunks, chunk_rows)
+    taken = admitted_times(times, window_s, limit, chunk_rows)
     split = taken.where("taken > 0 AND taken < n")
     # the last admitted id where only some of the requests of one time get in
     first_ids = last_rows(stamped.join(split.select("key", "us"), ["key", "us"], "left_semi"), ["key", "us"], ["request_id"], limit)
@@ -382,7 +371,7 @@ def rate_limit(
     )
     admitted = (F.col("taken") == F.col("n")) | F.coalesce(F.col("request_id") <= F.col("_cutoff"), F.lit(False))
     return (
-        join_per_key(stamped, taken.join(cutoff, ["key", "us"], "left"), ["key", "us"], ["request_id"])
+        stamped.join(taken.join(cutoff, ["key", "us"], "left"), ["key", "us"])
         .select("request_id", "key", admitted.alias("admitted"))
     )
 

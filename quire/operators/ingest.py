@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,7 +54,7 @@ def doc_info(docs: DataFrame, pages: DataFrame) -> DataFrame:
     The pages stay rows: a document with very many of them is never collected.
     """
     geometry = pages.select("doc_id", F.col("page").alias("index"), "width", "height", "rotation")
-    return join_per_key(geometry, page_counts(pages).join(docs, "doc_id"), ["doc_id"], ["index"])
+    return join_per_key(geometry, page_counts(pages).join(docs, "doc_id"), ["doc_id"])
 
 
 def text_spans(spans: DataFrame, page: int | None = None) -> DataFrame:
@@ -99,20 +100,23 @@ def pending(docs: DataFrame, analysis: DataFrame, on: tuple[str, ...] = ("doc_id
 
 
 def refresh(docs: DataFrame, stored_path: str, analyse) -> DataFrame:
-    """Analyse the pending documents, append the result to ``stored_path``, return it all.
+    """Analyse the pending documents, append the result to ``stored_path``, return the current analyses.
 
-    ``analyse(docs) -> DataFrame`` keeps ``doc_id`` and ``content_hash``.
+    ``analyse(docs) -> DataFrame`` keeps ``doc_id`` and ``content_hash``. Of what is
+    stored only the rows of the documents' present texts come back; older ones stay
+    in the folder until it is written anew.
     """
     spark = docs.sparkSession
     hashed = docs.withColumn("content_hash", content_hash(F.col("text")))
+    on = ["doc_id", "content_hash"]
     try:
-        todo = pending(hashed, spark.read.parquet(stored_path), ("doc_id", "content_hash"))
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
+        todo = pending(hashed, spark.read.parquet(stored_path), tuple(on))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
         todo = hashed
     analyse(todo).write.mode("append").parquet(stored_path)
-    return spark.read.parquet(stored_path)
+    return spark.read.parquet(stored_path).join(hashed.select(*on).distinct(), on, "left_semi")
 
 
 def delete_documents(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -42,7 +42,7 @@ def heading_level(text: Column, size: Column, flags: Column, avg_size: Column) -
 def headings(spans: DataFrame) -> DataFrame:
     stripped = strip(F.col("text"))
     return (
-        join_per_key(spans, avg_font_size(spans), ["doc_id"], AT[1:])
+        join_per_key(spans, avg_font_size(spans), ["doc_id"])
         .withColumn("text", stripped)
         .where(F.col("text") != "")
         .withColumn("level", heading_level(F.col("text"), F.col("size"), F.col("flags"), F.col("avg_size")))
@@ -85,7 +85,7 @@ def classify_blocks(spans: DataFrame, images: DataFrame | None = None) -> DataFr
         F.col("bold") & (F.length(text) < fv.HEADING_MAX_CHARS)
     )
     kind = F.when(heading, "heading").when(text.rlike("(?U)" + fv.LIST_ITEM), "list_item").otherwise("paragraph")
-    sized = join_per_key(blocks.where(text != ""), avg_font_size(spans), ["doc_id"], ["page", "block"])
+    sized = join_per_key(blocks.where(text != ""), avg_font_size(spans), ["doc_id"])
     out = sized.withColumn("kind", kind).drop("avg_size")
     if images is None:
         return out
@@ -121,14 +121,14 @@ def page_inventory(pages: DataFrame, images: DataFrame, links: DataFrame) -> Dat
     totals = per_page.groupBy("doc_id").agg(
         F.sum("image_count").alias("doc_images"), F.sum("link_count").alias("doc_links")
     )
-    return join_per_key(per_page, totals, ["doc_id"], ["page"])
+    return join_per_key(per_page, totals, ["doc_id"])
 
 
 def list_images(images: DataFrame) -> DataFrame:
     """One row per placement with its size, and the document's number of placements."""
     total = images.groupBy("doc_id").agg(F.count(F.lit(1)).alias("count"))
     sized = images.withColumn("width", F.col("x1") - F.col("x0")).withColumn("height", F.col("y1") - F.col("y0"))
-    return join_per_key(sized, total, ["doc_id"], ["page", "idx"])
+    return join_per_key(sized, total, ["doc_id"])
 
 
 # --- regions -----------------------------------------------------------------
@@ -210,12 +210,10 @@ KNOWN_CODES = tuple(code for codes in fv.FONT_VARIANTS.values() for code in code
 def glyph_classes(glyphs: DataFrame) -> DataFrame:
     """``glyphs(font_code, ch, unit_width)`` as one row per font: its widths with their characters.
 
-    Only the twelve known font codes are kept, so the result has at most twelve
-    rows and one entry per character: a proven bound for the broadcast below.
+    One row per font, whatever its code.
     """
     return (
-        glyphs.where(F.col("font_code").isin(*KNOWN_CODES))
-        .groupBy("font_code", "unit_width")
+        glyphs.groupBy("font_code", "unit_width")
         .agg(F.array_join(F.sort_array(F.collect_set("ch")), "").alias("chars"))
         .groupBy("font_code")
         .agg(F.sort_array(F.collect_list(F.struct("unit_width", "chars"))).alias("classes"))
@@ -238,7 +236,7 @@ def text_width(df: DataFrame, glyphs: DataFrame, text: str, size: str, out: str,
         * (F.length(F.col(text)) - F.length(F.call_function("translate", F.col(text), g["chars"], F.lit("")))),
     )
     return (
-        df.join(F.broadcast(classes), code, "left")
+        join_per_key(df, classes, [code], "left")
         .withColumn(out, F.coalesce(units, F.lit(0.0)) * F.col(size))
         .drop("_classes")
     )
@@ -275,7 +273,7 @@ def replacement_plan(spans: DataFrame, edits: DataFrame, glyphs: DataFrame) -> D
     """
     hit = F.col("text").contains(F.col("find")) & (F.col("scope").isNull() | (F.col("scope") == F.col("page")))
     planned = (
-        join_per_key(spans, edits, ["doc_id"], AT[1:])
+        join_per_key(spans, edits, ["doc_id"])
         .where(hit)
         .withColumn("replacement", F.replace("text", F.col("find"), F.col("repl")))
         .withColumn("font_code", font_code(F.col("font"), F.col("flags")))

@@ -14,15 +14,28 @@ from quire.functions.ranking import running_sum
 from quire.operators.ingest import page_counts
 
 
+def command_order(commands: DataFrame) -> Column:
+    """The order commands were given in: their ``seq``, or their place in the table."""
+    return F.col("seq").cast("long") if "seq" in commands.columns else F.monotonically_increasing_id()
+
+
 def rotate_pages(pages: DataFrame, edits: DataFrame) -> DataFrame:
-    """Apply ``edits(doc_id, page, new_rotation)``; a null rotation turns by another 90 degrees."""
-    wanted = edits.select("doc_id", "page", "new_rotation", F.lit(True).alias("_hit"))
-    turned = F.coalesce("new_rotation", F.pmod(F.col("rotation") + 90, F.lit(360)))
-    return (
-        pages.join(wanted, ["doc_id", "page"], "left")
-        .withColumn("rotation", F.when(F.col("_hit"), turned).otherwise(F.col("rotation")))
-        .drop("new_rotation", "_hit")
+    """Apply ``edits(doc_id, page, new_rotation[, seq])`` in order; a null rotation turns by another 90 degrees.
+
+    Of several edits of a page the last given rotation holds, and the turns after it add up.
+    """
+    at = ["doc_id", "page"]
+    given = edits.select(*at, "new_rotation", command_order(edits).alias("_seq"))
+    last = F.max(F.when(F.col("new_rotation").isNotNull(), F.struct("_seq", "new_rotation"))).alias("_set")
+    known = given.join(given.groupBy(*at).agg(last), at)
+    after = F.col("new_rotation").isNull() & (F.col("_set").isNull() | (F.col("_seq") > F.col("_set._seq")))
+    wanted = known.groupBy(*at).agg(
+        F.first("_set").getField("new_rotation").alias("_to"), F.sum(F.when(after, 1).otherwise(0)).alias("_turns")
+    )
+    turned = F.when(F.col("_turns") > 0, F.pmod(F.coalesce("_to", "rotation") + F.col("_turns") * 90, F.lit(360))).otherwise(
+        F.coalesce("_to", "rotation")
     )
+    return pages.join(wanted, at, "left").withColumn("rotation", turned.cast("int")).drop("_to", "_turns")
 
 
 def invalid_pages(pages: DataFrame, edits: DataFrame) -> DataFrame:
@@ -35,7 +48,7 @@ def _range_status(start: Column, end: Column, total: Column) -> Column:
 
 
 def deletion_status(pages: DataFrame, ranges: DataFrame) -> DataFrame:
-    """``ranges(doc_id, start, end)``, one per document, with the verdict on each."""
+    """``ranges(doc_id, start, end)`` with the verdict on each."""
     start, end, total = F.col("start"), F.col("end"), F.col("page_count")
     return ranges.join(page_counts(pages), "doc_id", "left").withColumn(
         "status",
@@ -48,18 +61,21 @@ def deletion_status(pages: DataFrame, ranges: DataFrame) -> DataFrame:
 
 
 def delete_pages(pages: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Pages left after deleting one inclusive range per document, renumbered.
+    """Pages left after deleting inclusive ranges, renumbered.
 
-    A range that is invalid or would leave nothing changes nothing.
+    Ranges of one document count together, overlaps once. A range that is invalid
+    or would leave nothing changes nothing; nor do ranges that together would.
     """
-    good = deletion_status(pages, ranges).where("status = 'ok'").select("doc_id", "start", "end")
-    page, start, end = F.col("page"), F.col("start"), F.col("end")
-    gone = start.isNotNull() & page.between(start, end)
+    good = deletion_status(pages, ranges).where("status = 'ok'")
+    gone = good.select("doc_id", "page_count", F.explode(F.sequence("start", "end")).alias("gone")).distinct()
+    gone = gone.groupBy("doc_id").agg(F.first("page_count").alias("_n"), F.sort_array(F.collect_list("gone")).alias("_gone"))
+    gone = gone.where(F.size("_gone") < F.col("_n")).drop("_n")
+    page, listed = F.col("page"), F.coalesce("_gone", F.array().cast("array<int>"))
     return (
-        join_per_key(pages, good, ["doc_id"], ["page"], "left")
-        .where(~gone)
-        .withColumn("page", F.when(page > end, page - (end - start + 1)).otherwise(page))
-        .drop("start", "end")
+        join_per_key(pages, gone, ["doc_id"], "left")
+        .where(~F.array_contains(listed, page))
+        .withColumn("page", page - F.size(F.filter(listed, lambda g: g < page)))
+        .drop("_gone")
     )
 
 
@@ -98,7 +114,7 @@ def move_page(pages: DataFrame, moves: DataFrame) -> DataFrame:
         .otherwise(page)
     )
     return (
-        join_per_key(pages, counted.where(inside).select("doc_id", "src", "dst"), ["doc_id"], ["page"], "left")
+        join_per_key(pages, counted.where(inside).select("doc_id", "src", "dst"), ["doc_id"], "left")
         .withColumn("page", F.when(src.isNull(), page).otherwise(moved))
         .drop("src", "dst")
     )
@@ -148,7 +164,7 @@ def merge_documents(pages: DataFrame, plans: DataFrame) -> DataFrame:
     sized = parts.join(page_counts(pages), "doc_id")
     placed = running_sum(sized, ["merged_id"], "seq", F.col("page_count"), "part_start")
     return (
-        join_per_key(pages, placed.select("merged_id", "doc_id", "part_start"), ["doc_id"], ["page"])
+        join_per_key(pages, placed.select("merged_id", "doc_id", "part_start"), ["doc_id"])
         .withColumn("source_doc_id", F.col("doc_id"))
         .withColumn("page", (F.col("page") + F.col("part_start")).cast("int"))
         .drop("part_start", "doc_id")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire import fixed_values as fv
 from quire.functions.joins import join_per_key
-from quire.functions.text import UNICODE, literal_count, quote, starts_of, strip, words
+from quire.functions.text import UNICODE, literal_count, literal_pattern, quote, starts_of, strip, words
 
 
 def term_counts(pages: DataFrame, term: str) -> DataFrame:
@@ -28,10 +28,9 @@ def term_counts(pages: DataFrame, term: str) -> DataFrame:
 def find_matches(spans: DataFrame, text: str, page: int | None = None, match_case: bool = False) -> DataFrame:
     """One row per match: its span, offset, and box cut from the span's by character share."""
     kept = spans if page is None else spans.where(F.col("page") == page)
-    hay, needle = (F.col("text"), text) if match_case else (F.lower("text"), text.lower())
     per_char = (F.col("x1") - F.col("x0")) / F.length("text")
     return (
-        kept.where(hay.contains(needle))
+        kept.where(F.col("text").rlike(literal_pattern(text, match_case)))
         .withColumn("start", F.explode(starts_of(F.col("text"), text, match_case)))
         .withColumn("match_x0", F.col("x0") + per_char * F.col("start"))
         .withColumn("match_x1", F.col("x0") + per_char * (F.col("start") + len(text)))
@@ -58,9 +57,9 @@ def replace_text(spans: DataFrame, find: str, repl: str, scope: int | None = Non
 
 def delete_text(pages: DataFrame, text: str) -> DataFrame:
     """All pages without ``text`` (case ignored), and how often each page had it."""
-    return pages.withColumn("deleted", literal_count(F.lower("text"), text.lower())).withColumn(
-        "text",
-        F.when(F.col("deleted") > 0, F.regexp_replace("text", "(?iu)" + quote(text), "")).otherwise(F.col("text")),
+    found = literal_pattern(text)
+    return pages.withColumn("deleted", F.coalesce(F.regexp_count("text", F.lit(found)), F.lit(0))).withColumn(
+        "text", F.when(F.col("deleted") > 0, F.regexp_replace("text", found, "")).otherwise(F.col("text"))
     )
 
 
@@ -94,7 +93,7 @@ def section_scores(blocks: DataFrame, queries: DataFrame) -> DataFrame:
     # lowered before the join, so once per block and not once per word
     lowered = blocks.withColumn("_hay", F.lower("text"))
     return (
-        join_per_key(lowered, asked, ["doc_id"], ["page", "block"])
+        join_per_key(lowered, asked, ["doc_id"])
         .withColumn("_hits", hits)
         .where("_hits > 0")
         .withColumn("relevance", F.col("_hits") / F.size("_words"))

@@ -20,14 +20,18 @@ def tables_from_cells(cells: DataFrame) -> DataFrame:
 
     Row 0 names the columns (``col_i`` where it is empty). Result columns:
     the table key, ``r``, ``headers`` and ``pairs`` (key, value in cell order).
-    A row is gathered from its own cells only; headers arrive by a salted join,
-    so a table of any length spreads over the tasks. Tables without a body give nothing.
+    A header belongs to its column number, and a column without one is ``col_i``. A
+    row is gathered from its own cells only, so a table of any length spreads over
+    the tasks. Tables without a body give nothing.
     """
     rows = cells.groupBy(*TABLE, "r").agg(F.sort_array(F.collect_list(F.struct("c", "cell"))).alias("row"))
     header = rows.where("r = 0").select(
         *TABLE,
         F.transform(
-            "row", lambda x: _filled(x["cell"], F.concat(F.lit("col_"), x["c"].cast("string")))
+            F.sequence(F.lit(0), F.array_max("row")["c"]),
+            lambda i: _filled(
+                F.get(F.filter("row", lambda x: x["c"] == i), F.lit(0))["cell"], F.concat(F.lit("col_"), i.cast("string"))
+            ),
         ).alias("headers"),
     )
     named = F.transform(
@@ -40,7 +44,7 @@ def tables_from_cells(cells: DataFrame) -> DataFrame:
             x["c"].alias("c"),
         ),
     )
-    return join_per_key(rows.where("r > 0"), header, TABLE, ["r"]).select(*TABLE, "r", "headers", named.alias("pairs"))
+    return join_per_key(rows.where("r > 0"), header, TABLE).select(*TABLE, "r", "headers", named.alias("pairs"))
 
 
 def _last_value(pairs: Column, key: Column) -> Column:

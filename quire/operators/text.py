@@ -134,7 +134,7 @@ def stamp_text(
         filename = F.coalesce(F.col("filename"), F.lit("document.pdf"))
     else:
         filename = F.lit("document.pdf")
-    known = join_per_key(pages, facts, ["doc_id"], ["page"])
+    known = join_per_key(pages, facts, ["doc_id"])
     text = F.lit(template)
     for mark, value in (
         ("{n}", (F.col("page") + 1).cast("string")),

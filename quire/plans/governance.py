@@ -26,12 +26,12 @@ def _(spark, sf):
     "annotation_items",
     """SELECT event_id AS request_id, 'highlight' AS kind, i::INTEGER AS idx, value + i AS a, value + i + 10 AS b, 4 AS n,
            CASE WHEN event_id % 2 = 0 THEN 0.5 ELSE 1 END::DOUBLE AS r, CASE WHEN event_id % 3 = 1 THEN 0.8 ELSE 0.35 END::DOUBLE AS weight
-    FROM events, range(0, 3) AS t(i) WHERE event_type = 'click' AND i < event_id % 4
+    FROM events, range(0, 3) AS t(i) WHERE event_type NOT IN ('view', 'signup') AND i < event_id % 4
     UNION ALL
     SELECT event_id, 'ink', i::INTEGER, value, value + n - 1, n::INTEGER, CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END::DOUBLE,
            CASE WHEN event_id % 5 = 0 THEN 4 ELSE 2 END::DOUBLE
     FROM (SELECT *, CASE i WHEN 0 THEN event_id % 4 ELSE event_id % 5 END AS n FROM events, range(0, 2) AS t(i)
-          WHERE event_type = 'view') WHERE n >= 2""",
+          WHERE event_type IN ('view', 'signup')) WHERE n >= 2""",
 )
 def _(spark, sf):
     items = history.annotation_items(corpus.highlight_requests(spark, sf), corpus.ink_requests(spark, sf))
@@ -100,7 +100,8 @@ REPLAY = P.sql(P.EL, f""",
 
 @query("history_replay", REPLAY)
 def _(spark, sf):
-    return history.history_replay(corpus.edit_log(spark, sf))
+    # small chunks, so that most documents go through several
+    return history.history_replay(corpus.edit_log(spark, sf), chunk=40)
 
 
 def _limit_sql(key, window_s, limit):
@@ -119,12 +120,12 @@ def _limit_sql(key, window_s, limit):
 
 @query("rate_limit", _limit_sql("user_id::VARCHAR", 86400, 2))
 def _(spark, sf):
-    return history.rate_limit(corpus.requests(spark, sf), 86400, 2, "user_id")
+    return history.rate_limit(corpus.requests(spark, sf), 86400, 2, "user_id", chunk_rows=40)
 
 
 @query("rate_limit_global", _limit_sql("'all'", 3600, 10))
 def _(spark, sf):
-    return history.rate_limit(corpus.requests(spark, sf), 3600, 10)
+    return history.rate_limit(corpus.requests(spark, sf), 3600, 10, chunk_rows=2000)
 
 
 for _key, _col, _expr, _w in (("request_rate", None, "'all'", 3600), ("request_rate_keyed", "user_id", "user_id::VARCHAR", 86400)):

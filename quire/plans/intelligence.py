@@ -115,20 +115,20 @@ _LANG_OF_SCRIPT = "CASE script " + " ".join(f"WHEN '{n}' THEN '{lang}'" for n, l
 # documents, and the same texts with their words turned into other scripts
 SD = """sd AS (
   SELECT doc_id, text FROM documents
-  UNION ALL SELECT doc_id + 1000000000, translate(text, 'aeion', 'цдежз') FROM documents
-  UNION ALL SELECT doc_id + 2000000000, translate(text, 'aeion', '的是不我一') FROM documents
-  UNION ALL SELECT doc_id + 3000000000, translate(text, 't', 'ا') FROM documents)"""
+  UNION ALL SELECT -(doc_id * 4 + 1), translate(text, 'aeion', 'цдежз') FROM documents
+  UNION ALL SELECT -(doc_id * 4 + 2), translate(text, 'aeion', '的是不我一') FROM documents
+  UNION ALL SELECT -(doc_id * 4 + 3), translate(text, 't', 'ا') FROM documents)"""
 
 
 def _script_docs(spark, sf):
     d = corpus.docs(spark, sf)
     out = d
-    for base, old, new in (
-        (1_000_000_000, "aeion", "цдежз"),
-        (2_000_000_000, "aeion", "的是不我一"),
-        (3_000_000_000, "t", "ا"),
+    for kind, old, new in (
+        (0, "aeion", "цдежз"),
+        (1, "aeion", "的是不我一"),
+        (2, "t", "ا"),
     ):
-        out = out.unionByName(d.select((F.col("doc_id") + base).alias("doc_id"), F.translate("text", old, new).alias("text")))
+        out = out.unionByName(d.select(corpus.other_id(F.col("doc_id"), kind).alias("doc_id"), F.translate("text", old, new).alias("text")))
     return out
 
 
@@ -202,7 +202,7 @@ def _versions(spark, sf):
     d = corpus.docs(spark, sf)
     pages = corpus.pages_of(d.unionByName(corpus.edited_copies(d)))
     pairs = d.select(
-        F.col("doc_id").alias("pair_id"), F.col("doc_id").alias("doc_a"), (F.col("doc_id") + corpus.COPY_BASE).alias("doc_b")
+        F.col("doc_id").alias("pair_id"), F.col("doc_id").alias("doc_a"), corpus.other_id(F.col("doc_id"), 1).alias("doc_b")
     )
     return pages, pairs
 
@@ -212,6 +212,10 @@ def _(spark, sf):
     return compare.document_diff(*_versions(spark, sf))
 
 
+_STRIPPED = "CASE WHEN ends_with({0}, chr(10)) THEN left({0}, length({0}) - 1) ELSE {0} END"
+_LINES = f"CASE WHEN {{0}} = '' THEN 0 ELSE len(string_split({_STRIPPED}, chr(10))) END"
+
+
 # the copies' pages, in the way edited_copies makes them
 CP = """c2 AS (
   SELECT doc_id, list_concat(list_transform(list_filter(list_zip(l, range(0, len(l))), lambda z: z[2] % 11 <> 9), lambda z: z[1]),
@@ -221,6 +225,36 @@ la AS (SELECT doc_id, i // 8 AS page, ls[i + 1] AS line FROM (SELECT doc_id, ls,
 lb AS (SELECT doc_id, i // 8 AS page, ls[i + 1] AS line FROM (SELECT doc_id, ls, unnest(range(0, len(ls))) AS i FROM c2))"""
 
 
+@query(
+    "document_diff_rebuild",
+    P.sql([P.LN, CP], f""",
+    pa AS (SELECT doc_id, page, string_agg(ls[i + 1], chr(10) ORDER BY i) AS a FROM (SELECT doc_id, ls, i // 8 AS page, i FROM (SELECT doc_id, ls, unnest(range(0, len(ls))) AS i FROM ln)) GROUP BY doc_id, page),
+    pb AS (SELECT doc_id, page, string_agg(ls[i + 1], chr(10) ORDER BY i) AS b FROM (SELECT doc_id, ls, i // 8 AS page, i FROM (SELECT doc_id, ls, unnest(range(0, len(ls))) AS i FROM c2)) GROUP BY doc_id, page),
+    ab AS (SELECT doc_id, page, coalesce(a, '') AS a, coalesce(b, '') AS b FROM pa FULL JOIN pb USING (doc_id, page))
+    SELECT doc_id AS pair_id, page::INTEGER AS page, ({_LINES.format("b")} - {_LINES.format("a")})::BIGINT AS net_lines,
+           sha256({_STRIPPED.format("a")}) AS old_sha, sha256({_STRIPPED.format("b")}) AS new_sha, true AS enough
+    FROM ab WHERE {_STRIPPED.format("a")} <> {_STRIPPED.format("b")} OR {_LINES.format("a")} <> {_LINES.format("b")}""".lstrip()),
+)
+def _(spark, sf):
+    """The alignment rebuilds both pages, and has at least the changes that any order of lines needs."""
+    pages, pairs = _versions(spark, sf)
+    edits = compare.page_edits(pages, pairs)
+    at, line = ["pair_id", "page"], F.struct("pos", "line")
+
+    def text(op):
+        kept = F.sort_array(F.collect_list(F.when(F.col("op") != op, line)))
+        return F.sha2(F.array_join(F.transform(kept, lambda x: x["line"]), "\n"), 256)
+
+    def count(op):
+        return F.sum(F.when(F.col("op") == op, 1).otherwise(0))
+
+    whole = edits.groupBy(*at).agg(count("+").alias("more"), count("-").alias("less"), text("+").alias("old_sha"), text("-").alias("new_sha"))
+    least = compare.line_changes(pages, pairs)
+    both = whole.join(least, at, "left")
+    enough = (F.col("more") >= F.coalesce("lines_added", F.lit(0)) - 1) & (F.col("less") >= F.coalesce("lines_removed", F.lit(0)) - 1)
+    return both.select(*at, (F.col("more") - F.col("less")).alias("net_lines"), "old_sha", "new_sha", enough.alias("enough"))
+
+
 @query(
     "line_changes",
     P.sql([P.LN, CP], """

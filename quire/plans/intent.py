@@ -108,7 +108,7 @@ def _boxes(spark, sf):
     """A selected box for the commands on even turns, on the document of the same number."""
     t = F.col("turn")
     return corpus.table(spark, sf, "conversations").where("turn % 2 = 0").select(
-        (F.col("conv_id") * 100 + t).alias("region_id"), F.col("conv_id").alias("doc_id"), (t % 3).cast("int").alias("page"),
+        F.format_string("%d/%d", F.col("conv_id"), t).alias("region_id"), F.col("conv_id").alias("doc_id"), (t % 3).cast("int").alias("page"),
         F.lit(72.0).alias("rx0"), F.lit(72.0).alias("ry0"), F.lit(300.0).alias("rx1"), F.lit(95.0).alias("ry1"),
         "conv_id", "turn",
     )

@@ -105,12 +105,12 @@ def _regions(spark, sf):
     d = F.col("doc_id")
     x, y = (d % 7) * 40.0 + 60.0, (d % 5) * 20.0 + 60.0
     return corpus.pages(spark, sf).select(
-        (d * 10000 + F.col("page")).alias("region_id"), "doc_id", "page",
+        F.format_string("%d/%d", d, F.col("page")).alias("region_id"), "doc_id", "page",
         x.alias("rx0"), y.alias("ry0"), (x + 200.0).alias("rx1"), (y + 30.0).alias("ry1"),
     )
 
 
-RG = """rg AS (SELECT doc_id * 10000 + page AS region_id, doc_id, page, ((doc_id % 7) * 40 + 60)::DOUBLE AS rx0,
+RG = """rg AS (SELECT doc_id || '/' || page AS region_id, doc_id, page, ((doc_id % 7) * 40 + 60)::DOUBLE AS rx0,
   ((doc_id % 5) * 20 + 60)::DOUBLE AS ry0, ((doc_id % 7) * 40 + 260)::DOUBLE AS rx1, ((doc_id % 5) * 20 + 90)::DOUBLE AS ry1
   FROM (SELECT DISTINCT doc_id, page FROM sp))"""
 HIT = f"x0 < rx1 AND x1 > rx0 AND y0 < ry1 AND y1 > ry0 AND {P.strip('text')} <> ''"

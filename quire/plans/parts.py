@@ -53,7 +53,7 @@ sp AS (
          CASE WHEN i % 3 <> 2 THEN (82 + 14 * (i % 8))::DOUBLE END AS origin_y
   FROM (SELECT doc_id, ls, unnest(range(0, len(ls))) AS i FROM ln))"""
 IM = """im AS (
-  SELECT doc_id, (i % 3)::INTEGER AS page, (i // 3)::INTEGER AS idx, (doc_id * 100 + i)::INTEGER AS xref,
+  SELECT doc_id, (i % 3)::INTEGER AS page, (i // 3)::INTEGER AS idx, (i + 1)::INTEGER AS xref,
          72::DOUBLE AS x0, (100 + i * 10)::DOUBLE AS y0, (72 + 20 * length(tags[i + 1]))::DOUBLE AS x1,
          (140 + i * 10)::DOUBLE AS y1
   FROM (SELECT doc_id, tags, unnest(range(0, len(tags))) AS i FROM (
@@ -95,7 +95,7 @@ bl AS (
          array_to_string(list_slice(ls, b * 2 + 1, b * 2 + 2), chr(10)) AS text
   FROM (SELECT doc_id, ls, unnest(range(0, (len(ls) + 1) // 2)) AS b FROM ln))"""
 OP = f"""op AS (
-  SELECT o_orderkey // 8 + {corpus.ORDER_DOC_BASE} AS doc_id, (o_orderkey % 8)::INTEGER AS page,
+  SELECT -(o_orderkey // 8 * 4 + 1) AS doc_id, (o_orderkey % 8)::INTEGER AS page,
     'Invoice dated ' || strftime(o_orderdate, '%m/%d/%Y') || ' for ' || {lits(corpus.FIRST_NAMES)}[o_custkey % 5 + 1]
     || ' ' || {lits(corpus.LAST_NAMES)}[o_custkey % 7 + 1] || ' of ' || {lits(corpus.ORGS)}[o_custkey % 6 + 1]
     || ' in The White House.' || chr(10) || 'Contact user' || o_custkey || '@shop' || (o_custkey % 50)

@@ -5,7 +5,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.operators import analysis
+from quire.operators import analysis, ingest
 from quire.plans import parts as P
 from quire.plans.governance import REPLAY, _limit_sql
 from quire.plans.registry import query
@@ -41,7 +41,7 @@ def _(spark, sf):
 def _(spark, sf):
     log = corpus.as_edit_log(_stream(spark, sf, "events"))
     replayed = jobs.stream_history(log)
-    return _run(spark, lambda path, check: jobs.write_batches(replayed, path, check))
+    return _run(spark, lambda path, check: jobs.write_batches(replayed, path, check)).drop("late")
 
 
 @query(
@@ -62,14 +62,16 @@ def _(spark, sf):
 
 @query(
     "stream_ingest",
-    P.sql(P.PG, f"""
+    P.sql([P.PG, P.MF], f"""
     SELECT doc_id, (SELECT count(*) FROM pg WHERE pg.doc_id = d.doc_id)::INTEGER AS page_count,
            (length(text) + 1)::INTEGER AS character_count, len({P.words("text")})::INTEGER AS word_count
-    FROM documents d WHERE n_chars <= 5000"""),
+    FROM documents d JOIN mf USING (doc_id) WHERE ends_with(lower(filename), '.pdf') AND n_bytes <= 50 * 1024 * 1024"""),
 )
 def _(spark, sf):
     docs = _stream(spark, sf, "documents").withColumn("ts", F.timestamp_seconds(F.col("doc_id") + 1_700_000_000))
-    kept = lambda batch: batch.where("n_chars <= 5000")
+    # every document is delivered twice
+    docs = corpus.with_upload(docs).unionByName(corpus.with_upload(docs))
+    kept = lambda batch: ingest.ingest_validate(batch).where("accepted")
     stored = _run(
         spark, lambda path, check: jobs.stream_ingest(docs, path, check, kept, analysis.profile, late_after="30 days")
     )

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +15,9 @@ RUNTIME_CONF = {
     # a hot document must be split even where that costs one more exchange
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # splits small enough that one file of long documents feeds several tasks
+    "spark.sql.files.maxPartitionBytes": "32m",
+    "spark.sql.files.openCostInBytes": "1m",
 }
 
 
@@ -35,6 +37,7 @@ def local_session(cores: str | int = "*", partitions: int = 8, memory: str = "12
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(partitions))
+        .config("quire.scan.partitions", str(partitions))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -42,20 +45,21 @@ def local_session(cores: str | int = "*", partitions: int = 8, memory: str = "12
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
+    """This application's folder below the one named by ``spark.checkpoint.dir``.
 
-    Only a local session without the setting gets a folder of its own: on a
-    cluster a machine-local path would lose the files with the machine.
+    Every executor must reach it. Without the setting it lies in the warehouse,
+    which executors share too; it is never a temporary folder of one machine.
     """
     conf = spark.sparkContext.getConf()
     named = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    own = tempfile.mkdtemp(prefix="quire-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    base = named or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
+    return f"{base}/quire-{spark.sparkContext.applicationId}"
+
+
+def clean_shared(spark: SparkSession) -> None:
+    """Delete what this application has written to ``shared_dir``; call it when all results are read."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

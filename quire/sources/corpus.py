@@ -34,14 +34,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal a small scan out over all cores before heavy per-row work.
+    """Deal a scan out over ``quire.scan.partitions`` tasks, where the session sets that.
 
-    A file with one row group is one task however many cores there are. Only a
-    scan with no more splits than the cluster has cores is dealt out; a large
-    one already has work for everybody and is left as it is.
+    A file with one row group is one task however many cores there are. A session
+    for a few such files sets it (``local_session`` does); without it scans stay
+    as they are.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() <= cores else df
+    parts = df.sparkSession.conf.get("quire.scan.partitions", None)
+    return df.repartition(int(parts)) if parts else df
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,7 +121,7 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         (F.col("i") % 3).alias("page"),
         F.floor(F.col("i") / 3).cast("int").alias("idx"),
-        (F.col("doc_id") * 100 + F.col("i")).cast("int").alias("xref"),
+        (F.col("i") + 1).cast("int").alias("xref"),
         F.lit(72.0).alias("x0"),
         (F.lit(100.0) + F.col("i") * 10.0).alias("y0"),
         (F.lit(72.0) + F.length("tag") * 20.0).alias("x1"),
@@ -142,16 +142,17 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def with_upload(documents: DataFrame) -> DataFrame:
+    """Documents with the file name and size they are uploaded under."""
+    ending = _pick((".PDF", ".pdf", ".txt", " .pdf ", ".pdf"), F.col("doc_id") % 5)
+    name = F.concat(F.lit("in/"), F.col("source"), F.lit("/ doc_"), F.col("doc_id").cast("string"), ending)
+    size = F.octet_length("text") * F.lit(4096).cast("bigint")
+    return documents.withColumn("filename", name).withColumn("n_bytes", size)
+
+
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Upload requests: one file name and size per document."""
-    ending = _pick((".PDF", ".pdf", ".txt", " .pdf ", ".pdf"), F.col("doc_id") % 5)
-    return table(spark, sf_dir, "documents").select(
-        "doc_id",
-        F.concat(F.lit("in/"), F.col("source"), F.lit("/ doc_"), F.col("doc_id").cast("string"), ending).alias(
-            "filename"
-        ),
-        (F.octet_length("text") * F.lit(4096).cast("bigint")).alias("n_bytes"),
-    )
+    return with_upload(table(spark, sf_dir, "documents")).select("doc_id", "filename", "n_bytes")
 
 
 TABLE_HEADER = ("Order", "Customer", "Total Price", "Priority", "", "Order")
@@ -213,7 +214,11 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 FIRST_NAMES = ("Ann", "Bob", "Carla", "Dmitri", "Eva")
 LAST_NAMES = ("Smith", "Jones", "Garcia", "Miller", "Weber", "Rossi", "Novak")
 ORGS = ("Acme Widgets Inc", "Northern Bank", "Delta Foundation", "Blue Sky Partners", "J&J-Data Corp.", "Tech University")
-ORDER_DOC_BASE = 1_000_000_000
+
+
+def other_id(doc_id: Column, kind: int) -> Column:
+    """An id that no given document has (they are not negative), and no other ``kind`` (0 to 3) either."""
+    return -(doc_id * 4 + kind + 1)
 
 
 def order_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -250,7 +255,7 @@ def order_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
     return spread(orders).select(
-        (F.floor(k / 8) + ORDER_DOC_BASE).alias("doc_id"), (k % 8).cast("int").alias("page"), text.alias("text")
+        other_id(F.floor(k / 8), 0).alias("doc_id"), (k % 8).cast("int").alias("page"), text.alias("text")
     )
 
 
@@ -259,15 +264,12 @@ def entity_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.unionByName(order_pages(spark, sf_dir))
 
 
-COPY_BASE = 2_000_000_000
-
-
 def edited_copies(docs_df: DataFrame) -> DataFrame:
     """Every document once more, with words changed, lines moved and a line added."""
     lines = F.split(F.replace("text", F.lit(" the "), F.lit(" that ")), "\n", -1)
     kept = F.filter(lines, lambda x, i: (i % 11) != 9)
     return docs_df.select(
-        (F.col("doc_id") + COPY_BASE).alias("doc_id"),
+        other_id(F.col("doc_id"), 1).alias("doc_id"),
         F.array_join(F.concat(kept, F.array(F.lit("appended line"))), "\n").alias("text"),
     )
 
@@ -371,11 +373,11 @@ def annotation_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def highlight_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clicks as highlight requests of up to three rectangles."""
+    """Events but views and signups as highlight requests of up to three rectangles."""
     k, v = F.col("event_id"), F.col("value")
     rect = lambda i: F.array(v + i, v + i * 2, v + i + 10, v + i * 2 + 5)
     rects = F.slice(F.transform(F.sequence(F.lit(0), F.lit(2)), rect), F.lit(1), (k % 4).cast("int"))
-    return table(spark, sf_dir, "events").where("event_type = 'click'").select(
+    return table(spark, sf_dir, "events").where("event_type NOT IN ('view', 'signup')").select(
         k.alias("request_id"),
         F.col("user_id").alias("doc_id"),
         (k % 3).cast("int").alias("page"),
@@ -386,7 +388,7 @@ def highlight_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ink_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Views as drawings of two paths with up to four points."""
+    """Views and signups as drawings of two paths with up to four points."""
     k, v = F.col("event_id"), F.col("value")
 
     def path(n: Column) -> Column:
@@ -396,7 +398,7 @@ def ink_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         color = F.when(k % 2 == 0, F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0)))
         return F.struct(pts.alias("points"), color.alias("color"), F.when(k % 5 == 0, 4.0).alias("width"))
 
-    return table(spark, sf_dir, "events").where("event_type = 'view'").select(
+    return table(spark, sf_dir, "events").where("event_type IN ('view', 'signup')").select(
         k.alias("request_id"),
         F.col("user_id").alias("doc_id"),
         (k % 3).cast("int").alias("page"),

@@ -26,8 +26,8 @@ def use_rocksdb(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def read_folder(spark: SparkSession, path: str, schema, glob: str | None = None, files_per_trigger: int | None = None) -> DataFrame:
-    """Parquet files of a folder as a stream, in arrival order."""
+def read_folder(spark: SparkSession, path: str, schema, glob: str | None = None, files_per_trigger: int | None = 64) -> DataFrame:
+    """Parquet files of a folder as a stream, in arrival order; ``files_per_trigger`` bounds a micro-batch."""
     reader = spark.readStream.schema(schema)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
@@ -73,16 +73,56 @@ def stream_ingest(docs: DataFrame, path: str, checkpoint: str, accept, analyse,
     )
 
 
+# --- state that goes with time ------------------------------------------------------
+
+
+class _Evicting(StatefulProcessor):
+    """A processor whose state for a key goes ``ttl_ms`` of event time after the key's last event."""
+
+    columns: list[str]
+
+    def __init__(self, ttl_ms: int):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.due = handle.getValueState("due", "at bigint")
+
+    def keep_until(self, ms: int) -> None:
+        at, known = ms + self.ttl_ms, self.due.get()
+        if known is None or at > known[0]:
+            if known is not None:
+                self.handle.deleteTimer(known[0])
+            self.due.update((at,))
+            self.handle.registerTimer(at)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.due.clear()
+        self.forget()
+        yield pd.DataFrame(columns=self.columns).astype(object)
+
+    def close(self) -> None:
+        pass
+
+
 # --- rate limit ------------------------------------------------------------------
 
 
-class _RateLimiter(StatefulProcessor):
-    def __init__(self, window_s: int, limit: int):
+class _RateLimiter(_Evicting):
+    columns = ["request_id", "key", "admitted", "late"]
+
+    def __init__(self, window_s: int, limit: int, late_s: int):
+        # a key without requests for a whole window has nothing left that counts
+        super().__init__((window_s + late_s) * 1000)
         self.width, self.limit = window_s * 1_000_000, limit
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
         self.times = handle.getValueState("admitted", "times array<bigint>, latest bigint")
 
+    def forget(self) -> None:
+        self.times.clear()
+
     def handleInputRows(self, key, rows, timerValues):
         known = self.times.get()
         times, latest = ([], None) if known is None else (list(known[0]), known[1])
@@ -97,18 +137,22 @@ class _RateLimiter(StatefulProcessor):
             latest = us
             out.append((request, key[0], live.offer(us, 1) == 1, False))
         self.times.update(([int(t) for t in live.times], latest))
-        yield pd.DataFrame(out, columns=["request_id", "key", "admitted", "late"])
-
-    def close(self) -> None:
-        pass
+        self.keep_until(latest // 1000)
+        yield pd.DataFrame(out, columns=self.columns)
 
 
 def stream_rate_limit(
-    requests: DataFrame, window_s: int = fv.RATE_LIMIT_WINDOW_S, limit: int = fv.RATE_LIMIT_REQUESTS, key: str | None = None
+    requests: DataFrame,
+    window_s: int = fv.RATE_LIMIT_WINDOW_S,
+    limit: int = fv.RATE_LIMIT_REQUESTS,
+    key: str | None = None,
+    late_s: int = 86_400,
 ) -> DataFrame:
     """Admission of ``requests(request_id, ts)`` per key, continuously.
 
-    A request older than one already decided is marked late and not counted.
+    A request older than one already decided is marked late and not counted; one
+    that is ``late_s`` seconds behind the whole stream is dropped. A key's state
+    goes when that time and a window have passed without a request.
     """
     owner = F.lit("all") if key is None else F.col(key).cast("string")
     us = F.unix_micros(F.col("ts").cast("timestamp"))
@@ -122,44 +166,52 @@ def stream_rate_limit(
     )
     use_rocksdb(requests.sparkSession)
     return (
-        requests.select("request_id", owner.alias("key"), us.alias("us"))
+        requests.select("request_id", owner.alias("key"), us.alias("us"), F.col("ts").cast("timestamp").alias("ts"))
+        .withWatermark("ts", f"{late_s} seconds")
         .groupBy("key")
-        .transformWithStateInPandas(_RateLimiter(window_s, limit), schema, "Append", "None")
+        .transformWithStateInPandas(_RateLimiter(window_s, limit, late_s), schema, "Append", "EventTime")
     )
 
 
 # --- history ---------------------------------------------------------------------
 
 
-class _Replayer(StatefulProcessor):
-    def __init__(self, depth: int):
-        self.depth = depth
+class _Replayer(_Evicting):
+    def __init__(self, depth: int, ttl_h: int):
+        super().__init__(ttl_h * 3_600_000)
+        self.depth, self.columns = depth, [f.name for f in HISTORY_SCHEMA]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.stack = handle.getValueState("stack", "done int, seqs array<bigint>, names array<string>")
+        super().init(handle)
+        self.stack = handle.getValueState("stack", "done int, seqs array<bigint>, names array<string>, latest bigint")
 
     def handleInputRows(self, key, rows, timerValues):
         known = self.stack.get()
-        done, seqs, names = (0, [], []) if known is None else (known[0], list(known[1]), list(known[2]))
+        done, seqs, names, latest = (0, [], [], -1) if known is None else (known[0], list(known[1]), list(known[2]), known[3])
         stack = _Stack(seqs, done, self.depth)
         label = dict(zip(seqs, names))
         pdf = _in_order(rows, ["seq"])
         out = []
         for seq, action, operation in zip(pdf["seq"], pdf["action"], pdf["operation"]):
             seq = int(seq)
+            if seq <= latest:
+                out.append((key[0], seq, action, None, None, None, None, None, None, True))
+                continue
+            latest = seq
             if action == "edit":
                 label[seq] = operation
             ok, target = stack.apply(action, seq)
             undone = fv.UNDO_MARKER if target == -1 else label.get(target)
             out.append(
                 (key[0], seq, action, "ok" if ok else "error", stack.entries, stack.done - 1, stack.done > 0,
-                 stack.done < len(stack.refs), undone)
+                 stack.done < len(stack.refs), undone, False)
             )
-        self.stack.update((stack.done, [int(s) for s in stack.refs], [label[s] for s in stack.refs]))
-        yield pd.DataFrame(out, columns=[f.name for f in HISTORY_SCHEMA])
+        self.stack.update((stack.done, [int(s) for s in stack.refs], [label[s] for s in stack.refs], latest))
+        self.keep_until(int(pdf["ms"].max()))
+        yield pd.DataFrame(out, columns=self.columns)
 
-    def close(self) -> None:
-        pass
+    def forget(self) -> None:
+        self.stack.clear()
 
 
 HISTORY_SCHEMA = T.StructType(
@@ -173,17 +225,26 @@ HISTORY_SCHEMA = T.StructType(
         T.StructField("can_undo", T.BooleanType()),
         T.StructField("can_redo", T.BooleanType()),
         T.StructField("target_operation", T.StringType()),
+        T.StructField("late", T.BooleanType()),
     ]
 )
 
 
-def stream_history(log: DataFrame, depth: int = fv.HISTORY_DEPTH) -> DataFrame:
-    """Outcome of every edit, undo and redo of ``log(doc_id, seq, action, operation)`` as it arrives."""
+def stream_history(log: DataFrame, depth: int = fv.HISTORY_DEPTH, ttl_h: int = fv.DOCUMENT_TTL_HOURS) -> DataFrame:
+    """Outcome of every edit, undo and redo of ``log(doc_id, seq, action, operation, ts)`` as it arrives.
+
+    Outcomes are final when given, so an event older than one already applied is
+    marked late, has no outcome and changes nothing. The state of a document goes
+    ``ttl_h`` hours of event time after its last event, which is also how far an
+    event may be behind the stream.
+    """
     use_rocksdb(log.sparkSession)
     return (
-        log.select("doc_id", "seq", "action", "operation")
+        log.select("doc_id", "seq", "action", "operation", F.col("ts").cast("timestamp").alias("ts"))
+        .withColumn("ms", F.unix_millis("ts"))
+        .withWatermark("ts", f"{ttl_h} hours")
         .groupBy("doc_id")
-        .transformWithStateInPandas(_Replayer(depth), HISTORY_SCHEMA, "Append", "None")
+        .transformWithStateInPandas(_Replayer(depth, ttl_h), HISTORY_SCHEMA, "Append", "EventTime")
     )
 
 

@@ -5,13 +5,14 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from quire.session import local_session  # noqa: E402
+from quire.session import clean_shared, local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark():
     session = local_session(4, partitions=4, memory="6g")
     yield session
+    clean_shared(session)
     session.stop()
 
 

@@ -190,6 +190,8 @@ def test_forms(table):
     assert data["Name"] == "" and data["Agree"] == "true" and data["No"] == "false" and "" not in data
     up = table("doc_id long, field_name string, value string", (1, "Name", "Eve"), (1, "Nope", "x"))
     assert {r.field_value for r in forms.fill_forms(w, up).collect()} == {"Eve", "q"}
+    twice = table("doc_id long, field_name string, value string, seq int", (1, "Name", "Eve", 2), (1, "Name", "Ann", 1))
+    assert sorted(r.field_value for r in forms.fill_forms(w, twice).collect()) == ["Eve", "q"]
     assert [r.error for r in forms.unknown_fields(w, up).collect()] == ["Field 'Nope' not found"]
     assert forms.form_summary(table("doc_id long", (1,), (2,)), fields).orderBy("doc_id").collect()[1].has_forms is False
 
@@ -202,9 +204,14 @@ def test_page_operations(table, pages):
     edit = table("doc_id long, page int, new_rotation int", (1, 0, 90), (1, 1, None), (1, 99, 90))
     assert [r.rotation for r in pageset.rotate_pages(pages, edit).orderBy("page").collect()] == [90, 90, 0]
     assert pageset.invalid_pages(pages, edit).first().page == 99
+    turns = table("doc_id long, page int, new_rotation int, seq int", (1, 0, None, 1), (1, 0, None, 2), (1, 1, None, 1), (1, 1, 180, 2), (1, 1, None, 3))
+    assert [r.rotation for r in pageset.rotate_pages(pages, turns).orderBy("page").collect()] == [180, 270, 0]
     cut = "doc_id long, start int, end int"
     for start, end, left in ((1, 1, 2), (2, 2, 2), (0, 2, 3), (5, 5, 3), (-1, 0, 3), (2, 1, 3)):
         assert pageset.delete_pages(pages, table(cut, (1, start, end))).count() == left
+    left = pageset.delete_pages(pages, table(cut, (1, 0, 0), (1, 0, 1)))
+    assert [(r.page, r.text) for r in left.collect()] == [(0, "Page Three")]
+    assert pageset.delete_pages(pages, table(cut, (1, 0, 1), (1, 2, 2))).count() == 3
     left = pageset.delete_pages(pages, table(cut, (1, 0, 1)))
     assert [(r.page, r.text) for r in left.collect()] == [(0, "Page Three")]
     order = "doc_id long, page_order array<int>"

@@ -1,12 +1,16 @@
 """Scans, scalar text, search, entities, topics, languages on hand-made rows."""
 
+import difflib
+import random
+
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
 from quire import fixed_values as fv
 from quire.functions import text as ft
-from quire.operators import compare, entities, ingest, language, search, text, topics
+from quire.functions.joins import join_per_key
+from quire.operators import compare, entities, ingest, language, search, tables, text, topics
 
 
 def one(spark, value, make):
@@ -40,8 +44,12 @@ def test_refresh_is_incremental(spark, table, tmp_path):
         return todo.select("doc_id", "content_hash")
 
     ingest.refresh(table("doc_id long, text string", (1, "a"), (2, "b")), path, analyse)
-    ingest.refresh(table("doc_id long, text string", (1, "a"), (2, "changed"), (3, "c")), path, analyse)
+    now = table("doc_id long, text string", (1, "a"), (2, "changed"), (3, "c"))
+    got = ingest.refresh(now, path, analyse)
     assert seen == [[1, 2], [2, 3]]
+    # one current analysis for each document, that of its present text
+    want = now.select("doc_id", ingest.content_hash(F.col("text")).alias("content_hash"))
+    assert sorted(rows(got)) == sorted(rows(want))
 
 
 def test_page_lookup_and_spans(table, pages, spans):
@@ -262,6 +270,68 @@ def test_document_diff(table):
     assert (change.pages_added, change.pages_removed) == (0, 0)
 
 
+def test_diff_counts_lines_that_look_like_marks(table):
+    p = table("doc_id long, page int, text string", (1, 0, "a\n--x"), (2, 0, "a\n++y\n+++z"))
+    pairs = table("pair_id long, doc_a long, doc_b long", (9, 1, 2))
+    got = compare.document_diff(p, pairs).first()
+    assert (got.lines_added, got.lines_removed) == (2, 1)
+
+
+def test_alignment_equals_the_standard_diff():
+    rnd = random.Random(1)
+    for k in range(600):
+        a = [rnd.choice("abcdefgh" + "xyz" * (k % 3)) for _ in range(rnd.choice([0, 1, 3, 8, 20, 250] if k % 20 == 0 else [0, 3, 20]))]
+        b = list(a)
+        for _ in range(rnd.randint(0, 6)):
+            if b and rnd.random() < 0.5:
+                del b[rnd.randrange(len(b))]
+            else:
+                b.insert(rnd.randint(0, len(b)), rnd.choice("abcdefgh++-"))
+        want = list(difflib.unified_diff(a, b, "x", "y", lineterm=""))[2:]
+        assert compare._hunks(a, b, compare._Alignment(a, b).edits()) == want
+
+
+def test_matches_keep_their_place_where_lower_case_is_longer(table):
+    s = table("doc_id long, page int, text string, x0 double, x1 double", (1, 0, "\u0130\u0130 The end", 0.0, 10.0))
+    found = search.find_matches(s, "the").first()
+    assert (found.start, found.match_x0, found.match_x1) == (3, 3.0, 6.0)
+    gone = search.delete_text(s, "the").first()
+    assert (gone.deleted, gone.text) == (1, "\u0130\u0130  end")
+
+
+def test_header_belongs_to_its_column(table):
+    c = "doc_id long, page int, table_index int, r int, c int, cell string"
+    cells = table(c, *[(1, 0, 0, 0, i, x) for i, x in ((0, "A"), (2, "C"))], *[(1, 0, 0, 1, i, str(i)) for i in range(4)])
+    got = tables.tables_from_cells(cells).first()
+    assert got.headers == ["A", "col_1", "C"]
+    assert [(p.key, p.value) for p in got.pairs] == [("A", "0"), ("col_1", "1"), ("C", "2"), ("col_3", "3")]
+
+
+def test_a_key_with_half_the_rows_is_split(spark):
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10k",
+    }
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        key = F.when(F.col("id") % 2 == 0, F.lit(0)).otherwise(F.col("id"))
+        big = spark.range(40_000).repartition(8).select(key.alias("doc_id"), F.sha2(F.col("id").cast("string"), 256).alias("x"))
+        small = big.groupBy("doc_id").agg(F.count("*").alias("n"))
+        joined = join_per_key(big, small, ["doc_id"])
+        got = joined.groupBy().agg(F.sum("n"), F.count("*")).first()
+        assert tuple(got) == (20_000 * 20_000 + 20_000, 40_000)
+        joined.collect()
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_doc_context(table, pages):
     focus = table("doc_id long, current_page int", (1, 1))
     got = rows(compare.doc_context(pages, focus).select("section", "page", "context"), "section", "page")
