@@ -58,11 +58,20 @@ def text_fields(pages: DataFrame) -> DataFrame:
 def form_fields(pages: DataFrame, widgets: DataFrame | None = None) -> DataFrame:
     """Widgets and text fields; (page, part, pos) is the field order of a document.
 
-    ``widgets(doc_id, page, pos, field_name, field_type, field_value)``.
+    ``widgets(doc_id, page, pos, field_name, field_type, field_value)``, and where the
+    table has them ``options`` (array of string) and ``is_read_only``. Fields found in
+    text are ``detected``; they have no options and can be written.
     """
-    found = text_fields(pages)
+    found = text_fields(pages).select(
+        "*",
+        F.lit(None).cast("array<string>").alias("options"),
+        F.lit(False).alias("is_read_only"),
+        F.lit(True).alias("detected"),
+    )
     if widgets is None:
         return found
+    options = F.col("options") if "options" in widgets.columns else F.lit(None).cast("array<string>")
+    read_only = F.coalesce("is_read_only", F.lit(False)) if "is_read_only" in widgets.columns else F.lit(False)
     checked = F.when(F.col("field_type") == "checkbox", F.col("field_value") == "Yes")
     return widgets.select(
         "doc_id",
@@ -73,6 +82,9 @@ def form_fields(pages: DataFrame, widgets: DataFrame | None = None) -> DataFrame
         "field_type",
         F.coalesce("field_value", F.lit("")).alias("field_value"),
         checked.alias("checked"),
+        options.alias("options"),
+        read_only.alias("is_read_only"),
+        F.lit(False).alias("detected"),
     ).unionByName(found)
 
 

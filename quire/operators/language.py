@@ -70,5 +70,11 @@ def language_of(text: Column) -> Column:
     return let(facts, decide)
 
 
+def language_shares(docs: DataFrame) -> DataFrame:
+    """One row per document and language with any of its indicator words: the rounded score."""
+    scores = docs.select("doc_id", F.explode(language_scores(F.col("text"))).alias("s"))
+    return scores.where("s.score > 0").select("doc_id", F.col("s.language").alias("language"), F.round("s.score", 2).alias("score"))
+
+
 def detect_language(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", language_of(F.col("text")).alias("l")).select("doc_id", "l.*")

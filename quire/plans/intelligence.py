@@ -169,6 +169,11 @@ def _(spark, sf):
     return language.detect_language(_script_docs(spark, sf))
 
 
+@query("language_scores", P.sql([SD, language_ctes("sd")], "SELECT doc_id, lang AS language, round(score, 2) AS score FROM sc"))
+def _(spark, sf):
+    return language.language_shares(_script_docs(spark, sf))
+
+
 @query(
     "page_similarity",
     P.sql(P.PG, f""",

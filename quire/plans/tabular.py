@@ -71,12 +71,25 @@ ff AS (
 
 
 def _fields(spark, sf):
-    return forms.form_fields(corpus.form_pages(spark, sf), corpus.widgets(spark, sf))
+    """Combo boxes offer two segments; the names of every third page are read-only."""
+    segments = F.array(F.col("field_value"), F.lit("OTHER"))
+    widgets = corpus.widgets(spark, sf).withColumns(
+        {
+            "options": F.when(F.col("field_type") == "combobox", segments),
+            "is_read_only": (F.col("field_type") == "text") & (F.col("page") % 3 == 0),
+        }
+    )
+    return forms.form_fields(corpus.form_pages(spark, sf), widgets)
 
 
-@query("form_fields", P.sql([P.FP, P.WI, FF], "SELECT * FROM ff"))
+@query(
+    "form_fields",
+    P.sql([P.FP, P.WI, FF], """
+    SELECT *, CASE WHEN field_type = 'combobox' THEN field_value || '|OTHER' END AS options,
+           part = 0 AND field_type = 'text' AND page % 3 = 0 AS is_read_only, part > 0 AS detected FROM ff"""),
+)
 def _(spark, sf):
-    return _fields(spark, sf)
+    return _fields(spark, sf).withColumn("options", F.array_join("options", "|"))
 
 
 @query(
