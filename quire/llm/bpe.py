@@ -40,7 +40,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import small_batches, text_of
+from quire.llm.common import small_batches, text_of, worker_store
 
 # stores are dropped whole beyond these sizes and filled anew: memory stays bounded, results do not change
 KEPT_STATES = 400_000
@@ -291,11 +291,11 @@ class Codec:
 
 def codec_of(name: str, pattern: str) -> Codec:
     """The codec of a rank file that ``SparkContext.addFile`` has sent, one for each worker process."""
-    kept = hashlib.__dict__.setdefault("_quire_codecs", {})
-    if name not in kept:
+    kept = worker_store()
+    if (name, pattern) not in kept:
         with open(SparkFiles.get(name), "rb") as lines:
-            kept[name] = Codec(read_ranks(lines), pattern)
-    return kept[name]
+            kept[name, pattern] = Codec(read_ranks(lines), pattern)
+    return kept[name, pattern]
 
 
 def send_file(df: DataFrame, path: str) -> str:

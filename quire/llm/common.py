@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -133,6 +135,11 @@ def held_remainder(key: str, parts: int):
     return F.crc32(F.col(key).cast("string").cast("binary")) % F.lit(parts)
 
 
+def worker_store() -> dict:
+    """A dictionary that lasts as long as the worker process: functions and their globals arrive anew with each task."""
+    return sys.modules.setdefault("_quire_worker", types.ModuleType("_quire_worker")).__dict__
+
+
 def small_batches(df: DataFrame) -> None:
     """Arrow batches of at most 2,000 rows, so that a batch of long texts fits beside its working arrays."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")

@@ -126,5 +126,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
                 }
             )
 
-    schema = "doc_id long, held_out boolean, score double, predicted int"
-    return stats.select("doc_id", "held_out", *NAMES).mapInPandas(score, schema)
+    # the id goes as text: beside a null, pandas would round a large number
+    schema = "doc_id string, held_out boolean, score double, predicted int"
+    scored = stats.select(F.col("doc_id").cast("string"), "held_out", *NAMES).mapInPandas(score, schema)
+    return scored.withColumn("doc_id", F.col("doc_id").cast("long"))

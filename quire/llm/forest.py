@@ -132,8 +132,10 @@ def quality_rules(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
             yield pdf
 
     names = [f for f in stats.columns if f not in ("doc_id", "base_failed")]
-    schema = "doc_id long, " + ", ".join(f"{n} long" for n in names) + ", base_failed boolean, score double"
-    scored = cut_lineage(stats.select("doc_id", *names, "base_failed").mapInPandas(score, schema))
+    # the id goes as text: beside a null, pandas would round a large number
+    schema = "doc_id string, " + ", ".join(f"{n} long" for n in names) + ", base_failed boolean, score double"
+    scored = stats.select(F.col("doc_id").cast("string"), *names, "base_failed").mapInPandas(score, schema)
+    scored = cut_lineage(scored.withColumn("doc_id", F.col("doc_id").cast("long")))
     cut = calibrate(scored, labels)
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("score") < cut))
 

@@ -34,7 +34,7 @@ from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import small_batches, text_of
+from quire.llm.common import small_batches, text_of, worker_store
 from quire.session import cut_lineage
 
 SEQUENCE = 4096
@@ -116,7 +116,7 @@ class Words:
 
 def words_of(name: str) -> Words:
     """The tokenizer of a file that ``SparkContext.addFile`` has sent, one for each worker process."""
-    kept = zlib.__dict__.setdefault("_quire_words", {})
+    kept = worker_store()
     if name not in kept:
         kept[name] = Words(SparkFiles.get(name))
     return kept[name]
