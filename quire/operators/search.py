@@ -147,6 +147,24 @@ def question_bundle(
     )
 
 
+def question_answers(questions: DataFrame, entities: DataFrame, tables: DataFrame) -> DataFrame:
+    """What each question routes to, one row per answer: query_id, doc_id, kind, name, value.
+
+    ``entities(doc_id, entity_type, value)`` answer questions that ask for
+    entities, ``tables(doc_id, page, table_index, row_count)`` those that ask for tables.
+    """
+    wants_entities, wants_tables = routing_flags(F.col("question"))
+    asked = questions.select("query_id", "doc_id", wants_entities.alias("_entities"), wants_tables.alias("_tables"))
+    named = asked.where("_entities").join(entities, "doc_id")
+    named = named.select("query_id", "doc_id", F.lit("entity").alias("kind"), F.col("entity_type").alias("name"), "value")
+    place = F.format_string("page %d, table %d", F.col("page") + 1, F.col("table_index"))
+    found = asked.where("_tables").join(tables, "doc_id")
+    found = found.select(
+        "query_id", "doc_id", F.lit("table").alias("kind"), place.alias("name"), F.col("row_count").cast("string").alias("value")
+    )
+    return named.unionByName(found)
+
+
 def validate_replacement(spans: DataFrame, edits: DataFrame) -> DataFrame:
     """Check that the new text is in each edited region and does not run past it.
 

@@ -153,6 +153,25 @@ def _(spark, sf):
     return search.question_bundle(corpus.blocks(spark, sf), q, lengths, ents, tabs)
 
 
+@query(
+    "question_answers",
+    P.sql([P.PG, P.CELLS, HB], f""",
+    q AS (SELECT doc_id, {P.lits(ASK)}[doc_id % 4 + 1] AS question FROM documents),
+    ents AS (SELECT DISTINCT doc_id, entity_type, value FROM ({P.entity_rows("pg")}))
+    SELECT doc_id AS query_id, doc_id, 'entity' AS kind, entity_type AS name, value FROM q JOIN ents USING (doc_id)
+    WHERE regexp_matches(question, '{fv.ASKS_ENTITIES}')
+    UNION ALL
+    SELECT doc_id, doc_id, 'table', 'page ' || (page + 1) || ', table ' || table_index, n::VARCHAR
+    FROM q JOIN (SELECT doc_id, page, table_index, count(DISTINCT r) AS n FROM kv GROUP BY ALL) USING (doc_id)
+    WHERE regexp_matches(question, '{fv.ASKS_TABLES}')""".lstrip()),
+)
+def _(spark, sf):
+    d = corpus.docs(spark, sf)
+    q = d.select(F.col("doc_id").alias("query_id"), "doc_id", corpus._pick(ASK, F.col("doc_id") % 4).alias("question"))
+    found = entities.entities(corpus.pages(spark, sf)).select("doc_id", "entity_type", "value")
+    return search.question_answers(q, found, tables.table_catalog(tables.tables_from_cells(corpus.cells(spark, sf))))
+
+
 @query(
     "validate_replacement",
     P.sql(P.SP, f""",
