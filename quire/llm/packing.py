@@ -39,7 +39,7 @@ from quire.session import cut_lineage
 
 SEQUENCE = 4096
 END_ID = 1
-KEPT_WORDS = 1_000_000  # words remembered by a worker; beyond this the store is filled anew
+KEPT_WORDS = 200_000  # words a worker remembers, and as many it has met before those
 
 _blank = re.compile("[ \t\n\r\f\v]+").split
 # characters whose composition and lower case are the same whatever stands beside them
@@ -68,6 +68,7 @@ class Words:
         self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
         self.cut = regex.compile(made["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
         self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
     def _learn_parts(self, new: list[str]) -> None:
@@ -86,7 +87,11 @@ class Words:
 
     def _learn(self, new: list[str]) -> None:
         if len(self.known) + len(new) > KEPT_WORDS:
-            self.known = {"": b""}
+            self.known, self.older = {"": b""}, self.known
+        again = [w for w in new if w in self.older]
+        if again:
+            self.known.update((w, self.older[w]) for w in again)
+            new = [w for w in new if w not in self.known]
         if len(self.parts) > KEPT_WORDS:
             self.parts = {}
         plain = {w: self.cut(w.lower()) for w in new if _plain(w) and "<|" not in w}
@@ -94,7 +99,7 @@ class Words:
         get = self.parts.__getitem__
         for w, ps in plain.items():
             self.known[w] = get(ps[0]) if len(ps) == 1 else b"".join(map(get, ps))
-        other = [w for w in new if w not in plain]
+        other = [w for w in new if w and w not in plain]
         if other:
             for w, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
                 self.known[w] = np.array(e.ids, "<u4").tobytes()
