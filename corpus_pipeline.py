@@ -25,8 +25,11 @@ from quire.session import cut_lineage
 
 
 def _chosen(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is in ``ids``, which is written first so that both sides are plain."""
-    return docs.join(cut_lineage(ids.select("doc_id").distinct()), "doc_id", "left_semi")
+    """The rows of ``docs`` whose id is in ``ids``, which is written first so that both sides are plain.
+
+    The ids grow with the documents, so the join is a sorted one at any size.
+    """
+    return docs.join(cut_lineage(ids.select("doc_id").distinct()).hint("merge"), "doc_id", "left_semi")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

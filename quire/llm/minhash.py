@@ -202,7 +202,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     )
     same = ["print_a", "print_b", "n_shingles"]
     heads = cut_lineage(signed.where("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("set_id")))
-    chosen = signed.join(heads.select(F.col("set_id").alias("doc_id")), "doc_id")
+    # a sorted join at any size, as the heads grow with the documents
+    chosen = signed.join(heads.select(F.col("set_id").alias("doc_id")).hint("merge"), "doc_id")
     chosen = cut_lineage(chosen.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bands", *sketch))
     facts = chosen.select("id", "n", "bands", *sketch)
 
