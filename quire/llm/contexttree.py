@@ -10,12 +10,13 @@ Pw needs only the sums of the level below, so the whole tree is ``DEPTH`` + 1
 aggregations by node, over all training text. A prediction goes down the
 contexts of a choice and mixes the estimates of all depths by these weights.
 
-Scoring looks nodes up, in memory: those that hold at least ``SHARE`` of the
-training symbols, at every depth the same rule whatever the corpus size. A depth
-and bit level has at most 1 / SHARE of them, so the table is at most
-8 * (DEPTH + 1) / SHARE nodes of 16 bytes (168 MB; some 4 MB on the test
-tables). Below a node that is not held the mixture ends with the estimate there,
-so all predictions still sum to one.
+The table of grams holds every distinct gram (a symbol and the ``DEPTH`` before it)
+of the texts to be scored, those of held-out texts with count 0: these change no
+weight, and at a node without symbols the mixture ends with the estimate of the node
+above, so all predictions sum to one. One pass down the whole tree gives every gram
+its probability; the table grows with the corpus and no node is left out. Grams
+with at least ``GRAM_SHARE`` of all symbols, so at most 1 / GRAM_SHARE of them
+(34 MB), are sent to the tasks; all others meet their probabilities in a join.
 
 The base is the add-0.1 unigram of words and one end per text. Words with at
 least ``WORD_SHARE`` of the training tokens, so at most 1 / WORD_SHARE of them,
@@ -31,6 +32,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,7 +50,7 @@ from quire.llm.common import (
 from quire.session import cut_lineage
 
 DEPTH = 4
-SHARE = 2.0**-18
+GRAM_SHARE = 2.0**-21
 WORD_SHARE = 2.0**-17
 END = 0xFF  # no byte of UTF-8; also stands before a text begins
 HELD = 1 << 21  # distinct keys a task gathers before it passes them on
@@ -80,36 +82,49 @@ def _add(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _counted(batches):
-    """(kind, key, n) of training texts: 0 words by hash, 1 grams, 2 texts; combined within the task."""
-    held = {0: [], 1: []}
+    """(kind, key, n, seen) of texts (held_out, text): 0 words by hash, 1 grams, 2 texts; combined within the task.
+
+    ``n`` counts training texts, ``seen`` all; words and texts are those of training only.
+    """
+    held = {(0, True): [], (1, True): [], (1, False): []}
     texts = 0
 
-    def passed(kind):
-        keys, counts = _add(np.concatenate([k for k, _ in held[kind]]), np.concatenate([c for _, c in held[kind]]))
-        held[kind] = []
+    def passed(kind, train):
+        parts = held[kind, train]
+        keys, counts = _add(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]))
+        held[kind, train] = []
+        counts = counts.astype(np.int64)
         return pa.RecordBatch.from_pydict(
-            {"kind": np.full(len(keys), kind, np.int32), "key": keys.view(np.int64), "n": counts.astype(np.int64)}
+            {"kind": np.full(len(keys), kind, np.int32), "key": keys.view(np.int64), "n": counts * train, "seen": counts}
         )
 
     for batch in batches:
-        data, at = column_bytes(batch.column(0))
-        texts += len(at) - 1
-        for i, j in slices(at):
-            part, bounds = data[at[i] : at[j]], at[i : j + 1] - at[i]
-            low = LOWER[part]
-            start, end, _ = word_spans(low, bounds)
-            words = span_hash(prefix_hash(low), start, end)
-            for kind, keys in ((0, words), (1, grams(part, bounds)[0])):
-                held[kind].append(np.unique(keys, return_counts=True))
-                if sum(len(k) for k, _ in held[kind]) > HELD:
-                    keys, counts = _add(np.concatenate([k for k, _ in held[kind]]), np.concatenate([c for _, c in held[kind]]))
-                    held[kind] = [(keys, counts)]
-                    if len(keys) > HELD // 2:
-                        yield passed(kind)
-    for kind in held:
-        if held[kind]:
-            yield passed(kind)
-    yield pa.RecordBatch.from_pydict({"kind": np.array([2], np.int32), "key": np.array([0]), "n": np.array([texts])})
+        out = batch.column(0)
+        for train, mine in ((True, batch.filter(pc.invert(out))), (False, batch.filter(out))):
+            if not mine.num_rows:
+                continue
+            data, at = column_bytes(mine.column(1))
+            texts += (len(at) - 1) * train
+            for i, j in slices(at):
+                part, bounds = data[at[i] : at[j]], at[i : j + 1] - at[i]
+                found = {1: grams(part, bounds)[0]}
+                if train:
+                    low = LOWER[part]
+                    start, end, _ = word_spans(low, bounds)
+                    found[0] = span_hash(prefix_hash(low), start, end)
+                for kind, keys in found.items():
+                    held[kind, train].append(np.unique(keys, return_counts=True))
+                    parts = held[kind, train]
+                    if sum(len(k) for k, _ in parts) > HELD:
+                        keys, counts = _add(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]))
+                        held[kind, train] = [(keys, counts)]
+                        if len(keys) > HELD // 2:
+                            yield passed(kind, train)
+    for kind, train in held:
+        if held[kind, train]:
+            yield passed(kind, train)
+    ends = np.array([texts])
+    yield pa.RecordBatch.from_pydict({"kind": np.array([2], np.int32), "key": np.array([0]), "n": ends, "seen": ends})
 
 
 def _log_gamma(x):
@@ -126,14 +141,18 @@ def _log_kt(a, b):
     return _log_gamma(a + 0.5) + _log_gamma(b + 0.5) - _log_gamma(a + b + 1.0) - 1.1447298858494002
 
 
-def tree(counts: DataFrame) -> DataFrame:
-    """(depth, ctx, node, total, q0): held nodes with the mixed probability of a 0 there; ``counts`` (key, n) of grams."""
+def _choices(counts: DataFrame) -> DataFrame:
+    """``counts`` with the eight choices of every gram ``key``: (ctx, node, one)."""
     byte = F.col("key").bitwiseAND(F.lit(255))
-    bits = F.explode(F.sequence(F.lit(0), F.lit(7))).alias("bit")
-    rows = counts.select(F.shiftright("key", 8).alias("ctx"), byte.alias("byte"), "n", bits)
-    node = F.expr("shiftleft(1L, bit) | shiftright(byte, 8 - bit)")
-    one = F.expr("shiftright(byte, 7 - bit) & 1")
-    rows = rows.select("ctx", node.alias("node"), F.when(one == 0, F.col("n")).otherwise(0).alias("a"), F.when(one == 1, F.col("n")).otherwise(0).alias("b"))
+    rows = counts.select("*", F.shiftright("key", 8).alias("ctx"), byte.alias("byte"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("bit"))
+    node, one = F.expr("shiftleft(1L, bit) | shiftright(byte, 8 - bit)"), F.expr("shiftright(byte, 7 - bit) & 1")
+    return rows.select(*counts.columns, "ctx", node.alias("node"), one.alias("one"))
+
+
+def tree(counts: DataFrame) -> DataFrame:
+    """(ctx, node, q0): the mixed probability of a 0 at every deepest node; ``counts`` (key, n) of grams, n may be 0."""
+    a, b = (F.when(F.col("one") == k, F.col("n")).otherwise(0).alias(name) for k, name in enumerate("ab"))
+    rows = _choices(counts).select("ctx", "node", a, b)
     sums = [F.sum("a").alias("a"), F.sum("b").alias("b")]
     level = rows.groupBy("ctx", "node").agg(*sums, F.lit(None).cast("double").alias("below"))
     levels = {}
@@ -154,61 +173,45 @@ def tree(counts: DataFrame) -> DataFrame:
         if depth:
             up = F.col("ctx").bitwiseAND(F.lit((1 << 8 * (depth - 1)) - 1)).alias("ctx")
             level = level.groupBy(up, "node").agg(*sums, F.sum("pw").alias("below"))
-    total = levels[0].where("node = 1").select(F.col("a") + F.col("b")).first()
-    least = float(total[0]) * SHARE if total else 0.0
-    zero = (F.col("a") + 0.5) / (F.col("a") + F.col("b") + 1.0)
-    out, above = None, None
+    total = F.col("a") + F.col("b")
+    zero = (F.col("a") + 0.5) / (total + 1.0)
+    above = None
     for depth in range(DEPTH + 1):
-        here = levels[depth].withColumn("zero", zero).withColumn("total", F.col("a") + F.col("b"))
+        here = levels[depth]
         if depth:
-            here = here.where(F.col("total") >= least)
             up = F.col("ctx").bitwiseAND(F.lit((1 << 8 * (depth - 1)) - 1))
             here = here.withColumn("up", up).join(above, ["up", "node"])
         else:
-            here = here.withColumn("got", F.lit(0.0)).withColumn("rest", F.lit(1.0))
-        made = here.select(F.lit(depth).alias("depth"), "ctx", "node", "total", (F.col("got") + F.col("rest") * F.col("zero")).alias("q0"))
-        out = made if out is None else out.unionByName(made)
+            here = here.withColumn("got", F.lit(0.0)).withColumn("rest", F.lit(1.0)).withColumn("q0", F.lit(0.5))
+        here = here.withColumn("q0", F.when(total == 0, F.col("q0")).otherwise(F.col("got") + F.col("rest") * zero))
         above = here.select(
             F.col("ctx").alias("up"),
             "node",
-            (F.col("got") + F.col("rest") * F.col("stop") * F.col("zero")).alias("got"),
+            "q0",
+            (F.col("got") + F.col("rest") * F.col("stop") * zero).alias("got"),
             (F.col("rest") * (1 - F.col("stop"))).alias("rest"),
         )
-    return out
-
-
-class Tree:
-    """The held nodes in memory: log10 probability of a symbol after its context."""
-
-    def __init__(self, depth: np.ndarray, ctx: np.ndarray, node: np.ndarray, q0: np.ndarray):
-        keys = (depth.astype(np.int64) << 48) | (ctx.astype(np.int64) << 8) | node.astype(np.int64)
-        order = np.argsort(keys)
-        self.keys, self.q0 = keys[order], q0[order]
-
-    def log10(self, grams: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(grams))
-        byte, ctx = (grams & np.uint64(255)).astype(np.int64), (grams >> np.uint64(8)).astype(np.int64)
-        for bit in range(8):
-            node, one = (1 << bit) | (byte >> (8 - bit)), (byte >> (7 - bit)) & 1
-            q = np.full(len(grams), 0.5)
-            open_ = np.arange(len(grams))
-            for depth in range(DEPTH, -1, -1):
-                if not len(open_) or not len(self.keys):
-                    break
-                want = (depth << 48) | ((ctx[open_] & ((1 << 8 * depth) - 1)) << 8) | node[open_]
-                at = np.minimum(np.searchsorted(self.keys, want), len(self.keys) - 1)
-                hit = self.keys[at] == want
-                q[open_[hit]] = self.q0[at[hit]]
-                open_ = open_[~hit]
-            out += np.log10(np.where(one == 1, 1.0 - q, q))
-        return out
-
-
-def _scorer(model: Tree, hot: np.ndarray, hot_log: np.ndarray, end_log: float):
-    """For ``mapInArrow``: what each text (doc_id, held_out, text) has by itself, and its other words' hashes."""
+    return above.select(F.col("up").alias("ctx"), "node", "q0")
+
+
+def gram_scores(counts: DataFrame) -> DataFrame:
+    """(key, seen, log): log10 probability of every gram of ``counts`` (key, n, seen)."""
+    q0 = tree(counts.select("key", "n"))
+    rows = _choices(counts.select("key", "seen")).join(q0, ["ctx", "node"])
+    log = F.log10(F.when(F.col("one") == 1, 1 - F.col("q0")).otherwise(F.col("q0")))
+    return rows.groupBy("key").agg(F.max("seen").alias("seen"), F.sum(log).alias("log"))
+
+
+def _found(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where ``keys`` stand in the sorted ``table``, and which of them do."""
+    at = np.minimum(np.searchsorted(table, keys), max(len(table) - 1, 0))
+    return at, table[at] == keys if len(table) else np.zeros(len(keys), bool)
+
+
+def _scorer(hot_grams: np.ndarray, gram_log: np.ndarray, hot: np.ndarray, hot_log: np.ndarray, end_log: float):
+    """For ``mapInArrow``: what each text (doc_id, held_out, text) has by itself, its other words' hashes and other grams."""
 
     def run(batches):
-        known, value = np.empty(0, np.uint64), np.empty(0)  # grams this task has met
         for batch in batches:
             data, at = column_bytes(batch.column(2))
             for i, j in slices(at):
@@ -217,8 +220,7 @@ def _scorer(model: Tree, hot: np.ndarray, hot_log: np.ndarray, end_log: float):
                 low = LOWER[part]
                 start, end, doc = word_spans(low, bounds)
                 h = span_hash(prefix_hash(low), start, end)
-                pos = np.minimum(np.searchsorted(hot, h), max(len(hot) - 1, 0))
-                is_hot = hot[pos] == h if len(hot) else np.zeros(len(h), bool)
+                pos, is_hot = _found(hot, h)
                 words = np.bincount(doc, minlength=n)
                 hot_n = np.bincount(doc[is_hot], minlength=n)
                 base = np.bincount(doc[is_hot], hot_log[pos[is_hot]] if len(hot) else None, n) + end_log
@@ -226,14 +228,15 @@ def _scorer(model: Tree, hot: np.ndarray, hot_log: np.ndarray, end_log: float):
                 cuts = np.concatenate([[0], np.cumsum(words - hot_n)]).astype(np.int32)
                 g, starts = grams(part, bounds)
                 unique, back = np.unique(g, return_inverse=True)
-                new = np.setdiff1d(unique, known, assume_unique=True)
-                if len(new):
-                    if len(known) > HELD:
-                        known, value, new = np.empty(0, np.uint64), np.empty(0), unique
-                    both, values = np.concatenate([known, new]), np.concatenate([value, model.log10(new)])
-                    order = np.argsort(both)
-                    known, value = both[order], values[order]
-                score = np.add.reduceat(value[np.searchsorted(known, unique)][back], starts)
+                pos, sent = _found(hot_grams, unique)
+                value = np.zeros(len(unique))
+                value[sent] = gram_log[pos[sent]]
+                score = np.add.reduceat(value[back], starts)
+                left = np.flatnonzero(~sent[back])
+                owner = np.searchsorted(starts, left, "right") - 1
+                pairs, times = np.unique(owner * len(unique) + back[left], return_counts=True)
+                rare = unique[pairs % len(unique)].view(np.int64)
+                ends = np.searchsorted(pairs, np.arange(n + 1) * len(unique)).astype(np.int32)
                 yield pa.RecordBatch.from_pydict(
                     {
                         "doc_id": batch.column(0).slice(i, n),
@@ -241,8 +244,10 @@ def _scorer(model: Tree, hot: np.ndarray, hot_log: np.ndarray, end_log: float):
                         "n_tokens": pa.array(words + 1),
                         "n_hot": pa.array(hot_n),
                         "base": pa.array(base),
-                        "score": pa.array(score),
+                        "sent": pa.array(score),
                         "other": pa.ListArray.from_arrays(pa.array(cuts), pa.array(other)),
+                        "rare": pa.ListArray.from_arrays(pa.array(ends), pa.array(rare)),
+                        "times": pa.ListArray.from_arrays(pa.array(ends), pa.array(times.astype(np.int32))),
                     }
                 )
 
@@ -255,8 +260,8 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     texts = text_of(docs, key, text)
     held = F.coalesce(held_remainder("doc_id", 10) == 0, F.lit(False))
     texts = texts.select("doc_id", held.alias("held_out"), "text")
-    counted = texts.where(~F.col("held_out")).select("text").mapInArrow(_counted, "kind int, key long, n long")
-    counts = cut_lineage(counted.groupBy("kind", "key").agg(F.sum("n").alias("n")))
+    counted = texts.select("held_out", "text").mapInArrow(_counted, "kind int, key long, n long, seen long")
+    counts = cut_lineage(counted.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen")))
     ends = counts.where("kind = 2").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     words = counts.where("kind = 0").select("key", "n")
     tokens, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
@@ -267,21 +272,29 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     order = np.argsort(hot["key"].to_numpy(np.int64).view(np.uint64))
     hot_keys = hot["key"].to_numpy(np.int64).view(np.uint64)[order]
     hot_log = np.log10(hot["n"].to_numpy(float)[order] + 0.1)
-    nodes = tree(counts.where("kind = 1").select("key", "n")).toPandas()
-    model = Tree(*(nodes[c].to_numpy() for c in ("depth", "ctx", "node", "q0")))
-    sent = docs.sparkSession.sparkContext.broadcast((model.keys, model.q0, hot_keys, hot_log))
+    scored = cut_lineage(gram_scores(counts.where("kind = 1").drop("kind")))
+    symbols = scored.agg(F.coalesce(F.sum("seen"), F.lit(0))).first()[0]
+    sent_grams = scored.where(F.col("seen") >= max(symbols * GRAM_SHARE, 1.0)).select("key", "log").toPandas()
+    gram_keys = sent_grams["key"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(gram_keys)
+    gram_keys, gram_log = gram_keys[order], sent_grams["log"].to_numpy(float)[order]
+    sent = docs.sparkSession.sparkContext.broadcast((gram_keys, gram_log, hot_keys, hot_log))
     end_log = float(np.log10(ends + 0.1))
 
     def run(batches):
-        keys, q0, words_, logs = sent.value
-        local = Tree.__new__(Tree)
-        local.keys, local.q0 = keys, q0
-        yield from _scorer(local, words_, logs, end_log)(batches)
+        yield from _scorer(*sent.value, end_log)(batches)
 
-    schema = "doc_id long, held_out boolean, n_tokens long, n_hot long, base double, score double, other array<long>"
+    schema = (
+        "doc_id long, held_out boolean, n_tokens long, n_hot long, base double, sent double, other array<long>, "
+        "rare array<long>, times array<int>"
+    )
     alone = cut_lineage(texts.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()))
     other = alone.select("row", F.explode("other").alias("key")).join(words, "key")
-    other = other.groupBy("row").agg(F.count("*").alias("n"), F.sum(F.log10(F.col("n") + 0.1)).alias("logs"))
+    other = other.select("row", F.lit(1).alias("known"), F.log10(F.col("n") + 0.1).alias("logs"), F.lit(0.0).alias("more"))
+    rare = alone.select("row", F.explode(F.arrays_zip("rare", "times")).alias("gram")).select("row", "gram.*")
+    rare = rare.join(scored.select(F.col("key").alias("rare"), "log"), "rare")
+    rare = rare.select("row", F.lit(0).alias("known"), F.lit(0.0).alias("logs"), (F.col("log") * F.col("times")).alias("more"))
+    other = other.unionByName(rare).groupBy("row").agg(F.sum("known").alias("n"), F.sum("logs").alias("logs"), F.sum("more").alias("more"))
     out = alone.join(cut_lineage(other), "row", "left")
     n, end_known = F.coalesce("n", F.lit(0)), F.lit(int(ends > 0))
     unknown = F.size("other") - n
@@ -292,5 +305,5 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
         (F.col("n_hot") + n + end_known).cast("long").alias("n_known"),
         F.lit(int(tokens)).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("logs", F.lit(0.0)) - unknown - F.col("n_tokens") * F.lit(scale)).alias("base_score"),
-        "score",
+        (F.col("sent") + F.coalesce("more", F.lit(0.0))).alias("score"),
     )

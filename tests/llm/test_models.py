@@ -268,6 +268,27 @@ def test_scores_equal_the_context_tree(awkward):
         assert math.isclose(got[i][0], brute_score(b, nodes, stop, contexttree.DEPTH), rel_tol=1e-6)
 
 
+def test_scores_of_rare_contexts_in_a_large_table(docs):
+    rng = random.Random(8)
+    texts = ["ab" * 16000] * 10 + ["".join(rng.choice("abcd é") for _ in range(rng.randint(0, 40))) for _ in range(40)]
+    low = [t.encode() for t in texts]
+    train = [b for i, b in enumerate(low) if zlib.crc32(str(i).encode()) % 10]
+    assert sum(len(b) + 1 for b in train) > 2**18  # a cut at 2**-18 of the symbols left out their rare contexts
+    nodes, stop = brute_tree(train, contexttree.DEPTH)
+    got = by_id(contexttree.score(docs(*texts)), "score")
+    for i, b in list(enumerate(low))[9:]:
+        assert math.isclose(got[i][0], brute_score(b, nodes, stop, contexttree.DEPTH), rel_tol=1e-6)
+
+
+@pytest.mark.parametrize("share", [2.0**-4, 1.0])
+def test_scores_do_not_depend_on_what_is_sent(awkward, monkeypatch, share):
+    texts = [*ODD[:-1], "The the THE cat", "cat dog", "new words only"] * 4
+    whole = by_id(contexttree.score(awkward(*texts)), "score", "base_score")
+    monkeypatch.setattr(contexttree, "GRAM_SHARE", share)
+    part = by_id(contexttree.score(awkward(*texts)), "score", "base_score")
+    assert all(math.isclose(x, y, rel_tol=1e-9) for i in whole for x, y in zip(whole[i], part[i], strict=True))
+
+
 def test_scores_without_training_rows(docs):
     held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0][:2]
     got = by_id(contexttree.score(docs((held[0], "ab"), (held[1], None))), "n_known", "train_tokens", "score")
