@@ -16,9 +16,8 @@ the bucket's smallest id; only where a bucket then still holds more than one
 component are members of different components compared. Before texts are read,
 a pair must agree in size and in a sketch of three bits of each signature value:
 at similarity 0.75 some 400 of the 512 agree with a deviation of 9.4, so the
-bound of 363 costs three such links in a hundred thousand and spares the texts
-of nearly all pairs under 0.65, of which large groups of edited copies have very
-many. A pair comes out of the first band it shares only. Nothing is capped.
+bound of 349 costs seven such links in a hundred million, far fewer than the bands
+themselves; it spares the texts of most pairs well under 0.65. A pair comes out of the first band it shares only. Nothing is capped.
 
 Defined results: null or wordless text has an empty set, links with nothing and
 is kept; one to four words make one shingle of the whole sequence; repeated rows
@@ -58,7 +57,7 @@ _BAND_SALTS = _rng.integers(1, 2**63, BANDS, dtype=np.uint64)
 _WORD_FACTORS = _rng.integers(1, 2**63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SKETCH_BITS = 3
 SKETCH_GROUPS = 2 * PERMUTATIONS // 64
-SKETCH_AGREE = 363  # of 2 * PERMUTATIONS
+SKETCH_AGREE = 349  # of 2 * PERMUTATIONS
 _COLUMNS = 8192  # shingles permuted at once, so that the block stays in cache
 
 

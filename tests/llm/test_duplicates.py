@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 
@@ -67,6 +68,19 @@ def test_near_duplicates_equal_brute_force(awkward, near_texts):
     assert by_id(got, "n_shingles", "component_id", "kept") == brute_components(near_texts)
 
 
+def test_links_whose_sketches_agree_little(docs):
+    # similarity 30 / 40, a shared band, and 361 and 354 agreeing values
+    texts = [" ".join(f"w{seed}x{i}" for i in range(39)) for seed in (34930, 86309)]
+    texts += [t.replace(f"w{seed}x19 ", "other ") for t, seed in zip(texts, (34930, 86309), strict=True)]
+    got = by_id(minhash.near_duplicates(docs(*texts)), "component_id")
+    assert got == {0: (0,), 1: (1,), 2: (0,), 3: (1,)}
+
+
+def test_sketches_lose_fewer_links_than_bands():
+    p, n = 0.75 + 0.25 / 2**minhash.SKETCH_BITS, 2 * minhash.PERMUTATIONS
+    assert sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(minhash.SKETCH_AGREE)) < 1e-7
+
+
 def test_near_duplicates_on_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     texts = dict(docs.select("doc_id", "text").collect())
