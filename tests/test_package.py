@@ -1,6 +1,7 @@
 """The package away from its own folder."""
 
 import os
+import shutil
 import subprocess
 import sys
 
@@ -22,3 +23,13 @@ def test_workers_need_no_copy_of_the_package(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     run = subprocess.run([sys.executable, "-c", CODE.format(root=ROOT)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert "rows 1" in run.stdout, run.stderr[-2000:]
+
+
+def test_entry_without_the_optional_parts(tmp_path):
+    skip = shutil.ignore_patterns("llm", "__pycache__", ".git", "*.json")
+    shutil.copytree(ROOT, tmp_path / "copy", ignore=skip)
+    code = "import __spark_entry__ as e; print(len(e.queries()), 'pipeline' in e.queries(), set(e.oracle_sql()) <= set(e.queries()))"
+    run = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "copy", capture_output=True, text=True, timeout=120)
+    assert run.returncode == 0, run.stderr[-2000:]
+    number, has_pipeline, known = run.stdout.split()
+    assert int(number) > 80 and (has_pipeline, known) == ("False", "True")
