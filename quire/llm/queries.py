@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe, contexttree, discriminant, forest, logtree, minhash, naming, packing, suffixes, template
+from quire.llm import bpe, contexttree, discriminant, forest, logtree, minhash, naming, packing, periods, suffixes, template
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -96,3 +96,8 @@ def op9_line_dedup(spark, sf_dir):
 @query("op10_lm_scoring")
 def op10_lm_scoring(spark, sf_dir):
     return contexttree.score(documents(spark, sf_dir))
+
+
+@query("op11_periodic_runs")
+def op11_periodic_runs(spark, sf_dir):
+    return periods.digests(documents(spark, sf_dir))
