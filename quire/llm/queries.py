@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe, contexttree, discriminant, forest, logtree, minhash, naming, packing, periods, suffixes, template
+from quire.llm import alignment, bpe, contexttree, discriminant, forest, logtree, minhash, naming, packing, periods, sharding, suffixes, template
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -101,3 +101,16 @@ def op10_lm_scoring(spark, sf_dir):
 @query("op11_periodic_runs")
 def op11_periodic_runs(spark, sf_dir):
     return periods.digests(documents(spark, sf_dir))
+
+
+@query("op12_token_alignment")
+def op12_token_alignment(spark, sf_dir):
+    import public_tokenizers
+
+    files = tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model")
+    return alignment.digests(documents(spark, sf_dir), *files, public_tokenizers.PATTERN)
+
+
+@query("op13_sharding")
+def op13_sharding(spark, sf_dir):
+    return sharding.balanced_shards(documents(spark, sf_dir))
