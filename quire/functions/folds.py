@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def fold_sorted(
@@ -19,33 +21,33 @@ def fold_sorted(
 ) -> DataFrame:
     """Walk each group in order, carrying a state from row to row.
 
-    ``begin(row)`` makes the state at a group's first row, ``step(state, row)``
-    returns an output tuple or None, ``end(key, state)`` a last tuple or None.
-    Spark hashes the groups over the tasks and sorts them; Python sees one Arrow
-    batch at a time and keeps one state, so a group may be of any length.
+    Rows are tuples of the columns of ``df``. ``begin(row)`` makes the state at a
+    group's first row, ``step(state, row)`` returns an output tuple or None,
+    ``end(key, state)`` a last tuple or None. Spark hashes the groups over the
+    tasks and sorts them; Python sees the columns of one Arrow batch at a time and
+    keeps one state, so a group may be of any length.
     """
-    names = [part.split()[0] for part in schema.split(",")]
+    made = to_arrow_schema(T.StructType.fromDDL(schema))
+    at = [df.columns.index(g) for g in group]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True) if rows else [[]] * len(made)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, made, strict=True)], schema=made)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, state = None, None
-        for pdf in batches:
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            keys = zip(*(columns[i] for i in at), strict=True)
             out = []
-            for row in pdf.itertuples(index=False):
-                row_key = tuple(getattr(row, g) for g in group)
+            for row_key, row in zip(keys, zip(*columns, strict=True), strict=True):
                 if row_key != key:
                     if key is not None and end is not None:
-                        last = end(key, state)
-                        if last is not None:
-                            out.append(last)
+                        out.append(end(key, state))
                     key, state = row_key, begin(row)
-                made = step(state, row)
-                if made is not None:
-                    out.append(made)
-            if out:
-                yield pd.DataFrame(out, columns=names)
+                out.append(step(state, row))
+            yield table([x for x in out if x is not None])
         if key is not None and end is not None:
-            last = end(key, state)
-            if last is not None:
-                yield pd.DataFrame([last], columns=names)
+            yield table([x for x in (end(key, state),) if x is not None])
 
-    return df.repartition(*group).sortWithinPartitions(*group, *order).mapInPandas(run, schema)
+    return df.repartition(*group).sortWithinPartitions(*group, *order).mapInArrow(run, schema)

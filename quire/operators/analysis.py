@@ -15,18 +15,19 @@ from quire.operators.topics import summary, top_topic_of
 from quire.sources.corpus import page_texts
 
 
-def profile(docs: DataFrame) -> DataFrame:
-    """What ``docs(doc_id, text)`` tells on its own, without a shuffle.
+def profile(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """What ``docs(doc_id, text)`` tells on its own, without a shuffle; the columns ``keep`` come along.
 
     A document is one row, so counts, summary, entities and form fields are
     worked out inside the row, page by page.
     """
-    pages = docs.select("doc_id", "text", page_texts(F.col("text")).alias("_pages"))
+    pages = docs.select("doc_id", *keep, "text", page_texts(F.col("text")).alias("_pages"))
     found = F.flatten(F.transform("_pages", lambda p: entity_matches(p)))
     distinct = F.array_distinct(F.transform(found, lambda e: F.struct(e["entity_type"], e["value"])))
     fields = F.aggregate("_pages", F.lit(0), lambda acc, p: acc + F.size(field_matches(p)))
     return pages.select(
         "doc_id",
+        *keep,
         F.size("_pages").alias("page_count"),
         (F.length("text") + 1).alias("character_count"),
         word_count(F.col("text")).alias("word_count"),

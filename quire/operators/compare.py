@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from quire.functions.joins import join_per_key
 from quire.functions.text import is_blank, strip, words
@@ -50,8 +51,9 @@ def page_similarity(pages: DataFrame, pairs: DataFrame) -> DataFrame:
     )
 
 
-DIFF_SCHEMA = "pair_id long, page int, lines_added int, lines_removed int, diff string"
-EDIT_SCHEMA = "pair_id long, page int, pos int, op string, line string"
+_AT = [("pair_id", pa.int64()), ("page", pa.int32())]
+DIFF_TYPES = pa.schema([*_AT, ("lines_added", pa.int32()), ("lines_removed", pa.int32()), ("diff", pa.string())])
+EDIT_TYPES = pa.schema([*_AT, ("pos", pa.int32()), ("op", pa.string()), ("line", pa.string())])
 CONTEXT = 3  # unchanged lines around a change in a diff
 COMMON_FROM = 200  # pages of so many lines do not align by lines that are more than one in a hundred
 
@@ -130,29 +132,35 @@ def _hunks(old: list[str], new: list[str], edits: list[tuple[str, int, int]]) ->
     return out
 
 
-def _page_edits(batches):
-    """(pair, page, old lines, new lines, edits) of each differing page pair."""
-    for pdf in batches:
-        for pair, page, a, b in zip(pdf["pair_id"], pdf["page"], pdf["text_a"], pdf["text_b"]):
-            old, new = ((t.splitlines() if isinstance(t, str) else []) for t in (a, b))
-            if old != new:
-                yield int(pair), int(page), old, new, _Alignment(old, new).edits()
+def _page_edits(batch):
+    """(pair, page, old lines, new lines, edits) of each differing page pair of an Arrow batch."""
+    for pair, page, a, b in zip(*(batch.column(c).to_pylist() for c in ("pair_id", "page", "text_a", "text_b")), strict=True):
+        old, new = ((t or "").splitlines() for t in (a, b))
+        if old != new:
+            yield pair, page, old, new, _Alignment(old, new).edits()
 
 
 def _diff_rows(batches):
-    for pair, page, old, new, edits in _page_edits(batches):
-        head = [f"--- doc1/page_{page + 1}", f"+++ doc2/page_{page + 1}"]
-        ops = [op for op, _, _ in edits]
-        row = (pair, page, ops.count("+"), ops.count("-"), "\n".join(head + _hunks(old, new, edits)))
-        yield pd.DataFrame([row], columns=["pair_id", "page", "lines_added", "lines_removed", "diff"])
+    for batch in batches:
+        rows = []
+        for pair, page, old, new, edits in _page_edits(batch):
+            head = [f"--- doc1/page_{page + 1}", f"+++ doc2/page_{page + 1}"]
+            ops = [op for op, _, _ in edits]
+            rows.append((pair, page, ops.count("+"), ops.count("-"), "\n".join(head + _hunks(old, new, edits))))
+        yield _table(rows, DIFF_TYPES)
 
 
 def _edit_rows(batches):
-    for pair, page, old, new, edits in _page_edits(batches):
-        lines = [new[j] if op == "+" else old[i] for op, i, j in edits]
-        yield pd.DataFrame(
-            {"pair_id": pair, "page": page, "pos": range(len(edits)), "op": [op for op, _, _ in edits], "line": lines}
-        )
+    for batch in batches:
+        for pair, page, old, new, edits in _page_edits(batch):
+            yield _table(
+                [(pair, page, k, op, new[j] if op == "+" else old[i]) for k, (op, i, j) in enumerate(edits)], EDIT_TYPES
+            )
+
+
+def _table(rows: list[tuple], types: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [[]] * len(types)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, types, strict=True)], schema=types)
 
 
 def _paired(pages: DataFrame, pairs: DataFrame, tag: str) -> DataFrame:
@@ -178,14 +186,16 @@ def document_diff(pages: DataFrame, pairs: DataFrame) -> DataFrame:
     """Ordered line diff of each differing page pair of ``pairs(pair_id, doc_a, doc_b)``.
 
     Equal pages are dropped in the JVM; only differing ones are aligned, one page
-    pair per row, batch by batch.
+    pair per row, batch by batch. As in the usual line diff, lines that make up
+    more than one in a hundred of a new page of ``COMMON_FROM`` lines or more do
+    not begin a run there, so results change in kind at that size.
     """
-    return _differing(pages, pairs).mapInPandas(_diff_rows, DIFF_SCHEMA)
+    return _differing(pages, pairs).mapInArrow(_diff_rows, from_arrow_schema(DIFF_TYPES))
 
 
 def page_edits(pages: DataFrame, pairs: DataFrame) -> DataFrame:
     """The whole alignment of each differing page pair, one row per line: ' ' kept, '-' gone, '+' new."""
-    return _differing(pages, pairs).mapInPandas(_edit_rows, EDIT_SCHEMA)
+    return _differing(pages, pairs).mapInArrow(_edit_rows, from_arrow_schema(EDIT_TYPES))
 
 
 def page_count_changes(pages: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -1,15 +1,13 @@
-"""Edit history, rate limits, annotations, expiry and recent turns."""
+"""Edit history, annotations, expiry and recent turns."""
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire import fixed_values as fv
 from quire.functions.folds import fold_sorted
 from quire.functions.ranking import last_rows, row_chunks
-from quire.session import cut_lineage
 
 # --- annotations -------------------------------------------------------------
 
@@ -87,16 +85,18 @@ def history_versions(log: DataFrame, n: int = fv.HISTORY_DEPTH) -> DataFrame:
 
 
 class _Stack:
-    """One document's history while it is walked."""
+    """One document's history while it is walked; ``refs`` are the versions, oldest first."""
+
+    __slots__ = ("refs", "done", "depth")
 
     def __init__(self, refs, done, depth):
         self.refs, self.done, self.depth = list(refs), done, depth
 
-    def apply(self, action, seq):
-        """(accepted, reference of the version undone or restored; -1 is the marker)."""
+    def apply(self, action, ref):
+        """(accepted, version undone or restored; MARKER for the marker); ``ref`` is the version an edit makes."""
         if action == "edit":
             del self.refs[self.done :]
-            self.refs.append(seq)
+            self.refs.append(ref)
             del self.refs[: max(0, len(self.refs) - self.depth)]
             self.done = len(self.refs)
             return True, None
@@ -108,272 +108,167 @@ class _Stack:
         if self.done == len(self.refs):
             return False, None
         self.done += 1
-        return True, self.refs[self.done] if self.done < len(self.refs) else -1
+        return True, self.refs[self.done] if self.done < len(self.refs) else MARKER
 
     @property
     def entries(self):
         return len(self.refs) + (1 if self.done < len(self.refs) else 0)
 
+    def columns(self):
+        """done, sequence numbers and operations of the versions, as columns hold them."""
+        return self.done, [seq for seq, _ in self.refs], [name for _, name in self.refs]
 
-def _all_states(depth):
-    size = np.repeat(np.arange(depth + 1), np.arange(1, depth + 2))
-    done = np.concatenate([np.arange(n + 1) for n in range(depth + 1)])
-    return size, done
 
+MARKER = (None, fv.UNDO_MARKER)
+STACK = "done int, seqs array<long>, names array<string>"
 
-class _Effect:
-    """What a run of events does to every possible (size, done) at once.
 
-    Slot i of an unknown start stack is written -(i + 2); new versions are
-    written by their sequence number.
+class _Effect:
+    """What a run of events does to a history whose start is not known.
+
+    All starts (size, done) are walked together, version i of a start being the
+    reference (-(i + 1), None). Starts that have become equal are walked as one from
+    then on, and they soon are: the first edit leaves no more than depth + 1, and
+    each version that is pushed out of the bottom or undone to it merges more. So
+    what is left at the end is usually a single outcome, and a chunk's effect is
+    the few outcomes there are and the start after which each applies.
     """
 
     def __init__(self, depth, first):
-        self.depth, self.first = depth, first
-        self.size, self.done = (a.copy() for a in _all_states(depth))
-        self.refs = np.tile(-np.arange(2, depth + 2, dtype=np.int64), (len(self.size), 1))
-
-    def apply(self, action, seq):
-        if action == "edit":
-            full = self.done == self.depth
-            self.refs[full, :-1] = self.refs[full, 1:]
-            self.done = np.minimum(self.done + 1, self.depth)
-            self.refs[np.arange(len(self.done)), self.done - 1] = seq
-            self.size = self.done.copy()
-        elif action == "undo":
-            self.done = np.maximum(self.done - 1, 0)
-        else:
-            self.done = np.minimum(self.done + 1, self.size)
+        self.first, self.events = first, 0
+        starts = [(size, done) for size in range(depth + 1) for done in range(size + 1)]
+        self.of = {start: k for k, start in enumerate(starts)}
+        self.stacks = [_Stack([(-(i + 1), None) for i in range(size)], done, depth) for size, done in starts]
+
+    def apply(self, action, ref):
+        for stack in self.stacks:
+            stack.apply(action, ref)
+        self.events += 1
+        if len(self.stacks) > 1 and (action == "edit" and len(self.stacks) > 32 or self.events % 16 == 0):
+            self.merge()
+
+    def merge(self):
+        """Keep one of the stacks that are equal."""
+        kept, place, at = [], {}, []
+        for stack in self.stacks:
+            same = (stack.done, tuple(stack.refs))
+            if same not in place:
+                place[same] = len(kept)
+                kept.append(stack)
+            at.append(place[same])
+        self.of = {start: at[k] for start, k in self.of.items()}
+        self.stacks = kept
+
+    def outcomes(self):
+        """(size, done, outcome) where the outcome changes in the order of starts, and the outcomes."""
+        self.merge()
+        runs, last = [], None
+        for (size, done), k in self.of.items():
+            if k != last:
+                runs.append({"size": size, "done": done, "k": k})
+                last = k
+        return runs, [dict(zip(("done", "seqs", "names"), s.columns(), strict=True)) for s in self.stacks]
+
+
+EFFECT = (
+    "doc_id long, chunk_no long, first_seq long, runs array<struct<size: int, done: int, k: int>>, "
+    "outcomes array<struct<done: int, seqs: array<bigint>, names: array<string>>>"
+)
+
+
+def _after(runs, outcomes, stack):
+    """The stack that a chunk's effect makes of ``stack``."""
+    start, k = (len(stack.refs), stack.done), 0
+    for run in runs:
+        if (run["size"], run["done"]) > start:
+            break
+        k = run["k"]
+    end = outcomes[k]
+    # a negative number is a version of the start, all others are the chunk's own
+    refs = [stack.refs[-seq - 1] if seq < 0 else (seq, name) for seq, name in zip(end["seqs"], end["names"], strict=True)]
+    return _Stack(refs, end["done"], stack.depth)
 
 
-def history_replay(log: DataFrame, depth: int = fv.HISTORY_DEPTH, chunk: int = 1_000_000) -> DataFrame:
-    """Outcome of every edit, undo and redo of ``log(doc_id, seq, action, operation)``.
+def replayed(log: DataFrame, depth: int = fv.HISTORY_DEPTH, chunk: int = 1_000_000, start: DataFrame | None = None) -> DataFrame:
+    """The outcome of every event of ``log(doc_id, seq, action, operation)``, and the stack each chunk ends with.
 
-    ``seq`` orders a document's events and is unique in it. A document's log may
-    be of any size: one of more than ``chunk`` events is cut into chunks of about
-    that many, which run in parallel. For these documents a first pass works out
-    what each chunk does to any start state, and a scan of those few summaries
-    gives each chunk its true start; the last pass replays all chunks from there.
-    All other documents are walked once.
+    ``start`` (doc_id, done, seqs, names) has the stacks to begin with; a document
+    without one begins empty. Rows without ``seq`` are ends; a document's last
+    ``chunk_no`` has its final stack.
     """
-    cut = row_chunks(log.select("doc_id", "seq", "action"), ["doc_id"], "seq", chunk, "chunk_no")
-    several = log.groupBy("doc_id").count().where(F.col("count") > chunk)
+    cut = row_chunks(log.select("doc_id", "seq", "action", "operation"), ["doc_id"], "seq", chunk, "chunk_no")
+    firsts = log.groupBy("doc_id").agg(F.count("*").alias("events"), F.min("seq").alias("seq"))
+    several = firsts.where(F.col("events") > chunk).select("doc_id")
     effects = fold_sorted(
-        cut.join(several.select("doc_id"), "doc_id", "left_semi"),
+        cut.join(several, "doc_id", "left_semi"),
         ["doc_id", "chunk_no"],
         ["seq"],
-        lambda row: _Effect(depth, row.seq),
-        lambda state, row: state.apply(row.action, row.seq),
-        "doc_id long, chunk_no long, first_seq long, sizes array<long>, dones array<long>, refs array<long>",
-        lambda key, e: (*key, e.first, e.size.tolist(), e.done.tolist(), e.refs.ravel().tolist()),
+        lambda row: _Effect(depth, row[1]),
+        lambda state, row: state.apply(row[2], (row[1], row[3])),
+        EFFECT,
+        lambda key, e: (*key, e.first, *e.outcomes()),
     )
+    if start is None:
+        none = (f"cast(null as {kind}) AS {name}" for name, kind in (x.split() for x in STACK.split(", ")))
+        effects = effects.selectExpr("*", *none)
+    else:
+        start = start.select("doc_id", "done", "seqs", "names")
+        effects = effects.join(start, "doc_id", "left")
+
+    def stack_of(done, seqs, names):
+        return _Stack([] if seqs is None else zip(seqs, names, strict=True), done or 0, depth)
 
     def start_of(state, row):
-        before = (row.doc_id, row.first_seq, state["done"], list(state["refs"]))
-        n = len(state["refs"])
-        at = n * (n + 1) // 2 + state["done"]
-        size, done = int(row.sizes[at]), int(row.dones[at])
-        refs = row.refs[at * depth : at * depth + size]
-        state["refs"] = [int(r) if r >= 0 else state["refs"][-int(r) - 2] for r in refs]
-        state["done"] = done
+        """The stack before a chunk, which rides on its first event."""
+        before = (row[0], row[2], *state[0].columns())
+        state[0] = _after(row[3], row[4], state[0])
         return before
 
     starts = fold_sorted(
         effects,
         ["doc_id"],
         ["chunk_no"],
-        lambda row: {"refs": [], "done": 0},
+        lambda row: [stack_of(*row[5:8])],
         start_of,
-        "doc_id long, seq long, start_done int, start_refs array<long>",
+        f"doc_id long, seq long, {STACK}",
     )
-
-    def begin(row):
-        if row.start_refs is None:
-            return _Stack([], 0, depth)
-        return _Stack([int(r) for r in row.start_refs], int(row.start_done), depth)
+    if start is not None:
+        once = firsts.select("doc_id", "seq").join(start, "doc_id").join(several, "doc_id", "left_anti")
+        starts = starts.unionByName(once)
 
     def step(stack, row):
-        ok, target = stack.apply(row.action, row.seq)
+        doc, seq, action, name = row[:4]
+        ok, target = stack.apply(action, (seq, name))
+        now, held = stack.done, len(stack.refs)
         return (
-            row.doc_id,
-            row.seq,
-            row.action,
-            "ok" if ok else "error",
-            stack.entries,
-            stack.done - 1,
-            stack.done > 0,
-            stack.done < len(stack.refs),
-            target,
-        )
+            doc, row[4], seq, action, "ok" if ok else "error", stack.entries, now - 1, now > 0, now < held,
+            None if target is None else target[1], None, None, None,
+        )
 
-    replayed = fold_sorted(
-        # the start state rides on the first row of its chunk only
-        cut.join(starts, ["doc_id", "seq"], "left"),
+    rides = cut.join(starts, ["doc_id", "seq"], "left")
+    return fold_sorted(
+        rides.select("doc_id", "seq", "action", "operation", "chunk_no", "done", "seqs", "names"),
         ["doc_id", "chunk_no"],
         ["seq"],
-        begin,
+        lambda row: stack_of(*row[5:8]),
         step,
-        "doc_id long, seq long, action string, status string, versions int, current int, can_undo boolean, "
-        "can_redo boolean, target_seq long",
-    )
-    names = log.select("doc_id", F.col("seq").alias("_seq"), F.col("operation").alias("_op"))
-    # most events have no target: a key of their own that matches nothing keeps
-    # them from meeting in one task as nulls would
-    points = F.col("target_seq") >= 0
-    keyed = replayed.withColumn("_seq", F.when(points, F.col("target_seq")).otherwise(-F.col("seq") - 2))
-    return (
-        keyed.join(names, ["doc_id", "_seq"], "left")
-        .withColumn("target_operation", F.when(F.col("target_seq") == -1, fv.UNDO_MARKER).otherwise(F.col("_op")))
-        .drop("target_seq", "_seq", "_op")
-    )
-
-
-# --- rates -------------------------------------------------------------------
-
-
-def _stamped(requests: DataFrame, key: str | None) -> DataFrame:
-    """(id, key, us) with the time in whole microseconds; one key for all if none is given."""
-    owner = F.lit("all") if key is None else F.col(key).cast("string")
-    return requests.select("request_id", owner.alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-
-
-def request_rate(requests: DataFrame, window_s: int = fv.RATE_LIMIT_WINDOW_S, key: str | None = None) -> DataFrame:
-    """Requests in the closed window that ends at each request of ``requests(request_id, ts)``.
-
-    Requests with equal times are counted together first. Each time then goes to
-    its own window-wide bucket and, as context, to the next one, so the range
-    window is partitioned by (key, bucket) and never by a hot key alone.
-    """
-    width = window_s * 1_000_000
-    stamped = _stamped(requests, key)
-    times = stamped.groupBy("key", "us").agg(F.count(F.lit(1)).alias("n"))
-    own = F.expr(f"us div {width}")
-    copies = times.withColumn("_own", own).withColumn("_bucket", F.explode(F.array(own, own + 1)))
-    w = Window.partitionBy("key", "_bucket").orderBy("us").rangeBetween(-width, 0)
-    load = (
-        copies.withColumn("load", F.sum("n").over(w)).where("_own = _bucket").select("key", "us", "load")
+        "doc_id long, chunk_no long, seq long, action string, status string, versions int, current int, can_undo boolean, "
+        f"can_redo boolean, target_operation string, {STACK}",
+        lambda key, stack: (*key, *[None] * 8, *stack.columns()),
     )
-    return stamped.join(load, ["key", "us"])
-
-
-class _Admitted:
-    """Times admitted inside the sliding window while requests are walked."""
-
-    def __init__(self, times, width, limit):
-        self.times, self.width, self.limit = list(times), width, limit
-
-    def offer(self, now, n):
-        live = 0
-        while live < len(self.times) and self.times[live] < now - self.width:
-            live += 1
-        del self.times[:live]
-        taken = min(n, self.limit - len(self.times))
-        self.times.extend([now] * taken)
-        return taken
-
-
-def admitted_times(
-    times: DataFrame, window_s: int, limit: int, chunk_rows: int = 200_000
-) -> DataFrame:
-    """How many of the ``n`` requests at each (key, us) are admitted.
-
-    A key's times are cut into parts of about ``chunk_rows`` rows. A decision
-    depends only on what was admitted in the window before it, so all parts run
-    at once, each from the state its predecessor ended in, as far as known
-    (first: empty). A part whose start turns out different runs again, until no
-    start changes; then every decision is the one a single walk would make.
-    Usually a part soon forgets its start and a few rounds do. A key over its
-    limit all the time is a chain by nature: it takes as many rounds as it has
-    parts, no longer than one walk, but never has more than one part in a task.
-    """
-    width = window_s * 1_000_000
-    none = F.array().cast("array<long>")
-    given = cut_lineage(times)
-    cut = cut_lineage(row_chunks(given, ["key"], "us", chunk_rows))
-    several = cut.groupBy("key").agg(F.max("chunk").alias("parts")).where("parts > 0")
-
-    def run(primed: DataFrame, step, schema: str, end=None) -> DataFrame:
-        return fold_sorted(
-            primed,
-            ["key", "chunk"],
-            ["us"],
-            lambda row: _Admitted([] if row.start is None else [int(t) for t in row.start], width, limit),
-            step,
-            schema,
-            end,
-        )
 
-    def decisions(primed: DataFrame) -> DataFrame:
-        return run(
-            primed,
-            lambda state, row: (row.key, row.us, row.n, state.offer(row.us, row.n)),
-            "key string, us long, n long, taken long",
-        )
-
-    hot_rows = cut.join(cut_lineage(several), "key", "left_semi")
-
-    def prime(rows: DataFrame, starts: DataFrame) -> DataFrame:
-        """The start state rides on the first row of its part."""
-        return rows.join(starts.select("key", "us", "start"), ["key", "us"], "left")
 
-    def ends(rows: DataFrame, starts: DataFrame) -> DataFrame:
-        def offer(state, row):
-            state.offer(row.us, row.n)
-
-        return run(
-            prime(rows, starts),
-            offer,
-            "key string, chunk long, end array<long>",
-            lambda key, state: (*key, [int(t) for t in state.times]),
-        )
+def history_replay(log: DataFrame, depth: int = fv.HISTORY_DEPTH, chunk: int = 1_000_000) -> DataFrame:
+    """Outcome of every edit, undo and redo of ``log(doc_id, seq, action, operation)``.
 
-    firsts = hot_rows.groupBy("key", "chunk").agg(F.min("us").alias("us")).withColumn("start", none)
-    states = cut_lineage(firsts.join(ends(hot_rows, firsts), ["key", "chunk"]))
-    before = Window.partitionBy("key").orderBy("chunk")
-    while True:
-        inherited = F.filter(F.lag("end").over(before), lambda t: t >= F.col("us") - width)
-        linked = states.withColumn("next", F.coalesce(inherited, none))
-        stale = cut_lineage(
-            linked.where("next <> start").select("key", "chunk", "us", F.col("next").alias("start"))
-        )
-        if stale.isEmpty():
-            break
-        todo = hot_rows.join(stale.select("key", "chunk"), ["key", "chunk"], "left_semi")
-        redone = stale.join(ends(todo, stale), ["key", "chunk"])
-        kept = states.join(stale.select("key", "chunk"), ["key", "chunk"], "left_anti")
-        states = cut_lineage(kept.unionByName(redone))
-    return decisions(prime(cut, states))
-
-
-def rate_limit(
-    requests: DataFrame,
-    window_s: int = fv.RATE_LIMIT_WINDOW_S,
-    limit: int = fv.RATE_LIMIT_REQUESTS,
-    key: str | None = None,
-    chunk_rows: int = 200_000,
-) -> DataFrame:
-    """Whether each of ``requests(request_id, ts)`` is admitted; rejected ones do not count.
-
-    Requests at the same time are admitted in ``request_id`` order.
+    ``seq`` orders a document's events and is unique in it. A document's log may
+    be of any size: one of more than ``chunk`` events is cut into chunks of about
+    that many, which run in parallel. For these documents a first pass works out
+    what each chunk does to any start state, and a scan of those few summaries
+    gives each chunk its true start; the last pass replays all chunks from there.
+    All other documents are walked once.
     """
-    stamped = _stamped(requests, key)
-    times = stamped.groupBy("key", "us").agg(F.count(F.lit(1)).alias("n"))
-    taken = admitted_times(times, window_s, limit, chunk_rows)
-    split = taken.where("taken > 0 AND taken < n")
-    # the last admitted id where only some of the requests of one time get in
-    first_ids = last_rows(stamped.join(split.select("key", "us"), ["key", "us"], "left_semi"), ["key", "us"], ["request_id"], limit)
-    rank = Window.partitionBy("key", "us").orderBy("request_id")
-    cutoff = (
-        first_ids.withColumn("_rank", F.row_number().over(rank))
-        .join(split, ["key", "us"])
-        .where("_rank = taken")
-        .select("key", "us", F.col("request_id").alias("_cutoff"))
-    )
-    admitted = (F.col("taken") == F.col("n")) | F.coalesce(F.col("request_id") <= F.col("_cutoff"), F.lit(False))
-    return (
-        stamped.join(taken.join(cutoff, ["key", "us"], "left"), ["key", "us"])
-        .select("request_id", "key", admitted.alias("admitted"))
-    )
+    return replayed(log, depth, chunk).where("seq is not null").drop("chunk_no", "done", "seqs", "names")
 
 
 # --- expiry and turns ----------------------------------------------------------

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire import fixed_values as fv
 from quire.functions.joins import join_per_key
 from quire.functions.text import is_blank, strip
+from quire.sources.store import Store
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -88,7 +88,7 @@ def page_lookup(pages: DataFrame, refs: DataFrame) -> DataFrame:
 
 
 def content_hash(text: Column) -> Column:
-    return F.sha2(text, 256)
+    return F.sha2(F.coalesce(text, F.lit("")), 256)
 
 
 def pending(docs: DataFrame, analysis: DataFrame, on: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -99,24 +99,27 @@ def pending(docs: DataFrame, analysis: DataFrame, on: tuple[str, ...] = ("doc_id
     return docs.join(analysis.select(*on), list(on), "left_anti")
 
 
-def refresh(docs: DataFrame, stored_path: str, analyse) -> DataFrame:
-    """Analyse the pending documents, append the result to ``stored_path``, return the current analyses.
+def analyses(spark: SparkSession, path: str, buckets: int = 64) -> Store:
+    """The store of analyses by ``doc_id`` under ``path``."""
+    return Store(spark, path, ["doc_id"], buckets)
 
-    ``analyse(docs) -> DataFrame`` keeps ``doc_id`` and ``content_hash``. Of what is
-    stored only the rows of the documents' present texts come back; older ones stay
-    in the folder until it is written anew.
+
+def refresh(docs: DataFrame, path: str, analyse, buckets: int = 64) -> DataFrame:
+    """Bring the stored analyses of ``docs(doc_id, text, ...)`` up to date and return them.
+
+    Only documents whose text is not the one analysed last are analysed: ``analyse(docs) -> DataFrame`` keeps ``doc_id``
+    and ``content_hash``. Its rows take the place of older ones, and analyses of documents that are no longer there go.
+    Ids are unique; a document without an id is not stored.
     """
-    spark = docs.sparkSession
-    hashed = docs.withColumn("content_hash", content_hash(F.col("text")))
-    on = ["doc_id", "content_hash"]
-    try:
-        todo = pending(hashed, spark.read.parquet(stored_path), tuple(on))
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        todo = hashed
-    analyse(todo).write.mode("append").parquet(stored_path)
-    return spark.read.parquet(stored_path).join(hashed.select(*on).distinct(), on, "left_semi")
+    store = analyses(docs.sparkSession, path, buckets)
+    hashed = docs.where("doc_id is not null").withColumn("content_hash", content_hash(F.col("text")))
+    stored = store.read()
+    if stored is None:
+        store.change(analyse(hashed))
+    else:
+        todo = pending(hashed, stored, ("doc_id", "content_hash"))
+        store.change(analyse(todo), gone=stored.select("doc_id").join(hashed, "doc_id", "left_anti"))
+    return store.read()
 
 
 def delete_documents(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire import fixed_values as fv
@@ -134,15 +134,60 @@ def list_images(images: DataFrame) -> DataFrame:
 # --- regions -----------------------------------------------------------------
 
 REGION = ("rx0", "ry0", "rx1", "ry1")
+BOX = ("x0", "y0", "x1", "y1")
+CROWDED = 256  # spans on a page from which it is divided into cells
+CELL_SPANS = 16  # spans a cell holds about
+CELLS = 64  # cells along a page's side at most
+
+
+def _grids(spans: DataFrame) -> DataFrame:
+    """(doc_id, page, _k, _gx, _gy, _wx, _wy): cells a side, origin and cell size of each page with very many spans."""
+    left, top, right, bottom = (F.least("x0", "x1"), F.least("y0", "y1"), F.greatest("x0", "x1"), F.greatest("y0", "y1"))
+    page = spans.groupBy("doc_id", "page").agg(
+        F.count("*").alias("_n"),
+        F.min(left).alias("_gx"),
+        F.min(top).alias("_gy"),
+        F.max(right).alias("_rx"),
+        F.max(bottom).alias("_by"),
+    )
+    page = page.where(F.col("_n") >= CROWDED)
+    page = page.withColumn("_k", F.least(F.lit(CELLS), F.ceil(F.sqrt(F.col("_n") / CELL_SPANS))).cast("int"))
+    wide, high = (F.greatest(F.col(hi) - F.col(lo), F.lit(1.0)) / F.col("_k") for hi, lo in (("_rx", "_gx"), ("_by", "_gy")))
+    return page.select("doc_id", "page", "_k", "_gx", "_gy", wide.alias("_wx"), high.alias("_wy"))
 
 
-def region_spans(spans: DataFrame, regions: DataFrame) -> DataFrame:
-    """Non-blank spans that overlap ``regions(region_id, doc_id, page, rx0, ry0, rx1, ry1)``.
+def _dealt(df: DataFrame, grids: DataFrame, box: tuple[str, str, str, str], tag: str) -> DataFrame:
+    """``df`` once for each cell its box touches, with its first column and row of cells; a page without a grid is one cell."""
+
+    def place(at: Column, origin: str, size: str) -> Column:
+        k = F.floor((at - F.col(origin)) / F.col(size))
+        return F.coalesce(F.least(F.greatest(k, F.lit(0)), F.col("_k") - 1), F.lit(0)).cast("int")
+
+    x0, y0, x1, y1 = (F.col(c) for c in box)
+    cols = F.sequence(place(F.least(x0, x1), "_gx", "_wx"), place(F.greatest(x0, x1), "_gx", "_wx"))
+    rows = F.sequence(place(F.least(y0, y1), "_gy", "_wy"), place(F.greatest(y0, y1), "_gy", "_wy"))
+    cells = F.flatten(F.transform(cols, lambda c: F.transform(rows, lambda r: c * CELLS + r)))
+    met = df.join(grids, ["doc_id", "page"], "left")
+    met = met.withColumn(f"_c{tag}", cols[0]).withColumn(f"_r{tag}", rows[0]).withColumn("_cell", F.explode(cells))
+    return met.drop("_k", "_gx", "_gy", "_wx", "_wy")
+
 
-    The box test is the residual of an equi-join by (doc_id, page), so the range
-    join runs as a hash or merge join and never as a product of the tables.
+def touching(boxes: DataFrame, spans: DataFrame, box: tuple[str, str, str, str] = REGION) -> DataFrame:
+    """Each row of ``boxes(doc_id, page, box)`` with each span that overlaps it.
+
+    A page with very many spans is divided into cells. Boxes and spans are dealt to the cells they touch and meet by
+    (doc_id, page, cell), so that few pairs are tested that do not overlap; a pair that shares several cells counts in
+    the first. On other pages the page is the cell. The box test is the residual of an equi-join, never a product.
     """
-    return regions.join(spans.where(~is_blank(F.col("text"))), ["doc_id", "page"]).where(overlaps(REGION))
+    grids = _grids(spans)
+    met = _dealt(boxes, grids, box, "a").join(_dealt(spans, grids, BOX, "b"), ["doc_id", "page", "_cell"])
+    first = F.greatest("_ca", "_cb") * CELLS + F.greatest("_ra", "_rb")
+    return met.where(overlaps(box) & (F.col("_cell") == first)).drop("_cell", "_ca", "_cb", "_ra", "_rb")
+
+
+def region_spans(spans: DataFrame, regions: DataFrame) -> DataFrame:
+    """Non-blank spans that overlap ``regions(region_id, doc_id, page, rx0, ry0, rx1, ry1)``."""
+    return touching(regions, spans.where(~is_blank(F.col("text"))))
 
 
 def region_text(spans: DataFrame, regions: DataFrame) -> DataFrame:
@@ -159,35 +204,53 @@ def region_text(spans: DataFrame, regions: DataFrame) -> DataFrame:
     )
 
 
+def _bands(spans: DataFrame) -> DataFrame:
+    """Spans numbered ``i`` in the reading order of their page, and the band of the page they lie in.
+
+    A span reaches half its size up and down from its y. Bands are the stretches that these reaches cover without a
+    gap, found in one pass from top to bottom; what a span can be level with lies in its own band.
+    """
+    page = Window.partitionBy("doc_id", "page")
+    half = F.coalesce("size", F.lit(0.0)) * 0.5
+    reach = spans.withColumn("_top", F.col("y0") - half).withColumn("_end", F.col("y0") + half)
+    reading = page.orderBy("block", "line", "span", "x0", "y0", "x1", "y1", "size", "font", "color", "text")
+    down = page.orderBy("_top", "_end", "i")
+    reach = reach.withColumn("i", F.row_number().over(reading) - 1)
+    covered = F.max("_end").over(down.rowsBetween(Window.unboundedPreceding, -1))
+    begins = F.when(F.col("_top") > covered, 1).otherwise(0)
+    reach = reach.withColumn("_begins", begins)
+    return reach.withColumn("band", F.sum("_begins").over(down.rowsBetween(Window.unboundedPreceding, 0))).drop("_top", "_end", "_begins")
+
+
 def span_groups(spans: DataFrame) -> DataFrame:
     """Spans of a page gathered into lines around anchors, in reading order.
 
     Each span joins the first earlier anchor that is level with it (less than
     half the anchor's size apart) and near enough (starts less than twice the
-    size after the anchor's end); otherwise it becomes an anchor. One fold over
-    the spans of a page decides it; a page is a bounded group.
+    size after the anchor's end); otherwise it becomes an anchor. A page is cut
+    into bands between which no two spans are level, so a fold over the spans of
+    a band decides it and holds that band's anchors only.
     """
-    span = F.struct("block", "line", "span", "x0", "y0", "x1", "y1", "size", "font", "color", "text")
-    on_page = spans.groupBy("doc_id", "page").agg(F.sort_array(F.collect_list(span)).alias("s"))
+    span = F.struct("i", "x0", "y0", "x1", "y1", "size", "font", "color", "text")
+    in_band = _bands(spans).groupBy("doc_id", "page", "band").agg(F.sort_array(F.collect_list(span)).alias("s"))
     anchor_type = "array<struct<i:int,y0:double,x1:double,size:double>>"
     start = F.struct(F.array().cast(anchor_type).alias("anchors"), F.array().cast("array<int>").alias("owner"))
 
     def step(acc: Column, s: Column) -> Column:
-        i = F.size(acc["owner"])
         near = F.filter(
             acc["anchors"],
             lambda a: (F.abs(s["y0"] - a["y0"]) < a["size"] * 0.5) & (s["x0"] - a["x1"] < a["size"] * 2),
         )
-        owner = F.coalesce(F.get(near, F.lit(0))["i"], i)
-        new = F.struct(i.alias("i"), s["y0"].alias("y0"), s["x1"].alias("x1"), s["size"].alias("size"))
+        owner = F.coalesce(F.get(near, F.lit(0))["i"], s["i"])
+        new = F.struct(s["i"].alias("i"), s["y0"].alias("y0"), s["x1"].alias("x1"), s["size"].alias("size"))
         return F.struct(
-            F.when(owner == i, F.concat(acc["anchors"], F.array(new))).otherwise(acc["anchors"]).alias("anchors"),
+            F.when(owner == s["i"], F.concat(acc["anchors"], F.array(new))).otherwise(acc["anchors"]).alias("anchors"),
             F.concat(acc["owner"], F.array(owner)).alias("owner"),
         )
 
-    owned = on_page.withColumn("owner", F.aggregate("s", start, step, lambda acc: acc["owner"]))
-    rows = owned.select("doc_id", "page", F.posexplode(F.arrays_zip("s", "owner")).alias("i", "z")).select(
-        "doc_id", "page", "i", F.col("z.owner").alias("anchor"), "z.s.*"
+    owned = in_band.withColumn("owner", F.aggregate("s", start, step, lambda acc: acc["owner"]))
+    rows = owned.select("doc_id", "page", F.explode(F.arrays_zip("s", "owner")).alias("z")).select(
+        "doc_id", "page", F.col("z.owner").alias("anchor"), "z.s.*"
     )
     texts = F.transform(F.sort_array(F.collect_list(F.struct("i", "text"))), lambda p: p["text"])
     return rows.groupBy("doc_id", "page", "anchor").agg(
@@ -220,6 +283,18 @@ def glyph_classes(glyphs: DataFrame) -> DataFrame:
     )
 
 
+def _width(text: str, size: str) -> Column:
+    """Width of column ``text`` by the width classes in ``_classes``."""
+    units = F.aggregate(
+        "_classes",
+        F.lit(0.0),
+        lambda acc, g: acc
+        + g["unit_width"]
+        * (F.length(F.col(text)) - F.length(F.call_function("translate", F.col(text), g["chars"], F.lit("")))),
+    )
+    return F.coalesce(units, F.lit(0.0)) * F.col(size)
+
+
 def text_width(df: DataFrame, glyphs: DataFrame, text: str, size: str, out: str, code: str = "font_code") -> DataFrame:
     """Width of column ``text`` at ``size`` in the font of column ``code``.
 
@@ -228,18 +303,13 @@ def text_width(df: DataFrame, glyphs: DataFrame, text: str, size: str, out: str,
     add nothing.
     """
     classes = glyph_classes(glyphs).withColumnsRenamed({"font_code": code, "classes": "_classes"})
-    units = F.aggregate(
-        "_classes",
-        F.lit(0.0),
-        lambda acc, g: acc
-        + g["unit_width"]
-        * (F.length(F.col(text)) - F.length(F.call_function("translate", F.col(text), g["chars"], F.lit("")))),
-    )
-    return (
-        join_per_key(df, classes, [code], "left")
-        .withColumn(out, F.coalesce(units, F.lit(0.0)) * F.col(size))
-        .drop("_classes")
-    )
+    return join_per_key(df, classes, [code], "left").withColumn(out, _width(text, size)).drop("_classes")
+
+
+def text_width_in(df: DataFrame, glyphs: DataFrame, text: str, size: str, out: str, font: str) -> DataFrame:
+    """Width of column ``text`` at ``size`` in one font for all rows, whose classes are a scalar subquery and no join."""
+    classes = glyph_classes(glyphs.where(F.col("font_code") == font)).select("classes").scalar()
+    return df.withColumn("_classes", classes).withColumn(out, _width(text, size)).drop("_classes")
 
 
 def fit_font_size(text: Column, size: Column, old_width: Column, new_width: Column) -> tuple[Column, Column]:
@@ -317,9 +387,7 @@ def edit_region(spans: DataFrame, pages: DataFrame, edits: DataFrame, glyphs: Da
         "y1",
     )
     first = (
-        edits.select("edit_id", "doc_id", "page", *REGION)
-        .join(style, ["doc_id", "page"])
-        .where(overlaps(REGION))
+        touching(edits.select("edit_id", "doc_id", "page", *REGION), style)
         .groupBy("edit_id")
         .agg(F.min_by("_style", "_at").alias("_style"))
     )
@@ -347,19 +415,17 @@ def edit_region(spans: DataFrame, pages: DataFrame, edits: DataFrame, glyphs: Da
 def move_spans(spans: DataFrame, moves: DataFrame) -> DataFrame:
     """Spans of an old box carried to a new box, scaled by the smaller ratio.
 
-    ``moves(move_id, doc_id, page, rx0..ry1, nx0..ny1)``. A move without spans
-    keeps one row with status ``nothing``.
+    ``moves(move_id, doc_id, page, rx0..ry1, nx0..ny1)``, each id once. A move
+    without spans keeps one row with status ``nothing``.
     """
     old_w = F.greatest(F.col("rx1") - F.col("rx0"), F.lit(1.0))
     old_h = F.greatest(F.col("ry1") - F.col("ry0"), F.lit(1.0))
     new_w, new_h = F.col("nx1") - F.col("nx0"), F.col("ny1") - F.col("ny0")
     size = F.col("size") * F.least(new_w / old_w, new_h / old_h)
     moved = F.col("span").isNotNull()
-    m, s = moves.alias("m"), spans.where(~is_blank(F.col("text"))).alias("s")
-    same_page = (F.col("m.doc_id") == F.col("s.doc_id")) & (F.col("m.page") == F.col("s.page"))
+    found = touching(moves.select("move_id", "doc_id", "page", *REGION), spans.where(~is_blank(F.col("text"))))
     return (
-        m.join(s, same_page & overlaps(REGION), "left")
-        .drop(F.col("s.doc_id"), F.col("s.page"))
+        moves.join(found.drop("doc_id", "page", *REGION), "move_id", "left")
         .withColumn("new_x", F.col("nx0") + (F.col("x0") - F.col("rx0")) / old_w * new_w)
         .withColumn("new_size", F.when(moved, F.least(F.greatest(size, F.lit(fv.MOVE_MIN_SIZE)), F.lit(fv.MOVE_MAX_SIZE))))
         .withColumn("new_y", F.col("ny0") + (F.col("y0") - F.col("ry0")) / old_h * new_h + F.col("new_size"))
@@ -421,10 +487,8 @@ def stamp_layout(
 ) -> DataFrame:
     """Where the stamp of every page goes; ``position`` names a side and top or bottom."""
     stamped = _chosen(stamp_text(pages, names, template, as_of), only)
-    measured = text_width(
-        stamped.withColumn("font_code", F.lit("helv")).withColumn("_size", F.lit(float(font_size))),
-        glyphs, "stamp", "_size", "stamp_width",
-    )
+    sized = stamped.withColumn("_size", F.lit(float(font_size)))
+    measured = text_width_in(sized, glyphs, "stamp", "_size", "stamp_width", "helv")
     where = position.lower()
     if "left" in where:
         x = F.lit(float(margin))
@@ -433,7 +497,7 @@ def stamp_layout(
     else:
         x = (F.col("width") - F.col("stamp_width")) / 2
     y = F.lit(float(margin + font_size)) if "top" in where else F.col("height") - margin
-    return measured.withColumn("x", x).withColumn("y", y).drop("_size", "font_code")
+    return measured.withColumn("x", x).withColumn("y", y).drop("_size")
 
 
 def watermark_layout(
@@ -446,13 +510,8 @@ def watermark_layout(
     only: list[int] | None = None,
 ) -> DataFrame:
     """Start point of a watermark turned by ``rotation`` degrees about the page centre."""
-    measured = text_width(
-        _chosen(pages, only)
-        .withColumn("watermark", F.lit(text))
-        .withColumn("font_code", F.lit("helv"))
-        .withColumn("_size", F.lit(float(font_size))),
-        glyphs, "watermark", "_size", "watermark_width",
-    )
+    marked = _chosen(pages, only).withColumn("watermark", F.lit(text)).withColumn("_size", F.lit(float(font_size)))
+    measured = text_width_in(marked, glyphs, "watermark", "_size", "watermark_width", "helv")
     angle = F.radians(F.lit(float(rotation)))
     half = F.col("watermark_width") / 2
     return (
@@ -461,5 +520,5 @@ def watermark_layout(
         .withColumn("x", F.col("center_x") - half * F.cos(angle))
         .withColumn("y", F.col("center_y") - half * F.sin(angle) + font_size / 2)
         .withColumn("opacity", F.lit(float(opacity)))
-        .drop("_size", "font_code")
+        .drop("_size")
     )

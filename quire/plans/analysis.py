@@ -41,8 +41,8 @@ OPS = [
     {"type": "search_text", "query": "and"},
     {"type": "flatten"},
     {"type": "redact_pattern", "kind": "iban"},
-    {"type": "stamp", "text": "{n}/{total}"},
-    {"type": "watermark"},
+    {"type": "stamp", "text": "{n}/{total}", "position": "top-left", "pages": [0, 2]},
+    {"type": "watermark", "size": 30, "rotation": 0},
     {"type": "get_page_count"},
     {"type": "get_word_count"},
 ]
@@ -61,14 +61,14 @@ OPS = [
       UNION ALL SELECT 3, 'extract_data', 'ok', 0
       UNION ALL SELECT 4, 'delete_text', 'ok', sum((length(t) - length(u)) // 3)::BIGINT FROM p2
       UNION ALL SELECT 5, 'search_text', 'ok', coalesce(sum(len(regexp_extract_all(lower(u), 'and'))), 0)::BIGINT FROM p2
-      UNION ALL SELECT 8, 'stamp', 'ok', count(*) FROM pg UNION ALL SELECT 9, 'watermark', 'ok', count(*) FROM pg
+      UNION ALL SELECT 8, 'stamp', 'ok', count(*) FROM pg WHERE page IN (0, 2) UNION ALL SELECT 9, 'watermark', 'ok', count(*) FROM pg
       UNION ALL SELECT 10, 'get_page_count', 'ok', count(*) FROM pg
       UNION ALL SELECT 11, 'get_word_count', 'ok', sum(len({P.words("u")}))::BIGINT FROM p2)
     UNION ALL SELECT 6, 'flatten', 'skipped', 0, 'unknown operation type: flatten'
     UNION ALL SELECT 7, 'redact_pattern', 'error', 0, 'ValueError: unknown pattern type: iban'"""),
 )
 def _(spark, sf):
-    tables = {"pages": corpus.pages(spark, sf), "spans": corpus.spans(spark, sf)}
+    tables = {"pages": corpus.pages(spark, sf), "spans": corpus.spans(spark, sf), "glyphs": corpus.glyphs(spark, sf)}
     return batch.batch_operations(tables, OPS)[1]
 
 

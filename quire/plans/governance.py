@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from quire import fixed_values as fv
-from quire.operators import history
+from quire.operators import history, rates
 from quire.plans import parts as P
 from quire.plans.registry import query
 from quire.sources import corpus
@@ -74,7 +74,7 @@ def _(spark, sf):
 
 
 # one event a step; st holds the versions, d how many of them are in effect
-REPLAY = P.sql(P.EL, f""",
+WALK = f"""
     ev AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS i FROM el),
     walk AS (
       SELECT doc_id, 0::BIGINT AS i, []::BIGINT[] AS st, 0::BIGINT AS d, true AS ok, NULL::BIGINT AS target
@@ -93,9 +93,8 @@ REPLAY = P.sql(P.EL, f""",
            (len(st) + CASE WHEN d < len(st) THEN 1 ELSE 0 END)::INTEGER AS versions, (d - 1)::INTEGER AS current,
            d > 0 AS can_undo, d < len(st) AS can_redo,
            CASE WHEN target = -1 THEN '{fv.UNDO_MARKER}' ELSE o.operation END AS target_operation
-    FROM walk JOIN ev USING (doc_id, i) LEFT JOIN el o ON o.doc_id = ev.doc_id AND o.seq = target""".lstrip()).replace(
-    "WITH ", "WITH RECURSIVE ", 1
-)
+    FROM walk JOIN ev USING (doc_id, i) LEFT JOIN el o ON o.doc_id = ev.doc_id AND o.seq = target"""
+REPLAY = f"WITH RECURSIVE {P.EL}, {WALK}"
 
 
 @query("history_replay", REPLAY)
@@ -104,28 +103,33 @@ def _(spark, sf):
     return history.history_replay(corpus.edit_log(spark, sf), chunk=40)
 
 
-def _limit_sql(key, window_s, limit):
+def _limit_walk(window_s, limit):
+    """One request of rq (request_id, key, us) a step; live holds the admitted times of the window."""
     width = window_s * 1_000_000
-    return f"""WITH RECURSIVE
-    rq AS (SELECT event_id AS request_id, {key} AS key, epoch_us(ts) AS us,
-                  row_number() OVER (PARTITION BY {key} ORDER BY ts, event_id) AS i FROM events),
+    return f"""
+    nr AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY us, request_id) AS i FROM rq),
     walk AS (
-      SELECT key, 0::BIGINT AS i, []::BIGINT[] AS live, false AS admitted FROM (SELECT DISTINCT key FROM rq)
+      SELECT key, 0::BIGINT AS i, []::BIGINT[] AS live, false AS admitted FROM (SELECT DISTINCT key FROM nr)
       UNION ALL
       SELECT key, i, CASE WHEN len(kept) < {limit} THEN list_append(kept, us) ELSE kept END, len(kept) < {limit}
-      FROM (SELECT rq.key, rq.i, rq.us, list_filter(w.live, lambda t: t >= rq.us - {width}) AS kept
-            FROM walk w JOIN rq ON rq.key = w.key AND rq.i = w.i + 1))
-    SELECT request_id, key, admitted FROM walk JOIN rq USING (key, i)"""
+      FROM (SELECT nr.key, nr.i, nr.us, list_filter(w.live, lambda t: t >= nr.us - {width}) AS kept
+            FROM walk w JOIN nr ON nr.key = w.key AND nr.i = w.i + 1))"""
+
+
+def _limit_sql(key, window_s, limit):
+    return f"""WITH RECURSIVE
+    rq AS (SELECT event_id AS request_id, {key} AS key, epoch_us(ts) AS us FROM events),{_limit_walk(window_s, limit)}
+    SELECT request_id, key, admitted FROM walk JOIN nr USING (key, i)"""
 
 
 @query("rate_limit", _limit_sql("user_id::VARCHAR", 86400, 2))
 def _(spark, sf):
-    return history.rate_limit(corpus.requests(spark, sf), 86400, 2, "user_id", chunk_rows=40)
+    return rates.rate_limit(corpus.requests(spark, sf), 86400, 2, "user_id", part_rows=40)
 
 
 @query("rate_limit_global", _limit_sql("'all'", 3600, 10))
 def _(spark, sf):
-    return history.rate_limit(corpus.requests(spark, sf), 3600, 10, chunk_rows=2000)
+    return rates.rate_limit(corpus.requests(spark, sf), 3600, 10, part_rows=200)
 
 
 for _key, _col, _expr, _w in (("request_rate", None, "'all'", 3600), ("request_rate_keyed", "user_id", "user_id::VARCHAR", 86400)):
@@ -137,7 +141,7 @@ for _key, _col, _expr, _w in (("request_rate", None, "'all'", 3600), ("request_r
         FROM (SELECT event_id AS request_id, {_expr} AS key, epoch_us(ts) AS us FROM events)""",
     )
     def _(spark, sf, col=_col, w=_w):
-        return history.request_rate(corpus.requests(spark, sf), w, col)
+        return rates.request_rate(corpus.requests(spark, sf), w, col)
 
 
 @query(

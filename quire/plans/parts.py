@@ -65,7 +65,7 @@ LK = """lk AS (
     SELECT page_id AS doc_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS uris FROM pages)))"""
 MF = """mf AS (
   SELECT doc_id, 'in/' || source || '/ doc_' || doc_id || ['.PDF', '.pdf', '.txt', ' .pdf ', '.pdf'][doc_id % 5 + 1]
-           AS filename, octet_length(encode(text)) * 4096 AS n_bytes
+           AS filename, octet_length(encode(text)) + CASE WHEN doc_id % 97 = 5 THEN 60 * 1024 * 1024 ELSE 0 END AS n_bytes
   FROM documents)"""
 CELLS = f"""cl AS (
   SELECT doc_id, page, 0 AS table_index, r, (c - 1)::INTEGER AS c, cells_in[c] AS cell FROM (

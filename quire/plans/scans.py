@@ -1,12 +1,16 @@
 """Queries over scans, document views and sinks."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quire import fixed_values as fv
-from quire.operators import ingest, tables
+from quire.operators import analysis, ingest, tables
 from quire.plans import parts as P
 from quire.plans.registry import query
+from quire.session import shared_dir
 from quire.sources import corpus
+from quire.sources.store import read_if_there
 
 
 @query(
@@ -141,6 +145,31 @@ def _(spark, sf):
     return todo.select("doc_id", "n_chars", ingest.content_hash(F.col("text")).alias("content_hash"))
 
 
+# The corpus is analysed, then changes: some texts grow, some documents go. What is stored after the second run and a
+# compaction is compared; run tells which rows were made by which run.
+@query(
+    "analysis_stored",
+    f"""SELECT doc_id, run, (length(t) + 1)::INTEGER AS character_count, len({P.words("t")})::INTEGER AS word_count, sha256(t) AS content_hash,
+           false AS stale_files
+    FROM (SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN text || ' More words.' ELSE text END AS t,
+                 CASE WHEN doc_id % 10 = 3 THEN 2 ELSE 1 END AS run FROM documents WHERE doc_id % 7 <> 2)""",
+)
+def _(spark, sf):
+    docs = corpus.table(spark, sf, "documents")
+    longer = F.when(F.col("doc_id") % 10 == 3, F.concat("text", F.lit(" More words."))).otherwise(F.col("text"))
+    changed = docs.withColumn("text", longer).where("doc_id % 7 <> 2")
+    path = f"{shared_dir(spark)}/analyses-{uuid.uuid4()}"
+    for run, now in ((1, docs), (2, changed)):
+        ingest.refresh(now, path, lambda d, run=run: analysis.profile(d, ("content_hash",)).withColumn("run", F.lit(run)), buckets=16)
+    store = ingest.analyses(spark, path, buckets=16)
+    store.compact()
+    kept = read_if_there(spark, f"{path}/data").select("doc_id", "content_hash", F.lit(True).alias("_file"))
+    now = store.read().join(kept, ["doc_id", "content_hash"], "full")
+    return now.select(
+        "doc_id", "run", "character_count", "word_count", "content_hash", F.col("run").isNull().alias("stale_files")
+    )
+
+
 @query(
     "delete_documents",
     P.sql(P.PG, """SELECT doc_id, page, text FROM pg ANTI JOIN (SELECT doc_id FROM labels WHERE toxic = 1) USING (doc_id)"""),

@@ -62,12 +62,12 @@ def clean_shared(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+def cut_lineage(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back, with the session ``spark`` if given.
 
     A lost executor then costs a re-read, not the steps before; and a loop that
     does this each round keeps its plans from growing.
     """
     path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4()}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return (spark or df.sparkSession).read.parquet(path)

@@ -1,22 +1,29 @@
 """Structured Streaming jobs: ingest, rate limit, history, annotations and expiry.
 
-Event order inside a trigger is event time. State per key is small and bounded
-(admitted times of one window, one undo stack, one due time), lives in RocksDB
-and is checkpointed to the folder the query is started with.
+Ingest, rate limit and history decide each micro-batch as a whole, with the batch
+operators and a small stored state that the batch before left behind. So a hot key
+is spread over tasks as it is in a batch, and a batch that runs again after a
+failure reads the same state and writes the same rows into the same folders.
+Decisions are final. A row that comes too late for one, because it lies further
+behind the stream than allowed or before a row of its key that is already decided,
+is not dropped: it goes to the ``late`` output. Every row comes out in one of both.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from quire import fixed_values as fv
-from quire.operators.history import _Admitted, _Stack, annotations_latest
+from quire.functions.joins import join_per_key
+from quire.operators import history, rates
+from quire.session import cut_lineage
+from quire.sources.store import Store
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -50,219 +57,209 @@ def write_batches(stream: DataFrame, path: str, checkpoint: str, make: Callable[
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _in_order(rows: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
-    """This trigger's rows of one key, oldest first."""
-    return pd.concat(list(rows)).sort_values(by, kind="stable")
+# --- micro-batches with a stored state ---------------------------------------------
 
+#: step(batch, state, clock) -> (decided rows, late rows, state for the next batch)
+Step = Callable[[DataFrame, DataFrame | None, int | None], tuple[DataFrame, DataFrame, DataFrame]]
 
-# --- ingest --------------------------------------------------------------------
-
-
-def new_documents(docs: DataFrame, event_time: str = "ts", late_after: str = "1 day") -> DataFrame:
-    """``docs(doc_id, text, ts, ...)`` without re-delivered ids."""
-    return docs.withWatermark(event_time, late_after).dropDuplicatesWithinWatermark(["doc_id"])
 
+def decide_batches(
+    stream: DataFrame, path: str, checkpoint: str, step: Step, event_time: str, late_s: int, keep_states: bool = False
+) -> StreamingQuery:
+    """Start an available-now query that decides each micro-batch by ``step`` and writes ``path/out`` and ``path/late``.
 
-def stream_ingest(docs: DataFrame, path: str, checkpoint: str, accept, analyse, late_after: str = "1 day"):
-    """Validate and analyse documents as they arrive, each id once.
-
-    ``accept(docs)`` keeps the valid uploads, ``analyse(docs)`` gives the rows to store.
+    ``step`` gets the batch with a column ``_late`` (more than ``late_s`` seconds behind the newest event of earlier
+    batches), the state that the batch before left, and the newest event time so far, this batch included, in
+    microseconds. State is in ``path/state``, one folder a batch; with ``keep_states`` none is deleted and ``step`` gets
+    those of all earlier batches.
     """
-    return write_batches(
-        new_documents(docs, late_after=late_after), path, checkpoint, lambda batch: analyse(accept(batch))
-    )
+    spark = stream.sparkSession
 
+    def folder(name: str, batch_id: int) -> str:
+        return f"{path}/{name}/batch_id={batch_id}"
 
-# --- state that goes with time ------------------------------------------------------
+    def write(batch: DataFrame, batch_id: int) -> None:
+        given = cut_lineage(batch, spark)
+        us = F.unix_micros(F.col(event_time).cast("timestamp"))
+        clock = state = None
+        if batch_id:
+            clock = spark.read.parquet(folder("clock", batch_id - 1)).first()[0]
+            if keep_states:
+                state = spark.read.parquet(f"{path}/state").where(F.col("batch_id") < batch_id).drop("batch_id")
+            else:
+                state = spark.read.parquet(folder("state", batch_id - 1))
+        late = F.lit(False) if clock is None else F.coalesce(us < clock - late_s * 1_000_000, F.lit(False))
+        newest = max((x for x in (clock, given.agg(F.max(us)).first()[0]) if x is not None), default=None)
+        out, too_late, left = step(given.withColumn("_late", late), state, newest)
+        for name, rows in (("out", out), ("late", too_late), ("state", left)):
+            rows.write.mode("overwrite").parquet(folder(name, batch_id))
+        spark.createDataFrame([(newest,)], "us long").coalesce(1).write.mode("overwrite").parquet(folder("clock", batch_id))
+        old = [] if keep_states else [folder("state", batch_id - 2), folder("clock", batch_id - 2)]
+        for name in old:
+            gone = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+            gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
 
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-class _Evicting(StatefulProcessor):
-    """A processor whose state for a key goes ``ttl_ms`` of event time after the key's last event."""
 
-    columns: list[str]
+def decided(spark: SparkSession, path: str) -> DataFrame:
+    """The rows that have been decided by the query that writes to ``path``."""
+    return spark.read.parquet(f"{path}/out").drop("batch_id")
 
-    def __init__(self, ttl_ms: int):
-        self.ttl_ms = ttl_ms
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.due = handle.getValueState("due", "at bigint")
+def too_late(spark: SparkSession, path: str) -> DataFrame:
+    """The rows that came too late for the query that writes to ``path``."""
+    return spark.read.parquet(f"{path}/late").drop("batch_id")
 
-    def keep_until(self, ms: int) -> None:
-        at, known = ms + self.ttl_ms, self.due.get()
-        if known is None or at > known[0]:
-            if known is not None:
-                self.handle.deleteTimer(known[0])
-            self.due.update((at,))
-            self.handle.registerTimer(at)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        self.due.clear()
-        self.forget()
-        yield pd.DataFrame(columns=self.columns).astype(object)
 
-    def close(self) -> None:
-        pass
+# --- ingest --------------------------------------------------------------------
 
 
-# --- rate limit ------------------------------------------------------------------
+def stream_ingest(
+    docs: DataFrame, path: str, checkpoint: str, accept, analyse, event_time: str = "ts", late_s: int = 86_400
+) -> StreamingQuery:
+    """Validate and analyse ``docs(doc_id, text, ts, ...)`` as they arrive, each id once.
 
+    ``accept(docs)`` keeps the valid uploads, ``analyse(docs)`` gives the rows to store. Of an id that is delivered
+    again the first delivery counts, within a batch the oldest; the ids delivered so far are the state.
+    """
 
-class _RateLimiter(_Evicting):
-    columns = ["request_id", "key", "admitted", "late"]
-
-    def __init__(self, window_s: int, limit: int, late_s: int):
-        # a key without requests for a whole window has nothing left that counts
-        super().__init__((window_s + late_s) * 1000)
-        self.width, self.limit = window_s * 1_000_000, limit
+    def step(batch, state, clock):
+        first = F.row_number().over(Window.partitionBy("doc_id").orderBy(event_time, F.xxhash64("text")))
+        new = batch.where("NOT _late").withColumn("_n", first).where("_n = 1").drop("_n", "_late")
+        if state is not None:
+            new = new.join(state, "doc_id", "left_anti")
+        new = cut_lineage(new)
+        return analyse(accept(new)), batch.where("_late").drop("_late"), new.select("doc_id")
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.times = handle.getValueState("admitted", "times array<bigint>, latest bigint")
+    return decide_batches(docs, path, checkpoint, step, event_time, late_s, keep_states=True)
 
-    def forget(self) -> None:
-        self.times.clear()
 
-    def handleInputRows(self, key, rows, timerValues):
-        known = self.times.get()
-        times, latest = ([], None) if known is None else (list(known[0]), known[1])
-        live = _Admitted(times, self.width, self.limit)
-        pdf = _in_order(rows, ["us", "request_id"])
-        out = []
-        for us, request in zip(pdf["us"], pdf["request_id"]):
-            us = int(us)
-            if latest is not None and us < latest:
-                out.append((request, key[0], None, True))
-                continue
-            latest = us
-            out.append((request, key[0], live.offer(us, 1) == 1, False))
-        self.times.update(([int(t) for t in live.times], latest))
-        self.keep_until(latest // 1000)
-        yield pd.DataFrame(out, columns=self.columns)
+# --- rate limit ------------------------------------------------------------------
 
 
 def stream_rate_limit(
     requests: DataFrame,
+    path: str,
+    checkpoint: str,
     window_s: int = fv.RATE_LIMIT_WINDOW_S,
     limit: int = fv.RATE_LIMIT_REQUESTS,
     key: str | None = None,
     late_s: int = 86_400,
-) -> DataFrame:
-    """Admission of ``requests(request_id, ts)`` per key, continuously.
-
-    A request older than one already decided is marked late and not counted; one
-    that is ``late_s`` seconds behind the whole stream is dropped. A key's state
-    goes when that time and a window have passed without a request.
+    part_rows: int = 200_000,
+) -> StreamingQuery:
+    """Admission of ``requests(request_id, ts)`` per key, continuously: (request_id, key, admitted) and late requests.
+
+    A request older than one of its key that is already decided is late. The state of a key is the time of its last
+    decided request and the times admitted in the window before that, at most ``limit``; they go before the new
+    requests into the batch operator, which admits them again, as they fit their windows. A key's state goes when
+    whatever it could bear on would be late.
     """
-    owner = F.lit("all") if key is None else F.col(key).cast("string")
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
-    schema = T.StructType(
-        [
-            T.StructField("request_id", T.LongType()),
-            T.StructField("key", T.StringType()),
-            T.StructField("admitted", T.BooleanType()),
-            T.StructField("late", T.BooleanType()),
-        ]
-    )
-    use_rocksdb(requests.sparkSession)
-    return (
-        requests.select("request_id", owner.alias("key"), us.alias("us"), F.col("ts").cast("timestamp").alias("ts"))
-        .withWatermark("ts", f"{late_s} seconds")
-        .groupBy("key")
-        .transformWithStateInPandas(_RateLimiter(window_s, limit, late_s), schema, "Append", "EventTime")
-    )
+    width = window_s * 1_000_000
+
+    def step(batch, state, clock):
+        asked = rates.stamped(batch, key, "_late")
+        if state is not None:
+            known = join_per_key(asked, state.select("key", "latest"), ["key"], "left")
+            old = F.coalesce(F.col("us") < F.col("latest"), F.lit(False))
+            asked = known.withColumn("_late", F.col("_late") | old).drop("latest")
+        fresh = asked.where("NOT _late").select("request_id", "key", "us", F.lit(False).alias("carried"))
+        if state is not None:
+            carried = state.select(F.lit(None).cast("long").alias("request_id"), "key", F.explode("times").alias("us"))
+            fresh = fresh.unionByName(carried.withColumn("carried", F.lit(True)))
+        made = cut_lineage(rates.admitted(fresh, window_s, limit, part_rows))
+        tops = made.select("key", "us").where("key is not null")
+        if state is not None:
+            tops = tops.unionByName(state.select("key", F.col("latest").alias("us")))
+        tops = tops.groupBy("key").agg(F.max("us").alias("latest"))
+        live = join_per_key(made.where("admitted").select("key", "us"), tops, ["key"]).where(F.col("us") >= F.col("latest") - width)
+        live = live.groupBy("key").agg(F.sort_array(F.collect_list("us")).alias("times"))
+        none = F.array().cast("array<long>")
+        left = tops.join(live, "key", "left").withColumn("times", F.coalesce("times", none))
+        if clock is not None:
+            left = left.where(F.col("latest") >= clock - late_s * 1_000_000 - width)
+        late = asked.where("_late").select("request_id", "key", F.timestamp_micros("us").alias("ts"))
+        return made.where("NOT carried").select("request_id", "key", "admitted"), late, left
+
+    return decide_batches(requests, path, checkpoint, step, "ts", late_s)
 
 
 # --- history ---------------------------------------------------------------------
 
 
-class _Replayer(_Evicting):
-    def __init__(self, depth: int, ttl_h: int):
-        super().__init__(ttl_h * 3_600_000)
-        self.depth, self.columns = depth, [f.name for f in HISTORY_SCHEMA]
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.stack = handle.getValueState("stack", "done int, seqs array<bigint>, names array<string>, latest bigint")
+def stream_history(
+    log: DataFrame,
+    path: str,
+    checkpoint: str,
+    depth: int = fv.HISTORY_DEPTH,
+    late_s: int = 86_400,
+    ttl_h: int | None = fv.DOCUMENT_TTL_HOURS,
+    chunk: int = 1_000_000,
+) -> StreamingQuery:
+    """Outcome of every edit, undo and redo of ``log(doc_id, seq, action, operation, ts)`` as it arrives, and late events.
 
-    def handleInputRows(self, key, rows, timerValues):
-        known = self.stack.get()
-        done, seqs, names, latest = (0, [], [], -1) if known is None else (known[0], list(known[1]), list(known[2]), known[3])
-        stack = _Stack(seqs, done, self.depth)
-        label = dict(zip(seqs, names))
-        pdf = _in_order(rows, ["seq"])
-        out = []
-        for seq, action, operation in zip(pdf["seq"], pdf["action"], pdf["operation"]):
-            seq = int(seq)
-            if seq <= latest:
-                out.append((key[0], seq, action, None, None, None, None, None, None, True))
-                continue
-            latest = seq
-            if action == "edit":
-                label[seq] = operation
-            ok, target = stack.apply(action, seq)
-            undone = fv.UNDO_MARKER if target == -1 else label.get(target)
-            out.append(
-                (key[0], seq, action, "ok" if ok else "error", stack.entries, stack.done - 1, stack.done > 0,
-                 stack.done < len(stack.refs), undone, False)
-            )
-        self.stack.update((stack.done, [int(s) for s in stack.refs], [label[s] for s in stack.refs], latest))
-        self.keep_until(int(pdf["ms"].max()))
-        yield pd.DataFrame(out, columns=self.columns)
-
-    def forget(self) -> None:
-        self.stack.clear()
-
-
-HISTORY_SCHEMA = T.StructType(
-    [
-        T.StructField("doc_id", T.LongType()),
-        T.StructField("seq", T.LongType()),
-        T.StructField("action", T.StringType()),
-        T.StructField("status", T.StringType()),
-        T.StructField("versions", T.IntegerType()),
-        T.StructField("current", T.IntegerType()),
-        T.StructField("can_undo", T.BooleanType()),
-        T.StructField("can_redo", T.BooleanType()),
-        T.StructField("target_operation", T.StringType()),
-        T.StructField("late", T.BooleanType()),
-    ]
-)
-
-
-def stream_history(log: DataFrame, depth: int = fv.HISTORY_DEPTH, ttl_h: int = fv.DOCUMENT_TTL_HOURS) -> DataFrame:
-    """Outcome of every edit, undo and redo of ``log(doc_id, seq, action, operation, ts)`` as it arrives.
-
-    Outcomes are final when given, so an event older than one already applied is
-    marked late, has no outcome and changes nothing. The state of a document goes
-    ``ttl_h`` hours of event time after its last event, which is also how far an
-    event may be behind the stream.
+    An event before one of its document that is already applied is late. The state of a document, its undo stack and
+    last event, goes ``ttl_h`` hours of event time after that, as the document does (None: never).
     """
-    use_rocksdb(log.sparkSession)
-    return (
-        log.select("doc_id", "seq", "action", "operation", F.col("ts").cast("timestamp").alias("ts"))
-        .withColumn("ms", F.unix_millis("ts"))
-        .withWatermark("ts", f"{ttl_h} hours")
-        .groupBy("doc_id")
-        .transformWithStateInPandas(_Replayer(depth, ttl_h), HISTORY_SCHEMA, "Append", "EventTime")
-    )
+    columns = ["doc_id", "seq", "action", "operation", "ts"]
+
+    def step(batch, state, clock):
+        events = batch.select(*columns, "_late")
+        if state is not None:
+            known = join_per_key(events, state.select("doc_id", "latest"), ["doc_id"], "left")
+            old = F.coalesce(F.col("seq") <= F.col("latest"), F.lit(False))
+            events = known.withColumn("_late", F.col("_late") | old).drop("latest")
+        events = cut_lineage(events)
+        fresh = events.where("NOT _late")
+        made = cut_lineage(history.replayed(fresh, depth, chunk, state))
+        ends = made.where("seq is null").groupBy("doc_id").agg(F.max_by(F.struct("done", "seqs", "names"), "chunk_no").alias("x"))
+        us = F.unix_micros(F.col("ts").cast("timestamp"))
+        tops = fresh.groupBy("doc_id").agg(F.max("seq").alias("latest"), F.max(us).alias("at"))
+        left = ends.select("doc_id", "x.*").join(tops, "doc_id")
+        if state is not None:
+            left = left.unionByName(state.join(tops.select("doc_id"), "doc_id", "left_anti"))
+        if ttl_h is not None and clock is not None:
+            left = left.where(F.col("at") >= clock - ttl_h * 3_600_000_000)
+        out = made.where("seq is not null").drop("chunk_no", "done", "seqs", "names")
+        return out, events.where("_late").select(*columns), left
+
+    return decide_batches(log, path, checkpoint, step, "ts", late_s)
 
 
 # --- annotations -------------------------------------------------------------------
 
 
-def stream_annotations(log: DataFrame, path: str, checkpoint: str):
-    """Keep each micro-batch's last save per (doc_id, page); read with ``saved_annotations``."""
+def annotation_store(spark: SparkSession, path: str, buckets: int = 64) -> Store:
+    return Store(spark, path, ["doc_id", "page"], buckets)
 
-    def last_saves(batch: DataFrame) -> DataFrame:
-        newest = F.max_by(F.struct("saved_at", "seq", "items"), F.struct("saved_at", "seq")).alias("x")
-        return batch.groupBy("doc_id", "page").agg(newest).select("doc_id", "page", "x.*")
 
-    return write_batches(log, path, checkpoint, last_saves)
+def stream_annotations(log: DataFrame, path: str, checkpoint: str, buckets: int = 64, compact_every: int = 16) -> StreamingQuery:
+    """Keep the last save per (doc_id, page) of ``log(doc_id, page, saved_at, seq, items)`` in a store.
 
+    Each micro-batch rewrites the buckets of the store that it touches, under its own number; a batch that runs again
+    changes nothing. Read with ``saved_annotations``.
+    """
+    spark = log.sparkSession
 
-def saved_annotations(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
-    return annotations_latest(spark.read.parquet(path), wanted)
+    def write(batch: DataFrame, batch_id: int) -> None:
+        newest = F.max_by(F.struct("saved_at", "seq", "items"), F.struct("saved_at", "seq")).alias("x")
+        last = batch.groupBy("doc_id", "page").agg(newest).select("doc_id", "page", "x.*")
+        store = annotation_store(spark, path, buckets)
+        store.change(last, newest=["saved_at", "seq"], version=batch_id)
+        if batch_id % compact_every == compact_every - 1:
+            store.compact(keep=2)
+
+    return log.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def saved_annotations(spark: SparkSession, path: str, wanted: DataFrame, buckets: int = 64) -> DataFrame:
+    """The saved list of each wanted (doc_id, page), ``[]`` where none was saved: one scan of the store, no aggregation."""
+    stored = annotation_store(spark, path, buckets).read()
+    none = F.lit("[]")
+    if stored is None:
+        return wanted.withColumn("items", none)
+    saved = stored.select("doc_id", "page", "items")
+    return wanted.join(saved, ["doc_id", "page"], "left").withColumn("items", F.coalesce("items", none))
 
 
 # --- expiry ------------------------------------------------------------------------

@@ -249,15 +249,88 @@ def test_reorder_inverse_and_split_merge_are_identity(table, seed):
     assert texts(moved) == [f"p{x}" for x in want]
 
 
-def test_batch(pages, spans, tmp_path, spark):
-    corpus = {"pages": pages, "spans": spans}
+def test_batch(pages, spans, glyphs, tmp_path, spark):
+    corpus = {"pages": pages, "spans": spans, "glyphs": glyphs}
     ops = [{"type": "replace", "find": "Hello", "replace": "Goodbye"}, {"type": "nonsense"}, {"type": "replace"}, {"type": "stamp"}]
-    after, result = batch.batch_operations(corpus, ops)
+    after, result = batch.batch_operations(corpus, ops, str(tmp_path / "made"))
     got = [(r.step, r.status, r.n) for r in result.orderBy("step").collect()]
     assert got == [(0, "ok", 1), (1, "skipped", 0), (2, "error", 0), (3, "ok", 3)]
     assert after["spans"].where("text = 'Goodbye World'").count() == 1
     assert batch.history_entry(ops) == "Batch: replace, nonsense, replace, stamp"
-    batch.stored(after, str(tmp_path))
-    assert batch.load(spark, str(tmp_path))["spans"].count() == 3
+    assert batch.load(spark, str(tmp_path / "made"))["spans"].count() == 3
     assert batch.changed_documents(pages, pages).count() == 0
     assert batch.changed_documents(pages, pages.withColumn("text", F.upper("text"))).count() == 1
+
+
+def test_batch_options(pages, spans, glyphs):
+    corpus = {"pages": pages, "spans": spans, "glyphs": glyphs}
+    ops = [
+        {"type": "stamp", "text": "a{n}", "position": "top-right", "margin": 10, "size": 20, "pages": [1]},
+        {"type": "watermark", "text": "abba", "size": 40, "rotation": 0, "opacity": 0.5, "pages": [0, 2]},
+    ]
+    after, result = batch.batch_operations(corpus, ops)
+    assert [r.n for r in result.orderBy("step").collect()] == [1, 2]
+    marks = sorted(rows(after["marks"].select("page", "kind", "text", "x", "y", "size", "rotation", "opacity")))
+    # an "a" is half as wide as its size, a "b" a quarter; the page is 612 by 792
+    assert marks == [
+        (0, "watermark", "abba", 306.0 - 30.0, 396.0 + 20.0, 40.0, 0.0, 0.5),
+        (1, "stamp", "a2", 612.0 - 10.0 - 10.0, 30.0, 20.0, 0.0, 1.0),
+        (2, "watermark", "abba", 306.0 - 30.0, 396.0 + 20.0, 40.0, 0.0, 0.5),
+    ]
+
+
+def test_batch_goes_on_after_steps_that_fail_on_a_row(pages, spans, glyphs):
+    def number(c, op):
+        text = F.when(F.col("page") == op["page"], F.col("text").cast("int").cast("string")).otherwise(F.col("text"))
+        changed, seen = batch._seen(c["pages"].withColumn("text", text), F.count(F.lit(1)))
+        return {**c, "pages": changed}, seen
+
+    ops = [
+        {"type": "get_page_count"}, {"type": "number", "page": 1}, {"type": "search_text", "query": "page"},
+        {"type": "number", "page": 9}, {"type": "number", "page": 2}, {"type": "delete_text", "text": "page"},
+    ]
+    after, result = batch.batch_operations({"pages": pages, "spans": spans, "glyphs": glyphs}, ops, more={"number": number})
+    got = [(r.status, r.n, r.reason is not None) for r in result.orderBy("step").collect()]
+    assert got == [("ok", 3, False), ("error", 0, True), ("ok", 2, False), ("ok", 3, False), ("error", 0, True), ("ok", 2, False)]
+    assert sorted(r.text for r in after["pages"].collect()) == [" Three", " Two Content test@example.com", "Hello World"]
+
+
+def test_batch_reads_each_table_once(pages, spans, glyphs, tmp_path, spark):
+    pages.write.parquet(str(tmp_path / "in"))
+    given = spark.read.parquet(str(tmp_path / "in"))
+    ops = [{"type": "search_text", "query": "page"}, {"type": "delete_text", "text": "page"}, {"type": "get_word_count"}] * 4
+    planned, counts, _ = batch._planned({"pages": given, "spans": spans, "glyphs": glyphs}, ops, batch.OPERATIONS, {})
+    assert len(counts) == 12 and planned["pages"]._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1
+
+
+def test_crowded_pages_are_divided(table):
+    rnd = random.Random(9)
+    boxes = [(rnd.uniform(0, 600), rnd.uniform(0, 780)) for _ in range(700)]
+    s = table(SPAN, *[span(1 + (i % 7 == 0), 0, i, "x" * rnd.randrange(1, 60), x0=x, y0=y) for i, (x, y) in enumerate(boxes)])
+    r = [(i, 1 + i % 2, 0, x := rnd.uniform(0, 600), y := rnd.uniform(0, 780), x + rnd.uniform(1, 300), y + rnd.uniform(1, 90)) for i in range(60)]
+    r += [(90, 1, 0, -50.0, -50.0, 900.0, 900.0), (91, 1, 0, 800.0, 800.0, 810.0, 810.0), (92, 3, 0, 0.0, 0.0, 9.0, 9.0)]
+    regions = table("region_id long, doc_id long, page int, rx0 double, ry0 double, rx1 double, ry1 double", *r)
+    assert layout._grids(s).count() == 1
+    got = sorted(rows(layout.region_spans(s, regions).select("region_id", "block")))
+    want = [
+        (g[0], b.block) for b in s.collect() for g in r
+        if g[1] == b.doc_id and b.x0 < g[5] and b.x1 > g[3] and b.y0 < g[6] and b.y1 > g[4]
+    ]
+    assert got == sorted(want) and len(got) > 1000
+
+
+def test_span_groups_of_several_bands(table):
+    rnd = random.Random(6)
+    boxes = [(rnd.uniform(0, 500), rnd.uniform(0, 700), rnd.choice([6.0, 12.0, 30.0])) for _ in range(150)]
+    boxes = [(x, y, x + rnd.uniform(5, 80), s) for x, y, s in boxes]
+    s = table(SPAN, *[span(1, 0, i, f"t{i}", b[3], x0=b[0], y0=b[1], x1=b[2]) for i, b in enumerate(boxes)])
+    assert layout._bands(s).select("band").distinct().count() > 5
+    want = {}
+    for i, o in enumerate(greedy_groups(boxes)):
+        want.setdefault(o, []).append(f"t{i}")
+    assert {r.anchor: r.text.split() for r in layout.span_groups(s).collect()} == want
+
+
+def test_stamps_join_nothing(pages, glyphs):
+    plan = layout.stamp_layout(pages, None, glyphs)._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan

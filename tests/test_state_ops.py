@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from quire import fixed_values as fv
 from quire.functions.ranking import running_sum
-from quire.operators import history, intent
+from quire.operators import history, intent, rates
+from quire.sources.store import Store
 from quire.streaming import jobs
 
 LOG = "doc_id long, seq long, action string, operation string"
@@ -86,9 +87,9 @@ def admitted_by_hand(stamps, window_us, limit):
 T0 = datetime(2024, 1, 1)
 
 
-@pytest.mark.parametrize("chunk_rows", [10_000, 60])
+@pytest.mark.parametrize("part_rows", [10_000, 60])
 @pytest.mark.parametrize("mean_gap", [0.5, 3.0])
-def test_rate_limit(table, chunk_rows, mean_gap):
+def test_rate_limit(table, part_rows, mean_gap):
     rnd = random.Random(11)
     t, reqs = 0.0, []
     for i in range(600):
@@ -96,7 +97,7 @@ def test_rate_limit(table, chunk_rows, mean_gap):
             t += rnd.expovariate(1 / mean_gap)
         reqs.append((i, T0 + timedelta(microseconds=int(t * 1e6))))
     df = table("request_id long, ts timestamp", *reqs)
-    got = sorted((r.request_id, r.admitted) for r in history.rate_limit(df, 60, 30, chunk_rows=chunk_rows).collect())
+    got = sorted((r.request_id, r.admitted) for r in rates.rate_limit(df, 60, 30, part_rows=part_rows).collect())
     us = lambda ts: int((ts - T0).total_seconds() * 1e6)
     assert got == admitted_by_hand([(us(ts), i) for i, ts in reqs], 60_000_000, 30)
 
@@ -105,7 +106,7 @@ def test_rate_limit_hot_key_among_others(table):
     rnd = random.Random(2)
     reqs = [(i, T0 + timedelta(seconds=i * 0.7), 0 if rnd.random() < 0.6 else i % 9) for i in range(700)]
     df = table("request_id long, ts timestamp, user_id long", *reqs)
-    got = sorted((r.request_id, r.admitted) for r in history.rate_limit(df, 60, 5, "user_id", chunk_rows=100).collect())
+    got = sorted((r.request_id, r.admitted) for r in rates.rate_limit(df, 60, 5, "user_id", part_rows=100).collect())
     want = []
     for user in range(9):
         mine = [(int((ts - T0).total_seconds() * 1e6), i) for i, ts, u in reqs if u == user]
@@ -118,15 +119,15 @@ def test_rate_limit_edges(table):
     reqs = [(i, T0 + timedelta(seconds=i)) for i in range(31)]
     reqs += [(40, T0 + timedelta(seconds=60)), (41, T0 + timedelta(seconds=60, microseconds=1))]
     df = table("request_id long, ts timestamp", *reqs)
-    got = {r.request_id: r.admitted for r in history.rate_limit(df).collect()}
+    got = {r.request_id: r.admitted for r in rates.rate_limit(df).collect()}
     assert not got[30] and not got[40] and got[41] and all(got[i] for i in range(30))
-    load = {r.request_id: r.load for r in history.request_rate(df).collect()}
+    load = {r.request_id: r.load for r in rates.request_rate(df).collect()}
     assert load[0] == 1 and load[30] == 31 and load[40] == 32
 
 
 def test_many_requests_at_one_time(table):
     df = table("request_id long, ts timestamp", *[(i, T0) for i in range(50)])
-    assert sorted(r.request_id for r in history.rate_limit(df, 60, 30).where("admitted").collect()) == list(range(30))
+    assert sorted(r.request_id for r in rates.rate_limit(df, 60, 30).where("admitted").collect()) == list(range(30))
 
 
 def test_running_sum_in_chunks(table):
@@ -236,54 +237,136 @@ def feed(df, folder, parts, order):
         cut.where(F.col("_p") == p).drop("_p").coalesce(1).write.mode("append").parquet(folder)
 
 
-def test_stream_rate_limit_equals_batch(spark, table, tmp_path):
+def streamed(spark, tmp_path, df, parts, order, start):
+    """Run ``start(stream, path, checkpoint)`` over ``df`` in ``parts`` micro-batches; the path of its output."""
+    feed(df, str(tmp_path / "in"), parts, order)
+    stream = jobs.read_folder(spark, str(tmp_path / "in"), df.schema, files_per_trigger=1)
+    path = str(tmp_path / "out")
+    start(stream, path, str(tmp_path / "check")).awaitTermination()
+    return path
+
+
+@pytest.mark.parametrize("key", ["user_id", None])
+def test_stream_rate_limit_equals_batch(spark, table, tmp_path, key):
     rnd = random.Random(4)
     reqs = [(i, T0 + timedelta(seconds=i * 2 + rnd.random()), i % 2) for i in range(200)]
     df = table("request_id long, ts timestamp, user_id long", *reqs)
-    feed(df, str(tmp_path / "in"), 4, "ts")
+    path = streamed(spark, tmp_path, df, 4, "ts", lambda s, out, check: jobs.stream_rate_limit(s, out, check, 60, 10, key, part_rows=7))
+    assert jobs.too_late(spark, path).count() == 0
+    want = rates.rate_limit(df, 60, 10, key)
+    assert sorted(rows(jobs.decided(spark, path))) == sorted(rows(want))
+
+
+def test_stream_rate_limit_out_of_order(spark, table, tmp_path):
+    """Every request is decided as the batch operator decides the ones in time, or comes out late; null times are not lost."""
+    rnd = random.Random(5)
+    reqs = [(i, T0 + timedelta(seconds=i * 3 if i % 9 else i * 3 - 200), i % 3) for i in range(240)]
+    df = table("request_id long, ts timestamp, user_id long", *reqs, (999, None, 1), (998, T0, None))
+    df = df.withColumn("arrival", F.when(F.col("request_id") < 900, F.col("request_id")).otherwise(F.lit(rnd.randrange(200))))
+    start = lambda s, out, check: jobs.stream_rate_limit(s, out, check, 60, 5, "user_id", late_s=90)
+    path = streamed(spark, tmp_path, df, 6, "arrival", start)
+    got, late = jobs.decided(spark, path), jobs.too_late(spark, path)
+    assert got.count() + late.count() == 242 and late.count() > 5
+    in_time = df.join(late.select("request_id"), "request_id", "left_anti")
+    assert sorted(map(repr, rows(got))) == sorted(map(repr, rows(rates.rate_limit(in_time, 60, 5, "user_id"))))
+
+
+def test_a_batch_that_runs_again_gives_the_same_rows(spark, table, tmp_path):
+    reqs = [(i, T0 + timedelta(seconds=i), 0) for i in range(90)]
+    df = table("request_id long, ts timestamp, user_id long", *reqs)
+    path = streamed(spark, tmp_path, df, 3, "ts", lambda s, out, check: jobs.stream_rate_limit(s, out, check, 20, 5))
+    before = sorted(rows(jobs.decided(spark, path)))
+    # as if the last batch had died before its commit
+    commits = tmp_path / "check" / "commits"
+    (commits / "2").unlink()
+    (commits / ".2.crc").unlink(missing_ok=True)
     stream = jobs.read_folder(spark, str(tmp_path / "in"), df.schema, files_per_trigger=1)
-    out = jobs.stream_rate_limit(stream, 60, 10, "user_id")
-    jobs.write_batches(out, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "out"))
-    assert got.where("late").count() == 0
-    want = history.rate_limit(df, 60, 10, "user_id")
-    assert sorted(rows(got.select("request_id", "key", "admitted"))) == sorted(rows(want))
+    jobs.stream_rate_limit(stream, path, str(tmp_path / "check"), 20, 5).awaitTermination()
+    assert sorted(rows(jobs.decided(spark, path))) == before and len(before) == 90
 
 
-def test_stream_history_marks_what_comes_too_late(spark, table, tmp_path):
+def test_stream_history_gives_out_what_comes_too_late(spark, table, tmp_path):
     log = [(1, "edit"), (3, "undo"), (2, "edit"), (4, "redo")]
     df = table(LOG + ", ts timestamp", *[(7, s, a, f"op{s}", T0 + timedelta(minutes=i)) for i, (s, a) in enumerate(log)])
-    feed(df, str(tmp_path / "in"), 2, "ts")
-    stream = jobs.read_folder(spark, str(tmp_path / "in"), df.schema, files_per_trigger=1)
-    jobs.write_batches(jobs.stream_history(stream), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
-    got = {r.seq: r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert got[2].late and got[2].status is None
-    in_time = df.where("seq <> 2")
-    for r in history.history_replay(in_time).collect():
-        assert (got[r.seq].status, got[r.seq].target_operation, got[r.seq].late) == (r.status, r.target_operation, False)
+    path = streamed(spark, tmp_path, df, 2, "ts", jobs.stream_history)
+    assert [r.seq for r in jobs.too_late(spark, path).collect()] == [2]
+    want = history.history_replay(df.where("seq <> 2"))
+    assert sorted(map(repr, rows(jobs.decided(spark, path)))) == sorted(map(repr, rows(want)))
 
 
-def test_stream_history_equals_batch(spark, table, tmp_path):
+@pytest.mark.parametrize("chunk", [1_000_000, 7])
+def test_stream_history_equals_batch(spark, table, tmp_path, chunk):
     rnd = random.Random(8)
     df = table(LOG, *[(d, s, a, f"op{s}") for d in range(3) for s, a in random_log(rnd, 60, (3, 2, 2))])
     df = df.withColumn("ts", F.timestamp_seconds(F.col("seq") + 1_700_000_000))
-    feed(df, str(tmp_path / "in"), 3, "seq")
-    stream = jobs.read_folder(spark, str(tmp_path / "in"), df.schema, files_per_trigger=1)
-    jobs.write_batches(jobs.stream_history(stream), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
-    cols = ["doc_id", "seq", "action", "status", "versions", "current", "can_undo", "can_redo", "target_operation"]
-    got = spark.read.parquet(str(tmp_path / "out")).select(*cols)
-    assert sorted(map(repr, rows(got))) == sorted(map(repr, rows(history.history_replay(df).select(*cols))))
+    path = streamed(spark, tmp_path, df, 4, "seq", lambda s, out, check: jobs.stream_history(s, out, check, chunk=chunk))
+    assert sorted(map(repr, rows(jobs.decided(spark, path)))) == sorted(map(repr, rows(history.history_replay(df))))
+
+
+def test_stream_history_forgets_old_documents(spark, table, tmp_path):
+    days = [(1, 1, "edit", 0), (2, 1, "edit", 3), (1, 2, "undo", 3), (2, 2, "undo", 3.1)]
+    df = table(LOG + ", ts timestamp", *[(d, s, a, "op", T0 + timedelta(days=t)) for d, s, a, t in days])
+    path = streamed(spark, tmp_path, df, 4, "ts", jobs.stream_history)
+    got = {(r.doc_id, r.seq): r.status for r in jobs.decided(spark, path).collect()}
+    assert got == {(1, 1): "ok", (2, 1): "ok", (1, 2): "error", (2, 2): "ok"}
 
 
 def test_stream_ingest_drops_redelivered_ids(spark, table, tmp_path):
-    df = table("doc_id long, text string, ts timestamp", *[(i % 5, "t", T0 + timedelta(minutes=i)) for i in range(10)])
-    feed(df, str(tmp_path / "in"), 2, "ts")
-    stream = jobs.read_folder(spark, str(tmp_path / "in"), df.schema, files_per_trigger=1)
-    done = jobs.stream_ingest(
-        stream, str(tmp_path / "out"), str(tmp_path / "check"), lambda b: b.where("doc_id <> 3"), lambda b: b.select("doc_id")
+    times = [T0 + timedelta(minutes=i) for i in range(10)]
+    df = table("doc_id long, text string, ts timestamp, n long", *[(i % 5, "t", t, i) for i, t in enumerate(times)], (9, "t", T0, 10))
+    start = lambda s, out, check: jobs.stream_ingest(
+        s, out, check, lambda b: b.where("doc_id <> 3"), lambda b: b.select("doc_id"), late_s=60
     )
-    done.awaitTermination()
-    assert sorted(r.doc_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [0, 1, 2, 4]
+    path = streamed(spark, tmp_path, df, 4, "n", start)
+    assert sorted(r.doc_id for r in jobs.decided(spark, path).collect()) == [0, 1, 2, 4]
+    assert [r.doc_id for r in jobs.too_late(spark, path).collect()] == [9]
+
+
+def test_stream_annotations(spark, table, tmp_path):
+    saves = [(d, p, T0 + timedelta(minutes=s), s, f"[{s}]") for s, (d, p) in enumerate([(1, 0), (2, 0), (1, 0), (1, 1), (3, 2), (1, 0)])]
+    df = table("doc_id long, page int, saved_at timestamp, seq long, items string", *saves).withColumn("n", F.col("seq"))
+    # the first save of (1, 0) arrives last
+    df = df.withColumn("n", F.when(F.col("seq") == 0, 9).otherwise(F.col("n")))
+    start = lambda s, out, check: jobs.stream_annotations(s.drop("n"), out, check, buckets=3, compact_every=2)
+    path = streamed(spark, tmp_path, df, 4, "n", start)
+    wanted = table("doc_id long, page int", (1, 0), (1, 1), (2, 0), (3, 2), (4, 0))
+    got = jobs.saved_annotations(spark, path, wanted, buckets=3)
+    assert sorted(rows(got)) == [(1, 0, "[5]"), (1, 1, "[3]"), (2, 0, "[1]"), (3, 2, "[4]"), (4, 0, "[]")]
+    assert "Aggregate" not in jobs.annotation_store(spark, path, 3).read()._jdf.queryExecution().toString()
+
+
+# --- the store ---------------------------------------------------------------------
+
+
+def test_store(spark, table, tmp_path):
+    store = Store(spark, str(tmp_path / "store"), ["k"], buckets=4)
+    make = lambda *r: table("k long, v string", *r)
+    assert store.read() is None
+    store.change(make(*[(k, "a") for k in range(20)]))
+    store.change(make((3, "b"), (30, "b")), gone=make((4, "")))
+    want = {k: "a" for k in range(20) if k != 4} | {3: "b", 30: "b"}
+    assert dict(rows(store.read())) == want
+    # the same version again gives the same table
+    store.change(make((3, "b"), (30, "b")), gone=make((4, "")), version=1)
+    assert dict(rows(store.read())) == want
+    # a change that dies before its manifest changes nothing
+    store._commit = lambda *a: (_ for _ in ()).throw(RuntimeError("lost"))
+    with pytest.raises(RuntimeError):
+        store.change(make((5, "c")))
+    store = Store(spark, str(tmp_path / "store"), ["k"], buckets=4)
+    assert dict(rows(store.read())) == want
+    assert store.compact() > 0 and dict(rows(store.read())) == want
+    assert spark.read.parquet(str(tmp_path / "store" / "data")).count() == len(want)
+    store.change(gone=make(*[(k, "") for k in want]))
+    assert store.read() is None
+
+
+def test_store_keeps_the_newest(spark, table, tmp_path):
+    store = Store(spark, str(tmp_path / "store"), ["k"], buckets=2)
+    make = lambda *r: table("k long, at long, v string", *r)
+    store.change(make((1, 5, "new"), (1, 4, "old"), (2, 1, "x")), newest=["at"])
+    store.change(make((1, 3, "older"), (2, 2, "y")), newest=["at"])
+    assert sorted(rows(store.read())) == [(1, 5, "new"), (2, 2, "y")]
 
 
 def test_stream_expiry(spark, table, tmp_path):
