@@ -126,25 +126,32 @@ STACK = "done int, seqs array<long>, names array<string>"
 class _Effect:
     """What a run of events does to a history whose start is not known.
 
-    All starts (size, done) are walked together, version i of a start being the
-    reference (-(i + 1), None). Starts that have become equal are walked as one from
-    then on, and they soon are: the first edit leaves no more than depth + 1, and
-    each version that is pushed out of the bottom or undone to it merges more. So
-    what is left at the end is usually a single outcome, and a chunk's effect is
-    the few outcomes there are and the start after which each applies.
+    Until the first edit only the mark moves: done becomes max(min(low, size), min(done + shift, size - short)),
+    where the three numbers follow from the undos and redos so far. What an edit leaves of the start is its versions
+    below the mark, so from then on there are no more than depth + 1 cases, one for each number of versions left. Cases
+    that have become equal are walked as one. Version i of the start is the reference -(i + 1).
     """
 
     def __init__(self, depth, first):
-        self.first, self.events = first, 0
-        starts = [(size, done) for size in range(depth + 1) for done in range(size + 1)]
-        self.of = {start: k for k, start in enumerate(starts)}
-        self.stacks = [_Stack([(-(i + 1), None) for i in range(size)], done, depth) for size, done in starts]
+        self.depth, self.first, self.events = depth, first, 0
+        self.shift = self.short = self.low = 0
+        self.stacks, self.of = [], []
 
     def apply(self, action, ref):
+        if action == "edit":
+            if not self.stacks:
+                self.stacks = [_Stack([-(i + 1) for i in range(p)], p, self.depth) for p in range(self.depth + 1)]
+                self.of = list(range(self.depth + 1))
+        elif not self.stacks:
+            if action == "undo":
+                self.shift, self.short, self.low = self.shift - 1, self.short + 1, max(self.low - 1, 0)
+            else:
+                self.shift, self.short, self.low = self.shift + 1, max(self.short - 1, 0), self.low + 1
+            return
         for stack in self.stacks:
             stack.apply(action, ref)
         self.events += 1
-        if len(self.stacks) > 1 and (action == "edit" and len(self.stacks) > 32 or self.events % 16 == 0):
+        if len(self.stacks) > 1 and self.events % 16 == 0:
             self.merge()
 
     def merge(self):
@@ -156,37 +163,38 @@ class _Effect:
                 place[same] = len(kept)
                 kept.append(stack)
             at.append(place[same])
-        self.of = {start: at[k] for start, k in self.of.items()}
-        self.stacks = kept
+        self.stacks, self.of = kept, [at[k] for k in self.of]
 
-    def outcomes(self):
-        """(size, done, outcome) where the outcome changes in the order of starts, and the outcomes."""
+    def columns(self):
+        """shift, short, low; the case of each number of versions left; the edits left on top; the cases."""
         self.merge()
-        runs, last = [], None
-        for (size, done), k in self.of.items():
-            if k != last:
-                runs.append({"size": size, "done": done, "k": k})
-                last = k
-        return runs, [dict(zip(("done", "seqs", "names"), s.columns(), strict=True)) for s in self.stacks]
+        edits: dict[tuple, int] = {}
+        cases = []
+        for stack in self.stacks:
+            kept = [ref for ref in stack.refs if isinstance(ref, int)]
+            top = [edits.setdefault(ref, len(edits)) for ref in stack.refs[len(kept) :]]
+            cases.append({"done": stack.done, "first": -kept[0] - 1 if kept else 0, "kept": len(kept), "top": top})
+        named = [{"seq": seq, "name": name} for seq, name in edits]
+        return self.shift, self.short, self.low, self.of, named, cases
 
 
 EFFECT = (
-    "doc_id long, chunk_no long, first_seq long, runs array<struct<size: int, done: int, k: int>>, "
-    "outcomes array<struct<done: int, seqs: array<bigint>, names: array<string>>>"
+    "doc_id long, chunk_no long, first_seq long, shift int, short int, low int, of array<int>, "
+    "edits array<struct<seq: bigint, name: string>>, "
+    "cases array<struct<done: int, first: int, kept: int, top: array<int>>>"
 )
 
 
-def _after(runs, outcomes, stack):
+def _after(effect, stack):
     """The stack that a chunk's effect makes of ``stack``."""
-    start, k = (len(stack.refs), stack.done), 0
-    for run in runs:
-        if (run["size"], run["done"]) > start:
-            break
-        k = run["k"]
-    end = outcomes[k]
-    # a negative number is a version of the start, all others are the chunk's own
-    refs = [stack.refs[-seq - 1] if seq < 0 else (seq, name) for seq, name in zip(end["seqs"], end["names"], strict=True)]
-    return _Stack(refs, end["done"], stack.depth)
+    shift, short, low, of, edits, cases = effect
+    size = len(stack.refs)
+    left = max(min(low, size), min(stack.done + shift, size - short))
+    if not cases:
+        return _Stack(stack.refs, left, stack.depth)
+    case = cases[of[left]]
+    kept = stack.refs[case["first"] : case["first"] + case["kept"]]
+    return _Stack(kept + [(edits[k]["seq"], edits[k]["name"]) for k in case["top"]], case["done"], stack.depth)
 
 
 def replayed(log: DataFrame, depth: int = fv.HISTORY_DEPTH, chunk: int = 1_000_000, start: DataFrame | None = None) -> DataFrame:
@@ -206,7 +214,7 @@ def replayed(log: DataFrame, depth: int = fv.HISTORY_DEPTH, chunk: int = 1_000_0
         lambda row: _Effect(depth, row[1]),
         lambda state, row: state.apply(row[2], (row[1], row[3])),
         EFFECT,
-        lambda key, e: (*key, e.first, *e.outcomes()),
+        lambda key, e: (*key, e.first, *e.columns()),
     )
     if start is None:
         none = (f"cast(null as {kind}) AS {name}" for name, kind in (x.split() for x in STACK.split(", ")))
@@ -221,14 +229,14 @@ def replayed(log: DataFrame, depth: int = fv.HISTORY_DEPTH, chunk: int = 1_000_0
     def start_of(state, row):
         """The stack before a chunk, which rides on its first event."""
         before = (row[0], row[2], *state[0].columns())
-        state[0] = _after(row[3], row[4], state[0])
+        state[0] = _after(row[3:9], state[0])
         return before
 
     starts = fold_sorted(
         effects,
         ["doc_id"],
         ["chunk_no"],
-        lambda row: [stack_of(*row[5:8])],
+        lambda row: [stack_of(*row[9:12])],
         start_of,
         f"doc_id long, seq long, {STACK}",
     )

@@ -335,6 +335,24 @@ def test_stream_annotations(spark, table, tmp_path):
     assert "Aggregate" not in jobs.annotation_store(spark, path, 3).read()._jdf.queryExecution().toString()
 
 
+def test_effects_compose(table):
+    """A chunk's effect on any start is what walking its events from there gives."""
+    rnd = random.Random(12)
+    for _ in range(300):
+        depth = rnd.choice([1, 3, 20])
+        stack = history._Stack([], 0, depth)
+        for seq in range(rnd.randrange(60)):
+            stack.apply(rnd.choice(["edit", "edit", "undo", "redo"]), (seq, f"op{seq}"))
+        effect = history._Effect(depth, 100)
+        walked = history._Stack(stack.refs, stack.done, depth)
+        for seq in range(100, 100 + rnd.randrange(50)):
+            action = rnd.choices(["edit", "undo", "redo"], rnd.choice([(1, 1, 1), (0, 1, 1), (4, 2, 1)]))[0]
+            effect.apply(action, (seq, f"op{seq}"))
+            walked.apply(action, (seq, f"op{seq}"))
+        got = history._after(effect.columns(), stack)
+        assert (got.refs, got.done) == (walked.refs, walked.done)
+
+
 # --- the store ---------------------------------------------------------------------
 
 
