@@ -13,7 +13,8 @@ With 40 bands of 5 values a pair at similarity 0.75 is missed with probability
 Within a band's bucket pairs are not emitted. Documents with equal sets are
 first folded into one representative; each member of a bucket is compared with
 the bucket's smallest id; only where a bucket then still holds more than one
-component are members of different components compared. Before texts are read,
+component are members of different components compared, inside tasks, in blocks
+of bounded weight that give out linked pairs only. Before texts are read,
 a pair must agree in size and in a sketch of three bits of each signature value:
 at similarity 0.75 some 400 of the 512 agree with a deviation of 9.4, so the
 bound of 349 costs seven such links in a hundred million, far fewer than the bands
@@ -27,11 +28,14 @@ columns are neither read nor returned.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.joins import join_per_key
 from quire.llm.common import (
     LOWER,
     map_texts,
@@ -58,6 +62,8 @@ _WORD_FACTORS = _rng.integers(1, 2**63, WORDS, dtype=np.uint64) * np.uint64(2) +
 SKETCH_BITS = 3
 SKETCH_GROUPS = 2 * PERMUTATIONS // 64
 SKETCH_AGREE = 349  # of 2 * PERMUTATIONS
+CELL = 1 << 20  # what a block weighs about: shingles and, per row, its bands and sketch
+ROW_WEIGHT = 2 * (BANDS + SKETCH_GROUPS * SKETCH_BITS)
 _COLUMNS = 8192  # shingles permuted at once, so that the block stays in cache
 
 
@@ -156,34 +162,151 @@ def _sets(rows, data, at):
     return {"doc_id": rows["doc_id"], "shingles": pa.array(sets, pa.binary())}
 
 
+def _similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """100 * intersection >= 75 * union of two sorted sets."""
+    both = np.concatenate([x, y])
+    both.sort()
+    shared = int(np.count_nonzero(both[1:] == both[:-1]))
+    return len(both) > 0 and 100 * shared >= 75 * (len(both) - shared)
+
+
 def _confirmed(batches):
-    """Pairs whose full sets pass 100 * intersection >= 75 * union."""
+    """Pairs whose full sets are similar enough."""
     for batch in batches:
         a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         good = np.zeros(len(a), bool)
         for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-            both = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)])
-            both.sort()
-            shared = int(np.count_nonzero(both[1:] == both[:-1]))
-            good[i] = 100 * shared >= 75 * (len(both) - shared) and len(both) > 0
+            good[i] = _similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64))
         if good.any():
             yield pa.RecordBatch.from_pydict({"a": a[good], "b": b[good]})
 
 
-def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are linked.
+def shingle_table(ids: DataFrame, texts: DataFrame) -> DataFrame:
+    """(doc_id, shingles): the full sets of the documents ``ids`` (doc_id), written once.
 
-    The full sets of the documents in any pair are written once; the two joins to
-    them have plain sides, which Spark splits where an id is hot. The ids grow with
-    the documents, so their join is a sorted one at any size.
+    The ids grow with the documents, so their join is a sorted one at any size.
     """
-    ids = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct().toDF("doc_id")
     texts = texts.join(ids.hint("merge"), "doc_id").dropDuplicates(["doc_id"])
-    sets = cut_lineage(map_texts(texts, ["doc_id"], "text", _sets, "doc_id long, shingles binary"))
+    return cut_lineage(map_texts(texts, ["doc_id"], "text", _sets, "doc_id long, shingles binary"))
+
+
+def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are linked; the two joins to the full sets have plain sides, which Spark splits where an id is hot."""
+    sets = shingle_table(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct().toDF("doc_id"), texts)
     full = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
     return full.select("a", "b", "set_a", "set_b").mapInArrow(_confirmed, "a long, b long")
 
 
+def _celled(rows: DataFrame, weight) -> DataFrame:
+    """``rows`` (band, id, ...) with their block ``own`` of the bucket, once for each cell (i, j) of two blocks they take part in.
+
+    Blocks are dealt by the id's hash so that each weighs about ``CELL``; a bucket of one block has one cell.
+    """
+    blocks = rows.groupBy("band").agg(F.ceil(F.sum(weight) / CELL).cast("int").alias("blocks"))
+    met = join_per_key(rows, cut_lineage(blocks), ["band"])
+    met = met.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    met = met.select("*", other).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    return met.drop("other", "blocks").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+
+
+def _cells(batches) -> Iterator[pa.Table]:
+    """The rows of each cell of batches that come sorted by (band, i, j)."""
+    held, key = [], None
+    for batch in batches:
+        keys = np.stack([batch.column(c).to_numpy() for c in ("band", "i", "j")])
+        cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+            if lo == hi:
+                continue
+            mine = tuple(keys[:, lo])
+            if mine != key and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            key = mine
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _candidates(cell: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, later rows) of a cell that may be linked and are not: other components, sizes and sketches that allow the
+    similarity, no band shared before this one, and for a cell of two blocks one row of each."""
+    cell = cell.combine_chunks()
+    get = {c: cell.column(c).to_numpy() for c in ("i", "j", "own", "component", "n", "place")}
+    planes = [cell.column(f"s{k}").to_numpy() for k in range(SKETCH_GROUPS * SKETCH_BITS)]
+    planes = np.stack(planes, axis=1).view(np.uint64).reshape(len(cell), SKETCH_GROUPS, SKETCH_BITS)
+    bands = cell.column("bands").combine_chunks().flatten().to_numpy().reshape(len(cell), BANDS)
+    two, most = get["i"][0] != get["j"][0], 2 * PERMUTATIONS - SKETCH_AGREE
+    n = get["n"]
+    for x in range(len(cell) - 1):
+        ok = get["component"][x + 1 :] != get["component"][x]
+        low, high = np.minimum(n[x + 1 :], n[x]), np.maximum(n[x + 1 :], n[x])
+        ok &= 100 * low >= 75 * high
+        if two:
+            ok &= get["own"][x + 1 :] != get["own"][x]
+        y = np.flatnonzero(ok) + x + 1
+        if not len(y):
+            continue
+        differ = np.bitwise_or.reduce(planes[y] ^ planes[x], axis=2)
+        y = y[np.bitwise_count(differ).sum(axis=1, dtype=np.int64) <= most]
+        if len(y):
+            before = int(get["place"][x])
+            y = y[(bands[y, :before] != bands[x, :before]).all(axis=1)]
+        if len(y):
+            yield x, y
+
+
+def _with_candidates(batches):
+    """(band, id) of the rows that have a candidate in their cell."""
+    for cell in _cells(batches):
+        some = np.zeros(len(cell), bool)
+        for x, y in _candidates(cell):
+            some[x] = True
+            some[y] = True
+        if some.any():
+            yield pa.RecordBatch.from_pydict({c: cell.column(c).to_numpy()[some] for c in ("band", "id")})
+
+
+def _linked_in_cell(batches):
+    """The linked pairs (a, b) among the candidates of each cell, by their full sets, that join two components."""
+    for cell in _cells(batches):
+        ids, component = cell.column("id").to_numpy(), cell.column("component").to_pylist()
+        sets = [np.frombuffer(v.as_buffer(), np.uint64) for v in cell.column("shingles")]
+        parent = {c: c for c in component}
+
+        def head(c, parent=parent):
+            while parent[c] != c:
+                parent[c] = c = parent[parent[c]]
+            return c
+
+        a, b = [], []
+        for x, y in _candidates(cell):
+            for k in y.tolist():
+                one, other = head(component[x]), head(component[k])
+                if one != other and _similar(sets[x], sets[k]):
+                    parent[one] = other
+                    a.append(max(ids[x], ids[k]))
+                    b.append(min(ids[x], ids[k]))
+        if a:
+            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def links_across(members: DataFrame, facts: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between rows of one bucket and different components; ``members`` (band, place, id, component).
+
+    Rows are compared inside tasks, in cells of two blocks of a bucket, and only linked pairs come out. First the
+    sketches alone tell which rows have a candidate; only those are met with their full sets.
+    """
+    columns = ["band", "id", "component", "place"]
+    rows = members.select(*columns).join(facts, "id")
+    some = _celled(rows, F.lit(ROW_WEIGHT)).mapInArrow(_with_candidates, "band long, id long").distinct()
+    some = cut_lineage(some)
+    sets = shingle_table(some.select(F.col("id").alias("doc_id")).distinct(), texts).withColumnRenamed("doc_id", "id")
+    found = cut_lineage(some.join(rows, ["band", "id"])).join(sets, "id")
+    return _celled(found, F.col("n") + ROW_WEIGHT).mapInArrow(_linked_in_cell, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept, set_id (smallest doc_id with an equal set)."""
     small_batches(docs)
@@ -220,12 +343,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     told = members.join(parts, "id", "left").select("band", "place", "id", F.coalesce("component", "id").alias("component"))
     told = cut_lineage(told)
     mixed = told.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    mixed = told.join(cut_lineage(mixed.select("band")), "band").join(facts, "id")
-    mixed = cut_lineage(mixed)
-    cross = _side(mixed, "a").join(_side(mixed, "b").drop("placeb").withColumnRenamed("bandb", "banda"), "banda")
-    cross = cross.where("a > b and componenta <> componentb").where(_plausible() & _first_shared()).select("a", "b")
-    cross = cut_lineage(cross.distinct().join(stars, ["a", "b"], "left_anti"))
-    links = cut_lineage(links.unionByName(confirm(cross, texts)))
+    mixed = cut_lineage(told.join(cut_lineage(mixed.select("band")), "band"))
+    cross = links_across(mixed, facts, texts)
+    links = cut_lineage(links.unionByName(cross))
     parts = cut_lineage(components(links).withColumnRenamed("id", "set_id"))
 
     named = cut_lineage(heads.join(parts, "set_id", "left"))
@@ -248,9 +368,3 @@ def _plausible():
     """Sizes and sketches of the two sides allow the similarity."""
     like = 100 * F.least("na", "nb") >= 75 * F.greatest("na", "nb")
     return like & _agree()
-
-
-def _first_shared():
-    """The two sides share no band before the one they met in."""
-    earlier = F.zip_with(F.slice("bandsa", 1, F.col("placea")), F.slice("bandsb", 1, F.col("placea")), lambda x, y: x == y)
-    return F.forall(earlier, lambda same: ~same)

@@ -63,7 +63,9 @@ def brute_components(texts):
     return {i: (len(s), find(i), find(i) == i) for i, s in enumerate(sets)}
 
 
-def test_near_duplicates_equal_brute_force(awkward, near_texts):
+@pytest.mark.parametrize("cell", [minhash.CELL, 300])
+def test_near_duplicates_equal_brute_force(awkward, near_texts, monkeypatch, cell):
+    monkeypatch.setattr(minhash, "CELL", cell)
     got = minhash.near_duplicates(awkward(*near_texts))
     assert by_id(got, "n_shingles", "component_id", "kept") == brute_components(near_texts)
 
@@ -118,7 +120,25 @@ def test_exact_duplicates(awkward, monkeypatch):
 def test_exact_duplicates_of_repeated_rows(docs):
     got = naming.exact_duplicates(docs((7, "same"), (7, "same"), (3, "other"), (7, "other"))).collect()
     rows = sorted((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in got)
-    assert rows == [(3, 3, 2, True), (7, 3, 2, False), (7, 7, 2, True), (7, 7, 2, True)]
+    assert rows == [(3, 3, 2, True), (7, 3, 2, False), (7, 7, 2, False), (7, 7, 2, True)]
+
+
+def test_exact_duplicates_without_ids(docs):
+    got = naming.exact_duplicates(docs((None, "a"), (5, "a"), (None, "b"), (None, "b "), (9, "c"), (None, "c c"))).collect()
+    rows = sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in got), key=repr)
+    # of "c" and "c c" the letters are not equal; "b " has more code points than "b"
+    assert rows == sorted(
+        [(None, 5, 2, False), (5, 5, 2, True), (None, None, 2, False), (None, None, 2, True), (9, 9, 1, True), (None, None, 1, True)], key=repr
+    )
+
+
+def test_repeated_passages_without_ids(docs):
+    shared = " ".join(words(random.Random(8), 60, 10**5))
+    rows = [(None, f"one {shared} two"), (5, f"three {shared} four"), (None, "short"), (None, f"five {shared} six")]
+    want = brute_repeats([t for _, t in rows], 200)
+    got = suffixes.digests(docs(*rows)).collect()
+    made = sorted((r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got)
+    assert made == sorted(want.values()) and sum(r["n_removed"] > 400 for r in got) == 3
 
 
 def test_blocks_that_share_a_hash_are_told_apart(docs, monkeypatch):
