@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import held_remainder, map_texts, small_batches, text_of
+from quire.llm.common import held_remainder, map_texts, small_batches
 from quire.llm.textstats import NAMES, SCHEMA, statistics_batch
 from quire.session import cut_lineage
 
@@ -106,10 +106,16 @@ def fit(labelled: DataFrame) -> Discriminant:
     return Discriminant(flat[:, 0], flat[:, 1 : 1 + p], flat[:, 1 + p :].reshape(2, p, p))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, held_out, score, predicted."""
+def quality_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
+    """One row per document: doc_id, held_out, score, predicted, and the number in column ``row`` if one is named."""
     small_batches(docs)
-    stats = cut_lineage(map_texts(text_of(docs, key, text), ["doc_id"], "text", statistics_batch, SCHEMA))
+    number = F.lit(None) if row is None else F.col(row)
+    texts = docs.select(F.col(key).cast("long").alias("doc_id"), number.cast("long").alias("row"), F.col(text).cast("string").alias("text"))
+
+    def statistics(rows, data, at):
+        return {"row": rows["row"]} | statistics_batch(rows, data, at)
+
+    stats = cut_lineage(map_texts(texts, ["doc_id", "row"], "text", statistics, f"row long, {SCHEMA}"))
     stats = stats.withColumn("held_out", F.coalesce(held_remainder("doc_id", 4) == 2, F.lit(False)))
     marks = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int")).where("quality in (0, 1)")
     model = fit(stats.where(~F.col("held_out")).join(marks, "doc_id"))
@@ -120,13 +126,16 @@ def quality_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
             yield pd.DataFrame(
                 {
                     "doc_id": pdf["doc_id"],
+                    "row": pdf["row"],
                     "held_out": pdf["held_out"],
                     "score": s,
                     "predicted": (s >= THRESHOLD).astype("int32"),
                 }
             )
 
-    # the id goes as text: beside a null, pandas would round a large number
-    schema = "doc_id string, held_out boolean, score double, predicted int"
-    scored = stats.select(F.col("doc_id").cast("string"), "held_out", *NAMES).mapInPandas(score, schema)
-    return scored.withColumn("doc_id", F.col("doc_id").cast("long"))
+    # the numbers go as text: beside a null, pandas would round a large one
+    schema = "doc_id string, row string, held_out boolean, score double, predicted int"
+    as_text = [F.col(c).cast("string").alias(c) for c in ("doc_id", "row")]
+    scored = stats.select(*as_text, "held_out", *NAMES).mapInPandas(score, schema)
+    scored = scored.withColumns({c: F.col(c).cast("long") for c in ("doc_id", "row")})
+    return scored.drop("row") if row is None else scored.withColumnRenamed("row", row)

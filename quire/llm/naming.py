@@ -15,8 +15,11 @@ Everything is DataFrame functions.
 
 Defined results: null counts as empty, and all empty texts are one group; of
 equal texts the row with the most code points stays, then the smallest
-``doc_id``; repeated rows of one id stay repeated; an empty table gives no rows;
-other columns are neither read nor returned.
+``doc_id``, a null one last; of repeated rows of one id exactly one stays, though
+all have its id as ``keep_id``; where only rows without an id are left to choose
+from, one of them stays and ``keep_id`` is null; very long texts are many blocks,
+each dealt by itself; an empty table gives no rows; other columns are neither
+read nor returned.
 """
 
 from __future__ import annotations
@@ -92,13 +95,16 @@ def document_names(names: DataFrame) -> DataFrame:
         width *= 2
 
 
-def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, and the columns ``keep`` of the row."""
+    own = [F.col(c).alias(f"own_{c}") for c in keep]
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *own)
+    own = [f"own_{c}" for c in keep]
     texts = rows.select(
         "doc_id",
         F.coalesce(F.length("text"), F.lit(0)).alias("size"),
         F.encode(normal_text(F.col("text")), "UTF-8").alias("norm"),
+        *own,
     )
     # a row id of its own, written at once, keeps repeated rows of one document apart
     facts = cut_lineage(
@@ -108,16 +114,19 @@ def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -
             "size",
             F.unhex(F.sha2("norm", 256)).alias("sha"),
             F.expr(_blocks("norm", HASH)).alias("hashes"),
+            *own,
         )
     )
     names = document_names(block_names(texts, facts))
-    named = cut_lineage(facts.select("row_id", "doc_id", "size", "sha").join(names, "row_id"))
-    best = F.max(F.struct(F.col("size"), (-F.col("doc_id")).alias("neg"))).alias("best")
-    groups = cut_lineage(named.groupBy("n", "name").agg(F.count("*").alias("group_size"), best))
+    named = cut_lineage(facts.select("row_id", "doc_id", "size", "sha", *own).join(names, "row_id"))
+    # a row with an id is above one without, as a null is below all numbers
+    best = F.struct(F.col("size"), (-F.col("doc_id")).alias("neg"), (-F.col("row_id")).alias("row"))
+    groups = cut_lineage(named.groupBy("n", "name").agg(F.count("*").alias("group_size"), F.max(best).alias("best")))
     return named.join(groups, ["n", "name"]).select(
         "doc_id",
         (-F.col("best.neg")).alias("keep_id"),
         "group_size",
-        (F.col("doc_id") == -F.col("best.neg")).alias("kept"),
+        (F.col("row_id") == -F.col("best.row")).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
+        *[F.col(f"own_{c}").alias(c) for c in keep],
     )

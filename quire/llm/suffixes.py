@@ -20,8 +20,9 @@ themselves, which are counted by 128-bit hashes, so no task holds more than
 
 Defined results: null is empty; texts under ``LENGTH`` bytes lose nothing;
 repeated rows are copies of each other, so any of at least ``LENGTH`` bytes
-loses everything; overlapping occurrences count; an empty table gives no rows;
-other columns are neither read nor returned.
+loses everything; rows without an id are rows like any other; a very long text
+is worked on whole in one task; overlapping occurrences count; an empty table
+gives no rows; other columns are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -287,7 +288,7 @@ def _windows(batches):
 
 
 def _without(batches):
-    """(doc_id, n_bytes, n_removed, n_spans, kept bytes) from texts and their (from, to) ranges."""
+    """(doc_id, n_bytes, n_removed, n_spans, kept bytes) from rows (doc_id, text, ranges)."""
     for batch in batches:
         out = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept": []}
         for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
@@ -303,15 +304,16 @@ def _without(batches):
             out["kept"].append(data[~gone].tobytes())
         types = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept": pa.binary()}
         yield pa.RecordBatch.from_pydict(
-            {"doc_id": batch.column(0), "print": batch.column(3)} | {c: pa.array(v, types[c]) for c, v in out.items()}
+            {"doc_id": batch.column(0)} | {c: pa.array(v, types[c]) for c, v in out.items()}
         )
 
 
 def repeated_spans(texts: DataFrame) -> DataFrame:
     """(doc_id, print, spans of lo and hi): byte ranges of ``texts`` (doc_id, print, text) to remove; they may overlap."""
-    met = contexts(texts).groupBy("key").agg(F.count("*").alias("c"), F.max("recurs").alias("recurs"))
+    every = cut_lineage(contexts(texts))
+    met = every.groupBy("key").agg(F.count("*").alias("c"), F.max("recurs").alias("recurs"))
     met = cut_lineage(met.where("c > 1 or recurs").select("key"))
-    found = cut_lineage(contexts(texts).join(met, "key"))
+    found = cut_lineage(every.join(met, "key"))
     folded = found.groupBy("key", "ctx", "n").agg(
         F.count("*").alias("copies"),
         F.min(F.struct("doc_id", "print", "first")).alias("at"),
@@ -349,15 +351,16 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     return found.join(marks, ["key", "ctx", "n"]).select("doc_id", "print", spans.alias("spans"))
 
 
-def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", with_print: bool = False) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept (bytes that stay); print (xxhash64 of the text) if asked."""
+def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept (bytes that stay)."""
     small_batches(docs)
-    # the print tells rows of one id with different texts apart
-    texts = text_of(docs, key, text).withColumn("print", F.xxhash64(F.coalesce("text", F.lit(""))))
+    # the print tells rows of one id with different texts apart; rows without an id meet under a number of their own,
+    # as a join finds no nulls
+    rows = text_of(docs, key, text).withColumn("print", F.xxhash64(F.coalesce("text", F.lit("")))).withColumnRenamed("doc_id", "given")
+    texts = rows.withColumn("doc_id", F.coalesce("given", F.lit(-(2**63))))
     spans = repeated_spans(texts).groupBy("doc_id", "print").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    out = texts.join(cut_lineage(spans), ["doc_id", "print"], "left").select("doc_id", "text", "spans", "print")
-    made = out.mapInArrow(_without, "doc_id long, print long, n_bytes long, n_removed long, n_spans long, kept binary")
-    return made if with_print else made.drop("print")
+    out = texts.join(cut_lineage(spans), ["doc_id", "print"], "left").select("given", "text", "spans")
+    return out.mapInArrow(_without, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

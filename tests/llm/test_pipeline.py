@@ -61,6 +61,8 @@ def test_nulls_and_repeated_rows_pass_through(docs, spark):
     exact = corpus_pipeline.exact(spark, rows, SF)
     assert sorted(r["doc_id"] for r in exact.collect()) == [1, 3]
     assert exact.columns == rows.columns
+    near = corpus_pipeline.near(spark, rows, SF)
+    assert sorted(r["doc_id"] for r in near.collect()) == [1, 1, 2, 3]
     cut = corpus_pipeline.passages(spark, rows, SF)
     assert sorted(map(repr, cut.select("doc_id", "text").collect())) == sorted(map(repr, rows.select("doc_id", "text").collect()))
 
@@ -83,3 +85,22 @@ def test_rows_without_ids(docs, spark):
     for df in made:
         got = [r["doc_id"] for r in df.collect()]
         assert len(got) == 3 and got.count(None) == 2 and 2**60 + 1 in got, df.columns
+
+
+def test_clean_rows_without_ids_stay(docs, spark):
+    given = spark.read.parquet(f"{SF}/documents.parquet").join(spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1"), "doc_id")
+    texts = [r["text"] for r in given.orderBy("doc_id").limit(40).collect()]
+    texts = [t for k, t in enumerate(texts) if t not in texts[:k]]
+    rows = docs(*[(None if k % 2 else k, t) for k, t in enumerate(texts)])
+    good = corpus_pipeline.quality(spark, rows, SF).collect()
+    assert sum(r["doc_id"] is None for r in good) >= 0.8 * len(texts) // 2
+    for stage in (corpus_pipeline.exact, corpus_pipeline.near):
+        left = stage(spark, docs((None, "alpha beta gamma delta"), (1, "one two three four"), (1, "five six seven eight nine")), SF)
+        assert sorted(map(repr, (r["doc_id"] for r in left.collect()))) == ["1", "1", "None"]
+
+
+def test_empty_table_and_very_long_text(docs, spark):
+    none, long = docs("x").where("false"), docs((1, "word " * 60000), (2, "other text"))
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, SF).count() == 0, name
+    assert corpus_pipeline.exact(spark, long, SF).count() == 2 and corpus_pipeline.near(spark, long, SF).count() == 2
