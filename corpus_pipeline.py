@@ -5,10 +5,12 @@ as Parquet and hands it to the next one as docs. All stages but the last return
 the columns of ``documents``.
 
 Defined results: null text counts as empty throughout, and passes a filter as
-the operators say; of rows equal in id and text the exact dedup leaves one; where
-repeated bytes end inside a character, its other bytes go with them; a document
-that is repeated bytes only stays with empty text; an empty table gives no rows;
-columns of other names are carried along up to the last stage.
+the operators say; stages decide row by row, so rows without an id or with the
+same id as another are rows like any other, and of a group of copies exactly one
+row stays, one with an id before one without; where repeated bytes end inside a
+character, its other bytes go with them; a document that is repeated bytes only
+stays with empty text; very long texts are rows like any other; an empty table
+gives no rows; columns of other names are carried along up to the last stage.
 """
 
 from __future__ import annotations
@@ -24,34 +26,48 @@ from quire.llm.queries import tokenizer_file
 from quire.session import cut_lineage
 
 
-def _chosen(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is in ``ids``, which is written first so that both sides are plain.
+ROW = "_corpus_row"
 
-    The ids grow with the documents, so the join is a sorted one at any size.
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number for each row, written at once so that it stays: ids may be null or come twice."""
+    return cut_lineage(docs.withColumn(ROW, F.monotonically_increasing_id()))
+
+
+def _chosen(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows whose number is in ``kept``, which is written first so that both sides are plain.
+
+    The numbers grow with the documents, so the join is a sorted one at any size.
     """
-    return docs.join(cut_lineage(ids.select("doc_id").distinct()).hint("merge"), "doc_id", "left_semi")
+    return rows.join(cut_lineage(kept.select(ROW)).hint("merge"), ROW, "left_semi").drop(ROW)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return _chosen(docs, discriminant.quality_scores(docs, labels).where("predicted = 1"))
+    rows = _numbered(docs)
+    return _chosen(rows, discriminant.quality_scores(rows, labels, row=ROW).where("predicted = 1"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _chosen(docs, naming.exact_duplicates(docs).where("kept")).dropDuplicates(["doc_id", "text"])
+    rows = _numbered(docs)
+    return _chosen(rows, naming.exact_duplicates(rows, keep=(ROW,)).where("kept"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _chosen(docs, minhash.near_duplicates(docs).where("kept"))
+    """Of each group of near copies the row with the smallest id, one without an id only where there is no other."""
+    rows = _numbered(docs)
+    groups = minhash.near_duplicates(rows, key=ROW).select(F.col("doc_id").alias(ROW), "component_id")
+    ids = groups.join(rows.select(ROW, "doc_id").hint("merge"), ROW)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW)).alias("first")
+    return _chosen(rows, ids.groupBy("component_id").agg(first).select(f"first.{ROW}"))
 
 
 def _whole_characters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [k.decode("utf-8", "ignore") for k in batch.column(2).to_pylist()]
+        texts = [k.decode("utf-8", "ignore") for k in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_pydict(
             {
-                "doc_id": batch.column(0),
-                "_print": batch.column(1),
+                ROW: batch.column(0),
                 "_text": pa.array(texts, pa.string()),
                 "_size": pa.array([len(t) for t in texts], pa.int64()),
             }
@@ -60,11 +76,10 @@ def _whole_characters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without their repeated passages; a row without any keeps its text as it is, null included."""
-    cut = suffixes.without_repeats(docs, with_print=True).where("n_removed > 0").select("doc_id", "print", "kept")
-    cut = cut_lineage(cut.mapInArrow(_whole_characters, "doc_id long, _print long, _text string, _size long"))
-    cut = cut.dropDuplicates(["doc_id", "_print"]).withColumnRenamed("doc_id", "_id")
-    same = (F.col("doc_id") == F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_print"))
-    joined = docs.join(cut, same, "left")
+    rows = _numbered(docs)
+    cut = suffixes.without_repeats(rows, key=ROW).where("n_removed > 0").select("doc_id", "kept")
+    cut = cut_lineage(cut.mapInArrow(_whole_characters, f"{ROW} long, _text string, _size long"))
+    joined = rows.join(cut.hint("merge"), ROW, "left")
     changed = {"text": F.coalesce("_text", "text"), "n_chars": F.coalesce("_size", "n_chars")}
     return joined.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])
 
