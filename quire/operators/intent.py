@@ -12,7 +12,11 @@ from quire.functions.text import strip
 FLAGS = "(?Ud)"
 NO_CASE = "(?iUd)"
 STRICT_URLS = r"(?:extract|pull|find|list|get)\s+(?:all\s+)?(?:the\s+)?(?:urls?|links?)"
-STRICT_DELETE_END = r"\s*(?:\b(?:from|in|on)\b|$)"
+# as the fixed pattern, but what ends the term is a whole word
+STRICT_DELETE_TEXT = (
+    r"(?:delete|remove|strip|erase)\s+(?:every\s+instance\s+of\s+|all\s+instances\s+of\s+|all\s+"
+    r"|the\s+(?:word|text|phrase)\s+)?[\"']?(.+?)[\"']?\s*(?:\b(?:from|in|on)\b|$)"
+)
 PAGE_TAIL = r"\s+(?:on|in)\s+page\s+\d+\W*$"
 
 ARGS = ("term", "find", "repl", "scope", "start", "end", "page", "kind", "new_text")
@@ -59,9 +63,7 @@ def intents(messages: DataFrame, mode: str = "reference") -> DataFrame:
             repl = F.btrim(F.regexp_replace(repl, NO_CASE + PAGE_TAIL, ""), F.lit("\"'.,"))
         rule(msg.rlike(p), "replace", find=F.btrim(strip(_group(msg, p, 1)), F.lit("\"'")), repl=repl, scope=scope)
 
-    p = NO_CASE + fv.INTENT_DELETE_TEXT
-    if strict:
-        p = NO_CASE + fv.INTENT_DELETE_TEXT[: fv.INTENT_DELETE_TEXT.rindex(r"\s*(?:")] + STRICT_DELETE_END
+    p = NO_CASE + (STRICT_DELETE_TEXT if strict else fv.INTENT_DELETE_TEXT)
     term = F.rtrim(strip(_group(msg, p, 1)), F.lit("."))
     page_first = low.contains("delete") & F.substring_index(low, "delete", 1).contains("page")
     is_text = (term != "") & (F.length(term) < fv.MAX_DELETE_TERM) & ~term.rlike(NO_CASE + fv.INTENT_NOT_TEXT)
