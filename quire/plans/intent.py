@@ -45,7 +45,7 @@ def rules_sql(mode):
         ))
     p = fv.INTENT_DELETE_TEXT
     if strict:
-        p = p[: p.rindex(r"\s*(?:")] + intent.STRICT_DELETE_END
+        p = intent.STRICT_DELETE_TEXT
     term = f"rtrim({_strip(_ex('msg', p, 1, '(?i)'))}, '.')"
     out.append((
         f"{_is('msg', p, '(?i)')} AND NOT (contains(low, 'delete') AND contains(split_part(low, 'delete', 1), 'page'))"
