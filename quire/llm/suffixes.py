@@ -310,10 +310,10 @@ def _without(batches):
 
 def repeated_spans(texts: DataFrame) -> DataFrame:
     """(doc_id, print, spans of lo and hi): byte ranges of ``texts`` (doc_id, print, text) to remove; they may overlap."""
-    every = cut_lineage(contexts(texts))
-    met = every.groupBy("key").agg(F.count("*").alias("c"), F.max("recurs").alias("recurs"))
+    # found twice rather than written once: there are some dozen contexts a kilobyte, most of them met nowhere else
+    met = contexts(texts).groupBy("key").agg(F.count("*").alias("c"), F.max("recurs").alias("recurs"))
     met = cut_lineage(met.where("c > 1 or recurs").select("key"))
-    found = cut_lineage(every.join(met, "key"))
+    found = cut_lineage(contexts(texts).join(met, "key"))
     folded = found.groupBy("key", "ctx", "n").agg(
         F.count("*").alias("copies"),
         F.min(F.struct("doc_id", "print", "first")).alias("at"),
