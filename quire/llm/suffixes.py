@@ -288,7 +288,7 @@ def _windows(batches):
 
 
 def _without(batches):
-    """(doc_id, n_bytes, n_removed, n_spans, kept bytes) from rows (doc_id, text, ranges)."""
+    """(doc_id, print, n_bytes, n_removed, n_spans, kept bytes) from rows (doc_id, text, ranges, print)."""
     for batch in batches:
         out = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept": []}
         for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
@@ -304,7 +304,7 @@ def _without(batches):
             out["kept"].append(data[~gone].tobytes())
         types = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept": pa.binary()}
         yield pa.RecordBatch.from_pydict(
-            {"doc_id": batch.column(0)} | {c: pa.array(v, types[c]) for c, v in out.items()}
+            {"doc_id": batch.column(0), "print": batch.column(3)} | {c: pa.array(v, types[c]) for c, v in out.items()}
         )
 
 
@@ -351,16 +351,17 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     return found.join(marks, ["key", "ctx", "n"]).select("doc_id", "print", spans.alias("spans"))
 
 
-def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept (bytes that stay)."""
+def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", with_print: bool = False) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept (bytes that stay); print (xxhash64 of the text) if asked."""
     small_batches(docs)
     # the print tells rows of one id with different texts apart; rows without an id meet under a number of their own,
     # as a join finds no nulls
     rows = text_of(docs, key, text).withColumn("print", F.xxhash64(F.coalesce("text", F.lit("")))).withColumnRenamed("doc_id", "given")
     texts = rows.withColumn("doc_id", F.coalesce("given", F.lit(-(2**63))))
     spans = repeated_spans(texts).groupBy("doc_id", "print").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    out = texts.join(cut_lineage(spans), ["doc_id", "print"], "left").select("given", "text", "spans")
-    return out.mapInArrow(_without, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    out = texts.join(cut_lineage(spans), ["doc_id", "print"], "left").select("given", "text", "spans", "print")
+    made = out.mapInArrow(_without, "doc_id long, print long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return made if with_print else made.drop("print")
 
 
 def digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

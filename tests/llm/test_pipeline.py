@@ -62,7 +62,7 @@ def test_nulls_and_repeated_rows_pass_through(docs, spark):
     assert sorted(r["doc_id"] for r in exact.collect()) == [1, 3]
     assert exact.columns == rows.columns
     near = corpus_pipeline.near(spark, rows, SF)
-    assert sorted(r["doc_id"] for r in near.collect()) == [1, 1, 2, 3]
+    assert sorted(r["doc_id"] for r in near.collect()) == [1, 1, 2, 3, 3]
     cut = corpus_pipeline.passages(spark, rows, SF)
     assert sorted(map(repr, cut.select("doc_id", "text").collect())) == sorted(map(repr, rows.select("doc_id", "text").collect()))
 
