@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quire import fixed_values as fv
 from quire.functions.text import literal_count, word_count
-from quire.operators import entities, layout, pageset, search, text
+from quire.operators import entities, layout, pageset, search
 from quire.session import shared_dir
 
 Corpus = dict[str, DataFrame]
