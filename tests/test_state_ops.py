@@ -396,3 +396,24 @@ def test_stream_expiry(spark, table, tmp_path):
     stream = jobs.read_folder(spark, str(tmp_path / "in"), df.schema, files_per_trigger=1)
     jobs.write_batches(jobs.stream_expiry(stream), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     assert [r.doc_id for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [1]
+
+
+def test_windows_over_crowded_times(table):
+    rnd = random.Random(5)
+    reqs = [(i, T0 + timedelta(seconds=rnd.choice((0.25, 1)) * rnd.randrange(900) - 86_400 * 19_800 * (i % 3))) for i in range(1500)]
+    df = table("request_id long, ts timestamp", *reqs, (-1, None))
+    at = lambda ts: round((ts - T0).total_seconds() * 1e6)
+    times = [at(ts) for _, ts in reqs]
+    load = {r.request_id: r.load for r in rates.request_rate(df, 60).collect()}
+    assert load == {i: sum(at(ts) - 60_000_000 <= x <= at(ts) for x in times) for i, ts in reqs}
+    got = {r.request_id: r.admitted for r in rates.rate_limit(df, 60, 20, part_rows=50).collect()}
+    assert got == dict(admitted_by_hand([(at(ts), i) for i, ts in reqs], 60_000_000, 20)) | {-1: False}
+
+
+def test_windows_cost_no_more_when_crowded(table):
+    # a range frame that slides is summed anew for every row, so its cost grows with the square of a window's rows
+    times = table("key string, us long, n long", *[("all", i, 1) for i in range(50)])
+    for df in (rates.window_loads(times, 10), rates.contested(times, 10, 3)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        starts = [part.split(", ")[1] for part in plan.split("specifiedwindowframe(")[1:]]
+        assert starts and all(x.startswith("unboundedpreceding") for x in starts)
