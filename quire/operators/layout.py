@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire import fixed_values as fv
 from quire.functions.joins import join_per_key
-from quire.functions.text import is_blank, strip
+from quire.functions.text import is_blank, let, strip
 from quire.operators.text import color_rgb, font_code, is_bold, stamp_text
 
 AT = ["doc_id", "page", "block", "line", "span"]
@@ -271,26 +271,38 @@ KNOWN_CODES = tuple(code for codes in fv.FONT_VARIANTS.values() for code in code
 
 
 def glyph_classes(glyphs: DataFrame) -> DataFrame:
-    """``glyphs(font_code, ch, unit_width)`` as one row per font: its widths with their characters.
+    """``glyphs(font_code, ch, unit_width)`` as one row per font: ``classes`` with its widths.
 
-    One row per font, whatever its code.
+    ``widths`` holds each width with the last of its characters, which stands for all of them; ``others`` and ``stands``
+    name the others and, place by place, what stands for them. A character of several widths counts with their sum. One
+    row per font, whatever its code; a font with an unknown width has no ``widths``.
     """
-    return (
-        glyphs.groupBy("font_code", "unit_width")
-        .agg(F.array_join(F.sort_array(F.collect_set("ch")), "").alias("chars"))
-        .groupBy("font_code")
-        .agg(F.sort_array(F.collect_list(F.struct("unit_width", "chars"))).alias("classes"))
-    )
+    held = glyphs.select("font_code", "unit_width", F.explode_outer(F.split("ch", "")).alias("ch")).distinct()
+    total, unknown = F.sum(F.col("unit_width").cast("double")), F.max(F.col("unit_width").isNull())
+    held = held.groupBy("font_code", "ch").agg(total.alias("unit_width"), unknown.alias("unknown"))
+    chars = F.sort_array(F.collect_set(F.when(F.col("ch") != "", F.col("ch")))).alias("chars")
+    alike = held.groupBy("font_code", "unit_width").agg(chars, F.max("unknown").alias("unknown"))
+    stand = F.try_element_at("chars", F.lit(-1))
+    one = F.struct("unit_width", stand.alias("ch"), F.filter("chars", lambda x: x != stand).alias("others"))
+    lists = F.sort_array(F.collect_list(F.when(stand.isNotNull(), one)))
+    fonts = alike.groupBy("font_code").agg(lists.alias("_all"), F.max("unknown").alias("_unknown"))
+    others = F.array_join(F.transform("_all", lambda g: F.array_join(g["others"], "")), "")
+    stands = F.array_join(F.transform("_all", lambda g: F.repeat(g["ch"], F.size(g["others"]))), "")
+    widths = F.when(~F.col("_unknown"), F.transform("_all", lambda g: F.struct(g["unit_width"], g["ch"])))
+    return fonts.select("font_code", F.struct(widths.alias("widths"), others.alias("others"), stands.alias("stands")).alias("classes"))
 
 
 def _width(text: str, size: str) -> Column:
-    """Width of column ``text`` by the width classes in ``_classes``."""
-    units = F.aggregate(
-        "_classes",
-        F.lit(0.0),
-        lambda acc, g: acc
-        + g["unit_width"]
-        * (F.length(F.col(text)) - F.length(F.call_function("translate", F.col(text), g["chars"], F.lit("")))),
+    """Width of column ``text`` by the width classes in ``_classes``: one pass puts its stand-in for each character."""
+    classes = F.col("_classes")
+    alike = F.call_function("translate", F.col(text), classes["others"], classes["stands"])
+    units = let(
+        alike,
+        lambda t: F.aggregate(
+            classes["widths"],
+            F.lit(0.0),
+            lambda acc, g: acc + g["unit_width"] * (F.length(t) - F.length(F.replace(t, g["ch"], F.lit("")))),
+        ),
     )
     return F.coalesce(units, F.lit(0.0)) * F.col(size)
 
@@ -299,8 +311,8 @@ def text_width(df: DataFrame, glyphs: DataFrame, text: str, size: str, out: str,
     """Width of column ``text`` at ``size`` in the font of column ``code``.
 
     Characters are counted per width class (length before and after removing
-    them), so no row is exploded into characters. Characters without a glyph
-    add nothing.
+    the one that stands for the class), so no row is exploded into characters.
+    Characters without a glyph add nothing.
     """
     classes = glyph_classes(glyphs).withColumnsRenamed({"font_code": code, "classes": "_classes"})
     return join_per_key(df, classes, [code], "left").withColumn(out, _width(text, size)).drop("_classes")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quire import fixed_values as fv
 from quire.functions.joins import join_per_key
-from quire.functions.text import UNICODE, strip, upper_first, word_count
+from quire.functions.text import UNICODE, let, strip, upper_first, word_count
 from quire.operators.ingest import page_counts
 
 
@@ -93,19 +93,23 @@ def _variant(names, bold: Column, italic: Column) -> Column:
 
 def font_code(font: Column, flags: Column) -> Column:
     """Short code of a font; a known name wins over the style flags."""
-    name = F.regexp_replace(F.lower(_without_subset(font)), UNICODE + r"[\s\-_]+", "")
-    known = F.element_at(F.create_map(*[F.lit(x) for kv in fv.FONT_CODES.items() for x in kv]), name)
+    plain = F.regexp_replace(F.lower(_without_subset(font)), UNICODE + r"[\s\-_]+", "")
+    names = F.create_map(*[F.lit(x) for kv in fv.FONT_CODES.items() for x in kv])
     bold, italic = is_bold(flags), is_italic(flags)
     serif = _variant(fv.FONT_VARIANTS["tiro"], bold, italic)
     mono = _variant(fv.FONT_VARIANTS["cour"], bold, italic)
     sans = _variant(fv.FONT_VARIANTS["helv"], bold, italic)
-    guessed = (
-        F.when(has_bit(flags, fv.MONO_BIT), mono)
-        .when(_hints(name, fv.SERIF_HINTS), serif)
-        .when(_hints(name, fv.MONO_HINTS), mono)
-        .otherwise(sans)
-    )
-    return F.coalesce(known, guessed)
+
+    def code(name: Column) -> Column:
+        guessed = (
+            F.when(has_bit(flags, fv.MONO_BIT), mono)
+            .when(_hints(name, fv.SERIF_HINTS), serif)
+            .when(_hints(name, fv.MONO_HINTS), mono)
+            .otherwise(sans)
+        )
+        return F.coalesce(F.element_at(names, name), guessed)
+
+    return let(plain, code)
 
 
 def font_display_name(font: Column, bold: Column, italic: Column) -> Column:

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quire.operators import batch, forms, layout, pageset, tables
+from quire.operators import batch, forms, layout, pageset, tables, text
 
 CELL = "doc_id long, page int, table_index int, r int, c int, cell string"
 
@@ -107,6 +107,20 @@ def test_text_width(table, glyphs):
     assert sorted(got) == [0.0, 0.0, 15.0]
 
 
+def test_text_width_by_stand_ins(table):
+    wide = {"a": 0.5, "b": 0.25, "i": 0.5, "\0": 0.5, "é": 0.25, "😀": 1.0, "\u4e00": 0.75}
+    glyphs = table("font_code string, ch string, unit_width double", *[("helv", ch, w) for ch, w in wide.items()], ("helv", "b", 2.0),
+                   ("helv", "ab", 0.5), ("tiro", "\0", 0.5), ("tiro", None, 0.25), ("cour", "a", 0.5), ("cour", "b", None))
+    text = "ab\0i?é😀\u4e00b"
+    df = table("font_code string, t string, s double", *[(c, text, 2.0) for c in ("helv", "tiro", "cour", "none")], ("helv", None, 2.0))
+    got = {(r.font_code, r.t): r.w for r in layout.text_width(df, glyphs, "t", "s", "w").collect()}
+    b = 0.25 + 2.0 + 0.5  # several widths
+    assert got[("helv", text)] == pytest.approx(2 * (3 * 0.5 + 2 * b + 0.25 + 1.0 + 0.75))
+    assert got[("tiro", text)] == 1.0 and got[("cour", text)] == got[("none", text)] == got[("helv", None)] == 0.0
+    classes = layout.glyph_classes(glyphs).where("font_code = 'helv'").first().classes
+    assert (classes.others, classes.stands) == ("\0a", "ii")
+
+
 def test_plan_edit_move_add(table, spans, pages, glyphs):
     edits = table("edit_id long, doc_id long, scope int, find string, repl string", (1, 1, None, "Hello", "a" * 400), (2, 1, 1, "Hello", "x"))
     plan = layout.replacement_plan(spans, edits, glyphs).collect()
@@ -334,3 +348,17 @@ def test_span_groups_of_several_bands(table):
 def test_stamps_join_nothing(pages, glyphs):
     plan = layout.stamp_layout(pages, None, glyphs)._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_tables_are_not_broadcast(table):
+    rows = [(d, 0, 0, r, c, f"{r}{c}") for d in range(3) for r in range(3) for c in range(2)]
+    t = tables.tables_from_cells(table("doc_id long, page int, table_index int, r int, c int, cell string", *rows))
+    for df in (t, tables.tables_csv(t)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert tables.tables_csv(t).count() == 3 * 4
+
+
+def test_font_name_is_made_once(table):
+    df = table("font string, flags int", ("ABC+Times New", 16)).select(text.font_code(F.col("font"), F.col("flags")))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") <= 2
