@@ -23,6 +23,9 @@ def tables_from_cells(cells: DataFrame) -> DataFrame:
     A header belongs to its column number, and a column without one is ``col_i``. A
     row is gathered from its own cells only, so a table of any length spreads over
     the tasks. Tables without a body give nothing.
+
+    Headers are as many as tables, so they are not broadcast, and rows are not sorted for the join: each task hashes the
+    headers of its share.
     """
     rows = cells.groupBy(*TABLE, "r").agg(F.sort_array(F.collect_list(F.struct("c", "cell"))).alias("row"))
     header = rows.where("r = 0").select(
@@ -44,7 +47,7 @@ def tables_from_cells(cells: DataFrame) -> DataFrame:
             x["c"].alias("c"),
         ),
     )
-    return join_per_key(rows.where("r > 0"), header, TABLE).select(*TABLE, "r", "headers", named.alias("pairs"))
+    return join_per_key(rows.where("r > 0"), header.hint("shuffle_hash"), TABLE).select(*TABLE, "r", "headers", named.alias("pairs"))
 
 
 def _last_value(pairs: Column, key: Column) -> Column:
@@ -59,6 +62,12 @@ def table_values(tables: DataFrame) -> DataFrame:
     )
 
 
+def _first_headers(tables: DataFrame) -> DataFrame:
+    """``headers`` of each table's first row, and its ``row_count``; equal headers are folded by hash, without a sort of all rows."""
+    alike = tables.groupBy(*TABLE, "headers").agg(F.min("r").alias("r"), F.count(F.lit(1)).alias("n"))
+    return alike.groupBy(*TABLE).agg(F.sum("n").cast("int").alias("row_count"), F.min_by("headers", "r").alias("headers"))
+
+
 def tables_csv(tables: DataFrame, page: int | None = None) -> DataFrame:
     """CSV lines (r = -1 comment, 0 header, then the body), every field quoted."""
     chosen = tables if page is None else tables.where(F.col("page") == page)
@@ -72,8 +81,8 @@ def tables_csv(tables: DataFrame, page: int | None = None) -> DataFrame:
     comment = F.format_string(
         "# Table on page %d (index %d)", F.col("page") + 1, F.col("table_index")
     )
-    # comment and header are emitted once per table, beside its first body row
-    first = chosen.groupBy(*TABLE).agg(F.min_by("headers", "r").alias("headers"))
+    # comment and header are emitted once per table, with the headers of its first body row
+    first = _first_headers(chosen)
     top = first.select(
         *TABLE,
         F.explode(
@@ -99,10 +108,7 @@ def write_csv(lines: DataFrame, path: str) -> None:
 
 def table_catalog(tables: DataFrame) -> DataFrame:
     """One row per table with its size and headers."""
-    sized = tables.groupBy(*TABLE).agg(
-        F.count(F.lit(1)).cast("int").alias("row_count"), F.min_by("headers", "r").alias("headers")
-    )
-    return sized.select(
+    return _first_headers(tables).select(
         *TABLE,
         (F.col("page") + 1).alias("page_number"),
         "row_count",
