@@ -106,6 +106,25 @@ def word_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return start, end, np.searchsorted(at, start, "right") - 1
 
 
+def coded_words(data: np.ndarray, at: np.ndarray) -> tuple[list[bytes], pa.Array, np.ndarray]:
+    """The distinct words of texts side by side, the number of each word's entry among them, and where each text's words begin."""
+    start, end, _ = word_spans(data, at)
+    ends = np.concatenate([[0], np.cumsum(end - start)])
+    solid = np.ascontiguousarray(data[~SPACE[data]])
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(solid)])
+    coded = words.dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices, np.searchsorted(start, at)
+
+
+def taken(values: list[bytes] | pa.Array, codes: pa.Array) -> tuple[memoryview, np.ndarray]:
+    """``values`` in the order of ``codes``, one after the other, and where each begins and the last ends."""
+    if not len(codes):
+        return memoryview(b""), np.zeros(1, np.int64)
+    _, offsets, data = (values if isinstance(values, pa.Array) else pa.array(values, pa.large_binary())).take(codes).buffers()
+    at = np.frombuffer(offsets, np.int64)[: len(codes) + 1]
+    return memoryview(data or b""), at
+
+
 def map_texts(df: DataFrame, keep: list[str], text: str, work: Callable, schema: str) -> DataFrame:
     """``work(rows, data, at)`` over slices of the texts of each Arrow batch.
 

@@ -34,14 +34,15 @@ from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import small_batches, text_of, worker_store
+from quire.llm.common import coded_words, column_bytes, slices, small_batches, taken, text_of, worker_store
 from quire.session import cut_lineage
 
 SEQUENCE = 4096
 END_ID = 1
-KEPT_WORDS = 200_000  # words a worker remembers, and as many it has met before those
+KEPT_WORDS = 300_000  # words a worker remembers, and as many it has met before those
+SLICE = 4 << 20  # bytes of text whose words are looked up together
+STEP = 50_000
 
-_blank = re.compile("[ \t\n\r\f\v]+").split
 # characters whose composition and lower case are the same whatever stands beside them
 _plain = re.compile("[!-~\u00c0-\u012f\u0132-\u024f]+").fullmatch
 
@@ -49,17 +50,22 @@ _plain = re.compile("[!-~\u00c0-\u012f\u0132-\u024f]+").fullmatch
 class Words:
     """Token ids of words as little-endian bytes; texts are cut at ASCII white space, which has no token.
 
-    A word of ASCII and precomposed Latin letters is cut further by the tokenizer's
-    own pattern, whose matches are encoded each by itself; so new ones of many words
-    are encoded together, one to a line, and told apart by the tokens that end a
-    match. Words of other characters are encoded as they are.
+    Texts are taken a few megabytes at a time; each distinct word of those is looked
+    up once. A word of ASCII and precomposed Latin letters is cut further by the
+    tokenizer's own pattern, whose matches are encoded each by itself; so new ones
+    of many words are encoded together, one to a line, and told apart by the tokens
+    that end a match. They are cut and normalised already, so that the tokenizer's
+    model is all they need. Words of other characters are encoded as they are.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.lines = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.lines.normalizer = normalizers.Sequence([])
+        to_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.lines.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "removed"), to_bytes])
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         with open(path, encoding="utf-8") as f:
@@ -67,14 +73,14 @@ class Words:
         suffix = made["model"]["end_of_word_suffix"]
         self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
         self.cut = regex.compile(made["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
-        self.known: dict[str, bytes] = {"": b""}
-        self.older: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
     def _learn_parts(self, new: list[str]) -> None:
         for i in range(0, len(new), 20_000):
             some = new[i : i + 20_000]
-            ids = np.array(self.tokenizer.encode("\n".join(some), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.lines.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, "<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) != len(some):  # a vocabulary whose matches do not end so
                 for p in some:
@@ -85,37 +91,48 @@ class Words:
                 self.parts[p] = flat[at:stop]
                 at = stop
 
-    def _learn(self, new: list[str]) -> None:
+    def _learn(self, new: list[bytes]) -> None:
         if len(self.known) + len(new) > KEPT_WORDS:
-            self.known, self.older = {"": b""}, self.known
+            self.known, self.older = {}, self.known
         again = [w for w in new if w in self.older]
         if again:
             self.known.update((w, self.older[w]) for w in again)
             new = [w for w in new if w not in self.known]
         if len(self.parts) > KEPT_WORDS:
             self.parts = {}
-        plain = {w: self.cut(w.lower()) for w in new if _plain(w) and "<|" not in w}
-        self._learn_parts(list({p for ps in plain.values() for p in ps if p not in self.parts}))
+        cuts, other = [], []
+        for w in new:
+            if w.isalpha():  # ASCII letters are one match
+                cuts.append((w, (w.decode().lower(),)))
+            elif _plain(text := w.decode()) and "<|" not in text:
+                cuts.append((w, self.cut(text.lower())))
+            else:
+                other.append(w)
+        self._learn_parts(list({p for _, ps in cuts for p in ps if p not in self.parts}))
         get = self.parts.__getitem__
-        for w, ps in plain.items():
+        for w, ps in cuts:
             self.known[w] = get(ps[0]) if len(ps) == 1 else b"".join(map(get, ps))
-        other = [w for w in new if w and w not in plain]
         if other:
-            for w, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
+            made = self.tokenizer.encode_batch_fast([w.decode() for w in other], add_special_tokens=False)
+            for w, e in zip(other, made, strict=True):
                 self.known[w] = np.array(e.ids, "<u4").tobytes()
 
-    def ids(self, texts: list[str]) -> list[bytes]:
+    def ids(self, texts: list[str] | pa.Array) -> list[bytes]:
+        """Token ids of each text."""
+        data, at = column_bytes(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string()))
         out = []
-        for i in range(0, len(texts), 100):  # so that one step's new words fit the store
-            split = [_blank(t) for t in texts[i : i + 100]]
-            found = [list(map(self.known.get, words)) for words in split]
-            new = {w for words, ids in zip(split, found, strict=True) if None in ids for w, x in zip(words, ids, strict=True) if x is None}
-            if new:
-                self._learn(list(new))
-                for words, ids in zip(split, found, strict=True):
-                    if None in ids:
-                        ids[:] = [self.known[w] if x is None else x for w, x in zip(words, ids, strict=True)]
-            out += map(b"".join, found)
+        for i, j in slices(at, SLICE):
+            words, codes, first = coded_words(data[at[i] : at[j]], at[i : j + 1] - at[i])
+            found = list(map(self.known.get, words))
+            for k in range(0, len(words), STEP):  # so that one step's new words fit the store
+                new = [n for n in range(k, min(k + STEP, len(words))) if found[n] is None]
+                if new:
+                    self._learn([words[n] for n in new])
+                    for n in new:
+                        found[n] = self.known[words[n]]
+            flat, begin = taken(found, codes)
+            edges = begin[first].tolist()
+            out += [bytes(flat[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
         return out
 
 
@@ -143,7 +160,7 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
         seen = np.zeros(SEQUENCE + 1, np.int64)
         for batch in batches:
             out = [[], [], [], [], [], [], []]
-            for doc, ids in zip(batch.column(0).to_pylist(), words.ids([t or "" for t in batch.column(1).to_pylist()]), strict=True):
+            for doc, ids in zip(batch.column(0).to_pylist(), words.ids(batch.column(1)), strict=True):
                 flat = memoryview(ids + end)
                 for k, at in enumerate(range(0, len(flat), 4 * SEQUENCE)):
                     one = flat[at : at + 4 * SEQUENCE]

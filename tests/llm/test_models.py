@@ -188,6 +188,26 @@ def test_words_equal_whole_texts():
     assert words.ids(texts) == want
 
 
+class Counted(dict):
+    """A store that counts how often it is asked."""
+
+    asked = 0
+
+    def get(self, key, default=None):
+        self.asked += 1
+        return super().get(key, default)
+
+
+def test_packing_looks_a_repeated_word_up_once():
+    words = packing.Words(tokenizer_file("word_bpe_49k.json"))
+    words.known = Counted(words.known)
+    texts = ["Alpha beta, größer " * 200] * 10 + ["", " ", "beta,"]
+    got = words.ids(texts)
+    assert words.known.asked <= 10
+    want = [words.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in got] == want
+
+
 def test_plans_use_up_every_length():
     rng = np.random.default_rng(4)
     for lengths in ([], [4096], [1] * 9000, list(rng.integers(1, 4097, 3000)), [1000, 2000, 1096] * 50, [3000] * 10 + [1096] * 10):
