@@ -30,22 +30,23 @@ from __future__ import annotations
 import base64
 import gc
 import hashlib
-import re
+from array import array
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import small_batches, text_of, worker_store
+from quire.llm.common import SPACE, column_bytes, slices, small_batches, taken, text_of, worker_store
 
 # stores are dropped whole beyond these sizes and filled anew: memory stays bounded, results do not change
 KEPT_STATES = 400_000
 KEPT_PIECES = 300_000
 KEPT_WORDS = 500_000
+SLICE = 4 << 20  # bytes of text whose words are looked up together
 
 
 def read_ranks(lines: Iterable[bytes]) -> dict[bytes, int]:
@@ -109,6 +110,7 @@ class Transducer:
         self.longest = max(map(len, ranks))
         self.begins = {t[:k] for t in ranks for k in range(1, len(t) + 1)}
         self.apart: dict[tuple[int, int], bool] = {}
+        self.single = [bytes((b,)) for b in range(256)]
         #: how each token was merged (a single byte: no entry), and the merge of two tokens
         self.halves: dict[int, tuple[int, int]] = {}
         self.merges: dict[tuple[int, int], int] = {}
@@ -121,17 +123,14 @@ class Transducer:
         self._reset()
 
     def _reset(self):
-        self.states: dict[tuple, int] = {}
-        self.what: list[tuple] = []
-        self.moves: list[dict[int, tuple[int, tuple[int, ...]]]] = []
+        #: a state is its moves: byte -> (next state, ids that are certain then); under -1 what it stands for
+        self.states: dict[tuple, dict] = {}
         self.start = self._state((-1, ((b"", ()),)))
 
-    def _state(self, key: tuple) -> int:
+    def _state(self, key: tuple) -> dict:
         at = self.states.get(key)
         if at is None:
-            at = self.states[key] = len(self.what)
-            self.what.append(key)
-            self.moves.append({})
+            at = self.states[key] = {-1: key}
         return at
 
     def merged(self, data: bytes, below: int = 1 << 60) -> list[int]:
@@ -172,111 +171,156 @@ class Transducer:
         self.apart[a, b] = apart
         return apart
 
-    def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
+    def _move(self, state: dict, byte: int) -> tuple[dict, tuple[int, ...]]:
         """The next state, and the ids that are certain now.
 
-        A state is (last id emitted, ((bytes since a position, ids up to it), ...)),
+        A state stands for (last id emitted, ((bytes since a position, ids up to it), ...)),
         positions from the oldest to the end of what was read.
         """
-        last, open_ = self.what[state]
-        grown = [(since + bytes((byte,)), ids) for since, ids in open_]
-        here = None
-        for since, ids in grown:  # the longest token first
-            token = self.ranks.get(since)
-            if token is None:
-                continue
-            before = ids[-1] if ids else last
-            if before < 0 or self._stay_apart(before, token):
-                here = ids + (token,)
-                break
+        last, open_ = state[-1]
+        ranks, begins, one = self.ranks, self.begins, self.single[byte]
+        live, here = [], None
+        for since, ids in open_:
+            since += one
+            if here is None:  # the longest token first
+                token = ranks.get(since)
+                if token is not None:
+                    before = ids[-1] if ids else last
+                    if before < 0 or self._stay_apart(before, token):
+                        here = ids + (token,)
+            if since in begins:
+                live.append((since, ids))
         if here is None:
             raise ValueError("the ranks do not hold every single byte")
-        live = [(since, ids) for since, ids in grown if since in self.begins] + [(b"", here)]
+        live.append((b"", here))
         shared = 0
         first = live[0][1]
-        while all(len(ids) > shared and ids[shared] == first[shared] for _, ids in live) and shared < len(first):
-            shared += 1
+        if first:
+            while shared < len(first) and all(len(ids) > shared and ids[shared] == first[shared] for _, ids in live):
+                shared += 1
         sure = first[:shared]
         if shared:
             last = sure[-1]
             live = [(since, ids[shared:]) for since, ids in live]
-        if all(ids for _, ids in live):
+        if all([ids for _, ids in live]):
             last = -1  # no position can ask for it any more, so states meet
-        return self._state((last, tuple(live))), sure
+        made = state[byte] = self._state((last, tuple(live))), sure
+        return made
 
     def ids(self, piece: bytes) -> list[int]:
         """The token ids of one piece."""
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        if len(self.what) > KEPT_STATES:
+        if len(self.states) > KEPT_STATES:
             self._reset()
-        state, out, moves = self.start, [], self.moves
+        state, out = self.start, []
         for byte in piece:
-            step = moves[state].get(byte)
-            if step is None:
-                step = moves[state][byte] = self._move(state, byte)
-            state = step[0]
-            if step[1]:
-                out += step[1]
-        return out + list(self.what[state][1][-1][1])
+            try:
+                state, sure = state[byte]
+            except KeyError:
+                state, sure = self._move(state, byte)
+            if sure:
+                out += sure
+        out += state[-1][1][-1][1]
+        return out
+
+
+#: white space beyond ASCII, and what else counts as such by other patterns
+_WIDE = [bytes(c, "utf-8") for c in map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))]
+_WHITE = SPACE.copy()
+_WHITE[0x1C:0x20] = True
+
+
+def _white(data: np.ndarray) -> np.ndarray:
+    """Which bytes belong to white space."""
+    white = _WHITE[data]
+    for lead in {c[0] for c in _WIDE}:
+        at = np.flatnonzero(data == lead)
+        for c in _WIDE if len(at) else ():
+            if c[0] == lead:
+                here = at[at + len(c) <= len(data)]
+                for k in range(1, len(c)):
+                    here = here[data[here + k] == c[k]]
+                for k in range(len(c)):
+                    white[here + k] = True
+    return white
 
 
 class Codec:
     """Encoding of whole texts, with a store of words met before; decoding of id streams.
 
     A space between two other characters that are not white space begins a piece
-    under the pattern, whatever stands around it. So a text may be cut before each
-    such space, and what lies between is looked up as a whole; only words not met
-    before are matched against the pattern and run through the machine. A text in
-    which a space touches other white space is matched as one.
+    under the pattern, whatever stands around it. So texts are cut before each such
+    space, and what lies between is looked up as a whole, each distinct word of a
+    few megabytes once; only words not met before are matched against the pattern
+    and run through the machine.
     """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.machine = Transducer(ranks)
         self.split = regex.compile(pattern).findall
-        self.crowded = re.compile(r"\s | \s|^ | $").search
+        # ASCII letters after a space or none; one match unless the pattern says otherwise
+        self.simple = all(self.split(w) == [w] for w in ("azAZ", " azAZ"))
+        self.decimals = {i: b" %d" % i for i in self.machine.tokens}
+        self.table = pa.array([self.machine.tokens.get(i) for i in range(max(self.machine.tokens) + 1)], pa.large_binary())
         self.pieces: dict[str, tuple[int, ...]] = {}
-        self.words: dict[str, tuple[tuple[int, ...], str]] = {}
-
-    def _learn(self, text: str) -> tuple[tuple[int, ...], str]:
-        """Ids of a text, and the same as decimals, by the pattern and the machine."""
-        ids: list[int] = []
-        known, machine = self.pieces, self.machine
-        for piece in self.split(text):
-            got = known.get(piece)
-            if got is None:
-                got = tuple(machine.ids(piece.encode()))
-                if len(piece) <= 32:
-                    if len(known) >= KEPT_PIECES:
-                        known.clear()
-                    known[piece] = got
-            ids += got
-        return tuple(ids), " ".join(map(str, ids))
-
-    def entries(self, text: str) -> list[tuple[tuple[int, ...], str]]:
-        """Ids and decimals of the parts of a text, in order."""
-        if self.crowded(text):
-            return [self._learn(text)]
-        first, *rest = text.split(" ")
-        words = self.words
-        out = list(map(words.get, rest))
-        if None in out:
-            for k, word in enumerate(rest):
-                if out[k] is None:
-                    out[k] = words.get(word) or self._learn(" " + word)
-                    if len(word) <= 32:
-                        if len(words) >= KEPT_WORDS:
-                            words.clear()
-                        words[word] = out[k]
-        return [self._learn(first), *out] if first else out
+        self.words: dict[bytes, tuple[bytes, bytes]] = {}
+
+    def _learn(self, word: bytes) -> tuple[bytes, bytes]:
+        """Ids of a word, and the same as decimals, by the pattern and the machine."""
+        if self.simple and word.lstrip(b" ").isalpha() and not word.startswith(b"  "):
+            ids = self.machine.ids(word)
+        else:
+            ids, known = [], self.pieces
+            for piece in self.split(word.decode()):
+                got = known.get(piece)
+                if got is None:
+                    got = tuple(self.machine.ids(piece.encode()))
+                    if len(piece) <= 32:
+                        if len(known) >= KEPT_PIECES:
+                            known.clear()
+                        known[piece] = got
+                ids += got
+        made = array("I", ids).tobytes(), b"".join(map(self.decimals.__getitem__, ids))
+        if len(word) <= 32:
+            if len(self.words) >= KEPT_WORDS:
+                self.words.clear()
+            self.words[word] = made
+        return made
+
+    def encode_texts(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, memoryview, np.ndarray]:
+        """Ids of texts side by side and where each text's begin; the same as decimals, each after a space."""
+        space = np.flatnonzero(data == 0x20)
+        space = space[(space > 0) & ~np.isin(space + 1, at)]
+        white = _white(data)
+        begin = np.zeros(len(data) + 1, bool)
+        begin[space[~white[space - 1] & ~white[space + 1]]] = True
+        begin[at] = True
+        begin[-1] = True
+        cut = np.flatnonzero(begin) if len(data) else np.zeros(1, np.int64)
+        parts = pa.LargeBinaryArray.from_buffers(
+            pa.large_binary(), len(cut) - 1, [None, pa.py_buffer(cut), pa.py_buffer(np.ascontiguousarray(data))]
+        ).dictionary_encode()
+        words = parts.dictionary.to_pylist()
+        found = list(map(self.words.get, words))
+        found = [self._learn(w) if f is None else f for w, f in zip(words, found, strict=True)]
+        first = np.searchsorted(cut, at)
+        ids, n = taken([f[0] for f in found], parts.indices)
+        decimals, m = taken([f[1] for f in found], parts.indices)
+        return np.frombuffer(ids, np.uint32)[: n[-1] // 4], n[first] // 4, decimals, m[first]
 
     def encode(self, text: str) -> list[int]:
-        return [i for ids, _ in self.entries(text) for i in ids]
+        data = np.frombuffer(text.encode(), np.uint8)
+        return self.encode_texts(data, np.array([0, len(data)]))[0].tolist()
 
     def decode_bytes(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.machine.tokens.__getitem__, ids))
 
+    def decode_ids(self, ids: np.ndarray) -> tuple[memoryview, np.ndarray]:
+        """The bytes of ids one after the other, and where each begins and the last ends."""
+        return taken(self.table, pa.array(ids))
+
     def decode_stream(self, ids: Iterable[int]) -> Iterator[str]:
         """Text as it becomes complete, id by id."""
         utf8 = Utf8Machine()
@@ -341,12 +385,15 @@ def digests(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
         gc.disable()  # the stores hold millions of small tuples and no cycles
         for batch in batches:
             counts, id_sums, text_sums = [], [], []
-            for t in batch.column(1).to_pylist():
-                entries = codec.entries(t or "")
-                ids = list(chain.from_iterable([e[0] for e in entries]))
-                counts.append(len(ids))
-                id_sums.append(hashlib.sha256(" ".join([e[1] for e in entries]).encode()).hexdigest())
-                text_sums.append(hashlib.sha256(codec.decode_bytes(ids)).hexdigest())
+            data, at = column_bytes(batch.column(1))
+            for i, j in slices(at, SLICE):
+                ids, first, decimals, written = codec.encode_texts(data[at[i] : at[j]], at[i : j + 1] - at[i])
+                decoded, ends = codec.decode_ids(ids)
+                counts += np.diff(first).tolist()
+                written = written.tolist()
+                id_sums += [hashlib.sha256(decimals[a + 1 : b]).hexdigest() for a, b in zip(written, written[1:], strict=False)]
+                ends = ends[first].tolist()
+                text_sums += [hashlib.sha256(decoded[a:b]).hexdigest() for a, b in zip(ends, ends[1:], strict=False)]
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": batch.column(0),

@@ -208,6 +208,16 @@ def test_packing_looks_a_repeated_word_up_once():
     assert [np.frombuffer(ids, "<u4").tolist() for ids in got] == want
 
 
+def test_byte_bpe_looks_a_repeated_word_up_once(ranks):
+    codec = bpe.Codec(ranks, public_tokenizers.PATTERN)
+    codec.words = Counted(codec.words)
+    text = "\n  indented" + " word größer 12,5\u00a0%  x" * 200 + " "
+    got = codec.encode(text)
+    assert codec.words.asked <= 10 and codec.words
+    want = bpe.Codec(ranks, public_tokenizers.PATTERN)
+    assert got == [i for piece in want.split(text) for i in want.machine.ids(piece.encode())]
+
+
 def test_plans_use_up_every_length():
     rng = np.random.default_rng(4)
     for lengths in ([], [4096], [1] * 9000, list(rng.integers(1, 4097, 3000)), [1000, 2000, 1096] * 50, [3000] * 10 + [1096] * 10):
