@@ -46,19 +46,20 @@ _SECOND = np.uint64(0xD6E8FEB86659FD93)
 def smaller_suffixes(text: bytes) -> tuple[list[int], list[int]]:
     """For each suffix the start of the nearest smaller one to its left (-1: none) and right (length: none)."""
     n = len(text)
-    before, after, stack = [-1] * n, [n] * n, []
+    before, after = [-1] * n, [n] * n
+    stack, heads = [-1], [b""]  # the bottom is smaller than any suffix
     for i in range(n):
         head = text[i : i + 32]
-        while stack:
+        while heads[-1] >= head:
             j = stack[-1]
-            other = text[j : j + 32]
-            if other < head or (other == head and text[j:] < text[i:]):
+            if heads[-1] == head and text[j:] < text[i:]:
                 break
             after[j] = i
             stack.pop()
-        if stack:
-            before[i] = stack[-1]
+            heads.pop()
+        before[i] = stack[-1]
         stack.append(i)
+        heads.append(head)
     return before, after
 
 
@@ -92,11 +93,11 @@ def lyndon_groups(text: bytes, before: list[int]) -> tuple[list[int], list[int]]
                 mine = [i for i in mine if of[i] == top]
             r = len(sizes)
             sizes.append(len(mine))
-            parents = []
             for i in mine:
                 rank[i] = r
-                if before[i] >= 0:
-                    parents.append(before[i])
+            parents = [before[i] for i in mine if before[i] >= 0]
+            if len(parents) == 1 and left[of[parents[0]]] == 1:
+                parents = []
             while parents:
                 moved: dict[int, int] = {}
                 again, seen = [], set()
@@ -108,6 +109,8 @@ def lyndon_groups(text: bytes, before: list[int]) -> tuple[list[int], list[int]]
                     old = of[p]
                     new = moved.get(old)
                     if new is None:
+                        if left[old] == 1:  # nobody stays behind, so the group is above itself already
+                            continue
                         new = moved[old] = len(groups)
                         above = upper[old]
                         groups.append([])
@@ -160,7 +163,7 @@ def repeated_windows(text: bytes, starts: np.ndarray, counts: np.ndarray) -> np.
     valid = np.zeros(len(text) + 1, np.int64)
     np.add.at(valid, starts, 1)
     np.add.at(valid, starts + counts, -1)
-    valid = np.cumsum(valid)[: len(text)] > 0
+    valid = (np.cumsum(valid)[: len(text)] > 0).tobytes()
     out = np.zeros(len(text), bool)
     order = [i for i in suffix_array(text) if valid[i]]
     last = None
@@ -172,11 +175,11 @@ def repeated_windows(text: bytes, starts: np.ndarray, counts: np.ndarray) -> np.
     return out
 
 
-def anchored(data: np.ndarray, gram: int) -> tuple[np.ndarray, ...]:
-    """Contexts of one text: anchor hash, first window, number of windows, whether the anchor's bytes recur here."""
+def anchored(prefix: np.ndarray, gram: int) -> tuple[np.ndarray, ...]:
+    """Contexts of one text by its ``prefix_hash``: anchor hash, first window, number of windows, whether the anchor's bytes recur here."""
     reach = LENGTH - gram + 1
-    starts = np.arange(len(data) - gram + 1)
-    h = span_hash(prefix_hash(data), starts, starts + gram)
+    starts = np.arange(len(prefix) - gram)
+    h = span_hash(prefix, starts, starts + gram)
     windows = len(h) - reach + 1
     # sliding minimum from minima to the right and to the left within blocks of the window's size
     blocks = np.append(h, np.full(-len(h) % reach, np.iinfo(np.uint64).max)).reshape(-1, reach)
@@ -190,10 +193,10 @@ def anchored(data: np.ndarray, gram: int) -> tuple[np.ndarray, ...]:
     if (runs > reach).any():
         first = np.union1d(first, np.concatenate([np.arange(f, f + r, reach) for f, r in zip(first, runs, strict=True)]))
         runs = np.diff(np.append(first, windows))
-    s = np.sort(h)
-    again = s[1:][s[1:] == s[:-1]]
     key = least[first]
-    return key, first, runs, np.isin(key, again)
+    s = np.sort(h[h <= key.max()])
+    again = s[1:][s[1:] == s[:-1]]
+    return key, first, runs, np.isin(key, again) if len(again) else np.zeros(len(key), bool)
 
 
 def _contexts(batches):
@@ -205,8 +208,9 @@ def _contexts(batches):
                 one = data[at[k] : at[k + 1]]
                 if len(one) < LENGTH:
                     continue
-                key, first, runs, recurs = anchored(one, GRAM)
-                ctx = span_hash(prefix_hash(one), first, first + runs - 1 + LENGTH)
+                prefix = prefix_hash(one)
+                key, first, runs, recurs = anchored(prefix, GRAM)
+                ctx = span_hash(prefix, first, first + runs - 1 + LENGTH)
                 out.append((np.full(len(key), k), key.view(np.int64), ctx.view(np.int64), first, runs, recurs))
             if out:
                 row, key, ctx, first, runs, recurs = (np.concatenate(c) for c in zip(*out, strict=True))

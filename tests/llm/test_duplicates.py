@@ -7,6 +7,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_rows import awkward, by_id, docs  # noqa: F401
 
@@ -203,6 +204,21 @@ def test_suffix_array_equals_sorting():
         assert suffixes.suffix_array(text) == sorted(range(len(text)), key=lambda i: text[i:])
 
 
+def test_contexts_hash_a_text_once(monkeypatch):
+    hashed, prefix_hash = [], suffixes.prefix_hash
+    monkeypatch.setattr(suffixes, "prefix_hash", lambda data: hashed.append(len(data)) or prefix_hash(data))
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("abc ", k=700)), "ab" * 300, "short"]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([1, 2, 3]), pa.array(texts)], ["doc_id", "print", "text"])
+    found = pa.Table.from_batches(suffixes._contexts([batch])).to_pydict()
+    assert hashed == [700, 600]
+    # the contexts of a text cover its windows, and only the periodic text's anchors recur
+    for doc, text in ((1, texts[0]), (2, texts[1])):
+        mine = [(a, n, r) for d, a, n, r in zip(found["doc_id"], found["first"], found["n"], found["recurs"], strict=True) if d == doc]
+        assert [x for a, n, _ in mine for x in range(a, a + n)] == list(range(len(text) - suffixes.LENGTH + 1))
+        assert {r for _, _, r in mine} == {doc == 2}
+
+
 def test_recurring_lines(awkward):
     fresh = ["unlike any other line at all", "nothing here comes back again"]
     texts = [f"Page {k} of 9 in all\nhello there number {'abcdefgh'[k]} my friend\n{fresh[k % 2]} {k * 'z'}\n\nAll rights reserved." for k in range(6)]
