@@ -63,6 +63,17 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((prefix[end] - prefix[start]) * down[start] + (end - start).astype(np.uint64))
 
 
+def side_by_side(prefixes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The ``prefix_hash`` of texts one after the other from those of each, and where each text begins."""
+    at = np.cumsum([0] + [len(p) - 1 for p in prefixes])
+    up, _ = _power_tables(int(at[-1]) + 1)
+    out = np.zeros(at[-1] + 1, np.uint64)
+    for one, a, b in zip(prefixes, at[:-1].tolist(), at[1:].tolist(), strict=True):
+        np.multiply(one[1:], up[a], out=out[a + 1 : b + 1])
+        out[a + 1 : b + 1] += out[a]
+    return out, at
+
+
 def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a text column one after the other, and where each text begins (null: empty)."""
     if isinstance(column, pa.ChunkedArray):
@@ -106,14 +117,13 @@ def word_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return start, end, np.searchsorted(at, start, "right") - 1
 
 
-def coded_words(data: np.ndarray, at: np.ndarray) -> tuple[list[bytes], pa.Array, np.ndarray]:
-    """The distinct words of texts side by side, the number of each word's entry among them, and where each text's words begin."""
-    start, end, _ = word_spans(data, at)
+def coded(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[list[bytes], pa.Array]:
+    """The distinct stretches of ``data`` and the number of each one's entry; what lies between them is white space."""
     ends = np.concatenate([[0], np.cumsum(end - start)])
     solid = np.ascontiguousarray(data[~SPACE[data]])
     words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(solid)])
-    coded = words.dictionary_encode()
-    return coded.dictionary.to_pylist(), coded.indices, np.searchsorted(start, at)
+    made = words.dictionary_encode()
+    return made.dictionary.to_pylist(), made.indices
 
 
 def taken(values: list[bytes] | pa.Array, codes: pa.Array) -> tuple[memoryview, np.ndarray]:

@@ -24,7 +24,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import zlib
 
 import numpy as np
@@ -34,28 +33,105 @@ from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import coded_words, column_bytes, slices, small_batches, taken, text_of, worker_store
+from quire.llm.common import SPACE, coded, column_bytes, slices, small_batches, taken, text_of, word_spans, worker_store
 from quire.session import cut_lineage
 
 SEQUENCE = 4096
 END_ID = 1
-KEPT_WORDS = 300_000  # words a worker remembers, and as many it has met before those
-SLICE = 4 << 20  # bytes of text whose words are looked up together
+KEPT_WORDS = 150_000  # matches a worker remembers, and as many it has met before those
+SLICE = 2 << 20  # bytes of text whose matches are looked up together
 STEP = 50_000
+LINES = 4_000  # new matches encoded at a time
 
-# characters whose composition and lower case are the same whatever stands beside them
-_plain = re.compile("[!-~\u00c0-\u012f\u0132-\u024f]+").fullmatch
+LETTER, DIGIT, MARK, OTHER = 1, 2, 3, 0
+
+
+def _character_tables() -> tuple[np.ndarray, np.ndarray]:
+    """For every code point below U+0800 its class and its lower case; ``OTHER`` is left to the tokenizer.
+
+    Told apart here are the printable ASCII characters and the precomposed Latin letters, whose composition and
+    lower case are the same whatever stands beside them, where the lower case has as many bytes.
+    """
+    kind, lower = np.zeros(0x800, np.uint8), np.arange(0x800, dtype=np.uint16)
+    plain = [*range(0x21, 0x7F), *range(0xC0, 0x130), *range(0x132, 0x250)]
+    for c in plain:
+        low = chr(c).lower()
+        if len(low) == 1 and len(low.encode()) == len(chr(c).encode()):
+            lower[c] = ord(low)
+            kind[c] = LETTER if regex.match(r"\p{L}", low) else DIGIT if regex.match(r"\p{N}", low) else MARK
+    return kind, lower
+
+
+_KIND, _LOWER = _character_tables()
+
+
+def matches(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Texts cut as the tokenizer cuts them: lower-cased bytes, starts, ends, and whether a stretch is a whole word.
+
+    A stretch is a match of the tokenizer's pattern, or a word of other characters
+    as it stands, which the tokenizer has to cut itself. White space is in none.
+    """
+    n = len(data)
+    start, end, _ = word_spans(data, at)
+    kind, low = _KIND[data], _LOWER[data].astype(np.uint8)  # what is not ASCII is set below
+    wide = np.flatnonzero(data >= 0x80)
+    kind[wide] = OTHER
+    low[wide] = data[wide]
+    # two-byte characters; texts are valid UTF-8, so the byte after a leading one belongs to it
+    lead = wide[(data[wide] >= 0xC2) & (data[wide] < 0xE0)]
+    point = (data[lead].astype(np.int32) & 0x1F) << 6 | (data[lead + 1] & 0x3F)
+    kind[lead] = kind[lead + 1] = _KIND[point]
+    low[lead], low[lead + 1] = 0xC0 | _LOWER[point] >> 6, 0x80 | _LOWER[point] & 0x3F
+    odd = kind == OTHER
+    odd &= ~SPACE[data]
+    if n > 1:
+        odd[:-1] |= (data[:-1] == 0x3C) & (data[1:] == 0x7C)  # "<|" may begin a special token
+    odd = np.flatnonzero(odd)
+    edge = np.empty(n + 1, bool)
+    edge[0] = edge[n] = True
+    np.not_equal(kind[1:], kind[:-1], out=edge[1:n])
+    edge[:n] |= kind == DIGIT
+    edge[lead[_KIND[point] == DIGIT] + 1] = False
+    edge[start] = edge[end] = True
+    # "'s" and the like, where the apostrophe begins and ends a run of marks
+    quote = np.flatnonzero(low[: n - 1] == 0x27) if n > 1 else np.empty(0, np.int64)
+    quote = quote[edge[quote] & edge[quote + 1] & (kind[quote + 1] == LETTER)]
+    if len(quote):
+        quote = quote[~np.isin(quote + 1, start)]
+        one, two = low[quote + 1], low[np.minimum(quote + 2, n - 1)]
+        short = np.isin(one, np.frombuffer(b"stmd", np.uint8))
+        long = ((one == 0x72) | (one == 0x76)) & (two == 0x65) | (one == 0x6C) & (two == 0x6C)
+        long &= ~edge[np.minimum(quote + 2, n)]
+        edge[quote[short | long] + 1] = False
+        edge[quote[short] + 2] = True
+        edge[quote[long] + 3] = True
+    whole = np.zeros(n, bool)
+    if len(odd):
+        words = np.unique(np.searchsorted(start, odd, "right") - 1)
+        inside = np.zeros(n + 1, np.int8)
+        inside[start[words]] = 1
+        inside[end[words]] -= 1
+        inside = np.cumsum(inside, dtype=np.int8)[:n] > 0
+        low[inside] = data[inside]
+        edge[:n] &= ~inside
+        edge[start[words]] = edge[end[words]] = True
+        whole[start[words]] = True
+    first = np.flatnonzero(edge)
+    first, last = first[:-1], first[1:]
+    solid = ~SPACE[data[first]]
+    first, last = first[solid], last[solid]
+    return low, first, last, whole[first]
 
 
 class Words:
-    """Token ids of words as little-endian bytes; texts are cut at ASCII white space, which has no token.
-
-    Texts are taken a few megabytes at a time; each distinct word of those is looked
-    up once. A word of ASCII and precomposed Latin letters is cut further by the
-    tokenizer's own pattern, whose matches are encoded each by itself; so new ones
-    of many words are encoded together, one to a line, and told apart by the tokens
-    that end a match. They are cut and normalised already, so that the tokenizer's
-    model is all they need. Words of other characters are encoded as they are.
+    """Token ids of texts as little-endian bytes; texts are cut at ASCII white space, which has no token.
+
+    Texts are taken a few megabytes at a time, lower-cased and cut into the matches
+    of the tokenizer's own pattern, each of which is encoded by itself; each distinct
+    match of those is looked up once. New ones are encoded many at a time, one to a
+    line, and told apart by the tokens that end a match. They are cut and normalised
+    already, so that the tokenizer's model is all they need. Words of characters
+    whose composition or case may depend on others are encoded whole, as they are.
     """
 
     def __init__(self, path: str):
@@ -69,69 +145,58 @@ class Words:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         with open(path, encoding="utf-8") as f:
-            made = json.load(f)
-        suffix = made["model"]["end_of_word_suffix"]
+            suffix = json.load(f)["model"]["end_of_word_suffix"]
         self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
-        self.cut = regex.compile(made["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
 
-    def _learn_parts(self, new: list[str]) -> None:
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
-            ids = np.array(self.lines.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, "<u4")
+    def _one_by_one(self, new: list[bytes]) -> None:
+        for i in range(0, len(new), LINES):
+            some = new[i : i + LINES]
+            made = self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
+            for w, e in zip(some, made, strict=True):
+                self.known[w] = np.array(e.ids, "<u4").tobytes()
+
+    def _learn(self, new: list[bytes], whole: list[bool]) -> None:
+        if len(self.known) + len(new) > KEPT_WORDS:
+            self.known, self.older = {}, self.known
+        again = [w in self.older for w in new]
+        self.known.update((w, self.older[w]) for w, a in zip(new, again, strict=True) if a)
+        cut = [w for w, a, o in zip(new, again, whole, strict=True) if not (a or o)]
+        self._one_by_one([w for w, a, o in zip(new, again, whole, strict=True) if o and not a])
+        for i in range(0, len(cut), LINES):
+            some = cut[i : i + LINES]
+            made = self.lines.encode_batch_fast([b"\n".join(some).decode()], add_special_tokens=False)[0].ids
+            ids = np.array(made, "<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) != len(some):  # a vocabulary whose matches do not end so
-                for p in some:
-                    self.parts[p] = np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
+                self._one_by_one(some)
                 continue
             flat, at = ids.tobytes(), 0
-            for p, stop in zip(some, (4 * stops).tolist(), strict=True):
-                self.parts[p] = flat[at:stop]
+            for w, stop in zip(some, (4 * stops).tolist(), strict=True):
+                self.known[w] = flat[at:stop]
                 at = stop
 
-    def _learn(self, new: list[bytes]) -> None:
-        if len(self.known) + len(new) > KEPT_WORDS:
-            self.known, self.older = {}, self.known
-        again = [w for w in new if w in self.older]
-        if again:
-            self.known.update((w, self.older[w]) for w in again)
-            new = [w for w in new if w not in self.known]
-        if len(self.parts) > KEPT_WORDS:
-            self.parts = {}
-        cuts, other = [], []
-        for w in new:
-            if w.isalpha():  # ASCII letters are one match
-                cuts.append((w, (w.decode().lower(),)))
-            elif _plain(text := w.decode()) and "<|" not in text:
-                cuts.append((w, self.cut(text.lower())))
-            else:
-                other.append(w)
-        self._learn_parts(list({p for _, ps in cuts for p in ps if p not in self.parts}))
-        get = self.parts.__getitem__
-        for w, ps in cuts:
-            self.known[w] = get(ps[0]) if len(ps) == 1 else b"".join(map(get, ps))
-        if other:
-            made = self.tokenizer.encode_batch_fast([w.decode() for w in other], add_special_tokens=False)
-            for w, e in zip(other, made, strict=True):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
-
     def ids(self, texts: list[str] | pa.Array) -> list[bytes]:
         """Token ids of each text."""
         data, at = column_bytes(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string()))
         out = []
         for i, j in slices(at, SLICE):
-            words, codes, first = coded_words(data[at[i] : at[j]], at[i : j + 1] - at[i])
+            here = at[i : j + 1] - at[i]
+            low, start, end, whole = matches(data[at[i] : at[j]], here)
+            words, codes = coded(low, start, end)
             found = list(map(self.known.get, words))
-            for k in range(0, len(words), STEP):  # so that one step's new words fit the store
-                new = [n for n in range(k, min(k + STEP, len(words))) if found[n] is None]
-                if new:
-                    self._learn([words[n] for n in new])
-                    for n in new:
+            new = np.array([n for n, f in enumerate(found) if f is None], np.int64)
+            if len(new):
+                alone = np.zeros(len(words), bool)
+                alone[codes.to_numpy()[whole]] = True
+                for k in range(0, len(new), STEP):  # so that one step's new words fit the store
+                    some = new[k : k + STEP]
+                    self._learn([words[n] for n in some], alone[some].tolist())
+                    for n in some:
                         found[n] = self.known[words[n]]
             flat, begin = taken(found, codes)
-            edges = begin[first].tolist()
+            edges = begin[np.searchsorted(start, here)].tolist()
             out += [bytes(flat[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
         return out
 

@@ -208,6 +208,29 @@ def test_packing_looks_a_repeated_word_up_once():
     assert [np.frombuffer(ids, "<u4").tolist() for ids in got] == want
 
 
+def test_packing_learns_a_match_once_whatever_its_case_and_marks(monkeypatch):
+    words, learnt = packing.Words(tokenizer_file("word_bpe_49k.json")), []
+    learn = words._learn
+    monkeypatch.setattr(words, "_learn", lambda new, whole: (learnt.extend(new), learn(new, whole)))
+    texts = ["Größe größe. GRÖSSE, größe! (Größe) größe's GRÖßE;", "don't DON'T ''s x'rest i'LL 'a' '", "a\u0301 <|endoftext|>x 12\u00b2"]
+    got = words.ids(texts)
+    assert len(learnt) == len(set(learnt)) and learnt.count("größe".encode()) == 1
+    assert b"don" in learnt and b"'t" in learnt and b"DON'T" not in learnt
+    want = [words.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in got] == want
+
+
+def test_packing_stores_of_any_size_give_the_same_ids(monkeypatch):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abcÀßŁȺ'st.,7 \n漢") for _ in range(rng.randint(0, 60))) for _ in range(300)]
+    want = packing.Words(tokenizer_file("word_bpe_49k.json")).ids(texts)
+    for name, value in (("KEPT_WORDS", 30), ("STEP", 20), ("LINES", 7), ("SLICE", 500)):
+        monkeypatch.setattr(packing, name, value)
+    small = packing.Words(tokenizer_file("word_bpe_49k.json"))
+    assert small.ids(texts) == want
+    assert len(small.known) <= 50
+
+
 def test_byte_bpe_looks_a_repeated_word_up_once(ranks):
     codec = bpe.Codec(ranks, public_tokenizers.PATTERN)
     codec.words = Counted(codec.words)
