@@ -11,7 +11,8 @@ with a count, and a context met twice repeats throughout.
 In each remaining group the contexts are put one after the other and their
 suffixes sorted by linear grouping (``suffix_array``): suffixes are grouped by
 their Lyndon prefix, groups from the largest to the smallest handing their rank
-to their members' previous smaller suffixes, and each group's order is emitted
+to their members' previous smaller suffixes (where Lyndon prefixes are short in the
+mean, the prefixes themselves tell the groups), and each group's order is emitted
 in one pass in rank order. Windows of equal bytes stand side by side then.
 
 A group of more than ``GROUP`` contexts is dealt out again by the windows
@@ -27,39 +28,51 @@ gives no rows; other columns are neither read nor returned.
 
 from __future__ import annotations
 
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import column_bytes, mix, prefix_hash, slices, small_batches, span_hash, text_of
+from quire.llm.common import column_bytes, mix, prefix_hash, side_by_side, slices, small_batches, span_hash, text_of
 from quire.session import cut_lineage
 
 LENGTH = 200
 GRAM = 100
 REACH = LENGTH - GRAM + 1  # grams in a window
 GROUP = 256
+SHORT = 64  # bytes of a Lyndon prefix in the mean, up to which prefixes are compared themselves
+TOGETHER = 64 << 10  # bytes of text hashed together; a longer text is hashed alone
 _SECOND = np.uint64(0xD6E8FEB86659FD93)
 
 
+def eights(text: bytes, length: int) -> np.ndarray:
+    """The eight bytes from each of the first ``length`` places on as numbers that compare like them; zeros follow the text."""
+    padded = text + bytes(length + 8 - len(text))
+    out = np.empty(length, ">u8")
+    for k in range(8):
+        part = np.frombuffer(padded, ">u8", (length + 7 - k) // 8, k)
+        out[k::8] = part[: len(out[k::8])]
+    return out.astype(np.uint64)
+
+
 def smaller_suffixes(text: bytes) -> tuple[list[int], list[int]]:
     """For each suffix the start of the nearest smaller one to its left (-1: none) and right (length: none)."""
     n = len(text)
     before, after = [-1] * n, [n] * n
-    stack, heads = [-1], [b""]  # the bottom is smaller than any suffix
-    for i in range(n):
-        head = text[i : i + 32]
-        while heads[-1] >= head:
-            j = stack[-1]
-            if heads[-1] == head and text[j:] < text[i:]:
-                break
+    heads = eights(text, n).tolist()
+    heads.append(-1)  # stands at -1 too: the bottom is smaller than any suffix
+    for i, head in enumerate(heads[:n]):
+        j = i - 1
+        while (other := heads[j]) >= head:
+            if other == head:
+                one, two = text[j + 8 : j + 72], text[i + 8 : i + 72]
+                if one < two or one == two and text[j:] < text[i:]:
+                    break
             after[j] = i
-            stack.pop()
-            heads.pop()
-        before[i] = stack[-1]
-        stack.append(i)
-        heads.append(head)
+            j = before[j]
+        before[i] = j
     return before, after
 
 
@@ -96,8 +109,18 @@ def lyndon_groups(text: bytes, before: list[int]) -> tuple[list[int], list[int]]
             for i in mine:
                 rank[i] = r
             parents = [before[i] for i in mine if before[i] >= 0]
-            if len(parents) == 1 and left[of[parents[0]]] == 1:
-                parents = []
+            if len(parents) == 1:
+                p = parents.pop()
+                old = of[p]
+                if left[old] > 1:
+                    new = of[p] = len(groups)
+                    above = upper[old]
+                    groups.append([p])
+                    left.append(1)
+                    left[old] -= 1
+                    lower.append(old)
+                    upper.append(above)
+                    upper[old] = lower[above] = new
             while parents:
                 moved: dict[int, int] = {}
                 again, seen = [], set()
@@ -129,6 +152,15 @@ def lyndon_groups(text: bytes, before: list[int]) -> tuple[list[int], list[int]]
     return rank, sizes
 
 
+def prefix_groups(text: bytes, after: list[int]) -> tuple[list[int], list[int]]:
+    """As ``lyndon_groups``: a Lyndon prefix ends where the next smaller suffix begins, so short ones are compared themselves."""
+    prefixes = [text[i:j] for i, j in enumerate(after)]
+    sizes = Counter(prefixes)
+    ordered = sorted(sizes, reverse=True)
+    ranks = {p: r for r, p in enumerate(ordered)}
+    return [ranks[p] for p in prefixes], [sizes[p] for p in ordered]
+
+
 def suffix_array(text: bytes) -> list[int]:
     """Starts of the suffixes in ascending order, in linear time once the smaller suffixes are known.
 
@@ -138,7 +170,8 @@ def suffix_array(text: bytes) -> list[int]:
     """
     n = len(text)
     before, after = smaller_suffixes(text)
-    rank, sizes = lyndon_groups(text, before)
+    short = sum(after) - n * (n - 1) // 2 <= SHORT * n  # all Lyndon prefixes together
+    rank, sizes = prefix_groups(text, after) if short else lyndon_groups(text, before)
     free, at = [], n
     for size in sizes:
         at -= size
@@ -163,40 +196,70 @@ def repeated_windows(text: bytes, starts: np.ndarray, counts: np.ndarray) -> np.
     valid = np.zeros(len(text) + 1, np.int64)
     np.add.at(valid, starts, 1)
     np.add.at(valid, starts + counts, -1)
-    valid = (np.cumsum(valid)[: len(text)] > 0).tobytes()
+    valid = np.cumsum(valid)[: len(text)] > 0
     out = np.zeros(len(text), bool)
-    order = [i for i in suffix_array(text) if valid[i]]
-    last = None
-    for i, j in zip(order, order[1:], strict=False):
-        here = text[i : i + LENGTH] if last is None else last
-        last = text[j : j + LENGTH]
-        if here == last:
-            out[i] = out[j] = True
+    order = np.array(suffix_array(text), np.int64)
+    order = order[valid[order]]
+    windows = np.ndarray((max(len(text) - LENGTH + 1, 0),), f"V{LENGTH}", text, strides=(1,))
+    for k in range(0, len(order) - 1, 4096):
+        one = order[k : k + 4097]
+        there = windows[one].view(np.uint64).reshape(len(one), -1)
+        same = (there[1:] == there[:-1]).all(axis=1)
+        out[one[1:][same]] = out[one[:-1][same]] = True
     return out
 
 
-def anchored(prefix: np.ndarray, gram: int) -> tuple[np.ndarray, ...]:
-    """Contexts of one text by its ``prefix_hash``: anchor hash, first window, number of windows, whether the anchor's bytes recur here."""
+def anchored(prefix: np.ndarray, at: np.ndarray, gram: int) -> tuple[np.ndarray, ...]:
+    """Contexts of texts of at least ``LENGTH`` bytes, by the ``prefix_hash`` of them side by side and where each begins.
+
+    Each context's text, anchor hash, first window in it, number of windows, whether the anchor's bytes recur in the text,
+    and the first window's place among all.
+    """
     reach = LENGTH - gram + 1
     starts = np.arange(len(prefix) - gram)
     h = span_hash(prefix, starts, starts + gram)
-    windows = len(h) - reach + 1
-    # sliding minimum from minima to the right and to the left within blocks of the window's size
-    blocks = np.append(h, np.full(-len(h) % reach, np.iinfo(np.uint64).max)).reshape(-1, reach)
-    right = np.minimum.accumulate(blocks, axis=1).ravel()
-    left = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    least = np.minimum(left[:windows], right[reach - 1 : reach - 1 + windows])
-    change = np.append(True, least[1:] != least[:-1])
+    # sliding minimum over twice as many grams each time, then over two stretches that overlap
+    least, wide = h, 1
+    while 2 * wide <= reach:
+        least = np.minimum(least[:-wide], least[wide:])
+        wide *= 2
+    if wide < reach:
+        least = np.minimum(least[: wide - reach], least[reach - wide :])
+    # windows lie within their text
+    windows = np.diff(at) - (LENGTH - 1)
+    end = at[:-1] + windows
+    change = np.empty(len(least) + 1, bool)
+    change[0] = True
+    np.not_equal(least[1:], least[:-1], out=change[1:-1])
+    change[at[:-1]] = change[end] = True
+    edge = np.flatnonzero(change)
+    of = np.minimum(np.searchsorted(at, edge, "right") - 1, len(end) - 1)
+    inside = edge < end[of]
+    first, runs, of = edge[inside], np.diff(np.append(edge, len(change)))[inside], of[inside]
     # long runs of one anchor, as periodic text has, are cut; where does not matter
-    first = np.flatnonzero(change)
-    runs = np.diff(np.append(first, windows))
     if (runs > reach).any():
-        first = np.union1d(first, np.concatenate([np.arange(f, f + r, reach) for f, r in zip(first, runs, strict=True)]))
-        runs = np.diff(np.append(first, windows))
+        parts = -(-runs // reach)
+        nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        stop = np.repeat(first + runs, parts)
+        first, of = np.repeat(first, parts) + nth * reach, np.repeat(of, parts)
+        runs = np.minimum(stop - first, reach)
     key = least[first]
-    s = np.sort(h[h <= key.max()])
-    again = s[1:][s[1:] == s[:-1]]
-    return key, first, runs, np.isin(key, again) if len(again) else np.zeros(len(key), bool)
+    # grams that recur: only hashes up to a text's greatest anchor can be anchors
+    most = np.maximum.reduceat(key, np.flatnonzero(np.diff(of, prepend=-1)))
+    low = np.flatnonzero(h <= np.repeat(most, np.diff(at))[: len(h)])
+    text = np.searchsorted(at, low, "right") - 1
+    within = low <= at[text + 1] - gram
+    low, text = low[within], text[within]
+    value = h[low]
+    order = np.lexsort((value, text))
+    value, text = value[order], text[order]
+    again = (value[1:] == value[:-1]) & (text[1:] == text[:-1])
+    recurs = np.zeros(len(key), bool)
+    if again.any():
+        pairs = set(zip(text[1:][again].tolist(), value[1:][again].tolist(), strict=True))
+        maybe = np.flatnonzero(np.isin(key, value[1:][again]))
+        recurs[maybe] = [p in pairs for p in zip(of[maybe].tolist(), key[maybe].tolist(), strict=True)]
+    return of, key, first - at[of], runs, recurs, first
 
 
 def _contexts(batches):
@@ -204,14 +267,13 @@ def _contexts(batches):
         data, at = column_bytes(batch.column(2))
         for i, j in slices(at):
             out = []
-            for k in range(i, j):
-                one = data[at[k] : at[k + 1]]
-                if len(one) < LENGTH:
-                    continue
-                prefix = prefix_hash(one)
-                key, first, runs, recurs = anchored(prefix, GRAM)
-                ctx = span_hash(prefix, first, first + runs - 1 + LENGTH)
-                out.append((np.full(len(key), k), key.view(np.int64), ctx.view(np.int64), first, runs, recurs))
+            long = i + np.flatnonzero(np.diff(at[i : j + 1]) >= LENGTH)
+            ends = np.cumsum(np.append(0, np.diff(at)[long]))
+            for a, b in slices(ends, TOGETHER):
+                prefix, edges = side_by_side([prefix_hash(data[at[k] : at[k + 1]]) for k in long[a:b].tolist()])
+                of, key, first, runs, recurs, place = anchored(prefix, edges, GRAM)
+                ctx = span_hash(prefix, place, place + runs - 1 + LENGTH)
+                out.append((long[a:b][of], key.view(np.int64), ctx.view(np.int64), first, runs, recurs))
             if out:
                 row, key, ctx, first, runs, recurs = (np.concatenate(c) for c in zip(*out, strict=True))
                 row = pa.array(row)

@@ -204,6 +204,39 @@ def test_suffix_array_equals_sorting():
         assert suffixes.suffix_array(text) == sorted(range(len(text)), key=lambda i: text[i:])
 
 
+def test_groups_of_short_lyndon_prefixes_equal_the_linear_ones():
+    rng = random.Random(8)
+    for _ in range(200):
+        text = bytes(rng.choices(b"ab\x00\xff"[: rng.randint(1, 4)], k=rng.randint(1, 40))) * rng.randint(1, 3)
+        before, after = suffixes.smaller_suffixes(text)
+        assert suffixes.prefix_groups(text, after) == suffixes.lyndon_groups(text, before)
+
+
+def test_contexts_of_texts_side_by_side_equal_those_of_each(monkeypatch):
+    rng = random.Random(9)
+    texts = ["".join(rng.choices("abcdé ", k=n)) for n in (0, 10, 199, 200, 150, 400, 1000, 3, 700, 250, 90)]
+    texts += ["a" * 1500, None, "ab" * 400, texts[6] + texts[6], "x"]
+
+    def found(limit):
+        monkeypatch.setattr(suffixes, "TOGETHER", limit)
+        number = pa.array(range(len(texts)))
+        batch = pa.RecordBatch.from_arrays([number, number, pa.array(texts)], ["doc_id", "print", "text"])
+        return sorted(tuple(r.values()) for made in suffixes._contexts([batch]) for r in made.to_pylist())
+
+    hashed = []
+    hash_of = suffixes.span_hash
+    monkeypatch.setattr(suffixes, "span_hash", lambda p, a, b: (hashed.append(len(a)), hash_of(p, a, b))[1])
+    together = found(1 << 16)
+    assert len(hashed) == 2  # one pass for all grams and one for all contexts, not two for each text
+    assert together == found(1)
+    windows = [max(len((t or "").encode()) - suffixes.LENGTH + 1, 0) for t in texts]
+    held = collections.Counter()
+    for doc, _, _, _, _, n, _ in together:
+        held[doc] += n
+    assert [held[k] for k in range(len(texts))] == windows
+    assert {r[0] for r in together if r[6]} == {11, 13, 14}  # whose anchors recur
+
+
 def test_contexts_hash_a_text_once(monkeypatch):
     hashed, prefix_hash = [], suffixes.prefix_hash
     monkeypatch.setattr(suffixes, "prefix_hash", lambda data: hashed.append(len(data)) or prefix_hash(data))
