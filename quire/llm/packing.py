@@ -39,7 +39,7 @@ from quire.session import cut_lineage
 SEQUENCE = 4096
 END_ID = 1
 KEPT_WORDS = 150_000  # matches a worker remembers, and as many it has met before those
-SLICE = 2 << 20  # bytes of text whose matches are looked up together
+SLICE = 1 << 20  # bytes of text whose matches are looked up together
 STEP = 50_000
 LINES = 4_000  # new matches encoded at a time
 
@@ -224,6 +224,7 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
         words, part = words_of(name), TaskContext.get().partitionId()
         seen = np.zeros(SEQUENCE + 1, np.int64)
         for batch in batches:
+            pa.default_memory_pool().release_unused()  # what batches before, or stages before in this worker, have left
             out = [[], [], [], [], [], [], []]
             for doc, ids in zip(batch.column(0).to_pylist(), words.ids(batch.column(1)), strict=True):
                 flat = memoryview(ids + end)
