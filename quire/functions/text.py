@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,7 +37,8 @@ def all_matches(c: Column, pattern: str, needs: str | None = None) -> Column:
     found = F.regexp_extract_all(c, F.lit(UNICODE + pattern), F.lit(0))
     if needs is None:
         return found
-    return F.when(c.rlike(needs), found).otherwise(F.array().cast("array<string>"))
+    held = c.contains(needs) if re.escape(needs) == needs else c.rlike(needs)
+    return F.when(held, found).otherwise(F.array().cast("array<string>"))
 
 
 def words(c: Column) -> Column:

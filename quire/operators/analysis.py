@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions.text import word_count
 from quire.operators.entities import entity_matches
 from quire.operators.forms import field_matches
-from quire.operators.language import language_of
+from quire.operators.language import language_of, language_words
 from quire.operators.layout import avg_font_size, headings
 from quire.operators.tables import TABLE, tables_from_cells
 from quire.operators.topics import summary, top_topic_of
@@ -19,23 +19,26 @@ def profile(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """What ``docs(doc_id, text)`` tells on its own, without a shuffle; the columns ``keep`` come along.
 
     A document is one row, so counts, summary, entities and form fields are
-    worked out inside the row, page by page.
+    worked out inside the row, page by page. Its words are found once, for topic
+    and language.
     """
-    pages = docs.select("doc_id", *keep, "text", page_texts(F.col("text")).alias("_pages"))
+    text, words = F.col("text"), F.col("_words")
+    pages = docs.select("doc_id", *keep, "text", page_texts(text).alias("_pages"), language_words(text).alias("_words"))
     found = F.flatten(F.transform("_pages", lambda p: entity_matches(p)))
-    distinct = F.array_distinct(F.transform(found, lambda e: F.struct(e["entity_type"], e["value"])))
+    # as strings they are told apart by hash, as structs each by each
+    distinct = F.array_distinct(F.transform(found, lambda e: F.concat(e["entity_type"], F.lit(":"), e["value"])))
     fields = F.aggregate("_pages", F.lit(0), lambda acc, p: acc + F.size(field_matches(p)))
     return pages.select(
         "doc_id",
         *keep,
         F.size("_pages").alias("page_count"),
         (F.length("text") + 1).alias("character_count"),
-        word_count(F.col("text")).alias("word_count"),
-        summary(F.col("text"), "analysis").alias("summary"),
+        word_count(text).alias("word_count"),
+        summary(text, "analysis").alias("summary"),
         F.size(distinct).alias("entity_count"),
         fields.alias("form_field_count"),
-        top_topic_of(F.col("text")).alias("top_topic"),
-        language_of(F.col("text")).alias("_language"),
+        top_topic_of(text, words=words).alias("top_topic"),
+        language_of(text, words).alias("_language"),
     ).select("*", "_language.*").drop("_language")
 
 

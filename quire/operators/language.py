@@ -10,11 +10,16 @@ from quire.functions.text import all_matches, is_blank, let, literal_list
 
 
 def script(text: Column) -> Column:
-    """Name of the first script with more than a tenth of all characters, else null."""
+    """Name of the first script with more than a tenth of all characters, else null.
+
+    A character of these scripts takes more than one byte, so texts with fewer
+    further bytes than that are not searched.
+    """
     share = F.length(text) * fv.SCRIPT_SHARE
-    return F.coalesce(
+    found = F.coalesce(
         *[F.when(F.regexp_count(text, F.lit(chars)) > share, name) for name, _, chars in fv.SCRIPTS]
     )
+    return F.when(F.octet_length(text) - F.length(text) > share, found)
 
 
 def detect_script(docs: DataFrame) -> DataFrame:
@@ -25,11 +30,18 @@ def detect_script(docs: DataFrame) -> DataFrame:
     )
 
 
-def language_scores(text: Column) -> Column:
-    """Array of (score, language) in tie-breaking order; score is the share of indicator words present."""
-    present = F.array_distinct(all_matches(F.lower(text), fv.LANGUAGE_WORD))
+def language_words(text: Column) -> Column:
+    """Words of a to z in the lower-cased text, in order."""
+    return all_matches(F.lower(text), fv.LANGUAGE_WORD)
+
+
+def language_scores(text: Column, words: Column | None = None) -> Column:
+    """Array of (score, language) in tie-breaking order; score is the share of indicator words present.
+
+    ``words`` are the text's ``language_words``, where they are at hand.
+    """
     known = literal_list(sorted({w for ws in fv.LANGUAGE_WORDS.values() for w in ws}))
-    hits = F.array_intersect(present, known)
+    hits = F.array_intersect(language_words(text) if words is None else words, known)
     return let(
         hits,
         lambda h: F.array(
@@ -43,7 +55,7 @@ def language_scores(text: Column) -> Column:
     )
 
 
-def language_of(text: Column) -> Column:
+def language_of(text: Column, words: Column | None = None) -> Column:
     """Struct of language and confidence: script first, then indicator words.
 
     A document is one row and the word lists are literals, so there is no
@@ -51,7 +63,7 @@ def language_of(text: Column) -> Column:
     """
     names = F.create_map(*[F.lit(x) for name, lang, _ in fv.SCRIPTS for x in (name, lang)])
     best = let(
-        language_scores(text),
+        language_scores(text, words),
         lambda s: F.aggregate(
             F.slice(s, 2, len(fv.LANGUAGE_WORDS) - 1),
             s[0],

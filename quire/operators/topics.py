@@ -49,8 +49,37 @@ def key_topics(docs: DataFrame, k: int = fv.TOPIC_COUNT, stop=None) -> DataFrame
     )
 
 
-def top_topic_of(text: Column, stop=None) -> Column:
-    return F.get(topic_counts(text, stop), F.lit(0))["word"]
+def top_topic_of(text: Column, stop=None, words: Column | None = None) -> Column:
+    """The most frequent topic word of one text; of several, the one that comes first.
+
+    Only counts are compared, so plain words are sorted, and the longest runs are
+    looked up in the text's order. ``words`` are the text's ``language_words``,
+    where they are at hand: the longer ones are its topic words.
+    """
+    stop = fv.STOP_WORDS if stop is None else tuple(stop)
+    found = all_matches(F.lower(text), fv.TOPIC_WORD) if words is None else words
+
+    def is_topic(w: Column) -> Column:
+        long_enough = F.length(w) >= fv.TOPIC_MIN_CHARS
+        return long_enough & ~w.isin(*stop) if stop else long_enough
+
+    def most(kept: Column, s: Column) -> Column:
+        # where words change: the start of each run and the end of the last
+        bounds = F.filter(
+            F.sequence(F.lit(0), F.size(s)), lambda i: ~F.get(s, i).eqNullSafe(F.get(s, i - 1))
+        )
+
+        def first(b: Column) -> Column:
+            sizes = F.transform(b, lambda at, k: F.get(b, k + 1) - at)
+            longest = let(
+                F.array_max(sizes), lambda n: F.filter(b, lambda at, k: F.get(b, k + 1) - at == n)
+            )
+            best = F.transform(longest, lambda at: F.get(s, at))
+            return let(best, lambda t: F.get(F.when(F.size(t) > 1, F.array_intersect(kept, t)).otherwise(t), F.lit(0)))
+
+        return let(bounds, first)
+
+    return let(F.filter(found, is_topic), lambda kept: let(F.sort_array(kept), lambda s: most(kept, s)))
 
 
 def top_topic(docs: DataFrame, stop=None) -> DataFrame:

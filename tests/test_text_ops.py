@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quire import fixed_values as fv
 from quire.functions import text as ft
 from quire.functions.joins import join_per_key
-from quire.operators import compare, entities, ingest, language, search, tables, text, topics
+from quire.operators import analysis, compare, entities, ingest, language, layout, search, tables, text, topics
 
 
 def one(spark, value, make):
@@ -342,3 +342,68 @@ def test_doc_context(table, pages):
 
 def test_fixed_lists():
     assert len(fv.STOP_WORDS) == 50 and all(len(w) == 14 for w in fv.LANGUAGE_WORDS.values())
+
+
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan()
+
+
+def test_profile_finds_words_once(table):
+    docs = table("doc_id long, text string", (1, "alpha beta alpha\ngamma"))
+    plan = optimized(analysis.profile(docs)).toString()
+    assert plan.count(fv.LANGUAGE_WORD) == 1
+    assert fv.TOPIC_WORD not in plan
+
+
+def test_heading_counts_shuffle_no_text(spans):
+    node = optimized(layout.headings(spans).groupBy("doc_id").count())
+    while node.nodeName() != "Join":
+        node = node.children().head()
+    joined = node.children().head().output()
+    assert "text" not in [joined.apply(i).name() for i in range(joined.size())]
+
+
+def test_top_topic_is_the_first_of_all_topics(table):
+    values = (
+        "alpha beta beta alpha", "zeta zeta alpha", "beta alpha gamma", "", "of the with this", None,
+        "caf\u00e9 abcd1 abcd_ abcd abcd", "ABCD \u212aelvin kelvin efgh e\u0301abcd", "one1 two2", "\u0130abc abcd-abcd",
+        "page document this", " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}xy" for i in range(600, -1, -1)),
+    )
+    docs = table("doc_id long, text string", *enumerate(values))
+    text = F.col("text")
+    for stop in (None, (), ("abcd",)):
+        got = docs.select(
+            F.get(topics.topic_counts(text, stop), F.lit(0))["word"],
+            topics.top_topic_of(text, stop),
+            topics.top_topic_of(text, stop, language.language_words(text)),
+        ).collect()
+        assert all(a == b == c for a, b, c in got)
+        assert got[0][0] == "alpha"
+
+
+def test_texts_with_a_match_have_what_it_needs(table):
+    values = (
+        "1/2/99", "11-12-2024", "May 3, 2024", "Sept. 3 24", "Jan\u00a03,\u20032024", "Dec 31 1999", "\u0663/\u0664/\u0662\u0660", "3 May",
+        "$ 5", "\u20ac7,5", "\u00a3\u00a05", "12.50 USD", "1,000.25", "1.2", "$x", "123-45-6789", "123-45-678", "\u0661\u0662\u0663-45-6789",
+        "Ann Smith", "Ann\u00a0Maria Smith", "aAnn Smith", "Ann  S", "Acme Co", "Acme Co.", "Acme\u2003Widgets Inc.", "Acme Cold", "Co", "A&B Ltd\nX",
+        "a@b.cc", "see http://x", "://", "+1 555-010-1234",
+    )
+    docs = table("text string", *[(v,) for v in values])
+    text = F.col("text")
+    for pattern, needs in fv.NEEDED_BY.items():
+        got = docs.select("text", ft.all_matches(text, pattern), ft.all_matches(text, pattern, needs)).collect()
+        assert [r[1] for r in got] == [r[2] for r in got]
+        assert any(r[1] for r in got)
+
+
+def test_script_needs_more_than_a_tenth(table):
+    values = ("a" * 9 + "\u4e2d", "a" * 8 + "\u4e2d", "\u00e9" * 20, "\u0431" * 2 + "a" * 8, "\u0631" + "a" * 9, "", "\U0001f600" * 3, None)
+    docs = table("text string", *[(v,) for v in values])
+    found = [r[0] for r in docs.select(language.script(F.col("text"))).collect()]
+    assert found == [None, "CJK", None, "Cyrillic", None, None, None, None]
+
+
+def test_many_entities_are_told_apart(table):
+    text = "\n".join(f"a{i % 700}@b.example x{i % 2}@b.example" for i in range(1400))
+    (row,) = analysis.profile(table("doc_id long, text string", (1, text))).collect()
+    assert row.entity_count == 702
