@@ -31,7 +31,8 @@ def avg_font_size(spans: DataFrame) -> DataFrame:
 
 def all_caps(text: Column) -> Column:
     """Whether a text is all capitals: letters only, more than three."""
-    return (F.upper(text) == text) & (F.length(text) > 3) & text.rlike(r"^\p{L}+$")
+    # most texts have a character that is no letter, so few are raised to capitals
+    return (F.length(text) > 3) & text.rlike(r"^\p{L}+$") & (F.upper(text) == text)
 
 
 def heading_level(caps: Column, size: Column, flags: Column, avg_size: Column) -> Column:
